@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from gapwise.llm import exact_dedup, mixing
+from gapwise.llm import exact_dedup, mixing, quality_rules, sharding
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_bounded_ring": sharding.op3_bounded_ring,
     "op4_poisson_mix": mixing.op4_poisson_mix,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
