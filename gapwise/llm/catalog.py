@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from gapwise.llm import exact_dedup, mixing, quality_rules, sharding
+from gapwise.llm import exact_dedup, license_scan, mixing, quality_rules, secret_scan, sharding
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_bounded_ring": sharding.op3_bounded_ring,
     "op4_poisson_mix": mixing.op4_poisson_mix,
+    "op5_license_rules": license_scan.op5_license_rules,
+    "op7_secret_owners": secret_scan.op7_secret_owners,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {
