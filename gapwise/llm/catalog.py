@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gapwise.llm import exact_dedup, license_scan, mixing, quality_rules, secret_scan, sharding
+from gapwise.llm import exact_dedup, license_scan, mixing, packing, quality_rules, secret_scan, sharding
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_poisson_mix": mixing.op4_poisson_mix,
     "op5_license_rules": license_scan.op5_license_rules,
     "op7_secret_owners": secret_scan.op7_secret_owners,
+    "op8_mixture_packing": packing.op8_mixture_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {
