@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gapwise.llm import exact_dedup, license_scan, mixing, packing, quality_rules, secret_scan, sharding
+from gapwise.llm import exact_dedup, language_id, license_scan, mixing, packing, quality_rules, secret_scan, sharding
 
 QUERIES = {
+    "op1_language_hierarchy": language_id.op1_language_hierarchy,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_bounded_ring": sharding.op3_bounded_ring,
     "op4_poisson_mix": mixing.op4_poisson_mix,
