@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gapwise.llm import exact_dedup, language_id, license_scan, mixing, packing, quality_rules, secret_scan, sharding
+from gapwise.llm import exact_dedup, language_id, license_scan, lm_scoring, mixing, packing, quality_rules, secret_scan, sharding
 
 QUERIES = {
     "op1_language_hierarchy": language_id.op1_language_hierarchy,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bounded_ring": sharding.op3_bounded_ring,
     "op4_poisson_mix": mixing.op4_poisson_mix,
     "op5_license_rules": license_scan.op5_license_rules,
+    "op6_elias_fano_lm": lm_scoring.op6_elias_fano_lm,
     "op7_secret_owners": secret_scan.op7_secret_owners,
     "op8_mixture_packing": packing.op8_mixture_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
