@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gapwise.llm import exact_dedup, language_id, license_scan, lm_scoring, mixing, packing, quality_rules, secret_scan, sharding
+from gapwise.llm import exact_dedup, language_id, license_scan, lm_scoring, mixing, ngram_join, packing, quality_rules, secret_scan, sharding
 
 QUERIES = {
     "op1_language_hierarchy": language_id.op1_language_hierarchy,
+    "op10_signature_tree_join": ngram_join.op10_signature_tree_join,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_bounded_ring": sharding.op3_bounded_ring,
     "op4_poisson_mix": mixing.op4_poisson_mix,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {
+    "op10_signature_tree_join": ngram_join.SQL,
     "op4_poisson_mix": mixing.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
