@@ -33,7 +33,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replicate documents so that all sources weigh the same, and shuffle globally."""
-    return poisson_mix(docs).select(*[f"`{c}`" for c in docs.columns])
+    return poisson_mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

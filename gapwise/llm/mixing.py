@@ -57,41 +57,46 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, *, source
     )
 
 
-def poisson_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", volume: float = 1.0) -> DataFrame:
-    """The rows of ``docs``, each as often as its draw says, with __rate, __copy and __order; shuffled globally.
+def replicated(docs: DataFrame, weights: Mapping[str, float] | None = None, *, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", volume: float = 1.0) -> DataFrame:
+    """(row, rate, copy, place): each row of ``docs``, as a struct, as often as its draw says; shuffled globally.
 
-    A document's count inverts the Poisson distribution of its source's rate at a uniform that only the
-    seed and the id decide: the same on every run and under any partitioning. Copies go to partitions by
-    the hash of __order and are sorted by it there. Defined results: a null text has mass 1; a null source
-    is a source of its own; rows that repeat an id draw the same count; null ids share one draw; an empty
-    table gives an empty result; the columns of ``docs`` are kept, and must not start with two underscores.
+    Copies go to partitions by the hash of place, a hash of the seed, the id and the copy, and are sorted by it there.
     """
     rates = source_rates(docs, weights, source_col=source_col, text_col=text_col, volume=volume)
     if rates.count() <= MAX_BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    joined = docs.join(rates, docs[source_col].eqNullSafe(rates["__source"]))
-    identity = F.col(f"`{id_col}`").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("string").alias("id"), F.col(source_col).alias("of"))
+    joined = rows.join(rates, rows["of"].eqNullSafe(rates["__source"]))
     draw = F.aggregate(
         F.sequence(F.lit(0), F.col("parts") - 1),
         F.lit(0),
-        lambda total, part: total + F.size(F.filter("cdf", lambda c: c <= _uniform(seed, identity, part))),
-    )
-    one = F.size(F.filter("cdf", lambda c: c <= F.col("__u")))
-    counted = joined.withColumn("__u", _uniform(seed, identity, F.lit(0))).withColumn("__n", F.when(F.col("parts") == 1, one).otherwise(draw))
-    copies = counted.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.col("rate").alias("__rate"),
-        F.explode(F.expr("if(__n > 0, sequence(0, __n - 1), cast(array() as array<int>))")).alias("__copy"),
+        lambda total, part: total + F.size(F.filter("cdf", lambda c: c <= _uniform(seed, F.col("id"), part))),
     )
-    order = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(identity, F.lit("null")), F.col("__copy").cast("string"))), 1, 15), 16, 10)
-    return copies.withColumn("__order", order.cast("bigint")).repartition("__order").sortWithinPartitions("__order")
+    one = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    counted = joined.withColumn("u", _uniform(seed, F.col("id"), F.lit(0))).withColumn("n", F.when(F.col("parts") == 1, one).otherwise(draw))
+    copies = counted.select("row", "id", "rate", F.explode(F.expr("if(n > 0, sequence(0, n - 1), cast(array() as array<int>))")).alias("copy"))
+    digest = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce("id", F.lit("null")), F.col("copy").cast("string")))
+    placed = copies.select("row", "rate", "copy", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("place"))
+    return placed.repartition("place").sortWithinPartitions("place")
+
+
+def poisson_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as its draw says, in a global shuffle.
+
+    A document's count inverts the Poisson distribution of its source's rate at a uniform that only the
+    seed and the id decide: the same on every run and under any partitioning. Defined results: a null text
+    has mass 1; a null source is a source of its own; rows that repeat an id draw the same count; null ids
+    share one draw; an empty table gives an empty result; all columns of ``docs`` are kept, whatever their
+    names.
+    """
+    return replicated(docs, weights, **options).select("row.*")
 
 
 def op4_poisson_mix(spark, sf_dir: str) -> DataFrame:
     """All sources at equal weights: doc_id, source, rate, copy, shuffle_key."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = poisson_mix(docs)
-    return mixed.select("doc_id", "source", F.round("__rate", 9).alias("rate"), F.col("__copy").alias("copy"), F.col("__order").alias("shuffle_key"))
+    mixed = replicated(docs)
+    return mixed.select("row.doc_id", "row.source", F.round("rate", 9).alias("rate"), "copy", F.col("place").alias("shuffle_key"))
 
 
 SQL = r"""
