@@ -7,6 +7,7 @@ Everything on the main path is a DataFrame operation. The driver sees only histo
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -76,23 +77,22 @@ def measured(docs: DataFrame, *, text_col: str = "text") -> Column:
     )
 
 
-def with_features(df: DataFrame) -> DataFrame:
-    """Add FEATURES and base_failed to a frame that holds the fields of ``measured``."""
-    part = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return df.withColumns(
-        {
-            "mean_word_chars": part("word_chars", "n_words"),
-            "symbol_ratio": part("n_symbols", "word_chars"),
-            "dup_line_ratio": part("n_dup_lines", "n_lines"),
-            "repeat_ratio": part("n_repeat_words", "n_words"),
-            "distinct_ratio": part("n_distinct", "n_words"),
-            "digit_ratio": part("n_digits", "word_chars"),
-            "upper_ratio": part("n_upper", "word_chars"),
-            "line_words": part("n_words", "n_lines"),
-            "stop_ratio": part("n_short", "n_words"),
-            "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-        }
-    )
+def derived(m: Column) -> dict[str, Column]:
+    """FEATURES and base_failed from the fields of ``measured``."""
+    part = lambda a, b: m[a] / F.greatest(m[b], F.lit(1))
+    return {
+        "n_words": m["n_words"],
+        "mean_word_chars": part("word_chars", "n_words"),
+        "symbol_ratio": part("n_symbols", "word_chars"),
+        "dup_line_ratio": part("n_dup_lines", "n_lines"),
+        "repeat_ratio": part("n_repeat_words", "n_words"),
+        "distinct_ratio": part("n_distinct", "n_words"),
+        "digit_ratio": part("n_digits", "word_chars"),
+        "upper_ratio": part("n_upper", "word_chars"),
+        "line_words": part("n_words", "n_lines"),
+        "stop_ratio": part("n_short", "n_words"),
+        "base_failed": (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    }
 
 
 @dataclass
@@ -102,10 +102,10 @@ class Rule:
     conditions: list[tuple[str, str, float]]
     precision: float
 
-    def column(self) -> Column:
+    def column(self, of: Callable[[str], Column] = F.col) -> Column:
         test = F.lit(True)
         for name, op, bound in self.conditions:
-            test = test & (F.col(name) >= bound if op == ">=" else F.col(name) < bound)
+            test = test & (of(name) >= bound if op == ">=" else of(name) < bound)
         return test
 
     def __str__(self) -> str:
@@ -116,11 +116,11 @@ class Rule:
 class DecisionList:
     rules: list[Rule] = field(default_factory=list)
 
-    def column(self) -> Column:
-        """The number of the first rule that holds, from 1; 0 if none does."""
+    def column(self, of: Callable[[str], Column] = F.col) -> Column:
+        """The number of the first rule that holds, from 1; 0 if none does. ``of`` gives a feature by name."""
         out = None
         for k, rule in enumerate(self.rules, 1):
-            out = F.when(rule.column(), k) if out is None else out.when(rule.column(), k)
+            out = F.when(rule.column(of), k) if out is None else out.when(rule.column(of), k)
         return F.lit(0) if out is None else out.otherwise(0)
 
     def __str__(self) -> str:
@@ -217,7 +217,7 @@ def fit(features: DataFrame, labels: DataFrame, **options) -> DecisionList:
 
 def quality_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), measured(docs, text_col=text_col).alias("m"))
-    return with_features(rows.select("doc_id", "m.*"))
+    return rows.select("doc_id", "m.*", *[c.alias(k) for k, c in derived(F.col("m")).items() if k != "n_words"])
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,13 +237,20 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps; no text is shuffled."""
+    """The rows of ``docs`` that ``quality`` keeps; of the texts only the labelled ones are shuffled, to learn from.
+
+    The verdict is one expression that measures the text once, so that pushing it down copies nothing.
+    """
     known = labels.where(F.col("quality").isNotNull()).select(F.col(id_col)).distinct()
-    features = quality_features(docs.select(id_col, text_col).join(known, id_col, "left_semi"), id_col=id_col, text_col=text_col)
-    rules = fit(features.withColumnRenamed("doc_id", id_col), labels)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), measured(docs, text_col=text_col).alias("__m"))
-    judged = with_features(rows.select("__row", "__m.*"))
-    return judged.where(~F.col("base_failed") & (rules.column() == 0)).select("__row.*")
+    labelled = docs.select(id_col, text_col).join(known, id_col, "left_semi")
+    features = staged(quality_features(labelled, id_col=id_col, text_col=text_col), "quality").withColumnRenamed("doc_id", id_col)
+    rules = fit(features, labels)
+
+    def good(m: Column) -> Column:
+        found = F.struct(*[c.alias(k) for k, c in derived(m).items()])
+        return let(found, lambda f: ~f["base_failed"] & (rules.column(lambda name: f[name]) == 0))
+
+    return docs.where(let(measured(docs, text_col=text_col), good))
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
