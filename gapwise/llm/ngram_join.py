@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapwise.llm.common import load, shared_dir, staged, text_or_empty
 from gapwise.llm.components import connected
 from gapwise.llm.lm_scoring import write_level
 from gapwise.llm.ngram_trie import Level
-from gapwise.llm.signature_tree import forest
+from gapwise.llm.signature_tree import SignatureTree, bitmap, forest, traverse
 
 #: Texts are handled in groups of so many characters.
 GROUP_CHARS = 8_000_000
 #: Token sets of so many tokens together are joined in one piece; larger candidate groups are cut up.
 BLOCK_TOKENS = 1_000_000
+#: Signatures of so many sets are compared in one piece.
+BLOCK_SETS = 4096
+SIGNATURE_BITS = 2048
+#: A token known in so many texts is dealt to PARTS parts, so that no task has to hold all its sets.
+HOT_TOKEN, PARTS = 2000, 32
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,21 +67,26 @@ def node_of(tokens: np.ndarray) -> int:
 
 
 def _census(rows: DataFrame, width: int) -> DataFrame:
-    """One pass for two results: (doc, key = node, n) of each row, and (doc null, key = token, n) of tokens in several texts of a group."""
+    """One pass for two results: (doc, key = node, n, signature) of each row, and (key = token, n) of tokens in several texts of a group.
+
+    ``hashed`` names a row in both passes over the texts; it is null in rows about tokens.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in groups(batches):
             sets = shingle_sets(part["text"], width)
-            yield pd.DataFrame({"row": True, "doc": part["doc"].astype("Int64"), "key": [node_of(s) for s in sets], "n": [len(s) for s in sets]})
+            signatures = [bitmap(s, SIGNATURE_BITS).tobytes() for s in sets]
+            yield pd.DataFrame({"hashed": part["hashed"].astype("Int64"), "doc": part["doc"].astype("Int64"), "key": [node_of(s) for s in sets], "n": [len(s) for s in sets], "signature": signatures})
             token, count = np.unique(np.concatenate(sets), return_counts=True)
             often = count >= 2
-            yield pd.DataFrame({"row": False, "doc": pd.array([None] * int(often.sum()), dtype="Int64"), "key": token[often], "n": count[often]})
+            none = pd.array([None] * int(often.sum()), dtype="Int64")
+            yield pd.DataFrame({"hashed": none, "doc": none, "key": token[often], "n": count[often], "signature": None})
 
-    return rows.select("doc", "text").mapInPandas(run, "row boolean, doc bigint, key bigint, n bigint")
+    return rows.mapInPandas(run, "hashed bigint, doc bigint, key bigint, n bigint, signature binary")
 
 
 def _prefixes(rows: DataFrame, width: int, percent: int, common: Level) -> DataFrame:
-    """(token, node): of each set the tokens of its prefix.
+    """(token, part, node): of each set the tokens of its prefix; a token known as frequent is dealt to several parts.
 
     In any order of tokens that all sets share, two similar sets share a token within their first
     n - ceil(n * percent / 100) + 1. The order here is by known frequency, so that passages in many texts come
@@ -95,115 +105,143 @@ def _prefixes(rows: DataFrame, width: int, percent: int, common: Level) -> DataF
             order = np.lexsort((tokens, count, owner))
             rank = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             first = rank < np.repeat(sizes - (sizes * percent + 99) // 100 + 1, sizes)
-            yield pd.DataFrame({"token": tokens[order][first], "node": np.array(list(sets), dtype=np.int64)[owner[first]]})
+            node = np.array(list(sets), dtype=np.int64)[owner[first]]
+            deal = np.where(count[order][first] >= HOT_TOKEN, node % PARTS, -1)
+            yield pd.DataFrame({"token": tokens[order][first], "part": deal, "node": node})
 
-    return rows.select("text").mapInPandas(run, "token bigint, node bigint")
+    return rows.select("text").mapInPandas(run, "token bigint, part bigint, node bigint")
 
 
-def _sets_of(rows: DataFrame, width: int, wanted: Level) -> DataFrame:
-    """(node, tokens) of the documents whose hashed id is in ``wanted``."""
+def _neighbours(prefixes: DataFrame) -> DataFrame:
+    """(a, b): each node with the least one before it that shares a token; one shuffle of the prefixes.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch[wanted.find(batch["hashed"].to_numpy()) >= 0]
-            for part in groups(iter([batch])) if len(batch) else ():
-                sets = [s for s in shingle_sets(part["text"], width) if len(s)]
-                yield pd.DataFrame({"node": [node_of(s) for s in sets], "tokens": [s.tobytes() for s in sets]})
-
-    return rows.select("hashed", "text").mapInPandas(run, "node bigint, tokens binary")
+    A running minimum needs no buffer. The parts of a frequent token are joined by their least nodes.
+    """
+    run = Window.partitionBy("token", "part").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    seen = prefixes.withColumn("low", F.first("node").over(run))
+    inside = seen.where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    hot = prefixes.where("part >= 0").groupBy("token", "part").agg(F.min("node").alias("node"))
+    across = hot.withColumn("low", F.min("node").over(Window.partitionBy("token"))).where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return inside.unionByName(across).distinct()
 
 
-def _tasks(members: DataFrame, percent: int) -> DataFrame:
-    """(node, n, task, side): which joins a member takes part in.
+def _tasks(members: DataFrame, weight: str, limit: int, percent: int) -> DataFrame:
+    """The members (label, node, n, ...) with task and side: which joins each takes part in.
 
-    A candidate group of up to BLOCK_TOKENS is one join with itself. A larger one is cut by size class, which
-    similar sets share or have next to each other, and each class by a hash; every block is joined with
-    itself and with each other that may hold similar sets.
+    A group whose ``weight`` sums up to ``limit`` is one join with itself. A larger one is cut by size class,
+    which similar sets share or have next to each other, and each class by a hash; every block is joined with
+    itself and with each other that may hold similar sets. Only the blocks of large groups are joined to
+    the members, and there are no more of them than limits in the whole input.
     """
     step = math.log(100 / percent)
     sized = members.withColumn("class", F.floor(F.log("n") / step).cast("int"))
-    classes = sized.groupBy("label", "class").agg(F.sum("n").alias("tokens"))
-    blocks = classes.withColumn("m", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int"))
-    totals = classes.groupBy("label").agg(F.sum("tokens").alias("total"))
-    near = [blocks.select(F.col("label").alias(f"l{d}"), (F.col("class") - d).alias(f"c{d}"), F.col("m").alias(f"m{d}")) for d in (-1, 0, 1)]
-    joined = sized.join(totals, "label")
-    for d, table in zip((-1, 0, 1), near, strict=True):
-        joined = joined.join(table, (joined["label"] == table[f"l{d}"]) & (joined["class"] == table[f"c{d}"]), "left")
-    sub = "pmod(xxhash64(node), m0)"
+    classes = sized.groupBy("label", "class").agg(F.sum(weight).alias("mass"))
+    large = classes.groupBy("label").agg(F.sum("mass").alias("total")).where(F.col("total") > limit)
+    blocks = classes.join(large, "label").groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("mass") / limit).cast("int")))).alias("m"))
+    joined = sized.join(blocks.withColumnRenamed("label", "of"), F.col("label") == F.col("of"), "left")
+    sub = "pmod(xxhash64(node), m[class])"
+    none = "cast(array() as array<struct<task: bigint, side: int>>)"
     cut = F.expr(f"""
         flatten(array(
-          transform(sequence(0, m0 - 1), x -> named_struct('task', xxhash64(label, class, least({sub}, x), class, greatest({sub}, x)), 'side', cast(if({sub} <= x, 0, 1) as int))),
-          if(m1 is null, cast(array() as array<struct<task: bigint, side: int>>), transform(sequence(0, m1 - 1), y -> named_struct('task', xxhash64(label, class, {sub}, class + 1, y), 'side', 0))),
-          if(`m-1` is null, cast(array() as array<struct<task: bigint, side: int>>), transform(sequence(0, `m-1` - 1), y -> named_struct('task', xxhash64(label, class - 1, y, class, {sub}), 'side', 1)))
+          transform(sequence(0, m[class] - 1), x -> named_struct('task', xxhash64(label, class, least({sub}, x), class, greatest({sub}, x)), 'side', cast(if({sub} <= x, 0, 1) as int))),
+          if(m[class + 1] is null, {none}, transform(sequence(0, m[class + 1] - 1), y -> named_struct('task', xxhash64(label, class, {sub}, class + 1, y), 'side', 0))),
+          if(m[class - 1] is null, {none}, transform(sequence(0, m[class - 1] - 1), y -> named_struct('task', xxhash64(label, class - 1, y, class, {sub}), 'side', 1)))
         ))""")
     whole = F.expr("array(named_struct('task', xxhash64(label), 'side', 0))")
-    return joined.select("node", "n", F.explode(F.when(F.col("total") <= BLOCK_TOKENS, whole).otherwise(cut)).alias("t")).select("node", "t.task", "t.side")
+    return joined.select(*members.columns, F.explode(F.when(F.col("of").isNull(), whole).otherwise(cut)).alias("t")).select(*members.columns, "t.task", "t.side")
 
 
-def _links(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect what all links connect."""
+def _joined(tasks: DataFrame, payload: str, join: Callable[[list, list | None], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b): the links that ``join`` finds among the members of each task. Each side holds (node, n, payload)."""
 
-    def join(rows: list[tuple[int, int, bytes]]) -> pd.DataFrame:
-        sides: list[list] = [[], []]
-        for node, side, tokens in rows:
-            sides[side].append((node, np.frombuffer(tokens, dtype=np.int64)))
-        names = [n for side in sides for n, _ in side]
-        if not sides[0] or len(names) < 2:
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        found = forest([t for _, t in sides[0]], [t for _, t in sides[1]] or None, percent)
+    def finish(rows: list[tuple]) -> pd.DataFrame:
+        sides: list[dict] = [{}, {}]
+        for node, side, n, data in rows:
+            sides[side][node] = (node, n, data)
+        left, right = list(sides[0].values()), list(sides[1].values())
+        found = join(left, right or None) if left and len(left) + len(right) > 1 else []
+        names = [x[0] for x in left + right]
         return pd.DataFrame([(names[i], names[j]) for i, j in found], columns=["a", "b"], dtype=np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, rows = None, []
         for batch in batches:
-            for t, side, node, tokens in batch.itertuples(index=False, name=None):
+            for t, node, side, n, data in batch.itertuples(index=False, name=None):
                 if t != task and rows:
-                    yield join(rows)
+                    yield finish(rows)
                     rows = []
                 task = t
-                rows.append((node, side, tokens))
+                rows.append((node, side, n, data))
         if rows:
-            yield join(rows)
+            yield finish(rows)
 
-    given = tasks.join(sets, "node").select("task", "side", "node", "tokens")
+    given = tasks.select("task", "node", "side", "n", payload)
     return given.repartition("task").sortWithinPartitions("task").mapInPandas(run, "a bigint, b bigint")
 
 
+def _by_signature(percent: int):
+    """Pairs that bitmaps and sizes leave possible, as few as connect them all."""
+
+    def tree(rows: list) -> SignatureTree:
+        words = np.stack([np.frombuffer(data, dtype=np.uint64) for _, _, data in rows])
+        order = np.lexsort((*words.T[:2], [n for _, n, _ in rows]))
+        return SignatureTree.build(order, words[order], np.array([n for _, n, _ in rows], dtype=np.int64)[order])
+
+    return lambda left, right: traverse(tree(left), None if right is None else tree(right), percent)
+
+
+def _by_tokens(percent: int):
+    sets = lambda rows: [np.frombuffer(data, dtype=np.int64) for _, _, data in rows]
+    return lambda left, right: forest(sets(left), None if right is None else sets(right), percent)
+
+
+def _sets_of(rows: DataFrame, width: int, wanted: Level) -> DataFrame:
+    """(label, node, n, tokens) of the rows whose name is in ``wanted``, which holds labels as its counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            label = wanted.take("counts", wanted.find(batch["hashed"].to_numpy()))
+            batch = batch.assign(label=label)[label > 0]
+            for part in groups(iter([batch])) if len(batch) else ():
+                sets = shingle_sets(part["text"], width)
+                yield pd.DataFrame({"label": part["label"].to_numpy(), "node": [node_of(s) for s in sets], "n": [len(s) for s in sets], "tokens": [s.tobytes() for s in sets]})
+
+    return rows.select("hashed", "text").mapInPandas(run, "label bigint, node bigint, n bigint, tokens binary")
+
+
 def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Documents whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` / 100 or more are
     linked; component_id is the smallest id that links reach. Exact but for hashing: shingles and sets are told
-    apart by 63 bits. Steps: rows with equal sets become one node; nodes that share a prefix token are
-    candidates; the connected groups of candidates, cut into blocks of bounded size, are joined by signature
-    trees, which return enough links to connect what belongs together, never all pairs; a second round of
-    components gives the result. Defined results: a null or empty text has no shingle and is linked with
-    nothing; null ids are reported but don't name a component unless all its ids are null; repeated rows are
-    reported as often as they occur; an empty table gives an empty result; other columns are ignored.
+    apart by 63 bits. Rows with equal sets become one node. Then groups are refined three times, each time into
+    the connected parts of what is still possible, in blocks of bounded size and never by all pairs: nodes that
+    share a prefix token; of these, nodes whose signatures a dual traversal can't part; and of these, by the
+    same traversal over the token sets, nodes that exact comparisons link. Defined results: a null or empty
+    text has no shingle and is linked with nothing; null ids are reported but don't name a component unless all
+    its ids are null; repeated rows are reported as often as they occur; an empty table gives an empty result;
+    other columns are ignored.
     """
     folder = f"{shared_dir(docs.sparkSession)}/join-{np.random.SeedSequence().entropy:x}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), text_or_empty(text_col).alias("text"))
+    rows = rows.select(F.shiftrightunsigned(F.xxhash64("doc", "text"), 1).alias("hashed"), "doc", "text")
 
     census = staged(_census(rows, width), "join-census")
-    placed = census.where("row").select("doc", F.col("key").alias("node"), "n")
-    frequent = census.where("not row").groupBy("key").agg(F.sum("n").alias("n")).withColumn("suffix", F.lit(0))
+    placed = census.where("hashed is not null").select("doc", F.col("key").alias("node"), "n")
+    frequent = census.where("hashed is null").groupBy("key").agg(F.sum("n").alias("n")).withColumn("suffix", F.lit(0))
     common = write_level(frequent, folder, "tokens", None)
+    candidates = connected(_neighbours(_prefixes(rows, width, percent, common)))
 
-    prefixes = staged(_prefixes(rows, width, percent, common).distinct(), "join-prefix")
-    shared = prefixes.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token", "low")
-    near = prefixes.join(shared, "token").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    candidates = connected(near)
+    first = F.min(F.struct("hashed", "n", "signature")).alias("s")
+    nodes = census.where("hashed is not null and key >= 0").join(candidates.withColumnRenamed("vertex", "key"), "key").groupBy(F.col("key").alias("node"), "label").agg(first)
+    members = staged(nodes.select("label", "node", "s.*"), "join-members")
+    refined = connected(_joined(_tasks(members.withColumn("one", F.lit(1)), "one", BLOCK_SETS, percent), "signature", _by_signature(percent)))
 
-    nodes = placed.where("node >= 0").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"))
-    members = staged(candidates.join(nodes, candidates["vertex"] == nodes["node"]).select("node", "label", "doc", "n"), "join-members")
-    hashed = F.shiftrightunsigned(F.xxhash64("doc"), 1)
-    wanted = members.select(hashed.alias("key")).distinct().select("key", F.lit(1).cast("bigint").alias("n"), F.lit(0).alias("suffix"))
+    kept = members.select("node", "hashed").join(refined, members["node"] == refined["vertex"])
+    wanted = kept.groupBy(F.col("hashed").alias("key")).agg(F.max("label").alias("n")).withColumn("suffix", F.lit(0))
     keys = write_level(wanted, folder, "wanted", None)
-    sets = staged(_sets_of(rows.withColumn("hashed", hashed), width, keys).dropDuplicates(["node"]), "join-sets") if keys.metas else None
-    if sets is None:
-        return placed.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
-    linked = connected(_links(_tasks(members, percent), sets, percent))
+    linked = connected(_joined(_tasks(_sets_of(rows, width, keys), "n", BLOCK_TOKENS, percent), "tokens", _by_tokens(percent)))
 
     named = placed.join(linked, placed["node"] == linked["vertex"], "left").select("doc", "n", "node", F.coalesce("label", "node").alias("label"))
     named = staged(named, "join-named")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,12 @@ def bitmap_bits(largest: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_TOKEN * max(1, largest) - 1).bit_length()))
 
 
+def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+    one = np.zeros(bits, dtype=bool)
+    one[tokens & (bits - 1)] = True
+    return np.packbits(one, bitorder="little").view(np.uint64)
+
+
 @dataclass
 class SignatureTree:
     """Layers from the sets up to the root: bitmaps, least and greatest sizes, and excess.
@@ -27,16 +34,15 @@ class SignatureTree:
     layers: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
-    def build(cls, sets: list[np.ndarray], bits: int) -> SignatureTree:
+    def of_sets(cls, sets: list[np.ndarray], bits: int) -> SignatureTree:
         """Sets with the same least tokens, such as near copies, become neighbours."""
         order = np.array(sorted(range(len(sets)), key=lambda i: (tuple(sets[i][:2].tolist()), len(sets[i]))), dtype=np.int64)
-        maps = np.zeros((len(sets), bits), dtype=bool) if len(sets) * bits <= 1 << 26 else None
-        words = np.zeros((len(sets), bits // 64), dtype=np.uint64)
-        for row, i in enumerate(order):
-            one = maps[row] if maps is not None else np.zeros(bits, dtype=bool)
-            one[sets[i] & (bits - 1)] = True
-            words[row] = np.packbits(one, bitorder="little").view(np.uint64)
-        sizes = np.array([len(sets[i]) for i in order], dtype=np.int64)
+        words = np.stack([bitmap(sets[i], bits) for i in order])
+        return cls.build(order, words, np.array([len(sets[i]) for i in order], dtype=np.int64))
+
+    @classmethod
+    def build(cls, order: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> SignatureTree:
+        """From bitmaps and sizes that stand in ``order``."""
         excess = sizes - np.bitwise_count(words).sum(axis=1, dtype=np.int64)
         layers = [(words, sizes, sizes, excess)]
         while len(layers[-1][1]) > 1:
@@ -87,19 +93,16 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Links that connect all sets which links connect: pairs within ``left``, or between ``left`` and ``right``.
+def traverse(one: SignatureTree, other: SignatureTree | None, percent: int, linked: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what all links connect: within a tree, or between two; numbers of ``other`` follow those of ``one``.
 
     The traversal goes down both trees at once and leaves pairs of nodes that can't hold a link. Of the pairs
-    of sets that remain, those already connected need no comparison; all others are compared exactly.
-    Numbers of ``right`` follow those of ``left``.
+    of sets that remain, those already connected need no comparison; ``linked`` compares the others. Without it
+    every pair that the signatures leave possible counts as a link.
     """
-    bits = bitmap_bits(max(map(len, left + (right or []))))
-    one = SignatureTree.build(left, bits)
-    other = one if right is None else SignatureTree.build(right, bits)
-    shift = 0 if right is None else len(left)
-    sets = left + (right or [])
-    groups, links = Groups(len(sets)), []
+    within, other = other is None, one if other is None else other
+    shift = 0 if within else len(one.order)
+    groups, links = Groups(len(one.order) + (0 if within else len(other.order))), []
     depth = max(len(one.layers), len(other.layers)) - 1
     layer = lambda tree, d: tree.layers[min(d, len(tree.layers) - 1)]
     stack = [(depth, np.array([0]), np.array([0]))]
@@ -109,7 +112,7 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
         x, y = x[ok], y[ok]
         if d == 0:
             for i, j in zip(one.order[x].tolist(), (other.order[y] + shift).tolist(), strict=True):
-                if i != j and groups.find(i) != groups.find(j) and similar(sets[i], sets[j], percent):
+                if i != j and groups.find(i) != groups.find(j) and (linked is None or linked(i, j)):
                     groups.union(i, j)
                     links.append((i, j))
             continue
@@ -123,8 +126,17 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
                 if len(roots) == 1:
                     continue
             p, q = np.repeat(below[0], len(below[1])), np.tile(below[1], len(below[0]))
-            if right is None:
+            if within:
                 upper = p <= q
                 p, q = p[upper], q[upper]
             stack.append((d - 1, p, q))
     return links
+
+
+def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
+    """Exact links that connect what all links connect: pairs within ``left``, or between ``left`` and ``right``."""
+    sets = left + (right or [])
+    bits = bitmap_bits(max(map(len, sets)))
+    one = SignatureTree.of_sets(left, bits)
+    other = None if right is None else SignatureTree.of_sets(right, bits)
+    return traverse(one, other, percent, lambda i, j: similar(sets[i], sets[j], percent))

@@ -307,9 +307,11 @@ def near_corpus(seed=6):
     return texts
 
 
-@pytest.mark.parametrize("block", [1_000_000, 400])
-def test_jaccard_join(spark, monkeypatch, block):
-    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", block)
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_join(spark, monkeypatch, small):
+    if small:  # so that groups are cut into blocks and frequent tokens into parts
+        for name, value in {"BLOCK_TOKENS": 400, "BLOCK_SETS": 3, "HOT_TOKEN": 2, "PARTS": 3, "SIGNATURE_BITS": 64}.items():
+            monkeypatch.setattr(ngram_join, name, value)
     texts = near_corpus()
     want, sizes = brute_components(texts)
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, component_id string, node int").repartition(6)
