@@ -17,6 +17,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {
+    "op7_secret_owners": secret_scan.SQL,
     "op10_signature_tree_join": ngram_join.SQL,
     "op4_poisson_mix": mixing.SQL,
     "op9_exact_dedup": exact_dedup.SQL,

@@ -103,3 +103,38 @@ def op7_secret_owners(spark, sf_dir: str) -> DataFrame:
     """Repositories of ``documents`` are (source, lang), owners are sources."""
     docs = load(spark, sf_dir, "documents")
     return secret_scan(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+
+
+def _sql() -> str:
+    """The query in SQL: places of matches from the lengths of the pieces between them."""
+    kinds = ", ".join(
+        f"({rank}, '{kind}', '{pattern.replace(chr(39), chr(39) * 2)}', {group}, {least})"
+        for rank, (kind, (_, pattern, group, least)) in enumerate((BASE | MORE).items())
+    )
+    return f"""
+WITH kinds(rank, kind, pattern, grp, least) AS (VALUES {kinds}),
+hits AS (
+  SELECT doc_id, source, lang, rank, kind, least, regexp_extract_all(coalesce(text, ''), pattern, 0) AS m, string_split_regex(coalesce(text, ''), pattern) AS p,
+         CASE grp WHEN 0 THEN regexp_extract_all(coalesce(text, ''), pattern, 0) WHEN 1 THEN regexp_extract_all(coalesce(text, ''), pattern, 1) ELSE regexp_extract_all(coalesce(text, ''), pattern, 2) END AS v
+  FROM documents, kinds WHERE regexp_matches(coalesce(text, ''), pattern)
+), spans AS (
+  SELECT doc_id, source, lang, rank, kind, m[i] AS hit, v[i] AS value,
+         list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM hits) WHERE length(v[i]) >= least
+), verdicts AS (
+  SELECT value, count(DISTINCT source) <= 1 AND count(DISTINCT source || '/' || lang) <= 3 AS live FROM spans GROUP BY 1
+), judged AS (
+  SELECT spans.*, live, kind || ':' || s || ':' || (s + length(hit)) AS name FROM spans JOIN verdicts USING (value)
+), per AS (
+  SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+         coalesce(string_agg(name, ',' ORDER BY s, rank) FILTER (WHERE rank <= 2), '') AS base, coalesce(string_agg(name, ',' ORDER BY s, rank) FILTER (WHERE rank <= 2 OR live), '') AS spans,
+         count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_copied
+  FROM judged GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM documents d LEFT JOIN per ON per.doc_id = d.doc_id
+"""
+
+
+SQL = _sql()
