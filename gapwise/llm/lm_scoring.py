@@ -20,7 +20,7 @@ from gapwise.llm.ngram_trie import Level, Trie, elias_fano, quantise, restore, w
 END = b" "
 DISCOUNT = 0.75
 #: Texts are handled in groups of so many characters, to bound a worker's memory.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 6_000_000
 
 
 def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,8 +81,9 @@ def write_level(rows: DataFrame, folder: str, name: str, below: Trie | None) ->
             kept = np.add.reduceat(10.0 ** restore(codes), starts)
             spared = np.add.reduceat(10.0**lower, starts)
             weights = np.log10(np.maximum(1 - kept, 1e-6) / np.maximum(1 - spared, 1e-6))
-            sections |= {"counts": n.astype("<u4" if n.max() < 1 << 32 else "<u8"), "codes": codes, "weights": quantise(np.minimum(weights, 0.49))}
-            sections |= {f"contexts_{k}": v for k, v in elias_fano(held).items()}
+            dense = np.full(int(held[-1] - held[0]) + 1, quantise(np.zeros(1))[0])
+            dense[held - held[0]] = quantise(np.minimum(weights, 0.49))
+            sections |= {"counts": n.astype("<u4" if n.max() < 1 << 32 else "<u8"), "codes": codes, "weights": dense}
             meta["context"] = int(held[0])
         meta |= write_sections(folder, f"{name}-{TaskContext.get().partitionId()}", sections)
         yield pd.DataFrame({"meta": [json.dumps(meta)]})
@@ -122,10 +123,10 @@ def train(docs: DataFrame, *, order: int = 3, prune: int = 3) -> Trie:
         def longer(batches: Iterator[pd.DataFrame], trie: Trie = trie) -> Iterator[pd.DataFrame]:
             for part in groups(batches):
                 hashes, place, sizes = coded(part["text"])
-                at, same = trie.levels[0].find(hashes)[place], within(sizes)
-                shorter = trie.positions(at, same, prune)[-1]
-                frequent = trie.levels[0].take("counts", at) >= prune if len(trie.levels) == 1 else None
-                rows = trie.candidates(shorter, same, frequent)
+                distinct, same = trie.levels[0].find(hashes), within(sizes)
+                at, frequent = distinct[place], (trie.levels[0].take("counts", distinct) >= prune)[place]
+                shorter, _ = trie.follow(at, frequent, same)
+                rows = trie.candidates(shorter, same, frequent if len(trie.levels) == 1 else None)
                 key, first, n = np.unique(shorter[rows - 1] * trie.words + at[rows], return_index=True, return_counts=True)
                 yield pd.DataFrame({"key": key, "suffix": shorter[rows][first], "n": n})
 
@@ -141,8 +142,7 @@ def score(docs: DataFrame, trie: Trie, *, prune: int = 3) -> DataFrame:
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in groups(batches):
             hashes, place, sizes = coded(part.pop("text"))
-            at, same = trie.levels[0].find(hashes)[place], within(sizes)
-            counts, p = trie.score(at, same, prune)
+            counts, p = trie.score(hashes, place, within(sizes), prune)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             base = np.log10((counts + 1.0) / (trie.tokens + trie.words + 1.0))
             yield part.assign(

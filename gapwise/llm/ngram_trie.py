@@ -3,8 +3,8 @@
 A level holds the k-grams as increasing keys: the position of the (k-1)-gram before the last word in its
 own level, times the vocabulary, plus the last word. The successors of a context are thus neighbours, and
 looking one up is a successor search relative to the context's first key. A level consists of chunks, each
-a file with the keys in Elias-Fano form, an 8-bit code of each probability, and the back-off weight of each
-context with successors.
+a file with the keys in Elias-Fano form, an 8-bit code of each probability, and an 8-bit back-off weight for
+each context from the chunk's first to its last.
 """
 
 from __future__ import annotations
@@ -65,17 +65,17 @@ class EliasFano:
         self.unaligned = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
 
     def _select_zero(self, rank: np.ndarray) -> np.ndarray:
+        """The place of the zero with so many zeros before it: its word by the ranks, then halves of the word."""
         word = np.searchsorted(self.zeros, rank.astype(U), side="right") - 1
         left = rank - self.zeros[word].astype(np.int64)
-        free = ~self.unary[word]
-        out = np.full(len(rank), -1, dtype=np.int64)
-        for b in range(8):
-            byte = ((free >> U(8 * b)) & U(255)).astype(np.int64)
-            count = np.bitwise_count(byte.astype(np.uint8)).astype(np.int64)
-            here = (out < 0) & (left < count)
-            out[here] = 8 * b + _SELECT[byte[here], left[here]]
-            left = np.where(out < 0, left - count, left)
-        return word * 64 + out
+        free, at = ~self.unary[word], word * 64
+        for width in (32, 16, 8):
+            count = np.bitwise_count(free & U((1 << width) - 1)).astype(np.int64)
+            upper = left >= count
+            left = left - count * upper
+            free = np.where(upper, free >> U(width), free)
+            at = at + width * upper
+        return at + _SELECT[(free & U(255)).astype(np.int64), left]
 
     def _low(self, at: np.ndarray) -> np.ndarray:
         bit = at * self.width
@@ -90,8 +90,13 @@ class EliasFano:
         if not len(rows):
             return out
         high, low = high[rows], (x[rows].astype(U)) & U((1 << self.width) - 1)
-        end = self._select_zero(high) - high
-        start = np.where(high > 0, self._select_zero(np.maximum(high - 1, 0)) + 1 - high, 0)
+        bit = np.where(high > 0, self._select_zero(np.maximum(high - 1, 0)) + 1, 0)
+        start, shift = bit - high, bit & 63
+        after = ~(self.unary[bit >> 6] >> shift.astype(U))
+        run = np.bitwise_count((after & (~after + U(1))) - U(1)).astype(np.int64)
+        end = start + run
+        if len(over := np.flatnonzero(run + shift >= 64)):  # the run of ones may go on in the next word
+            end[over] = self._select_zero(high[over]) - high[over]
         a, b = start, end.copy()
         while (open_ := a < b).any():
             mid = (a + b) >> 1
@@ -152,23 +157,23 @@ class Level:
     def chunk(self, i: int) -> dict:
         if i not in self._open:
             parts = open_sections(self.metas[i])
-            take = lambda p: EliasFano(*[parts[f"{p}_{s}"] for s in ("head", "unary", "zeros", "low")])
-            self._open[i] = parts | {"keys": take("keys")} | ({"contexts": take("contexts")} if "contexts_head" in parts else {})
+            self._open[i] = parts | {"keys": EliasFano(*[parts[f"keys_{s}"] for s in ("head", "unary", "zeros", "low")])}
         return self._open[i]
 
-    def _routed(self, bounds: np.ndarray, asked: np.ndarray):
+    def _routed(self, bounds: np.ndarray, asked: np.ndarray, in_order: bool = False):
         """(chunk, rows): queries in key order, so that each chunk is met once and read in one direction."""
         if not len(self.metas) or not len(asked):
             return
-        order = np.argsort(asked, kind="stable")
-        cuts = np.searchsorted(asked[order], bounds[1:], side="left")
-        for i, rows in enumerate(np.split(order, cuts)):
-            if len(rows):
-                yield i, rows
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
+        order = None if in_order else np.argsort(asked, kind="stable")
+        cuts = [0, *np.searchsorted(asked if in_order else asked[order], bounds[1:], side="left").tolist(), len(asked)]
+        for i, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if low < high:
+                yield i, slice(low, high) if in_order else order[low:high]
+
+    def find(self, keys: np.ndarray, in_order: bool = False) -> np.ndarray:
+        """The position of each key in the level, or -1."""
         out = np.full(len(keys), -1, dtype=np.int64)
-        for i, rows in self._routed(self.firsts, keys):
+        for i, rows in self._routed(self.firsts, keys, in_order):
             found = self.chunk(i)["keys"].find(keys[rows])
             out[rows] = np.where(found >= 0, found + self.bases[i], -1)
         return out
@@ -183,12 +188,28 @@ class Level:
         return out
 
     def backoff(self, contexts: np.ndarray) -> np.ndarray:
-        """The log10 weight of each context; 0 where it has no successors here."""
+        """The log10 weight of each context, a position in the level below; 0 where it has no successors here."""
         out = np.zeros(len(contexts))
-        for i, rows in self._routed(self.contexts, contexts):
-            at = self.chunk(i)["contexts"].find(contexts[rows])
-            hit = at >= 0
-            out[rows[hit]] = restore(self.chunk(i)["weights"][at[hit]])
+        known = np.flatnonzero(contexts >= 0)
+        for i, rows in self._routed(self.contexts, contexts[known]):
+            rows = known[rows]
+            weights, at = self.chunk(i)["weights"], contexts[rows] - self.contexts[i]
+            inside = (at >= 0) & (at < len(weights))
+            out[rows[inside]] = restore(weights[at[inside]])
+        return out
+
+
+@dataclass
+class Grams:
+    """What one level says of the tokens ``rows``: each stands for one of the distinct keys at ``found``."""
+
+    rows: np.ndarray
+    which: np.ndarray
+    found: np.ndarray
+
+    def spread(self, values: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n, dtype=values.dtype)
+        out[self.rows] = values[self.which]
         return out
 
 
@@ -205,42 +226,38 @@ class Trie:
         counts = self.levels[0].take("counts", at)
         return counts, np.log10((counts + 1.0) / (self.tokens + self.words + 1.0))
 
-    def positions(self, words: np.ndarray, same: np.ndarray, least: int) -> list[np.ndarray]:
-        """For each level the position of the k-gram that ends at each token, or -1.
+    def follow(self, words: np.ndarray, frequent: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, list[Grams]]:
+        """The position of the longest k-gram of the last level that ends at each token, or -1; and all levels' grams.
 
         ``words`` are positions in the first level, ``same[i]`` says that token i - 1 is of the same text.
+        Equal k-grams are looked up once.
         """
-        out = [words]
-        frequent = self.levels[0].take("counts", words) >= least
-        for k, level in enumerate(self.levels[1:]):
-            out.append(self.grams(out[k], words, same, frequent if k == 0 else None, level.find))
-        return out
-
-    def grams(self, shorter: np.ndarray, words: np.ndarray, same: np.ndarray, frequent: np.ndarray | None, find) -> np.ndarray:
-        rows = self.candidates(shorter, same, frequent)
-        found = np.full(len(words), -1, dtype=np.int64)
-        if len(rows):
-            found[rows] = find(shorter[rows - 1] * self.words + words[rows])
-        return found
+        shorter, out = words, []
+        for level in self.levels[1:]:
+            rows = self.candidates(shorter, same, None if out else frequent)
+            keys, which = np.unique(shorter[rows - 1] * self.words + words[rows], return_inverse=True)
+            out.append(Grams(rows, which, level.find(keys, in_order=True)))
+            shorter = out[-1].spread(out[-1].found + 1, len(words)) - 1
+        return shorter, out
 
     @staticmethod
     def candidates(shorter: np.ndarray, same: np.ndarray, frequent: np.ndarray | None) -> np.ndarray:
         """Tokens where both the k-1 tokens before and the last k-1 tokens are in the level below."""
-        ok = same.copy()
-        ok[1:] &= (shorter[:-1] >= 0) & (shorter[1:] >= 0)
-        ok[:1] = False
-        if frequent is not None:
-            ok[1:] &= frequent[:-1] & frequent[1:]
-        return np.flatnonzero(ok)
-
-    def score(self, words: np.ndarray, same: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Word counts, and the model's log10 probability of each token."""
-        counts, p = self.unigram(words)
-        positions = self.positions(words, same, least)
-        for k, level in enumerate(self.levels[1:], 1):
-            context = np.flatnonzero(same)
-            context = context[positions[k - 1][context - 1] >= 0]
-            p[context] += level.backoff(positions[k - 1][context - 1])
-            hit = np.flatnonzero(positions[k] >= 0)
-            p[hit] = restore(level.take("codes", positions[k][hit]))
-        return counts, p
+        known = shorter >= 0 if frequent is None else frequent
+        return np.flatnonzero(same[1:] & known[:-1] & known[1:]) + 1
+
+    def score(self, hashes: np.ndarray, place: np.ndarray, same: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word counts, and the model's log10 probability of each token. ``place`` is a token's word among ``hashes``."""
+        distinct = self.levels[0].find(hashes)
+        counts, p_word = self.unigram(distinct)
+        p = p_word[place]
+        _, levels = self.follow(distinct[place], (counts >= least)[place], same)
+        weight = self.levels[1].backoff(distinct)[place] if len(self.levels) > 1 else p
+        for k, grams in enumerate(levels, 1):
+            p[1:] += np.where(same[1:], weight[:-1], 0.0)
+            codes = self.levels[k].take("codes", grams.found)
+            hit = grams.found[grams.which] >= 0
+            p[grams.rows[hit]] = restore(codes)[grams.which[hit]]
+            if k + 1 < len(self.levels):
+                weight = grams.spread(self.levels[k + 1].backoff(grams.found), len(p))
+        return counts[place], p
