@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from gapwise.llm.common import load, shared_dir, staged, text_or_empty
 from gapwise.llm.components import connected
 from gapwise.llm.lm_scoring import write_level
 from gapwise.llm.ngram_trie import Level
-from gapwise.llm.signature_tree import SignatureTree, bitmap, forest, traverse
+from gapwise.llm.signature_tree import SignatureTree, possible, bitmap, forest, traverse
 
 #: Texts are handled in groups of so many characters.
 GROUP_CHARS = 8_000_000
@@ -112,17 +113,11 @@ def _prefixes(rows: DataFrame, width: int, percent: int, common: Level) -> DataF
     return rows.select("text").mapInPandas(run, "token bigint, part bigint, node bigint")
 
 
-def _neighbours(prefixes: DataFrame) -> DataFrame:
-    """(a, b): each node with the least one before it that shares a token; one shuffle of the prefixes.
-
-    A running minimum needs no buffer. The parts of a frequent token are joined by their least nodes.
-    """
-    run = Window.partitionBy("token", "part").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    seen = prefixes.withColumn("low", F.first("node").over(run))
-    inside = seen.where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    hot = prefixes.where("part >= 0").groupBy("token", "part").agg(F.min("node").alias("node"))
-    across = hot.withColumn("low", F.min("node").over(Window.partitionBy("token"))).where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    return inside.unionByName(across).distinct()
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """The rows of tokens that several nodes have, or that are frequent: one shuffle of the prefixes, by token and part."""
+    whole = Window.partitionBy("token", "part")
+    ends = prefixes.withColumns({"low": F.min("node").over(whole), "high": F.max("node").over(whole)})
+    return ends.where("low < high or part >= 0").select("token", "part", "node")
 
 
 def _tasks(members: DataFrame, weight: str, limit: int, percent: int) -> DataFrame:
@@ -151,48 +146,74 @@ def _tasks(members: DataFrame, weight: str, limit: int, percent: int) -> DataFra
     return joined.select(*members.columns, F.explode(F.when(F.col("of").isNull(), whole).otherwise(cut)).alias("t")).select(*members.columns, "t.task", "t.side")
 
 
-def _joined(tasks: DataFrame, payload: str, join: Callable[[list, list | None], list[tuple[int, int]]]) -> DataFrame:
-    """(a, b): the links that ``join`` finds among the members of each task. Each side holds (node, n, payload)."""
-
-    def finish(rows: list[tuple]) -> pd.DataFrame:
-        sides: list[dict] = [{}, {}]
-        for node, side, n, data in rows:
-            sides[side][node] = (node, n, data)
-        left, right = list(sides[0].values()), list(sides[1].values())
-        found = join(left, right or None) if left and len(left) + len(right) > 1 else []
-        names = [x[0] for x in left + right]
-        return pd.DataFrame([(names[i], names[j]) for i, j in found], columns=["a", "b"], dtype=np.int64)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, rows = None, []
-        for batch in batches:
-            for t, node, side, n, data in batch.itertuples(index=False, name=None):
-                if t != task and rows:
-                    yield finish(rows)
-                    rows = []
-                task = t
-                rows.append((node, side, n, data))
-        if rows:
-            yield finish(rows)
-
-    given = tasks.select("task", "node", "side", "n", payload)
-    return given.repartition("task").sortWithinPartitions("task").mapInPandas(run, "a bigint, b bigint")
+def _whole_tasks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """(rows, starts, ends) of batches sorted by task, cut so that no task is torn apart; repeated nodes once."""
+    rest = None
+    for batch in itertools.chain(batches, [None]):
+        rows = batch if rest is None else rest if batch is None else pd.concat([rest, batch], ignore_index=True)
+        if rows is None or rows.empty:
+            continue
+        task = rows["task"].to_numpy()
+        cut = len(rows) if batch is None else int(np.searchsorted(task, task[-1], side="left"))
+        rest, rows = rows.iloc[cut:], rows.iloc[:cut].drop_duplicates(["task", "side", "node"])
+        if len(rows):
+            task = rows["task"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
+            yield rows, starts, np.append(starts[1:], len(task))
 
 
-def _by_signature(percent: int):
-    """Pairs that bitmaps and sizes leave possible, as few as connect them all."""
+def _by_signature(tasks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs that bitmaps and sizes leave possible, as few as connect them all.
 
-    def tree(rows: list) -> SignatureTree:
-        words = np.stack([np.frombuffer(data, dtype=np.uint64) for _, _, data in rows])
-        order = np.lexsort((*words.T[:2], [n for _, n, _ in rows]))
-        return SignatureTree.build(order, words[order], np.array([n for _, n, _ in rows], dtype=np.int64)[order])
+    The few sets of a small task are compared at once with those of all other small tasks; larger ones by trees.
+    """
 
-    return lambda left, right: traverse(tree(left), None if right is None else tree(right), percent)
+    def tree(words: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> SignatureTree:
+        order = np.lexsort((words[rows, -1], words[rows, 0], sizes[rows]))
+        return SignatureTree.build(order, words[rows][order], sizes[rows][order])
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts, ends in _whole_tasks(batches):
+            words = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint64).reshape(len(rows), -1)
+            sizes, side, node = rows["n"].to_numpy(), rows["side"].to_numpy(), rows["node"].to_numpy()
+            layer = (words, sizes, sizes, sizes - np.bitwise_count(words).sum(axis=1, dtype=np.int64))
+            size, whole = ends - starts, np.add.reduceat(side, starts) == 0
+            pairs = []
+            for few in (2, 3, 4):
+                at = starts[(size == few) & whole]
+                for i, j in itertools.combinations(range(few), 2):
+                    ok = possible(layer, layer, at + i, at + j, percent)
+                    pairs.append(np.stack([at[ok] + i, at[ok] + j], axis=1))
+            for k in np.flatnonzero((size > 4) | (~whole & (size > 1))):
+                span = np.arange(starts[k], ends[k])
+                left, right = span[side[span] == 0], span[side[span] == 1]
+                if len(left) and (len(right) or whole[k]):
+                    found = traverse(tree(words, sizes, left), tree(words, sizes, right) if len(right) else None, percent)
+                    pairs.append(np.concatenate([left, right])[np.array(found, dtype=np.int64).reshape(-1, 2)])
+            pairs = np.concatenate(pairs)
+            yield pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
+
+    given = tasks.select("task", "side", "node", "n", "signature")
+    return given.repartition("task").sortWithinPartitions("task").mapInPandas(run, "a bigint, b bigint").distinct()
+
+
+def _by_tokens(tasks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): exact links that connect all that links connect within each task."""
 
-def _by_tokens(percent: int):
-    sets = lambda rows: [np.frombuffer(data, dtype=np.int64) for _, _, data in rows]
-    return lambda left, right: forest(sets(left), None if right is None else sets(right), percent)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts, ends in _whole_tasks(batches):
+            side, node = rows["side"].to_numpy(), rows["node"].to_numpy()
+            sets = [np.frombuffer(t, dtype=np.int64) for t in rows["tokens"]]
+            out = []
+            for low, high in zip(starts.tolist(), ends.tolist(), strict=True):
+                left, right = ([k for k in range(low, high) if side[k] == s] for s in (0, 1))
+                if left and len(left) + len(right) > 1 and (right or not side[low:high].any()):
+                    at = left + right
+                    out += [(node[at[i]], node[at[j]]) for i, j in forest([sets[k] for k in left], [sets[k] for k in right] or None, percent)]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    given = tasks.select("task", "side", "node", "tokens")
+    return given.repartition("task").sortWithinPartitions("task").mapInPandas(run, "a bigint, b bigint")
 
 
 def _sets_of(rows: DataFrame, width: int, wanted: Level) -> DataFrame:
@@ -214,10 +235,10 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
 
     Documents whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` / 100 or more are
     linked; component_id is the smallest id that links reach. Exact but for hashing: shingles and sets are told
-    apart by 63 bits. Rows with equal sets become one node. Then groups are refined three times, each time into
-    the connected parts of what is still possible, in blocks of bounded size and never by all pairs: nodes that
-    share a prefix token; of these, nodes whose signatures a dual traversal can't part; and of these, by the
-    same traversal over the token sets, nodes that exact comparisons link. Defined results: a null or empty
+    apart by 63 bits. Rows with equal sets become one node. Nodes that share a prefix token meet as signatures;
+    what a dual traversal of signature trees can't part stays connected. Each of the groups so connected meets
+    again, now with token sets, and the same traversal compares exactly. Blocks are bounded in size, and no step
+    emits all pairs of a group. Defined results: a null or empty
     text has no shingle and is linked with nothing; null ids are reported but don't name a component unless all
     its ids are null; repeated rows are reported as often as they occur; an empty table gives an empty result;
     other columns are ignored.
@@ -231,17 +252,18 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     placed = census.where("hashed is not null").select("doc", F.col("key").alias("node"), "n")
     frequent = census.where("hashed is null").groupBy("key").agg(F.sum("n").alias("n")).withColumn("suffix", F.lit(0))
     common = write_level(frequent, folder, "tokens", None)
-    candidates = connected(_neighbours(_prefixes(rows, width, percent, common)))
+    shared = staged(_shared(_prefixes(rows, width, percent, common)), "join-shared")
 
     first = F.min(F.struct("hashed", "n", "signature")).alias("s")
-    nodes = census.where("hashed is not null and key >= 0").join(candidates.withColumnRenamed("vertex", "key"), "key").groupBy(F.col("key").alias("node"), "label").agg(first)
-    members = staged(nodes.select("label", "node", "s.*"), "join-members")
-    refined = connected(_joined(_tasks(members.withColumn("one", F.lit(1)), "one", BLOCK_SETS, percent), "signature", _by_signature(percent)))
-
-    kept = members.select("node", "hashed").join(refined, members["node"] == refined["vertex"])
-    wanted = kept.groupBy(F.col("hashed").alias("key")).agg(F.max("label").alias("n")).withColumn("suffix", F.lit(0))
-    keys = write_level(wanted, folder, "wanted", None)
-    linked = connected(_joined(_tasks(_sets_of(rows, width, keys), "n", BLOCK_TOKENS, percent), "tokens", _by_tokens(percent)))
+    nodes = census.where("hashed is not null and key >= 0").groupBy(F.col("key").alias("node")).agg(first).select("node", "s.*")
+    frequent_rows = shared.where("part >= 0").join(nodes.select("node", "n"), "node").select(F.col("token").alias("label"), "node", "n", F.lit(1).alias("one"))
+    tasks = shared.where("part < 0").select("node", F.col("token").alias("task"), F.lit(0).alias("side"))
+    tasks = tasks.unionByName(_tasks(frequent_rows, "one", BLOCK_SETS, percent).select("node", "task", "side"))
+    refined = connected(_by_signature(tasks.join(nodes, "node"), percent))
+
+    wanted = nodes.join(refined, nodes["node"] == refined["vertex"]).select(F.col("hashed").alias("key"), F.col("label").alias("n"), F.lit(0).alias("suffix"))
+    keys = write_level(wanted.groupBy("key", "suffix").agg(F.max("n").alias("n")), folder, "wanted", None)
+    linked = connected(_by_tokens(_tasks(_sets_of(rows, width, keys), "n", BLOCK_TOKENS, percent), percent))
 
     named = placed.join(linked, placed["node"] == linked["vertex"], "left").select("doc", "n", "node", F.coalesce("label", "node").alias("label"))
     named = staged(named, "join-named")

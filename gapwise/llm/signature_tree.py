@@ -77,7 +77,7 @@ class Groups:
         return i != j
 
 
-def _possible(one, other, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+def possible(one, other, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     """For each pair of nodes, whether some pair of their sets may still be similar enough.
 
     Two sets share at most as many tokens as both bitmaps have bits in common, plus the lesser excess; they
@@ -108,7 +108,7 @@ def traverse(one: SignatureTree, other: SignatureTree | None, percent: int, link
     stack = [(depth, np.array([0]), np.array([0]))]
     while stack:
         d, x, y = stack.pop()
-        ok = _possible(layer(one, d), layer(other, d), x, y, percent)
+        ok = possible(layer(one, d), layer(other, d), x, y, percent)
         x, y = x[ok], y[ok]
         if d == 0:
             for i, j in zip(one.order[x].tolist(), (other.order[y] + shift).tolist(), strict=True):
