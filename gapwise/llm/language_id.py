@@ -25,6 +25,7 @@ FAMILIES = {
 }
 DIMENSIONS = 1 << 12
 UNDETERMINED = "und"
+MAX_LANGUAGES = 10_000
 
 
 def grams(text: str) -> np.ndarray | None:
@@ -57,6 +58,8 @@ def training_rows(docs: DataFrame, per_language: int, *, id_col: str, text_col:
     """lang and features of about ``per_language`` texts of each language, chosen by the hash of the id."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = known.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__n"))
+    if counts.count() <= MAX_LANGUAGES:  # a row per language: no text has to move to meet it
+        counts = F.broadcast(counts)
     share = F.pmod(F.xxhash64(F.lit("train"), id_col), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.join(counts, known[lang_col] == counts["__lang"]).where(share * F.col("__n") < per_language)
 
