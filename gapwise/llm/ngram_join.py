@@ -24,7 +24,8 @@ GROUP_CHARS = 8_000_000
 BLOCK_TOKENS = 1_000_000
 #: Signatures of so many sets are compared in one piece.
 BLOCK_SETS = 4096
-SIGNATURE_BITS = 2048
+SIGNATURE_BITS = 1024
+MAX_BROADCAST = 50_000
 #: A token known in so many texts is dealt to PARTS parts, so that no task has to hold all its sets.
 HOT_TOKEN, PARTS = 2000, 32
 
@@ -120,20 +121,22 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     return ends.where("low < high or part >= 0").select("token", "part", "node")
 
 
-def _tasks(members: DataFrame, weight: str, limit: int, percent: int) -> DataFrame:
-    """The members (label, node, n, ...) with task and side: which joins each takes part in.
+def _tasks(members: DataFrame, slim: DataFrame, weight: str, limit: int, percent: int) -> DataFrame:
+    """The members (label, node, n, ...) with task and side: which joins each takes part in. ``slim`` has the same rows and the weight.
 
     A group whose ``weight`` sums up to ``limit`` is one join with itself. A larger one is cut by size class,
     which similar sets share or have next to each other, and each class by a hash; every block is joined with
     itself and with each other that may hold similar sets. Only the blocks of large groups are joined to
-    the members, and there are no more of them than limits in the whole input.
+    the members; there are no more of those than limits in the whole input, and up to MAX_BROADCAST are
+    broadcast, so that no member moves.
     """
-    step = math.log(100 / percent)
-    sized = members.withColumn("class", F.floor(F.log("n") / step).cast("int"))
-    classes = sized.groupBy("label", "class").agg(F.sum(weight).alias("mass"))
+    place = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
+    sized = members.withColumn("class", place)
+    classes = slim.groupBy("label", place.alias("class")).agg(F.sum(weight).alias("mass"))
     large = classes.groupBy("label").agg(F.sum("mass").alias("total")).where(F.col("total") > limit)
     blocks = classes.join(large, "label").groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("mass") / limit).cast("int")))).alias("m"))
-    joined = sized.join(blocks.withColumnRenamed("label", "of"), F.col("label") == F.col("of"), "left")
+    blocks = staged(blocks.withColumnRenamed("label", "of"), "join-blocks")
+    joined = sized.join(F.broadcast(blocks) if blocks.count() <= MAX_BROADCAST else blocks, F.col("label") == F.col("of"), "left")
     sub = "pmod(xxhash64(node), m[class])"
     none = "cast(array() as array<struct<task: bigint, side: int>>)"
     cut = F.expr(f"""
@@ -255,15 +258,16 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     shared = staged(_shared(_prefixes(rows, width, percent, common)), "join-shared")
 
     first = F.min(F.struct("hashed", "n", "signature")).alias("s")
-    nodes = census.where("hashed is not null and key >= 0").groupBy(F.col("key").alias("node")).agg(first).select("node", "s.*")
+    nodes = staged(census.where("hashed is not null and key >= 0").groupBy(F.col("key").alias("node")).agg(first).select("node", "s.*"), "join-nodes")
     frequent_rows = shared.where("part >= 0").join(nodes.select("node", "n"), "node").select(F.col("token").alias("label"), "node", "n", F.lit(1).alias("one"))
     tasks = shared.where("part < 0").select("node", F.col("token").alias("task"), F.lit(0).alias("side"))
-    tasks = tasks.unionByName(_tasks(frequent_rows, "one", BLOCK_SETS, percent).select("node", "task", "side"))
+    tasks = tasks.unionByName(_tasks(frequent_rows, frequent_rows, "one", BLOCK_SETS, percent).select("node", "task", "side"))
     refined = connected(_by_signature(tasks.join(nodes, "node"), percent))
 
-    wanted = nodes.join(refined, nodes["node"] == refined["vertex"]).select(F.col("hashed").alias("key"), F.col("label").alias("n"), F.lit(0).alias("suffix"))
-    keys = write_level(wanted.groupBy("key", "suffix").agg(F.max("n").alias("n")), folder, "wanted", None)
-    linked = connected(_by_tokens(_tasks(_sets_of(rows, width, keys), "n", BLOCK_TOKENS, percent), percent))
+    kept = staged(nodes.join(refined, nodes["node"] == refined["vertex"]).select("label", "node", "n", "hashed"), "join-kept")
+    wanted = kept.groupBy(F.col("hashed").alias("key"), F.lit(0).alias("suffix")).agg(F.max("label").alias("n"))
+    keys = write_level(wanted, folder, "wanted", None)
+    linked = connected(_by_tokens(_tasks(_sets_of(rows, width, keys), kept, "n", BLOCK_TOKENS, percent), percent))
 
     named = placed.join(linked, placed["node"] == linked["vertex"], "left").select("doc", "n", "node", F.coalesce("label", "node").alias("label"))
     named = staged(named, "join-named")
