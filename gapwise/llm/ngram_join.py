@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,10 +21,11 @@ from gapwise.llm.signature_tree import SignatureTree, possible, bitmap, forest,
 #: Texts are handled in groups of so many characters.
 GROUP_CHARS = 8_000_000
 #: Token sets of so many tokens together are joined in one piece; larger candidate groups are cut up.
-BLOCK_TOKENS = 1_000_000
-#: Signatures of so many sets are compared in one piece.
-BLOCK_SETS = 4096
-SIGNATURE_BITS = 2048
+BLOCK_TOKENS = 4_000_000
+#: Signatures of so many sets are compared in one piece; a set counts once more for each BLOCK_STEP tokens.
+BLOCK_SETS, BLOCK_STEP = 8192, 2048
+#: A signature has so many bits for each token, rounded up to a power of two.
+BITS_PER_TOKEN, LEAST_BITS, MOST_BITS = 4, 512, 1 << 17
 MAX_BROADCAST = 50_000
 #: A token known in so many texts is dealt to PARTS parts, so that no task has to hold all its sets.
 HOT_TOKEN, PARTS = 2000, 32
@@ -68,6 +69,17 @@ def node_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) >> 1 if len(tokens) else -1
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """The bitmap of a set; longer for larger sets, so that it parts long texts as well as short ones."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_TOKEN * max(1, len(tokens)) - 1).bit_length()))
+    return bitmap(tokens, bits).tobytes()
+
+
+def unified(signatures: Iterable[bytes], width: int) -> np.ndarray:
+    """Signatures as rows of ``width`` bytes; shorter ones are repeated, which only adds to the bits they may share."""
+    return np.frombuffer(b"".join(s * (width // len(s)) for s in signatures), dtype=np.uint64).reshape(-1, width // 8)
+
+
 def _census(rows: DataFrame, width: int) -> DataFrame:
     """One pass for two results: (doc, key = node, n, signature) of each row, and (key = token, n) of tokens in several texts of a group.
 
@@ -77,7 +89,7 @@ def _census(rows: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in groups(batches):
             sets = shingle_sets(part["text"], width)
-            signatures = [bitmap(s, SIGNATURE_BITS).tobytes() for s in sets]
+            signatures = [signature(s) for s in sets]
             yield pd.DataFrame({"hashed": part["hashed"].astype("Int64"), "doc": part["doc"].astype("Int64"), "key": [node_of(s) for s in sets], "n": [len(s) for s in sets], "signature": signatures})
             token, count = np.unique(np.concatenate(sets), return_counts=True)
             often = count >= 2
@@ -114,11 +126,24 @@ def _prefixes(rows: DataFrame, width: int, percent: int, common: Level) -> DataF
     return rows.select("text").mapInPandas(run, "token bigint, part bigint, node bigint")
 
 
-def _shared(prefixes: DataFrame) -> DataFrame:
-    """The rows of tokens that several nodes have, or that are frequent: one shuffle of the prefixes, by token and part."""
+def _leaders(prefixes: DataFrame) -> DataFrame:
+    """(label, node): each node with the least node, the leader, of every token that several nodes share.
+
+    Near copies share thousands of tokens, but few leaders, so that their signatures meet a few times only. The
+    prefixes are shuffled once, by token and part; parts of a frequent token agree on a leader afterwards.
+    """
     whole = Window.partitionBy("token", "part")
     ends = prefixes.withColumns({"low": F.min("node").over(whole), "high": F.max("node").over(whole)})
-    return ends.where("low < high or part >= 0").select("token", "part", "node")
+    frequent = F.col("part") >= 0
+    ends = ends.where(frequent | (F.col("low") < F.col("high")))
+    ends = ends.select(F.when(frequent, F.col("token")).otherwise(F.col("low")).alias("label"), "part", "node").distinct()
+    shared = staged(ends, "join-shared")
+    hot = shared.where("part >= 0")
+    least = hot.groupBy("label", "part").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    least = least.groupBy("label").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    least = least.select(F.col("label").alias("of"), "low", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("at"))
+    led = hot.join(least, (F.col("label") == F.col("of")) & (F.col("part") == F.col("at"))).select(F.col("low").alias("label"), "node")
+    return shared.where("part < 0").select("label", "node").unionByName(led).distinct()
 
 
 def _tasks(members: DataFrame, slim: DataFrame, weight: str, limit: int, percent: int) -> DataFrame:
@@ -168,31 +193,53 @@ def _whole_tasks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame
 def _by_signature(tasks: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs that bitmaps and sizes leave possible, as few as connect them all.
 
-    The few sets of a small task are compared at once with those of all other small tasks; larger ones by trees.
+    The few sets of a small task are compared at once with those of all other small tasks; larger ones by trees,
+    one for each length of signature. Lengths of similar sets differ by less than 200 / percent times.
     """
 
-    def tree(words: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> SignatureTree:
-        order = np.lexsort((words[rows, -1], words[rows, 0], sizes[rows]))
-        return SignatureTree.build(order, words[rows][order], sizes[rows][order])
+    def tree(signatures: np.ndarray, width: int, sizes: np.ndarray, excess: np.ndarray, rows: np.ndarray) -> SignatureTree:
+        words = unified(signatures[rows], width)
+        order = np.lexsort((words[:, -1], words[:, 0], sizes[rows]))
+        return SignatureTree.build(order, words[order], sizes[rows][order], excess[rows][order])
+
+    def small(signatures: np.ndarray, widths: np.ndarray, sizes: np.ndarray, excess: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
+        near = 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
+        x, y = x[near], y[near]
+        width = np.maximum(widths[x], widths[y])
+        for w in np.unique(width).tolist():
+            same = np.flatnonzero(width == w)
+            for at in np.array_split(same, len(same) * w // 64_000_000 + 1):
+                here = np.arange(len(at))
+                layers = [(unified(signatures[k], w), sizes[k], sizes[k], excess[k]) for k in (x[at], y[at])]
+                ok = possible(*layers, here, here, percent)
+                yield np.stack([x[at][ok], y[at][ok]], axis=1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts, ends in _whole_tasks(batches):
-            words = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint64).reshape(len(rows), -1)
-            sizes, side, node = rows["n"].to_numpy(), rows["side"].to_numpy(), rows["node"].to_numpy()
-            layer = (words, sizes, sizes, sizes - np.bitwise_count(words).sum(axis=1, dtype=np.int64))
+            signatures, sizes, side, node = rows["signature"].to_numpy(), rows["n"].to_numpy(), rows["side"].to_numpy(), rows["node"].to_numpy()
+            widths = np.fromiter(map(len, signatures), dtype=np.int64, count=len(rows))
+            excess = sizes.copy()
+            for w in np.unique(widths).tolist():
+                same = np.flatnonzero(widths == w)
+                excess[same] -= np.bitwise_count(unified(signatures[same], w)).sum(axis=1, dtype=np.int64)
             size, whole = ends - starts, np.add.reduceat(side, starts) == 0
-            pairs = []
+            pairs = [np.zeros((0, 2), dtype=np.int64)]
             for few in (2, 3, 4):
                 at = starts[(size == few) & whole]
                 for i, j in itertools.combinations(range(few), 2):
-                    ok = possible(layer, layer, at + i, at + j, percent)
-                    pairs.append(np.stack([at[ok] + i, at[ok] + j], axis=1))
+                    pairs += small(signatures, widths, sizes, excess, at + i, at + j)
             for k in np.flatnonzero((size > 4) | (~whole & (size > 1))):
                 span = np.arange(starts[k], ends[k])
-                left, right = span[side[span] == 0], span[side[span] == 1]
-                if len(left) and (len(right) or whole[k]):
-                    found = traverse(tree(words, sizes, left), tree(words, sizes, right) if len(right) else None, percent)
-                    pairs.append(np.concatenate([left, right])[np.array(found, dtype=np.int64).reshape(-1, 2)])
+                left = {w: span[(side[span] == 0) & (widths[span] == w)] for w in np.unique(widths[span]).tolist()}
+                right = left if whole[k] else {w: span[(side[span] == 1) & (widths[span] == w)] for w in left}
+                for v, w in itertools.product(left, right):
+                    x, y = left[v], right[w]
+                    if not len(x) or not len(y) or percent * max(v, w) >= 200 * min(v, w) or (whole[k] and v > w):
+                        continue
+                    one = tree(signatures, max(v, w), sizes, excess, x)
+                    alone = whole[k] and v == w
+                    found = traverse(one, None if alone else tree(signatures, max(v, w), sizes, excess, y), percent)
+                    pairs.append((x if alone else np.concatenate([x, y]))[np.array(found, dtype=np.int64).reshape(-1, 2)])
             pairs = np.concatenate(pairs)
             yield pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
 
@@ -238,8 +285,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
 
     Documents whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` / 100 or more are
     linked; component_id is the smallest id that links reach. Exact but for hashing: shingles and sets are told
-    apart by 63 bits. Rows with equal sets become one node. Nodes that share a prefix token meet as signatures;
-    what a dual traversal of signature trees can't part stays connected. Each of the groups so connected meets
+    apart by 63 bits. Rows with equal sets become one node. Nodes that share a prefix token meet as signatures, with
+    the leader of that token; what a dual traversal of signature trees can't part stays connected. Each of the groups so connected meets
     again, now with token sets, and the same traversal compares exactly. Blocks are bounded in size, and no step
     emits all pairs of a group. Defined results: a null or empty
     text has no shingle and is linked with nothing; null ids are reported but don't name a component unless all
@@ -255,13 +302,13 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     placed = census.where("hashed is not null").select("doc", F.col("key").alias("node"), "n")
     frequent = census.where("hashed is null").groupBy("key").agg(F.sum("n").alias("n")).withColumn("suffix", F.lit(0))
     common = write_level(frequent, folder, "tokens", None)
-    shared = staged(_shared(_prefixes(rows, width, percent, common)), "join-shared")
+    leaders = _leaders(_prefixes(rows, width, percent, common))
 
     first = F.min(F.struct("hashed", "n", "signature")).alias("s")
     nodes = staged(census.where("hashed is not null and key >= 0").groupBy(F.col("key").alias("node")).agg(first).select("node", "s.*"), "join-nodes")
-    frequent_rows = shared.where("part >= 0").join(nodes.select("node", "n"), "node").select(F.col("token").alias("label"), "node", "n", F.lit(1).alias("one"))
-    tasks = shared.where("part < 0").select("node", F.col("token").alias("task"), F.lit(0).alias("side"))
-    tasks = tasks.unionByName(_tasks(frequent_rows, frequent_rows, "one", BLOCK_SETS, percent).select("node", "task", "side"))
+    weight = (1 + F.floor(F.col("n") / BLOCK_STEP)).alias("weight")
+    met = staged(leaders.join(nodes.select("node", "n"), "node").select("label", "node", "n", weight), "join-met")
+    tasks = _tasks(met, met, "weight", BLOCK_SETS, percent).select("node", "task", "side")
     refined = connected(_by_signature(tasks.join(nodes, "node"), percent))
 
     kept = staged(nodes.join(refined, nodes["node"] == refined["vertex"]).select("label", "node", "n", "hashed"), "join-kept")

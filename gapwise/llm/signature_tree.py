@@ -38,12 +38,12 @@ class SignatureTree:
         """Sets with the same least tokens, such as near copies, become neighbours."""
         order = np.array(sorted(range(len(sets)), key=lambda i: (tuple(sets[i][:2].tolist()), len(sets[i]))), dtype=np.int64)
         words = np.stack([bitmap(sets[i], bits) for i in order])
-        return cls.build(order, words, np.array([len(sets[i]) for i in order], dtype=np.int64))
+        sizes = np.array([len(sets[i]) for i in order], dtype=np.int64)
+        return cls.build(order, words, sizes, sizes - np.bitwise_count(words).sum(axis=1, dtype=np.int64))
 
     @classmethod
-    def build(cls, order: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> SignatureTree:
-        """From bitmaps and sizes that stand in ``order``."""
-        excess = sizes - np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+    def build(cls, order: np.ndarray, words: np.ndarray, sizes: np.ndarray, excess: np.ndarray) -> SignatureTree:
+        """From bitmaps, sizes and excesses that stand in ``order``."""
         layers = [(words, sizes, sizes, excess)]
         while len(layers[-1][1]) > 1:
             below = layers[-1]
@@ -104,6 +104,19 @@ def traverse(one: SignatureTree, other: SignatureTree | None, percent: int, link
     shift = 0 if within else len(one.order)
     groups, links = Groups(len(one.order) + (0 if within else len(other.order))), []
     depth = max(len(one.layers), len(other.layers)) - 1
+    settled: set[tuple[int, int, int]] = set()
+
+    def group_of(tree: SignatureTree, shift: int, d: int, k: int) -> int:
+        """The group of all sets below a node, or -1 while they are in several; what is in one group stays so."""
+        root = groups.find(int(tree.order[k * FANOUT**d]) + shift)
+        if d == 0 or (shift, d, k) in settled:
+            return root
+        last = min((k + 1) * FANOUT, len(tree.layers[d - 1][1]))
+        if any(group_of(tree, shift, d - 1, m) != root for m in range(k * FANOUT, last)):
+            return -1
+        settled.add((shift, d, k))
+        return root
+
     layer = lambda tree, d: tree.layers[min(d, len(tree.layers) - 1)]
     stack = [(depth, np.array([0]), np.array([0]))]
     while stack:
@@ -117,14 +130,13 @@ def traverse(one: SignatureTree, other: SignatureTree | None, percent: int, link
                     links.append((i, j))
             continue
         for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            root = group_of(one, 0, min(d, len(one.layers) - 1), i)
+            if root >= 0 and root == group_of(other, shift, min(d, len(other.layers) - 1), j):
+                continue  # all sets below both are connected already
             below = [
                 np.arange(k * FANOUT, min((k + 1) * FANOUT, len(tree.layers[d - 1][1]))) if d < len(tree.layers) else np.array([k])
                 for tree, k in ((one, i), (other, j))
             ]
-            if d == 1:  # the sets of two leaves: skip them if they are connected already
-                roots = {groups.find(int(m)) for m in one.order[below[0]]} | {groups.find(int(m) + shift) for m in other.order[below[1]]}
-                if len(roots) == 1:
-                    continue
             p, q = np.repeat(below[0], len(below[1])), np.tile(below[1], len(below[0]))
             if within:
                 upper = p <= q

@@ -313,7 +313,7 @@ def near_corpus(seed=6):
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard_join(spark, monkeypatch, small):
     if small:  # so that groups are cut into blocks and frequent tokens into parts
-        for name, value in {"BLOCK_TOKENS": 400, "BLOCK_SETS": 3, "HOT_TOKEN": 2, "PARTS": 3, "SIGNATURE_BITS": 64}.items():
+        for name, value in {"BLOCK_TOKENS": 400, "BLOCK_SETS": 3, "HOT_TOKEN": 2, "PARTS": 3}.items():
             monkeypatch.setattr(ngram_join, name, value)
     texts = near_corpus()
     want, sizes = brute_components(texts)
