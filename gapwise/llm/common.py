@@ -42,6 +42,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def look_up(rows: DataFrame, table: DataFrame, key: str, mass: str, *, parts: int = 256) -> DataFrame:
+    """``rows`` with the columns that ``table`` has for their ``key``; nulls where it has none.
+
+    ``table`` has every key once, with the number of its rows as ``mass``. Fewer than ``parts`` keys can hold more
+    than one in ``parts`` of all rows: these are broadcast, so that their rows stay where they are; the others
+    meet in a shuffle.
+    """
+    hot = F.col(mass) * parts > rows.count()
+    known = F.broadcast(table.where(hot))
+    cold = rows.join(known.select(key), key, "left_anti")
+    return rows.join(known, key).unionByName(cold.join(table.where(~hot), key, "left"))
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

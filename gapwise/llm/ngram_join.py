@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import load, shared_dir, staged, text_or_empty
+from gapwise.llm.common import load, look_up, shared_dir, staged, text_or_empty
 from gapwise.llm.components import connected
 from gapwise.llm.lm_scoring import write_level
 from gapwise.llm.ngram_trie import Level
@@ -280,6 +280,20 @@ def _sets_of(rows: DataFrame, width: int, wanted: Level) -> DataFrame:
     return rows.select("hashed", "text").mapInPandas(run, "label bigint, node bigint, n bigint, tokens binary")
 
 
+def _components(placed: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """(doc, n, component_id) of each row: from the least ids of the nodes to those of the labels, and back down.
+
+    A third of the rows may share a node, and a third of the nodes a label; neither meets in one task.
+    """
+    names = nodes.select("node", "least", "copies")
+    labelled = staged(names.join(linked, names["node"] == linked["vertex"]).select("node", "label", "least"), "join-labelled")
+    whole = labelled.groupBy("label").agg(F.min("least").alias("of_all"), F.count(F.lit(1)).alias("members"))
+    found = look_up(labelled.select("node", "label"), whole, "label", "members").select("node", "of_all")
+    found = names.join(found, "node", "left").select("node", "copies", F.coalesce("of_all", "least").alias("component_id"))
+    of_texts = look_up(placed.where("node >= 0"), staged(found, "join-found"), "node", "copies")
+    return of_texts.select("doc", "n", "component_id").unionByName(placed.where("node < 0").select("doc", "n", F.col("doc").alias("component_id")))
+
+
 def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -305,7 +319,9 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     leaders = _leaders(_prefixes(rows, width, percent, common))
 
     first = F.min(F.struct("hashed", "n", "signature")).alias("s")
-    nodes = staged(census.where("hashed is not null and key >= 0").groupBy(F.col("key").alias("node")).agg(first).select("node", "s.*"), "join-nodes")
+    nodes = census.where("hashed is not null and key >= 0").groupBy(F.col("key").alias("node"))
+    nodes = nodes.agg(first, F.min("doc").alias("least"), F.count(F.lit(1)).alias("copies"))
+    nodes = staged(nodes.select("node", "s.*", "least", "copies"), "join-nodes")
     weight = (1 + F.floor(F.col("n") / BLOCK_STEP)).alias("weight")
     met = staged(leaders.join(nodes.select("node", "n"), "node").select("label", "node", "n", weight), "join-met")
     tasks = _tasks(met, met, "weight", BLOCK_SETS, percent).select("node", "task", "side")
@@ -316,14 +332,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     keys = write_level(wanted, folder, "wanted", None)
     linked = connected(_by_tokens(_tasks(_sets_of(rows, width, keys), kept, "n", BLOCK_TOKENS, percent), percent))
 
-    named = placed.join(linked, placed["node"] == linked["vertex"], "left").select("doc", "n", "node", F.coalesce("label", "node").alias("label"))
-    named = staged(named, "join-named")
-    least = named.where("node >= 0").groupBy(F.col("label").alias("of")).agg(F.min("doc").alias("least"))
-    return named.join(least, named["label"] == least["of"], "left").select(
-        F.col("doc").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("node") >= 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"),
-    )
+    return _components(placed, nodes, linked).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapwise.llm import language_id, lm_scoring, mixing, ngram_join, packing, sharding
+from gapwise.llm.common import look_up
 from gapwise.llm.components import connected
 from gapwise.llm.ngram_trie import EliasFano, elias_fano, quantise, restore
 from gapwise.llm.signature_tree import Groups, forest, similar
@@ -363,3 +364,13 @@ def test_components(spark):
     got = {r.vertex: r.label for r in connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: groups.find(x) for e in edges for x in e}
     assert connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_look_up_with_hot_keys(spark):
+    rows = [(1, i) for i in range(60)] + [(k, k) for k in range(2, 20)] + [(None, 7), (99, 8)]
+    df = spark.createDataFrame(rows, "key bigint, id bigint").repartition(4)
+    table = spark.createDataFrame([(1, "a", 60)] + [(k, f"v{k}", 1) for k in range(2, 20)], "key bigint, value string, mass bigint")
+    got = sorted((r.key or 0, r.id, r.value or "") for r in look_up(df, table, "key", "mass", parts=4).collect())
+    value = {1: "a"} | {k: f"v{k}" for k in range(2, 20)}
+    assert got == sorted((k or 0, i, value.get(k, "")) for k, i in rows)
+    assert look_up(df.limit(0), table.limit(0), "key", "mass").count() == 0
