@@ -16,21 +16,22 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: label: (keyword, name pattern over words joined by single spaces, SPDX identifiers as words)
+#: label: (keyword, name pattern over words joined by single spaces, SPDX identifiers as words). Each alternative of
+#: the name and of the identifiers holds an alternative of the keyword at the start of a word.
 LICENSES = {
-    "mit": ("mit", r"mit|expat", r"mit"),
+    "mit": ("mit|expat", r"mit|expat", r"mit"),
     "mit-0": ("mit", r"mit (?:no attribution|0)", r"mit 0"),
-    "isc": ("isc", r"isc|internet systems consortium", r"isc"),
-    "bsd-2-clause": ("bsd", r"bsd 2 clause|2 clause bsd|simplified bsd|freebsd|two clause bsd", r"bsd 2 clause"),
+    "isc": ("isc|internet systems", r"isc|internet systems consortium", r"isc"),
+    "bsd-2-clause": ("bsd|freebsd", r"bsd 2 clause|2 clause bsd|simplified bsd|freebsd|two clause bsd", r"bsd 2 clause"),
     "bsd-3-clause": ("bsd", r"bsd 3 clause|3 clause bsd|new bsd|modified bsd|three clause bsd|revised bsd", r"bsd 3 clause"),
     "bsd-4-clause": ("bsd", r"bsd 4 clause|4 clause bsd|original bsd|old bsd", r"bsd 4 clause"),
-    "0bsd": ("bsd", r"0bsd|zero clause bsd|bsd zero clause", r"0bsd"),
-    "bsd": ("bsd", r"bsd(?: style)?|berkeley software distribution", r"bsd"),
+    "0bsd": ("bsd|0bsd", r"0bsd|zero clause bsd|bsd zero clause", r"0bsd"),
+    "bsd": ("bsd|berkeley software", r"bsd(?: style)?|berkeley software distribution", r"bsd"),
     "apache-1.1": ("apache", r"apache (?:software )?(?:license )?(?:version )?1 1", r"apache 1 1"),
     "apache-2": ("apache", r"apache (?:software )?(?:license )?(?:version |v)?2(?: 0)?|apache license 2(?: 0)?|apache2", r"apache 2 0"),
     "apache": ("apache", r"apache(?: software)?", r"apache"),
-    "gpl-2": ("gnu|gpl", r"(?:gnu )?(?:general public license|gpl) (?:version |v)?2(?: 0)?|gplv2", r"gpl 2 0(?: only| or later)?"),
-    "gpl-3": ("gnu|gpl", r"(?:gnu )?(?:general public license|gpl) (?:version |v)?3(?: 0)?|gplv3", r"gpl 3 0(?: only| or later)?"),
+    "gpl-2": ("gnu|gpl|general public", r"(?:gnu )?(?:general public license|gpl) (?:version |v)?2(?: 0)?|gplv2", r"gpl 2 0(?: only| or later)?"),
+    "gpl-3": ("gnu|gpl|general public", r"(?:gnu )?(?:general public license|gpl) (?:version |v)?3(?: 0)?|gplv3", r"gpl 3 0(?: only| or later)?"),
     "gpl": ("gnu|gpl", r"gnu general public license|gnu gpl|gpl", r"gpl"),
     "lgpl-2.1": ("lesser|lgpl|library", r"(?:gnu )?(?:lesser general public license|lgpl) (?:version |v)?2 1|lgplv2 1", r"lgpl 2 1(?: only| or later)?"),
     "lgpl-3": ("lesser|lgpl", r"(?:gnu )?(?:lesser general public license|lgpl) (?:version |v)?3(?: 0)?|lgplv3", r"lgpl 3 0(?: only| or later)?"),
@@ -46,7 +47,7 @@ LICENSES = {
     "epl": ("eclipse|epl", r"eclipse public license|epl", r"epl"),
     "cddl": ("common development|cddl", r"common development and distribution license|cddl", r"cddl 1 [01]"),
     "cpl": ("common public|cpl", r"common public license|cpl", r"cpl 1 0"),
-    "ipl": ("ibm", r"ibm public license", r"ipl 1 0"),
+    "ipl": ("ibm|ipl", r"ibm public license", r"ipl 1 0"),
     "eupl": ("european|eupl", r"european union public licen[cs]e|eupl", r"eupl 1 [012]"),
     "osl-3": ("open software|osl", r"open software license(?: version)?(?: 3(?: 0)?)?|osl 3(?: 0)?", r"osl 3 0"),
     "afl-3": ("academic free|afl", r"academic free license(?: version)?(?: 3(?: 0)?)?|afl 3(?: 0)?", r"afl 3 0"),
@@ -67,7 +68,7 @@ LICENSES = {
     "postgresql": ("postgres", r"postgresql", r"postgresql"),
     "openssl": ("openssl", r"openssl", r"openssl"),
     "ncsa": ("ncsa|illinois", r"ncsa|university of illinois(?: ncsa)?(?: open source)?", r"ncsa"),
-    "x11": ("x11", r"x11|x consortium", r"x11"),
+    "x11": ("x11|x consortium", r"x11|x consortium", r"x11"),
     "curl": ("curl", r"curl", r"curl"),
     "w3c": ("w3c", r"w3c(?: software)?", r"w3c"),
     "upl-1": ("universal permissive|upl", r"universal permissive(?: license)?(?: 1 0)?|upl", r"upl 1 0"),
@@ -77,14 +78,14 @@ LICENSES = {
     "odbl": ("odbl|open database", r"open database(?: license)?(?: odbl)?|odbl", r"odbl 1 0"),
     "odc-by": ("odc|open data", r"open data commons attribution|odc by", r"odc by 1 0"),
     "pddl": ("pddl|public domain dedication", r"open data commons public domain dedication|pddl", r"pddl 1 0"),
-    "cc0": ("cc0|creative commons", r"cc0|cc zero|creative commons zero", r"cc0 1 0"),
+    "cc0": ("cc0|cc zero|creative commons", r"cc0|cc zero|creative commons zero", r"cc0 1 0"),
     "cc-by": ("cc|creative commons", r"cc by|creative commons attribution", r"cc by(?: [1-4] [05])?"),
     "cc-by-sa": ("cc|creative commons", r"cc by sa|creative commons attribution share ?alike", r"cc by sa(?: [1-4] [05])?"),
     "cc-by-nd": ("cc|creative commons", r"cc by nd|creative commons attribution no ?deriv(?:s|atives)", r"cc by nd(?: [1-4] [05])?"),
     "cc-by-nc": ("cc|creative commons", r"cc by nc|creative commons attribution non ?commercial", r"cc by nc(?: [1-4] [05])?"),
     "cc-by-nc-sa": ("cc|creative commons", r"cc by nc sa|creative commons attribution non ?commercial share ?alike", r"cc by nc sa(?: [1-4] [05])?"),
     "cc-by-nc-nd": ("cc|creative commons", r"cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:s|atives)", r"cc by nc nd(?: [1-4] [05])?"),
-    "openrail": ("rail", r"(?:creativeml |bigscience )?open ?rail(?: m)?", r"openrail"),
+    "openrail": ("rail|openrail|creativeml|bigscience", r"(?:creativeml |bigscience )?open ?rail(?: m)?", r"openrail"),
     "llama": ("llama", r"llama(?: [23])? community", r"llama [23]"),
     "vim": ("vim", r"vim", r"vim"),
     "beerware": ("beer", r"beer ?ware", r"beerware"),
@@ -103,8 +104,13 @@ TEMPLATES = (
 )
 #: These names say enough by themselves.
 STANDALONE = ("gpl", "gpl-2", "gpl-3", "lgpl", "lgpl-2.1", "lgpl-3", "agpl", "agpl-3", "gfdl", "cc0", "cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd", "public-domain", "all-rights-reserved", "apache-2", "mpl-2", "bsd-2-clause", "bsd-3-clause", "eupl", "cddl", "unlicense", "wtfpl")
-#: A document without any of these holds no detection; the rules run only on the others.
-GATE = r"licen[cs]|spdx|gpl|gnu|cc0|\bcc\b|\bby nc\b|creative commons|public domain|all rights|apache|mozilla|bsd|eupl|cddl|wtfpl|mpl"
+#: A document without any of these holds no detection; the rules run only on the others. Templates 1, 3 and 4 need a
+#: form of license, template 2 that or another verb before "under", and the names that stand alone need themselves.
+GATE = (
+    r"licen[cs]e|(?:released|distributed|available|provided|published|shared|covered) under |(?<= )(?:"
+    + "|".join(f"(?:{LICENSES[label][1]})" for label in STANDALONE)
+    + r")(?= )"
+)
 LEVELS = 5
 
 

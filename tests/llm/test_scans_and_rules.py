@@ -1,5 +1,6 @@
 """Quality rules, license and secret scans, exact dedup: against plain Python, and their edge cases."""
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -152,6 +153,46 @@ def test_license_rules(spark):
     assert license_scan.license_scan(frame(spark, [])).count() == 0
 
 
+def spelled(pattern):
+    """Every text that a pattern without repetition beyond ``?`` can match."""
+    from itertools import product
+    from re import _constants as op, _parser
+
+    def of(items):
+        return ["".join(parts) for parts in product(*map(one, items))]
+
+    def one(item):
+        kind, value = item
+        if kind is op.LITERAL:
+            return [chr(value)]
+        if kind is op.IN:
+            return [chr(c) for k, v in value for c in (range(v[0], v[1] + 1) if k is op.RANGE else [v])]
+        if kind is op.BRANCH:
+            return [t for branch in value[1] for t in of(branch)]
+        if kind is op.SUBPATTERN:
+            return of(value[3])
+        assert kind is op.MAX_REPEAT and value[:2] == (0, 1), item
+        return ["", *of(value[2])]
+
+    return of(_parser.parse(pattern))
+
+
+def test_license_prefilters_lose_nothing(spark, monkeypatch):
+    texts = []
+    for label, (_, name, spdx) in license_scan.LICENSES.items():
+        texts += [(label, f"spdx license identifier {t}") for t in spelled(spdx)]
+        for t in spelled(name):
+            texts += [(label, x) for x in (f"released under {t}", f"covered under the terms of a {t}", f"{t} licence", f"license is {t}")]
+            texts += [(label, t)] if label in license_scan.STANDALONE else []
+    docs = frame(spark, [t for _, t in texts]).repartition(8)
+    got = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
+    assert [t for k, t in enumerate(texts) if not got[k].labels] == []
+    rules = [dataclasses.replace(r, keyword="") for r in license_scan.signatures()]
+    monkeypatch.setattr(license_scan, "signatures", lambda: rules)
+    monkeypatch.setattr(license_scan, "GATE", "")
+    assert {r.doc_id: r for r in license_scan.license_scan(docs).collect()} == got
+
+
 def brute_spans(text):
     spans = []
     for rank, (kind, (_, pattern, group, least)) in enumerate(secret_scan.BASE.items()):
