@@ -131,33 +131,35 @@ def _gain(p0: float, n0: float, p: float, n: float) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
+def _cuts(rows: DataFrame, probes: list[float]) -> dict[str, list[float]]:
+    """Candidate thresholds of each feature, so that rare classes and the tail of a mostly zero feature have their own."""
+    kinds = {
+        "all": (lambda c: F.col(c), probes),
+        "bad": (lambda c: F.when(F.col("bad"), F.col(c)), [0.0, *probes, 1.0]),
+        "some": (lambda c: F.when(F.col(c) != 0, F.col(c)), [0.0, *probes, 1.0]),
+    }
+    wide = rows.agg(*[F.percentile_approx(of(c), at, 2000).alias(f"{k}_{c}") for k, (of, at) in kinds.items() for c in FEATURES]).first()
+    return {c: sorted({float(x) for k in kinds for x in wide[f"{k}_{c}"] or []}) for c in FEATURES}
+
+
 def learn(labelled: DataFrame, *, max_rules: int = 6, max_conditions: int = 3, bins: int = 24, min_precision: float = 0.9, min_support: int = 2) -> DecisionList:
     """Sequential covering over ``labelled`` (FEATURES, bad boolean, prune boolean).
 
     Each rule grows on the rows without ``prune`` by the condition of the largest information gain, is cut
     back to the prefix that is best on the rows with ``prune``, and joins the list if there it covers
     ``min_support`` rows at ``min_precision``. Rows that a rule covers are set aside for the next. One
-    aggregate job per condition scans all labelled rows; thresholds are quantiles of each feature.
+    aggregate job per condition scans all labelled rows. Thresholds are taken anew for each rule from the rows
+    left to grow on: per feature the quantiles of all values, of the bad rows' and of those that aren't zero.
     """
     probes = [(i + 1) / (bins + 1) for i in range(bins)]
-    wide = labelled.agg(*[F.percentile_approx(c, probes, 2000).alias(c) for c in FEATURES]).first()
-    cuts = {c: sorted(set(wide[c] or [])) for c in FEATURES}
-    if not any(cuts.values()):
-        return DecisionList()
-    binned = labelled.select(
-        *FEATURES,
-        "bad",
-        "prune",
-        F.array(
-            *[
-                F.struct(F.lit(c).alias("f"), sum((F.when(F.col(c) >= float(x), 1).otherwise(0) for x in cuts[c]), F.lit(0)).alias("b"))
-                for c in FEATURES
-            ]
-        ).alias("__bins"),
-    )
     found = DecisionList()
     for _ in range(max_rules):
-        left = binned.where(found.column() == 0)
+        left = labelled.where(found.column() == 0)
+        cuts = _cuts(left.where(~F.col("prune")), probes)
+        if not any(cuts.values()):
+            break
+        at = lambda c, cuts=cuts: F.size(F.filter(F.array(*[F.lit(x) for x in cuts[c]]).cast("array<double>"), lambda x: x <= F.col(c)))
+        left = left.withColumn("__bins", F.array(*[F.struct(F.lit(c).alias("f"), at(c).alias("b")) for c in FEATURES]))
         rule, start = Rule([], 0.0), None
         while len(rule.conditions) < max_conditions:
             rows = (

@@ -88,6 +88,16 @@ def test_rules_are_learned_and_match_their_text(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got.where("kept").collect()}
 
 
+def test_rules_reach_rare_tails(spark):
+    rows = []
+    for i in range(3000):
+        symbols = (0.03 + i % 5 / 100 if i % 3 else 0.5) if i % 14 == 0 else 0.001 * (i % 19) if i % 50 == 1 else 0.0
+        rows.append((*[symbols if f == "symbol_ratio" else float(i % 97) for f in quality_rules.FEATURES], symbols > 0.02, i % 3 == 1))
+    labelled = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in quality_rules.FEATURES) + ", bad boolean, prune boolean")
+    found = quality_rules.learn(labelled)
+    assert labelled.where((found.column() > 0) != F.col("bad")).count() == 0
+
+
 def test_quality_edges(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     odd = spark.createDataFrame([(None, 0), (5, None), (7, 1), (7, 0)], "doc_id bigint, quality int")
