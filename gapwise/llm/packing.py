@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping
@@ -111,13 +113,21 @@ def pieces(spans: list[Span], source: int, first: int, n: int, sequence: int) ->
 
 
 def load_encoder(name: str):
-    """The ids of the public byte-level BPE. Its ranks file gives the ids of its JSON file, several times faster."""
+    """The ids of the public byte-level BPE. Its ranks file gives the ids of its JSON file, several times faster.
+
+    The tokens that the JSON file adds are matched in the text before it is cut, as the tokenizers library does.
+    """
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(name), "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {}
+    full = public_tokenizers.path(name).removesuffix(".tiktoken") + ".json"
+    if os.path.exists(full):
+        with open(full, encoding="utf-8") as file:
+            added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def tokenized(docs: DataFrame, *, id_col: str, source_col: str, text_col: str, vocabulary: str) -> DataFrame:
@@ -126,7 +136,7 @@ def tokenized(docs: DataFrame, *, id_col: str, source_col: str, text_col: str, v
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = load_encoder(vocabulary)
         for batch in batches:
-            ids = [np.array([*encoder.encode_ordinary(t), END_ID], dtype="<u4") for t in batch.pop("text")]
+            ids = [np.array([*encoder.encode(t, allowed_special="all"), END_ID], dtype="<u4") for t in batch.pop("text")]
             yield batch.assign(doc_tokens=[len(i) for i in ids], ids=[i.tobytes() for i in ids])
 
     rows = docs.select(

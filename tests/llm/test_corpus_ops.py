@@ -264,6 +264,19 @@ def test_packing(docs, nothing, weights):
     assert packing.pack(nothing).count() == 0
 
 
+def test_packing_knows_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n y", "<|endoftext|", "é<|endoftext|>é 12", "", "the cat's  "]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    rows = {r.doc_id: r for r in packing.pack(docs).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], dtype="<u4")
+        assert (rows[i].doc_tokens, rows[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), t
+
+
 def test_windows_hold_the_target():
     totals, weights = [9_000_000, 4_000_000, 1_234_567, 0, 17], [0.5, 0.3, 0.2, 0.0, 0.0]
     spans = packing.plan_windows(totals, weights, 32768)
