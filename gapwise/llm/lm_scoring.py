@@ -178,4 +178,4 @@ def lm_score(docs: DataFrame, *, order: int = 3, prune: int = 3, id_col: str = "
 
 
 def op6_elias_fano_lm(spark, sf_dir: str) -> DataFrame:
-    return lm_score(load(spark, sf_dir, "documents"))
+    return lm_score(load(spark, sf_dir, "documents"), prune=1)

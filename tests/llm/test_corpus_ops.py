@@ -248,6 +248,14 @@ def packed_well(rows, texts, encode, sequence=1024):
             assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
 
 
+def test_lm_query_holds_all_ngrams(docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "load", lambda *_: docs)
+    rows = {r.doc_id: r for r in lm_scoring.op6_elias_fano_lm(None, "").collect()}
+    *_, score = brute_model([t for i, t, *_ in corpus() if key(i, 7) != 2], prune=1)
+    for i, t, *_ in corpus():
+        assert rows[i].score == pytest.approx(score(t), abs=1e-6 * len(tokens(t)) + 1e-6), i
+
+
 @pytest.mark.parametrize("weights", [None, {"a0": 2.0, "b1": 1.0}])
 def test_packing(docs, nothing, weights):
     import public_tokenizers
