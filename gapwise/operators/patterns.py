@@ -14,6 +14,7 @@ from gapwise.errors import InvalidStrategyError
 from gapwise.functions import nullity
 from gapwise.functions.distributions import t_sf2
 from gapwise.plans.fused import columns_with_missing, melted, missing_counts, pattern_table, scalars
+from gapwise.plans.ordered import with_position
 
 Values = Iterable[object] | None
 
@@ -189,7 +190,8 @@ def miss_cluster(df: DataFrame, *, missing_values: Values = None, method: str =
     """
     columns = df.columns
     table = pattern_table(df, missing_values).orderBy(F.desc("__n"), *[nullity.column(c) for c in columns])
-    rows = table.limit(max_patterns).collect()
+    rows = table.limit(max_patterns + 1).collect()
+    more, rows = len(rows) > max_patterns, rows[:max_patterns]
     x = np.array([[float(r[c]) for c in columns] for r in rows]).reshape(len(rows), len(columns))
     w = np.array([r["__n"] for r in rows], dtype=float)
     d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
@@ -198,7 +200,17 @@ def miss_cluster(df: DataFrame, *, missing_values: Values = None, method: str =
     order = leaves(len(rows), linkage(d, w, method))
     placed = [(*[bool(v) for v in x[i]], int(w[i]), k) for k, i in enumerate(order)]
     schema = ", ".join(f"`{c}` boolean" for c in columns) + ", n bigint, place int"
-    return df.sparkSession.createDataFrame(placed, schema)
+    out = df.sparkSession.createDataFrame(placed, schema)
+    if not more:
+        return out
+    head = out.select(*[nullity.column(c).alias(f"__h{i}") for i, c in enumerate(columns)])
+    same = [nullity.column(c) == F.col(f"__h{i}") for i, c in enumerate(columns)]
+    rest = pattern_table(df, missing_values).join(F.broadcast(head), same, "left_anti")
+    # A fraction of its own per pattern spreads those of one frequency over the ranges.
+    part = F.pmod(F.xxhash64(*[nullity.column(c) for c in columns]), F.lit(1 << 20)) / F.lit(1 << 20)
+    rest = with_position(rest.withColumn("__at", part - F.col("__n")), ["__at", *columns])
+    place = (F.col("__pos") + F.lit(len(rows) - 1)).cast("int")
+    return out.unionAll(rest.select(*[nullity.column(c) for c in columns], F.col("__n").alias("n"), place.alias("place")))
 
 
 def vis_miss(df: DataFrame, *, sort: bool = False, cluster: bool = False, missing_values: Values = None) -> DataFrame:

@@ -30,3 +30,13 @@ def test_estimators_and_comparison_take_all_customers(spark, many, monkeypatch):
     monkeypatch.setattr(statistics.compare, "compare_imputations", lambda d, *a: seen.append(d.count()) or whole(d, *a))
     statistics.QUERIES["compare_imputations"](spark, many)
     assert seen[-1] == 1300
+
+
+def test_clustering_keeps_the_rare_patterns(spark):
+    d = spark.range(400).select(*[F.when(F.col("id") % k > 0, F.col("id")).alias(f"c{k}") for k in (2, 3, 5, 7)])
+    whole = {tuple(r)[:5] for r in patterns.miss_cluster(d).collect()}
+    rows = sorted(patterns.miss_cluster(d, max_patterns=5).collect(), key=lambda r: r.place)
+    assert len(whole) == 16 and {tuple(r)[:5] for r in rows} == whole
+    assert [r.place for r in rows] == list(range(16)) and [r.n for r in rows[5:]] == sorted((r.n for r in rows[5:]), reverse=True)
+    assert min(r.n for r in rows[:5]) >= rows[5].n
+    assert patterns.miss_cluster(d, max_patterns=16).count() == 16
