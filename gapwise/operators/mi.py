@@ -9,7 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import GroupedData, Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,8 +118,13 @@ def mice_convergence(histories: DataFrame, variables: Sequence[str] | None = Non
     return gelman_rubin_rhat(rows).withColumn("converged", F.coalesce(F.col("rhat") < rhat_threshold, F.lit(False)))
 
 
-def mi_with(df: DataFrame, model_fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, chain: str = "chain") -> DataFrame:
-    """A pandas model per chain, in parallel; each chain must fit a task. Prefer aggregates by chain."""
+def mi_with(df: DataFrame, model_fn: Callable[[GroupedData], DataFrame] | Callable[[pd.DataFrame], pd.DataFrame], schema: str | None = None, chain: str = "chain") -> DataFrame:
+    """A model per chain: aggregates of the frame grouped by chain, summed partly where the rows lie.
+
+    With a ``schema`` it is a pandas model, run in parallel; then each chain must fit a task.
+    """
+    if schema is None:
+        return model_fn(df.groupBy(chain))
     return df.groupBy(chain).applyInPandas(lambda pdf: model_fn(pdf), schema)
 
 

@@ -144,7 +144,7 @@ QUERIES["mi_fit"] = lambda spark, sf_dir: mi.mi_fit(
 ).select("m", (F.col("t") > 0).alias("has_variance"))
 ORACLES["mi_fit"] = "SELECT 3::BIGINT AS m, true AS has_variance"
 QUERIES["mi_with"] = lambda spark, sf_dir: mi.mi_with(
-    table(spark, sf_dir, "customer").select((F.col("c_custkey") % 3).alias("chain"), "c_acctbal"), lambda p: p.groupby("chain", as_index=False).size().rename(columns={"size": "n"}), "chain bigint, n bigint"
+    table(spark, sf_dir, "customer").select((F.col("c_custkey") % 3).alias("chain"), "c_acctbal"), lambda chains: chains.agg(F.count(F.lit(1)).alias("n"))
 )
 ORACLES["mi_with"] = "SELECT c_custkey % 3 AS chain, count(*) AS n FROM customer GROUP BY 1"
 query("impute_histograms", "part_m", lambda d: _histograms(d), """WITH v AS (SELECT 'original' AS frame, p_retailprice AS v FROM part_m WHERE p_retailprice IS NOT NULL UNION ALL SELECT 'mean', coalesce(p_retailprice, (SELECT avg(p_retailprice) FROM part_m)) FROM part_m),

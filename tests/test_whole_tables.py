@@ -40,3 +40,10 @@ def test_clustering_keeps_the_rare_patterns(spark):
     assert [r.place for r in rows] == list(range(16)) and [r.n for r in rows[5:]] == sorted((r.n for r in rows[5:]), reverse=True)
     assert min(r.n for r in rows[:5]) >= rows[5].n
     assert patterns.miss_cluster(d, max_patterns=16).count() == 16
+
+
+def test_chain_models_are_partial_aggregates(spark):
+    plan = statistics.QUERIES["mi_with"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "partial_count" in plan
+    d = spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 5.0)], "chain bigint, x double")
+    assert sorted(map(tuple, mi.mi_with(d, lambda chains: chains.agg(F.avg("x"))).collect())) == [(0, 2.0), (1, 5.0)]
