@@ -35,7 +35,7 @@ query("association_lrt", "part_m", lambda d: mcar.missingness_association_test(d
 query(
     "logistic_log_likelihood",
     "part_m",
-    lambda d: d.agg(F.round(F.sum(F.when(F.col("p_size").isNull(), F.log(F.lit(0.25))).otherwise(F.log(F.lit(0.75)))), 6).alias("ll")),
+    lambda d: d.sparkSession.createDataFrame([(round(models.logistic_log_likelihood(d, F.lit(0.25), F.col("p_size").isNull().cast("int")), 6),)], "ll double"),
     "SELECT round(sum(CASE WHEN p_size IS NULL THEN ln(0.25) ELSE ln(0.75) END), 6) AS ll FROM part_m",
 )
 

@@ -47,3 +47,8 @@ def test_chain_models_are_partial_aggregates(spark):
     assert "InPandas" not in plan and "partial_count" in plan
     d = spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 5.0)], "chain bigint, x double")
     assert sorted(map(tuple, mi.mi_with(d, lambda chains: chains.agg(F.avg("x"))).collect())) == [(0, 2.0), (1, 5.0)]
+
+
+def test_log_likelihood_comes_from_its_operator(spark, monkeypatch):
+    monkeypatch.setattr(models, "logistic_log_likelihood", lambda *_: 4.25)
+    assert statistics.QUERIES["logistic_log_likelihood"](spark, SF).first().ll == 4.25
