@@ -9,7 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import GroupedData, Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
