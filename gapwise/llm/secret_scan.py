@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import find_spans, load, staged, text_or_empty
+from gapwise.llm.common import find_spans, load, look_up, staged, text_or_empty
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind: (keyword prefilter, pattern, group of the value, least length of the value); base kinds first.
@@ -71,14 +71,14 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         ),
         "secrets",
     )
-    each = slim.where((F.size("base") > 0) | (F.size("more") > 0)).select("row", "owner", "repository", F.explode(F.concat("base", "more")).alias("s"))
-    held = each.select(F.col("s.value").alias("value"), "owner", "repository").distinct()
+    each = slim.where((F.size("base") > 0) | (F.size("more") > 0)).select("row", "owner", "repository", F.explode(F.concat("base", "more")).alias("s")).withColumn("value", F.col("s.value"))
+    held = each.groupBy("value", "owner", "repository").agg(F.count(F.lit(1)).alias("rows"))
     verdicts = (
         held.groupBy("value")
-        .agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
-        .select("value", ((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).alias("live"))
+        .agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"), F.sum("rows").alias("rows"))
+        .select("value", "rows", ((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).alias("live"))
     )
-    judged = each.join(verdicts.withColumnRenamed("value", "held"), F.col("s.value") == F.col("held"))
+    judged = look_up(each, staged(verdicts, "secret-verdicts"), "value", "rows")
     added = F.filter(F.collect_list(F.when(F.col("live") & (F.col("s.rank") >= len(BASE)), F.col("s"))), lambda s: s.isNotNull())
     by_row = judged.groupBy(F.col("row").alias("found")).agg(
         added.alias("added"),

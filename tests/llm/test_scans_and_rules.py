@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapwise.llm import exact_dedup, license_scan, quality_rules, secret_scan
-from gapwise.llm.common import find_spans, prefix_sums
+from gapwise.llm.common import find_spans, look_up, prefix_sums
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, rate double, __id bigint, keep_id bigint"
 LONG = " ".join(f"word{i % 700}" for i in range(60_000))
@@ -227,3 +227,11 @@ def test_secret_ownership(spark):
     got = secret_scan.secret_scan(docs).orderBy("doc_id", "spans").collect()
     assert [(r.doc_id, r.spans, r.n_live, r.n_copied) for r in got] == [(1, "forge:4:32", 1, 0), (1, "forge:4:32", 1, 0), (2, "", 0, 1), (3, "", 0, 1), (4, "", 0, 0)]
     assert secret_scan.secret_scan(docs.limit(0)).count() == 0
+
+
+def test_secret_rows_of_hot_values_stay_where_they_are(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(secret_scan, "look_up", lambda rows, table, key, mass: seen.append((key, {r[mass] for r in table.collect()})) or look_up(rows, table, key, mass), raising=False)
+    docs = spark.createDataFrame([(i, "use ghp_" + "a1B2" * 6, f"s{i % 2}") for i in range(600)], "doc_id bigint, text string, source string")
+    assert secret_scan.secret_scan(docs).where("n_copied = 1 and n_live = 0").count() == 600
+    assert seen == [("value", {600})]
