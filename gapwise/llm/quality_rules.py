@@ -1,21 +1,23 @@
 """Quality rules: a decision list learned by sequential covering, applied as one conditional expression.
 
-Everything on the main path is a DataFrame operation. The driver sees only histograms: per grow step
-(features x bins) counts, whose number doesn't depend on the input.
+Everything on the main path is a DataFrame operation. The driver sees one row per grow step, the best condition.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import SPACE_CHARS, let, load, split_words, staged, text_or_empty
+from gapwise.llm.common import SPACE_CHARS, UPPER, let, load, split_words, staged, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
+DIGITS = "0123456789"
+#: One translation leaves a mark for each symbol, digit and capital and drops the other ASCII characters.
+MARKS = {SYMBOLS: "#", DIGITS: "0", UPPER: "A"}
+DROPPED = "".join(sorted({chr(c) for c in range(1, 128)} - set("".join(MARKS))))
 FEATURES = (
     "n_words", "mean_word_chars", "symbol_ratio", "dup_line_ratio", "repeat_ratio",
     "distinct_ratio", "digit_ratio", "upper_ratio", "line_words", "stop_ratio",
@@ -56,25 +58,29 @@ def _repeat_words(words: Column) -> Column:
 def measured(docs: DataFrame, *, text_col: str = "text") -> Column:
     """A struct of the base counts and what the features need, from the whole text."""
     text = text_or_empty(text_col)
-    solid = F.translate(text, SPACE_CHARS, "")
+    marks = F.translate(text, "".join(MARKS) + DROPPED, "".join(mark * len(chars) for chars, mark in MARKS.items()))
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(SPACE_CHARS)) != "")
     n = lambda c: c.cast("bigint")
-    without = lambda chars: n(F.length(solid) - F.length(F.translate(solid, chars, "")))
-    return let(
+    of = lambda x, chars: n(F.length(x) - F.length(F.translate(x, MARKS[chars], "")))
+    counted = let(marks, lambda x: F.struct(of(x, SYMBOLS).alias("n_symbols"), of(x, DIGITS).alias("n_digits"), of(x, UPPER).alias("n_upper")))
+    lined = let(lines, lambda x: F.struct(n(F.size(x)).alias("n_lines"), n(F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
+    worded = let(
         split_words(text),
         lambda w: F.struct(
             n(F.size(w)).alias("n_words"),
-            n(F.length(solid)).alias("word_chars"),
-            without(SYMBOLS).alias("n_symbols"),
-            let(lines, lambda x: n(F.size(x) - F.size(F.array_distinct(x)))).alias("n_dup_lines"),
+            n(F.length(F.array_join(w, ""))).alias("word_chars"),
             _repeat_words(w).alias("n_repeat_words"),
-            n(F.size(lines)).alias("n_lines"),
             n(F.size(F.array_distinct(w))).alias("n_distinct"),
-            without("0123456789").alias("n_digits"),
-            without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
             n(F.size(F.filter(w, lambda x: F.length(x) <= 3))).alias("n_short"),
         ),
     )
+    places = {
+        "w": ("n_words", "word_chars", "n_repeat_words", "n_distinct", "n_short"),
+        "c": ("n_symbols", "n_digits", "n_upper"),
+        "l": ("n_lines", "n_dup_lines"),
+    }
+    side_by_side = lambda m: F.struct(*[m[part][name].alias(name) for part, names in places.items() for name in names])
+    return let(F.struct(worded.alias("w"), counted.alias("c"), lined.alias("l")), side_by_side)
 
 
 def derived(m: Column) -> dict[str, Column]:
@@ -127,67 +133,47 @@ class DecisionList:
         return "\n".join(f"{k}: reject if {r} (precision {r.precision:.3f})" for k, r in enumerate(self.rules, 1))
 
 
-def _gain(p0: float, n0: float, p: float, n: float) -> float:
-    return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
-
-
-def _cuts(rows: DataFrame, probes: list[float]) -> dict[str, list[float]]:
-    """Candidate thresholds of each feature, so that rare classes and the tail of a mostly zero feature have their own."""
-    kinds = {
-        "all": (lambda c: F.col(c), probes),
-        "bad": (lambda c: F.when(F.col("bad"), F.col(c)), [0.0, *probes, 1.0]),
-        "some": (lambda c: F.when(F.col(c) != 0, F.col(c)), [0.0, *probes, 1.0]),
-    }
-    wide = rows.agg(*[F.percentile_approx(of(c), at, 2000).alias(f"{k}_{c}") for k, (of, at) in kinds.items() for c in FEATURES]).first()
-    return {c: sorted({float(x) for k in kinds for x in wide[f"{k}_{c}"] or []}) for c in FEATURES}
-
+def _best(rows: DataFrame, min_support: int) -> tuple[str, str, float] | None:
+    """The condition (feature, operator, threshold) of the largest information gain on ``rows`` (FEATURES, bad).
 
-def learn(labelled: DataFrame, *, max_rules: int = 6, max_conditions: int = 3, bins: int = 24, min_precision: float = 0.9, min_support: int = 2) -> DecisionList:
+    Every place between two values of a feature is a candidate threshold: running sums of bad and good rows
+    along each feature's distinct values give both sides of all of them in one job.
+    """
+    cells = F.array(*[F.struct(F.lit(k).alias("f"), F.col(c).cast("double").alias("v")) for k, c in enumerate(FEATURES)])
+    counts = rows.select("bad", F.explode(cells).alias("x")).groupBy("x.f", "x.v").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n"))
+    along, whole = Window.partitionBy("f").orderBy("v"), Window.partitionBy("f")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"{c}_below": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in "pn"} | {f"{c}_all": F.sum(c).over(whole) for c in "pn"}
+    cut = counts.withColumns(sums | {"bound": (F.col("v") + F.lag("v").over(along)) / 2}).where(F.col("bound").isNotNull())
+    sides = [
+        F.struct(F.lit(">=").alias("op"), (F.col("p_all") - F.col("p_below")).alias("p"), (F.col("n_all") - F.col("n_below")).alias("n")),
+        F.struct(F.lit("<").alias("op"), F.col("p_below").alias("p"), F.col("n_below").alias("n")),
+    ]
+    tried = cut.select("f", "bound", "p_all", "n_all", F.explode(F.array(*sides)).alias("s")).where(F.col("s.p") >= max(1, min_support))
+    share = lambda p, n: F.log2(p / (p + n))
+    gain = F.col("s.p") * (share(F.col("s.p"), F.col("s.n")) - share(F.col("p_all"), F.col("n_all")))
+    best = tried.select(F.struct(gain.alias("gain"), (-F.col("f")).alias("f"), F.col("s.op").alias("op"), (-F.col("bound")).alias("bound")).alias("x"))
+    top = best.where("x.gain > 1e-9").agg(F.max("x").alias("x")).first()["x"]
+    return None if top is None else (FEATURES[-top.f], top.op, -top.bound)
+
+
+def learn(labelled: DataFrame, *, max_rules: int = 6, max_conditions: int = 3, min_precision: float = 0.9, min_support: int = 2) -> DecisionList:
     """Sequential covering over ``labelled`` (FEATURES, bad boolean, prune boolean).
 
     Each rule grows on the rows without ``prune`` by the condition of the largest information gain, is cut
     back to the prefix that is best on the rows with ``prune``, and joins the list if there it covers
-    ``min_support`` rows at ``min_precision``. Rows that a rule covers are set aside for the next. One
-    aggregate job per condition scans all labelled rows. Thresholds are taken anew for each rule from the rows
-    left to grow on: per feature the quantiles of all values, of the bad rows' and of those that aren't zero.
+    ``min_support`` rows at ``min_precision``. Rows that a rule covers are set aside for the next, so that
+    thresholds are sought anew for each rule. One aggregate job per condition scans the labelled rows.
     """
-    probes = [(i + 1) / (bins + 1) for i in range(bins)]
     found = DecisionList()
     for _ in range(max_rules):
         left = labelled.where(found.column() == 0)
-        cuts = _cuts(left.where(~F.col("prune")), probes)
-        if not any(cuts.values()):
-            break
-        at = lambda c, cuts=cuts: F.size(F.filter(F.array(*[F.lit(x) for x in cuts[c]]).cast("array<double>"), lambda x: x <= F.col(c)))
-        left = left.withColumn("__bins", F.array(*[F.struct(F.lit(c).alias("f"), at(c).alias("b")) for c in FEATURES]))
-        rule, start = Rule([], 0.0), None
+        rule = Rule([], 0.0)
         while len(rule.conditions) < max_conditions:
-            rows = (
-                left.where(rule.column() & ~F.col("prune"))
-                .select("bad", F.explode("__bins").alias("x"))
-                .groupBy("x.f", "x.b")
-                .agg(F.sum(F.col("bad").cast("int")).alias("p"), F.sum((~F.col("bad")).cast("int")).alias("n"))
-                .collect()
-            )
-            counts: dict[str, dict[int, tuple[int, int]]] = {c: {} for c in FEATURES}
-            for f, b, p, n in rows:
-                counts[f][b] = (p, n)
-            p0 = sum(p for p, _ in counts[FEATURES[0]].values())
-            n0 = sum(n for _, n in counts[FEATURES[0]].values())
-            start = start or (p0, n0)
-            if not p0 or not n0:
-                break
-            best = (1e-9, None)
-            for c in FEATURES:
-                for k, bound in enumerate(cuts[c], 1):
-                    p = sum(x for b, (x, _) in counts[c].items() if b >= k)
-                    n = sum(x for b, (_, x) in counts[c].items() if b >= k)
-                    for op, pp, nn in ((">=", p, n), ("<", p0 - p, n0 - n)):
-                        if pp >= min_support and (g := _gain(p0, n0, pp, nn)) > best[0]:
-                            best = (g, (c, op, float(bound)))
-            if best[1] is None:
+            best = _best(left.where(rule.column() & ~F.col("prune")), min_support)
+            if best is None:
                 break
-            rule.conditions.append(best[1])
+            rule.conditions.append(best)
         if not rule.conditions:
             break
         prefixes = [Rule(rule.conditions[: k + 1], 0.0) for k in range(len(rule.conditions))]
@@ -204,17 +190,18 @@ def learn(labelled: DataFrame, *, max_rules: int = 6, max_conditions: int = 3, b
     return found
 
 
-def labelled_rows(features: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """Feature rows with a label; an id labelled twice counts as bad if any label says so."""
-    one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__q"))
-    joined = features.join(one, features[id_col] == one["__id"])
-    return joined.select(*FEATURES, (F.col("__q") <= 0).alias("bad"), (F.pmod(F.xxhash64(F.lit("prune"), id_col), F.lit(3)) == 0).alias("prune"))
+def sampled_labels(labels: DataFrame, sample: int, *, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(__id, bad, prune) of about ``sample`` labelled ids, chosen by a hash over all; an id labelled twice is bad if any label says so."""
+    one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((F.min(label_col) <= 0).alias("bad"))
+    share = F.pmod(F.xxhash64(F.lit("sample"), "__id"), F.lit(1 << 30)) / float(1 << 30)
+    return one.where(share * max(1, one.count()) < sample).withColumn("prune", F.pmod(F.xxhash64(F.lit("prune"), "__id"), F.lit(3)) == 0)
 
 
-def fit(features: DataFrame, labels: DataFrame, **options) -> DecisionList:
-    """Learn from all labelled rows that pass the base rules."""
-    rows = staged(labelled_rows(features.where(~F.col("base_failed")), labels), "quality-train")
-    return learn(rows, **options)
+def fit(features: DataFrame, chosen: DataFrame, **options) -> DecisionList:
+    """Learn from the rows of ``chosen`` labels that pass the base rules; an id is learned from once, however often it occurs."""
+    known = features.where(~F.col("base_failed")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    once = known.groupBy("__id").agg(F.min(F.struct(*FEATURES, "bad", "prune")).alias("r")).select("r.*")
+    return learn(staged(once, "quality-train"), **options)
 
 
 def quality_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,15 +209,16 @@ def quality_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.select("doc_id", "m.*", *[c.alias(k) for k, c in derived(F.col("m")).items() if k != "n_words"])
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per input row: doc_id, base counts, base_failed, kept, rule (0 if no learned rule fires).
 
+    Learns from about ``sample`` labelled ids, chosen by a hash over all labels, and judges every row.
     Defined results: a null text has no words and fails the base rules; without labels only the base rules
     decide; labels of unknown or null ids are ignored; a repeated row is judged as often as it occurs;
     an empty table gives an empty result; other columns are ignored.
     """
     features = staged(quality_features(docs, id_col=id_col, text_col=text_col), "quality")
-    rules = fit(features, labels)
+    rules = fit(features, sampled_labels(labels, sample, id_col=id_col, label_col=label_col))
     out = features.withColumn("rule", rules.column())
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -238,15 +226,15 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps; of the texts only the labelled ones are shuffled, to learn from.
+def keep_good(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns; no text is shuffled.
 
-    The verdict is one expression that measures the text once, so that pushing it down copies nothing.
+    The sampled labels are broadcast, as ``sample`` bounds them, and only the texts they name are measured to
+    learn from. The verdict is one expression that measures each text once.
     """
-    known = labels.where(F.col("quality").isNotNull()).select(F.col(id_col)).distinct()
-    labelled = docs.select(id_col, text_col).join(known, id_col, "left_semi")
-    features = staged(quality_features(labelled, id_col=id_col, text_col=text_col), "quality").withColumnRenamed("doc_id", id_col)
-    rules = fit(features, labels)
+    chosen = staged(sampled_labels(labels, sample, id_col=id_col, label_col=label_col), "quality-labels")
+    known = docs.select(id_col, text_col).join(F.broadcast(chosen.select(F.col("__id").alias("__known"))), F.col(id_col) == F.col("__known"), "left_semi")
+    rules = fit(quality_features(known, id_col=id_col, text_col=text_col), chosen)
 
     def good(m: Column) -> Column:
         found = F.struct(*[c.alias(k) for k, c in derived(m).items()])
