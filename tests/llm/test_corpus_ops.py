@@ -107,18 +107,73 @@ def test_sharding_balance_and_movement(spark):
     mean = sum(loads.values()) / 8
     assert max(loads.values()) < 1.01 * mean and min(loads.values()) > 0.97 * mean
     moved = sum(a[i].shard != b[i] for i in a) / len(a)
-    assert moved < 0.35
-
-
-def test_grains_are_placed_like_rows():
-    ring = sharding.Ring(4, 16, "s")
-    amounts = {s: 10 for s in range(0, 1 << sharding.RING_BITS, 97)}
-    total = sum(amounts.values())
-    cap = -(-total // 4)
-    loads = [0] * 4
-    parts = sharding.place_segments(ring, amounts, loads, cap)
-    assert sum(h - low for _, low, h, _ in parts) == total and max(loads) <= cap
-    assert all(ring.walk(0)[:1] == [ring.walk(0)[0]] for _ in range(2)) and set(ring.walk(5)) == {0, 1, 2, 3}
+    assert moved < 0.4
+
+
+def one_by_one(ring, rows, cap):
+    """Bounded loads row by row: large classes first, each class first on its own shards, then clockwise. ``rows``: (at, size, ...)."""
+    loads, where = [0] * ring.n_shards, {}
+    segment = lambda r: (r[0] % (1 << 64)) >> (64 - ring.bits)
+
+    def put(r, s):
+        where[r], loads[s] = s, loads[s] + r[1]
+
+    for kind in sorted({r[1].bit_length() for r in rows}, reverse=True):
+        left = []
+        for r in sorted((r for r in rows if r[1].bit_length() == kind), key=segment):
+            own = ring.walk(segment(r))[0]
+            put(r, own) if loads[own] + r[1] <= cap else left.append(r)
+        for r in left:
+            fit = [s for s in ring.walk(segment(r))[1:] if loads[s] + r[1] <= cap]
+            put(r, fit[0] if fit else min(range(ring.n_shards), key=lambda s: (loads[s], s)))
+    return where
+
+
+def test_single_rows_are_placed_as_one_by_one(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(f"id{i}", "é" * rng.randrange(1, 900)) for i in range(90)], "doc_id string, text string")
+    at = F.xxhash64(F.lit("ring-2"), "doc_id", F.crc32(F.col("text").cast("binary")))
+    rows = [tuple(r) for r in docs.select(at, F.octet_length("text").cast("bigint") + 16, "doc_id").collect()]
+    ring = sharding.Ring(6, 256, "ring-2")
+    cap = -(-int(sum(r[1] for r in rows) * 1.0005) // 6)
+    want = {r[2]: s for r, s in one_by_one(ring, rows, cap).items()}
+    units = Counter((r[1].bit_length(), (r[0] % (1 << 64)) >> (64 - ring.bits)) for r in rows)
+    assert max(units.values()) == 1
+    assert {r.doc_id: r.shard for r in sharding.shard(docs, 6, vnodes=256).collect()} == want
+
+
+def test_every_row_is_where_its_running_total_says(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i % 2500, "x" * rng.choice([3, 40, 41, 200, 2000])) for i in range(3000)], "doc_id bigint, text string").union(spark.createDataFrame([(None, None)] * 40, "doc_id bigint, text string"))
+    at = F.xxhash64(F.lit("ring-2"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = [tuple(r) for r in docs.select(at, F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint") + 16, F.crc32(F.coalesce("text", F.lit("")).cast("binary")), "doc_id").collect()]
+    ring = sharding.Ring(4, 8, "ring-2")
+    members = defaultdict(list)
+    for r in rows:
+        members[r[1].bit_length(), (r[0] % (1 << 64)) >> (64 - ring.bits)].append(r)
+    units = [(*k, sum(r[1] for r in v), len(v)) for k, v in members.items()]
+    cap = -(-int(sum(r[1] for r in rows) * 1.0005) // 4)
+    shares, want, loads = sharding.place_units(ring, units, cap), Counter(), Counter()
+    for unit, part in members.items():
+        assert shares[unit][-1][0] == sum(r[1] for r in part) and [h for h, _ in shares[unit]] == sorted({h for h, _ in shares[unit]})
+        end = 0
+        for r in sorted(part, key=lambda r: (*r[:3], str(r[3]))):
+            end += r[1]
+            s = next(s for high, s in shares[unit] if end <= high)
+            want[r[3], r[1], r[2], s] += 1
+            loads[s] += r[1]
+    got = sharding.shard(docs, 4, vnodes=8).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard) for r in got) == want
+    assert max(loads.values()) <= cap + 20 and min(loads.values()) > 0.99 * cap
+    for s in range(4):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_sharding_clashing_names(spark):
+    names = ("at", "segment", "kind", "size", "shard", "slot", "end", "piece", "law", "place", "base", "p_kind")
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), *[F.lit(1).alias(n) for n in names])
+    got = sharding.shard(docs, 3).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in sharding.shard(docs.select("doc_id", "text"), 3).collect()} and len(got) == 50
 
 
 def inverted(rate, u):
