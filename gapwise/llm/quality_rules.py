@@ -197,44 +197,50 @@ def sampled_labels(labels: DataFrame, sample: int, *, id_col: str = "doc_id", la
     return one.where(share * max(1, one.count()) < sample).withColumn("prune", F.pmod(F.xxhash64(F.lit("prune"), "__id"), F.lit(3)) == 0)
 
 
-def fit(features: DataFrame, chosen: DataFrame, **options) -> DecisionList:
-    """Learn from the rows of ``chosen`` labels that pass the base rules; an id is learned from once, however often it occurs."""
-    known = features.where(~F.col("base_failed")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    once = known.groupBy("__id").agg(F.min(F.struct(*FEATURES, "bad", "prune")).alias("r")).select("r.*")
-    return learn(staged(once, "quality-train"), **options)
-
-
 def quality_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), measured(docs, text_col=text_col).alias("m"))
     return rows.select("doc_id", "m.*", *[c.alias(k) for k, c in derived(F.col("m")).items() if k != "n_words"])
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> DecisionList:
+    """Learn from the sampled labels whose texts pass the base rules; an id is learned from once, however often it occurs.
+
+    The sampled labels are broadcast, as ``sample`` bounds them; only the texts they name are measured and none is
+    shuffled.
+    """
+    chosen = sampled_labels(labels, sample, id_col=id_col, label_col=label_col)
+    known = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+    known = known.select("__id", "bad", "prune", measured(known, text_col="__text").alias("m"))
+    features = F.struct(*[c.alias(k) for k, c in derived(F.col("m")).items()], "bad", "prune")
+    once = known.groupBy("__id").agg(F.min(features).alias("r")).select("r.*").where(~F.col("base_failed"))
+    return learn(staged(once, "quality-train"), **options)
+
+
+def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per input row: doc_id, base counts, base_failed, kept, rule (0 if no learned rule fires).
 
-    Learns from about ``sample`` labelled ids, chosen by a hash over all labels, and judges every row.
+    Learns from about ``sample`` labelled ids (see ``fit``), chosen by a hash over all labels, and judges every row.
     Defined results: a null text has no words and fails the base rules; without labels only the base rules
     decide; labels of unknown or null ids are ignored; a repeated row is judged as often as it occurs;
     an empty table gives an empty result; other columns are ignored.
     """
-    features = staged(quality_features(docs, id_col=id_col, text_col=text_col), "quality")
-    rules = fit(features, sampled_labels(labels, sample, id_col=id_col, label_col=label_col))
-    out = features.withColumn("rule", rules.column())
+    rules = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
+
+    def judged(m: Column) -> Column:
+        found = F.struct(*[c.alias(k) for k, c in derived(m).items()])
+        verdict = let(found, lambda f: F.struct(f["base_failed"].alias("base_failed"), rules.column(lambda name: f[name]).alias("rule")))
+        return F.struct(m.alias("m"), verdict.alias("v"))
+
+    out = docs.select(F.col(id_col).alias("doc_id"), let(measured(docs, text_col=text_col), judged).alias("r"))
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule",
+        "doc_id", "r.m.n_words", "r.m.word_chars", "r.m.n_symbols", "r.m.n_dup_lines", "r.m.n_repeat_words", "r.v.base_failed",
+        (~F.col("r.v.base_failed") & (F.col("r.v.rule") == 0)).alias("kept"), "r.v.rule",
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, with all their columns; no text is shuffled.
-
-    The sampled labels are broadcast, as ``sample`` bounds them, and only the texts they name are measured to
-    learn from. The verdict is one expression that measures each text once.
-    """
-    chosen = staged(sampled_labels(labels, sample, id_col=id_col, label_col=label_col), "quality-labels")
-    known = docs.select(id_col, text_col).join(F.broadcast(chosen.select(F.col("__id").alias("__known"))), F.col(id_col) == F.col("__known"), "left_semi")
-    rules = fit(quality_features(known, id_col=id_col, text_col=text_col), chosen)
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns; the verdict measures each text once."""
+    rules = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
 
     def good(m: Column) -> Column:
         found = F.struct(*[c.alias(k) for k, c in derived(m).items()])

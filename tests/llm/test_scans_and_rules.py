@@ -73,7 +73,7 @@ def _labelled(spark, n=900):
 def test_rules_are_learned_and_match_their_text(spark):
     docs, labels = _labelled(spark)
     features = quality_rules.quality_features(docs)
-    found = quality_rules.fit(features, quality_rules.sampled_labels(labels, 20_000))
+    found = quality_rules.fit(docs, labels)
     assert found.rules and all(r.precision >= 0.9 for r in found.rules) and "reject if" in str(found)
     got = quality_rules.quality(docs, labels)
     joined = got.join(labels, "doc_id")
@@ -131,7 +131,7 @@ def test_sample_is_bounded_and_takes_an_id_once(spark, monkeypatch):
     docs, labels = _labelled(spark, 60)
     seen = []
     monkeypatch.setattr(quality_rules, "learn", lambda rows: seen.append(rows.count()))
-    quality_rules.fit(quality_rules.quality_features(docs.union(docs).union(docs)), quality_rules.sampled_labels(labels, 1000))
+    quality_rules.fit(docs.union(docs).union(docs), labels)
     assert seen == [60]
 
 
