@@ -7,58 +7,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.llm.common import load, shared_dir, staged, text_or_empty
 from gapwise.llm.language_id import remainder
-from gapwise.llm.ngram_trie import Level, Trie, elias_fano, quantise, restore, write_sections
+from gapwise.llm.ngram_trie import Chunk, Level, Trie, elias_fano, named, quantise, write_sections
+from gapwise.llm.words import in_groups, word_hashes
 
-#: The end of a text, as a token that no word equals.
-END = b" "
+#: The end of a text, as a token that no word is: the hash of words has 63 bits and is not negative.
+END = -1
 DISCOUNT = 0.75
-#: Texts are handled in groups of so many characters, to bound a worker's memory.
-GROUP_CHARS = 6_000_000
+#: Texts are handled in groups of so many bytes, to bound a worker's memory.
+GROUP_BYTES = 12_000_000
+#: A chunk of the trie holds the triples of about so many tokens; so many triples are sampled to cut chunks of like size.
+CHUNK_TOKENS, SAMPLE = 2_000_000, 200_000
 
 
-def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        group = batch["text"].str.len().cumsum() // GROUP_CHARS
-        for _, part in batch.groupby(group, sort=False):
-            yield part
+def tokens(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each token of all texts, with one end after each text's words; and the number of each text's tokens."""
+    hashes, sizes = word_hashes(texts)
+    return np.insert(hashes, np.cumsum(sizes), END), sizes + 1
 
 
-def coded(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct tokens, each token's place among them, and each text's number of tokens.
-
-    bytes.lower() changes A-Z alone and bytes.split() splits at ASCII white space alone.
-    """
-    seen: dict[bytes, int] = {}
-    place, sizes = [], []
-    for text in texts:
-        tokens = text.encode("utf-8", "surrogatepass").lower().split()
-        tokens.append(END)
-        place.extend([seen.setdefault(t, len(seen)) for t in tokens])
-        sizes.append(len(tokens))
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(t) >> 1 for t in seen), dtype=np.int64, count=len(seen))
-    return hashes, np.array(place, dtype=np.int64), np.array(sizes, dtype=np.int64)
-
-
-def within(sizes: np.ndarray) -> np.ndarray:
-    """Whether the token before belongs to the same text."""
-    same = np.ones(int(sizes.sum()), dtype=bool)
-    same[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = False
-    return same
-
-
-def write_level(rows: DataFrame, folder: str, name: str, below: Trie | None) -> Level:
-    """Sort (key, n, suffix) by range, write a chunk per partition, and open the level.
-
-    Rows of one context go to one partition, so its back-off weight is known where its chunk is written.
-    """
-    words = below.words if below else 1
+def write_level(rows: DataFrame, folder: str, name: str) -> Level:
+    """Sort (key, n) by range, write a chunk per partition, and open the table."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
@@ -66,30 +41,11 @@ def write_level(rows: DataFrame, folder: str, name: str, below: Trie | None) ->
         if part is None or part.empty:
             return
         keys, n = part["key"].to_numpy(), part["n"].to_numpy()
-        sections = {f"keys_{k}": v for k, v in elias_fano(keys).items()}
-        meta = {"first": int(keys[0]), "n": len(keys)}
-        if below is None:
-            sections["counts"] = n.astype("<u4" if n.max() < 1 << 32 else "<u8")
-        else:
-            context, suffix = keys // words, part["suffix"].to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-            held = context[starts]
-            last = below.levels[-1]
-            total = last.take("counts", held)
-            codes = quantise(np.log10((n - DISCOUNT) / np.repeat(total, np.diff(np.append(starts, len(keys))))))
-            lower = below.unigram(suffix)[1] if len(below.levels) == 1 else restore(last.take("codes", suffix))
-            kept = np.add.reduceat(10.0 ** restore(codes), starts)
-            spared = np.add.reduceat(10.0**lower, starts)
-            weights = np.log10(np.maximum(1 - kept, 1e-6) / np.maximum(1 - spared, 1e-6))
-            dense = np.full(int(held[-1] - held[0]) + 1, quantise(np.zeros(1))[0])
-            dense[held - held[0]] = quantise(np.minimum(weights, 0.49))
-            sections |= {"counts": n.astype("<u4" if n.max() < 1 << 32 else "<u8"), "codes": codes, "weights": dense}
-            meta["context"] = int(held[0])
-        meta |= write_sections(folder, f"{name}-{TaskContext.get().partitionId()}", sections)
+        sections = named("keys", elias_fano(keys)) | {"counts": n.astype("<u4" if n.max() < 1 << 32 else "<u8")}
+        meta = {"first": int(keys[0]), "n": len(keys)} | write_sections(folder, f"{name}-{TaskContext.get().partitionId()}", sections)
         yield pd.DataFrame({"meta": [json.dumps(meta)]})
 
-    shaped = rows.withColumn("context", F.floor(F.col("key") / F.lit(words)) if below is None else F.expr(f"key div {words}L"))
-    ranged = shaped.repartitionByRange("context").sortWithinPartitions("key").drop("context")
+    ranged = rows.select("key", "n").repartitionByRange("key").sortWithinPartitions("key")
     metas = sorted((json.loads(r.meta) for r in ranged.mapInPandas(write, "meta string").collect()), key=lambda m: m["first"])
     base = 0
     for meta in metas:
@@ -98,71 +54,243 @@ def write_level(rows: DataFrame, folder: str, name: str, below: Trie | None) ->
     return Level(metas)
 
 
-def train(docs: DataFrame, *, order: int = 3, prune: int = 3) -> Trie:
-    """Count the n-grams of all texts in ``docs`` (text) and build the trie, level by level.
+def triples(words: Level, base: int, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (pair, third) of the texts in order, and how often each occurs.
 
-    The first level holds every word. Of the longer n-grams those seen ``prune`` times or more are held;
-    they can only consist of shorter ones that are held too, so nothing else is counted: each level costs one
-    pass over the texts and one shuffle of partial counts.
+    Words are numbered from 1. A pair is first * base + second; third is 0 where the text ends with the pair.
     """
-    folder = f"{shared_dir(docs.sparkSession)}/lm-{np.random.SeedSequence().entropy:x}"
+    hashes, sizes = tokens(texts)
+    distinct, place = np.unique(hashes, return_inverse=True)
+    word = (words.find(distinct, in_order=True) + 1)[place]
+    last = np.cumsum(sizes) - 1
+    pair = word[:-1] * base + word[1:]
+    third = np.append(word[2:], 0)
+    third[last[last > 0] - 1] = 0
+    inside = np.ones(len(pair), dtype=bool)
+    inside[last[:-1]] = False
+    known, rank = np.unique(pair[inside], return_inverse=True)
+    both, n = np.unique(rank * base + third[inside], return_counts=True)
+    return known[both // base], both % base, n
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes."""
+    planes = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, n * 8, codec="zstd"), dtype=np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(n)
+
+
+def _boundaries(docs: DataFrame, words: Level, base: int, n_tokens: int) -> list[tuple[int, int]]:
+    """(pair, third) at which chunks begin, from a sample of about SAMPLE triples; they decide how even chunks are, nothing else."""
+    parts = -(-n_tokens // CHUNK_TOKENS)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in in_groups(batches, GROUP_BYTES):
+            pair, third, _ = triples(words, base, table.column("text"))
+            chosen = (pair * 31 + third) % 10 == 0
+            yield pa.RecordBatch.from_arrays([pa.array(pair[chosen]), pa.array(third[chosen])], ["pair", "third"])
+
+    if parts < 2:
+        return []
+    rows = docs.sample(min(1.0, 10 * SAMPLE / n_tokens), 1).mapInArrow(sampled, "pair bigint, third bigint").distinct().toPandas()
+    rows = rows.sort_values(["pair", "third"])
+    at = [len(rows) * k // parts for k in range(1, parts)]
+    return list(dict.fromkeys(rows.iloc[at].itertuples(index=False, name=None))) if len(rows) else []
+
+
+def train(docs: DataFrame) -> Trie:
+    """Count the n-grams of all texts in ``docs`` (text) and build the trie.
+
+    The words are counted first; their order by hash numbers them. A second pass counts triples: each group of
+    texts sends every distinct one once, to the chunk whose range holds it, so that neither a frequent word nor a
+    frequent pair meets in one task. A chunk tells pairs and single contexts as well; those cut by its ends are
+    put right by what the neighbours say of theirs.
+    """
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/lm-{np.random.SeedSequence().entropy:x}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
-    def unigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in groups(batches):
-            hashes, place, _ = coded(part["text"])
-            yield pd.DataFrame({"key": hashes, "n": np.bincount(place, minlength=len(hashes))})
-
-    counted = docs.mapInPandas(unigrams, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    counted = staged(counted, "lm-words")
-    words, tokens = counted.agg(F.count(F.lit(1)), F.sum("n")).first()
-    trie = Trie(words, tokens or 0, [write_level(counted.withColumn("suffix", F.lit(0)), folder, "level1", None)])
-
-    for k in range(2, order + 1):
-
-        def longer(batches: Iterator[pd.DataFrame], trie: Trie = trie) -> Iterator[pd.DataFrame]:
-            for part in groups(batches):
-                hashes, place, sizes = coded(part["text"])
-                distinct, same = trie.levels[0].find(hashes), within(sizes)
-                at, frequent = distinct[place], (trie.levels[0].take("counts", distinct) >= prune)[place]
-                shorter, _ = trie.follow(at, frequent, same)
-                rows = trie.candidates(shorter, same, frequent if len(trie.levels) == 1 else None)
-                key, first, n = np.unique(shorter[rows - 1] * trie.words + at[rows], return_index=True, return_counts=True)
-                yield pd.DataFrame({"key": key, "suffix": shorter[rows][first], "n": n})
-
-        level = docs.mapInPandas(longer, "key bigint, suffix bigint, n bigint").groupBy("key", "suffix").agg(F.sum("n").alias("n"))
-        level = staged(level.where(F.col("n") >= prune), f"lm-{k}")
-        trie = Trie(words, tokens or 0, [*trie.levels, write_level(level, folder, f"level{k}", trie)])
-    return trie
-
-
-def score(docs: DataFrame, trie: Trie, *, prune: int = 3) -> DataFrame:
+    def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in in_groups(batches, GROUP_BYTES):
+            keys, n = np.unique(tokens(table.column("text"))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+
+    counted = staged(docs.mapInArrow(unigrams, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
+    n_words, n_tokens = counted.agg(F.count(F.lit(1)), F.sum("n")).first()
+    words, base = write_level(counted, folder, "words"), n_words + 1
+    if not n_tokens:
+        return Trie(0, 0, words)
+    bounds = _boundaries(docs, words, base, n_tokens)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in in_groups(batches, GROUP_BYTES):
+            pair, third, n = triples(words, base, table.column("text"))
+            cuts = [0]
+            for p, t in bounds:
+                low, high = np.searchsorted(pair, [p, p + 1]).tolist()
+                cuts.append(low + int(np.searchsorted(third[low:high], t)))
+            filled = [(k, low, high) for k, (low, high) in enumerate(zip(cuts, [*cuts[1:], len(pair)], strict=True)) if low < high]
+            columns = [[packed(np.diff(x[low:high], prepend=0)) for _, low, high in filled] for x in (pair, third, n)]
+            arrays = [pa.array([k for k, _, _ in filled], pa.int32()), pa.array([h - low for _, low, h in filled], pa.int64()), *[pa.array(c, pa.binary()) for c in columns]]
+            yield pa.RecordBatch.from_arrays(arrays, ["chunk", "rows", "pair", "third", "n"])
+
+    def summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        columns = [np.concatenate([np.cumsum(unpacked(data, rows)) for data, rows in zip(table.column(c).to_pylist(), table.column("rows").to_pylist(), strict=True)]) for c in ("pair", "third", "n")]
+        pair, third, n = columns
+        known, rank = np.unique(pair, return_inverse=True)
+        key = rank * base + third
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return known[key[begins] // base], key[begins] % base, np.add.reduceat(n[order], begins)
+
+    def edges(pair: np.ndarray, third: np.ndarray, n: np.ndarray) -> dict[str, int]:
+        """Of the first and the last pair and their first words: occurrences, and how many words follow."""
+        out = {"rows": len(pair), "from_third": int(third[0]), "to_third": int(third[-1])}
+        for name, p in (("from", int(pair[0])), ("to", int(pair[-1]))):
+            low, high = np.searchsorted(pair, [p, p + 1])
+            left, right = np.searchsorted(pair, [p // base * base, (p // base + 1) * base])
+            out |= {f"{name}_pair": p, f"{name}_n": int(n[low:high].sum()), f"{name}_kinds": int((third[low:high] > 0).sum()), f"{name}_seconds": len(np.unique(pair[left:right]))}
+        return out
+
+    def reduced(table: pa.Table) -> pa.Table:
+        pair, third, n = summed(table)
+        row = {"chunk": table.column("chunk")[0].as_py()} | edges(pair, third, n)
+        row |= {name: packed(np.diff(x, prepend=0)) for name, x in (("pair", pair), ("third", third), ("n", n))}
+        return pa.Table.from_pylist([row], schema=chunk_schema)
+
+    names = ["rows", "from_third", "to_third", *[f"{end}_{k}" for end in ("from", "to") for k in ("pair", "n", "kinds", "seconds")]]
+    chunk_schema = pa.schema([("chunk", pa.int32()), *[(k, pa.int64()) for k in names], *[(k, pa.binary()) for k in ("pair", "third", "n")]])
+    parted = docs.mapInArrow(counts, "chunk int, rows bigint, pair binary, third binary, n binary")
+    ddl = "chunk int, " + ", ".join(f"{k} bigint" for k in names) + ", pair binary, third binary, n binary"
+    chunks = staged(parted.groupBy("chunk").applyInArrow(reduced, ddl), "lm-chunks")
+
+    ends = sorted(chunks.select("chunk", *names).collect(), key=lambda r: r.chunk)
+    fixed = spark.createDataFrame(list(zip([r.chunk for r in ends], *corrected(ends, base), strict=True)), "at int, pairs array<array<bigint>>, firsts array<array<bigint>>")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                pair, third, n = (np.cumsum(unpacked(row[c], row["rows"])) for c in ("pair", "third", "n"))
+                sections = Chunk.sections(pair, third, base, probabilities(words, base, pair, third, n, row["pairs"], row["firsts"]))
+                meta = {"pair": int(pair[0]), "third": int(third[0]), "word": int(pair[0] // base)} | write_sections(folder, f"grams-{row['chunk']}", sections)
+                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(meta)])], ["meta"])
+
+    given = chunks.join(fixed, F.col("chunk") == F.col("at")).select("chunk", "rows", "pair", "third", "n", "pairs", "firsts")
+    metas = sorted((json.loads(r.meta) for r in given.mapInArrow(write, "meta string").collect()), key=lambda m: (m["pair"], m["third"]))
+    return Trie(n_words, n_tokens, words, metas)
+
+
+def corrected(ends: list, base: int) -> tuple[list, list]:
+    """For each chunk what holds of its first and last pair, (pair, occurrences, kinds of thirds), and of their first words, (word, kinds of seconds)."""
+    n: dict[int, list[int]] = {}
+    seconds: dict[int, int] = {}
+    before = None
+    for r in ends:
+        for end in ("from", "to") if r.from_pair != r.to_pair else ("from",):
+            held = n.setdefault(r[f"{end}_pair"], [0, 0])
+            held[0] += r[f"{end}_n"]
+            held[1] += r[f"{end}_kinds"]
+        for end in ("from", "to") if r.from_pair // base != r.to_pair // base else ("from",):
+            again = end == "from" and r.from_pair == before  # counted with the chunk before
+            word = r[f"{end}_pair"] // base
+            seconds[word] = seconds.get(word, 0) + r[f"{end}_seconds"] - again
+        before = r.to_pair
+    pairs = [[[p, *n[p]] for p in sorted({r.from_pair, r.to_pair})] for r in ends]
+    return pairs, [[[w, seconds[w]] for w in sorted({r.from_pair // base, r.to_pair // base})] for r in ends]
+
+
+def probabilities(words: Level, base: int, pair: np.ndarray, third: np.ndarray, n: np.ndarray, pairs: list, firsts: list) -> dict[str, np.ndarray]:
+    """Codes of a chunk: absolute discounting, interpolated. A context spreads what it takes from its successors over the shorter context."""
+    begins = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    held = pair[begins]
+    total, kinds = np.add.reduceat(n, begins), np.add.reduceat((third > 0).astype(np.int64), begins)
+    for p, occurrences, k in pairs:
+        at = np.searchsorted(held, p)
+        total[at], kinds[at] = occurrences, k
+    first = held // base
+    span = np.arange(first[0], first[-1] + 1)
+    count = words.take("counts", span - 1)
+    seconds = np.diff(np.searchsorted(first, np.append(span, span[-1] + 1)))
+    for w, k in firsts:
+        seconds[w - span[0]] = k
+    share = lambda k, of: np.where(k > 0, DISCOUNT * np.maximum(k, 1) / np.maximum(of, 1), 1.0)
+    real = third > 0
+    return {
+        "g1": quantise(share(seconds, count)),
+        "d2": quantise((total - DISCOUNT) / count[first - span[0]]),
+        "g2": quantise(share(kinds, total)),
+        "d3": quantise((n - DISCOUNT)[real] / np.repeat(total, np.diff(np.append(begins, len(pair))))[real]),
+    }
+
+
+def scored(trie: Trie, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: its training count and the model's log10 probability; and each text's number of tokens. Equal n-grams are looked up once."""
+    hashes, sizes = tokens(texts)
+    starts = np.cumsum(sizes) - sizes
+    distinct, place = np.unique(hashes, return_inverse=True)
+    at = trie.level.find(distinct, in_order=True)
+    count = trie.level.take("counts", at)
+    p = ((count + 1.0) / (trie.tokens + trie.words + 1.0))[place]
+    word = (at + 1)[place]
+    weight = np.ones(len(distinct))
+    held = np.flatnonzero(at >= 0)
+    held = held[np.argsort(at[held])]
+    weight[held] = trie.weights(at[held] + 1)
+
+    # ``second`` are tokens with one before them in the text, ``after`` those with two.
+    mask = np.ones(len(p), dtype=bool)
+    mask[starts] = False
+    second = np.flatnonzero(mask)
+    mask[starts[sizes > 1] + 1] = False
+    after = np.flatnonzero(mask)
+    pair = np.where((word[second - 1] > 0) & (word[second] > 0), word[second - 1] * (trie.words + 1) + word[second], 0)
+    pairs, which = np.unique(pair, return_inverse=True)
+    d2, g2 = trie.pair_codes(pairs)
+    p[second] = d2[which] + weight[place[second - 1]] * p[second]
+
+    of_pair = np.zeros(len(p), dtype=np.int64)
+    of_pair[second] = which
+    context = of_pair[after - 1]
+    keys, back = np.unique(context * (trie.words + 1) + word[after], return_inverse=True)
+    context_of, third = np.divmod(keys, trie.words + 1)
+    known = np.flatnonzero((third > 0) & (d2[context_of] > 0))
+    d3 = np.zeros(len(keys))
+    d3[known] = trie.third_codes(pairs, context_of[known], third[known])
+    p[after] = d3[back] + g2[context] * p[after]
+    return count[place], np.log10(p), sizes
+
+
+def score(docs: DataFrame, trie: Trie) -> DataFrame:
     """n_tokens, n_known, base_score and score of each row of ``docs`` (text and other columns)."""
+    others = [f for f in docs.schema if f.name != "text"]
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in groups(batches):
-            hashes, place, sizes = coded(part.pop("text"))
-            counts, p = trie.score(hashes, place, within(sizes), prune)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in in_groups(batches, GROUP_BYTES // 2):
+            counts, p, sizes = scored(trie, table.column("text"))
+            starts = np.cumsum(sizes) - sizes
             base = np.log10((counts + 1.0) / (trie.tokens + trie.words + 1.0))
-            yield part.assign(
-                n_tokens=sizes,
-                n_known=np.add.reduceat((counts > 0).astype(np.int64), starts),
-                base_score=np.add.reduceat(base, starts),
-                score=np.add.reduceat(p, starts),
-            )
+            sums = [sizes, np.add.reduceat((counts > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(p, starts)]
+            kept = table.select([f.name for f in others])
+            for name, values in zip(("n_tokens", "n_known", "base_score", "score"), sums, strict=True):
+                kept = kept.append_column(name, pa.array(values))
+            yield from kept.to_batches()
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInPandas(scored, f"{kept}, n_tokens bigint, n_known bigint, base_score double, score double")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    return docs.mapInArrow(run, f"{kept}, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
-def lm_score(docs: DataFrame, *, order: int = 3, prune: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose remainder modulo 7 isn't 2 and scores all. base_score is the add-one unigram
-    log10 probability; score that of a back-off model with absolute discounting over n-grams up to
-    ``order``, whose probabilities are rounded to 1/30 of a decade. Words are told apart by 63 bits of a
-    hash. Defined results: a null text is empty, that is, one end token; with nothing to learn from every
+    log10 probability; score that of a trigram model with interpolated absolute discounting over all n-grams, whose
+    discounted probabilities and weights are rounded to 1/28 of a decade. Words of more than 8 bytes are told apart
+    by 63 bits of a hash. Defined results: a null text is empty, that is, one end token; with nothing to learn from every
     token has probability 1; repeated rows count as often as they occur; an empty table gives an empty
     result; other columns are ignored.
     """
@@ -171,11 +299,11 @@ def lm_score(docs: DataFrame, *, order: int = 3, prune: int = 3, id_col: str = "
         (remainder(id_col, 7) == 2).alias("held_out"),
         text_or_empty(text_col).alias("text"),
     )
-    trie = train(rows.where(~F.col("held_out")).select("text"), order=order, prune=prune)
-    out = score(rows, trie, prune=prune)
+    trie = train(rows.where(~F.col("held_out")).select("text"))
+    out = score(rows, trie)
     identity = F.when(F.col("doc_id") != "\0null", F.col("doc_id")).cast(docs.schema[id_col].dataType)
     return out.select(identity.alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(trie.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op6_elias_fano_lm(spark, sf_dir: str) -> DataFrame:
-    return lm_score(load(spark, sf_dir, "documents"), prune=1)
+    return lm_score(load(spark, sf_dir, "documents"))

@@ -1,10 +1,10 @@
 """An n-gram trie in memory-mapped Elias-Fano levels: building blocks for language-model scoring.
 
-A level holds the k-grams as increasing keys: the position of the (k-1)-gram before the last word in its
-own level, times the vocabulary, plus the last word. The successors of a context are thus neighbours, and
-looking one up is a successor search relative to the context's first key. A level consists of chunks, each
-a file with the keys in Elias-Fano form, an 8-bit code of each probability, and an 8-bit back-off weight for
-each context from the chunk's first to its last.
+The words stand in order of their hash. The pairs of words, and the triples, are cut into chunks, each a file
+that is a trie of its own: for every first word a monotone pointer to where its successors begin, the successors
+of each as a monotone sequence (what precedes a range is added to it), with a pointer of each pair to its own
+successors, and 8-bit codes of the probabilities and back-off weights. All sequences are in Elias-Fano form, and a
+word is sought only among the successors of its context.
 """
 
 from __future__ import annotations
@@ -21,20 +21,21 @@ for _byte in range(256):
     _ones = [b for b in range(8) if _byte >> b & 1]
     _SELECT[_byte, : len(_ones)] = _ones
 
-#: Log10 probabilities and weights are rounded to multiples of 1/STEPS and held as 8 bits.
-STEPS = 30
+#: Log10 probabilities and weights, of at most 1, are rounded to multiples of 1/STEPS and held as 8 bits.
+STEPS = 28
+_RESTORED = 10.0 ** (-np.arange(256) / STEPS)
 
 
-def quantise(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint((log10 + 8.0) * STEPS), 0, 255).astype(np.uint8)
+def quantise(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(-np.log10(p) * STEPS), 0, 255).astype(np.uint8)
 
 
 def restore(codes: np.ndarray) -> np.ndarray:
-    return codes.astype(np.float64) / STEPS - 8.0
+    return _RESTORED[codes]
 
 
 def elias_fano(values: np.ndarray) -> dict[str, np.ndarray]:
-    """Sections for strictly increasing non-negative int64 values: low bits packed, high bits in unary, a rank of zeros per word."""
+    """Sections for non-decreasing int64 values: low bits packed, high bits in unary, ranks of zeros and ones per 64 of them."""
     n, first = len(values), int(values[0])
     reach = int(values[-1]) - first
     width = min(56, max(0, (reach // n).bit_length() - 1))
@@ -45,6 +46,7 @@ def elias_fano(values: np.ndarray) -> dict[str, np.ndarray]:
     bits[high + np.arange(n)] = 1
     unary = np.packbits(bits, bitorder="little").view("<u8")
     zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(unary).astype(np.int64))[:-1]]).astype("<u8")
+    ones = (np.arange(len(unary)) * 64 - zeros.astype(np.int64)).astype("<u8")
     low = np.zeros(n * width // 64 + 3, dtype="<u8")
     if width:
         part, at = x & U((1 << width) - 1), np.arange(n, dtype=np.uint64) * U(width)
@@ -52,44 +54,49 @@ def elias_fano(values: np.ndarray) -> dict[str, np.ndarray]:
         np.bitwise_or.at(low, word, part << shift)
         over = np.flatnonzero(shift + U(width) > U(64))
         np.bitwise_or.at(low, word[over] + 1, part[over] >> (U(64) - shift[over]))
-    return {"head": np.array([n, first, width, int(high[-1])], dtype="<i8"), "unary": unary, "zeros": zeros, "low": low}
+    return {"head": np.array([n, first, width, int(high[-1])], dtype="<i8"), "unary": unary, "zeros": zeros, "ones": ones, "low": low}
 
 
 class EliasFano:
-    """Exact-match search in what ``elias_fano`` wrote."""
+    """Access and search in what ``elias_fano`` wrote."""
 
-    def __init__(self, head: np.ndarray, unary: np.ndarray, zeros: np.ndarray, low: np.ndarray):
+    SECTIONS = ("head", "unary", "zeros", "ones", "low")
+
+    def __init__(self, head: np.ndarray, unary: np.ndarray, zeros: np.ndarray, ones: np.ndarray, low: np.ndarray):
         self.n, self.first, self.width, self.top = (int(v) for v in head)
-        self.unary, self.zeros = unary, zeros
+        self.unary, self.zeros, self.ones = unary, zeros, ones
         raw = low.view(np.uint8)
         self.unaligned = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
 
-    def _select_zero(self, rank: np.ndarray) -> np.ndarray:
-        """The place of the zero with so many zeros before it: its word by the ranks, then halves of the word."""
-        word = np.searchsorted(self.zeros, rank.astype(U), side="right") - 1
-        left = rank - self.zeros[word].astype(np.int64)
-        free, at = ~self.unary[word], word * 64
+    @staticmethod
+    def _select(word: np.ndarray, bits: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The place of the one with ``left`` ones before it in its word: by halves of the word."""
+        at = word * 64
         for width in (32, 16, 8):
-            count = np.bitwise_count(free & U((1 << width) - 1)).astype(np.int64)
+            count = np.bitwise_count(bits & U((1 << width) - 1)).astype(np.int64)
             upper = left >= count
             left = left - count * upper
-            free = np.where(upper, free >> U(width), free)
+            bits = np.where(upper, bits >> U(width), bits)
             at = at + width * upper
-        return at + _SELECT[(free & U(255)).astype(np.int64), left]
+        return at + _SELECT[(bits & U(255)).astype(np.int64), left]
+
+    def _select_zero(self, rank: np.ndarray) -> np.ndarray:
+        word = np.searchsorted(self.zeros, rank.astype(U), side="right") - 1
+        return self._select(word, ~self.unary[word], rank - self.zeros[word].astype(np.int64))
 
     def _low(self, at: np.ndarray) -> np.ndarray:
         bit = at * self.width
         return (self.unaligned[bit >> 3] >> (bit & 7).astype(U)) & U((1 << self.width) - 1)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The position of each value, or -1."""
-        out = np.full(len(values), -1, dtype=np.int64)
-        x = values - self.first
-        high = x >> self.width
-        rows = np.flatnonzero((x >= 0) & (high <= self.top))
-        if not len(rows):
-            return out
-        high, low = high[rows], (x[rows].astype(U)) & U((1 << self.width) - 1)
+    def access(self, at: np.ndarray) -> np.ndarray:
+        """The values at these places."""
+        word = np.searchsorted(self.ones, at.astype(U), side="right") - 1
+        high = self._select(word, self.unary[word], at - self.ones[word].astype(np.int64)) - at
+        return (high << self.width | self._low(at).astype(np.int64)) + self.first
+
+    def _first_not_less(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of x within reach: the first place whose value isn't less, the end of the run of x's high bits, and x's low bits."""
+        high, low = x >> self.width, x.astype(U) & U((1 << self.width) - 1)
         bit = np.where(high > 0, self._select_zero(np.maximum(high - 1, 0)) + 1, 0)
         start, shift = bit - high, bit & 63
         after = ~(self.unary[bit >> 6] >> shift.astype(U))
@@ -102,10 +109,24 @@ class EliasFano:
             mid = (a + b) >> 1
             less = self._low(np.minimum(mid, self.n - 1)) < low
             a, b = np.where(open_ & less, mid + 1, a), np.where(open_ & ~less, mid, b)
-        hit = (a < end) & (self._low(np.minimum(a, self.n - 1)) == low)
-        out[rows[hit]] = a[hit]
+        return a, end, low
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The position of each value, or -1."""
+        out = np.full(len(values), -1, dtype=np.int64)
+        x = values - self.first
+        rows = np.flatnonzero((x >= 0) & (x >> self.width <= self.top))
+        if len(rows):
+            a, end, low = self._first_not_less(x[rows])
+            hit = (a < end) & (self._low(np.minimum(a, self.n - 1)) == low)
+            out[rows[hit]] = a[hit]
         return out
 
+    def successor(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The position of each value in its range [low, high), or -1: the first there that isn't less, if it is equal."""
+        at = self.find(values)
+        return np.where((at >= low) & (at < high), at, -1)
+
 
 def write_sections(folder: str, name: str, sections: dict[str, np.ndarray]) -> dict:
     """Write arrays into one file of the shared folder; returns path and places. A rerun replaces the file whole."""
@@ -135,16 +156,23 @@ def open_sections(meta: dict) -> dict[str, np.ndarray]:
     return {key: raw[at : at + size].view(kind) for key, (at, size, kind) in meta["places"].items()}
 
 
+def named(name: str, sections: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {f"{name}_{k}": v for k, v in sections.items()}
+
+
+def opened(parts: dict[str, np.ndarray], name: str) -> EliasFano | None:
+    return EliasFano(*[parts[f"{name}_{s}"] for s in EliasFano.SECTIONS]) if f"{name}_head" in parts else None
+
+
 @dataclass
 class Level:
-    """The chunks of one level in key order. ``base`` is the position of a chunk's first k-gram in the level."""
+    """The chunks of a sorted table of keys with counts. ``base`` is the position of a chunk's first key in the table."""
 
     metas: list[dict] = field(default_factory=list)
 
     def __post_init__(self):
         self.firsts = np.array([m["first"] for m in self.metas], dtype=np.int64)
         self.bases = np.array([m["base"] for m in self.metas], dtype=np.int64)
-        self.contexts = np.array([m.get("context", 0) for m in self.metas], dtype=np.int64)
         self._open: dict[int, dict] = {}
 
     def __getstate__(self):
@@ -157,7 +185,7 @@ class Level:
     def chunk(self, i: int) -> dict:
         if i not in self._open:
             parts = open_sections(self.metas[i])
-            self._open[i] = parts | {"keys": EliasFano(*[parts[f"keys_{s}"] for s in ("head", "unary", "zeros", "low")])}
+            self._open[i] = parts | {"keys": opened(parts, "keys")}
         return self._open[i]
 
     def _routed(self, bounds: np.ndarray, asked: np.ndarray, in_order: bool = False):
@@ -187,77 +215,134 @@ class Level:
             out[rows] = self.chunk(i)[section][at[rows] - self.bases[i]]
         return out
 
-    def backoff(self, contexts: np.ndarray) -> np.ndarray:
-        """The log10 weight of each context, a position in the level below; 0 where it has no successors here."""
-        out = np.zeros(len(contexts))
-        known = np.flatnonzero(contexts >= 0)
-        for i, rows in self._routed(self.contexts, contexts[known]):
-            rows = known[rows]
-            weights, at = self.chunk(i)["weights"], contexts[rows] - self.contexts[i]
-            inside = (at >= 0) & (at < len(weights))
-            out[rows[inside]] = restore(weights[at[inside]])
-        return out
 
+def children(pointers: np.ndarray, words: np.ndarray) -> dict[str, np.ndarray]:
+    """The successors ``words`` of contexts, those of context i at pointers[i] up to pointers[i + 1], as a monotone sequence.
 
-@dataclass
-class Grams:
-    """What one level says of the tokens ``rows``: each stands for one of the distinct keys at ``found``."""
+    To each range the last value of the one before is added.
+    """
+    sizes = np.diff(pointers)
+    full = sizes > 0
+    lasts = words[pointers[1:][full] - 1].astype(np.int64)
+    return elias_fano(words + np.repeat(np.cumsum(lasts) - lasts, sizes[full]))
+
+
+class Chunk:
+    """All n-grams from one (pair, word) up to that of the next chunk. Words are numbers from 1."""
+
+    def __init__(self, meta: dict):
+        parts = open_sections(meta)
+        self.first = meta["word"]
+        self.codes = {k: parts.get(k) for k in ("g1", "d2", "g2", "d3")}
+        self.pointers2, self.words2, self.pointers3, self.words3 = (opened(parts, k) for k in ("p2", "w2", "p3", "w3"))
+
+    @staticmethod
+    def sections(pairs: np.ndarray, thirds: np.ndarray, base: int, codes: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """From sorted (pair, third) rows, without thirds of 0 but for pairs that have no other; ``base`` is 1 + the number of words."""
+        begins = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        firsts, seconds = np.divmod(pairs[begins], base)
+        span = np.arange(firsts[0], firsts[-1] + 2)
+        p2 = np.searchsorted(firsts, span)
+        real = thirds > 0
+        p3 = np.concatenate([[0], np.cumsum(np.add.reduceat(real.astype(np.int64), begins))])
+        out = codes | named("p2", elias_fano(p2)) | named("w2", children(p2, seconds)) | named("p3", elias_fano(p3))
+        return out | (named("w3", children(p3, thirds[real])) if real.any() else {})
 
-    rows: np.ndarray
-    which: np.ndarray
-    found: np.ndarray
+    @staticmethod
+    def _child(pointers: EliasFano, words: EliasFano, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        low, high = pointers.access(context), pointers.access(context + 1)
+        before = np.where(low > 0, words.access(np.maximum(low - 1, 0)), 0)
+        return words.successor(before + word, low, high)
+
+    def weight(self, first: np.ndarray) -> np.ndarray:
+        """The back-off weight of words as contexts; 1 of those that aren't."""
+        at = first - self.first
+        inside = (at >= 0) & (at < self.pointers2.n - 1)
+        return np.where(inside, restore(self.codes["g1"][np.where(inside, at, 0)]), 1.0)
+
+    def pair(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The positions of pairs, or -1."""
+        out, at = np.full(len(first), -1, dtype=np.int64), first - self.first
+        rows = np.flatnonzero((at >= 0) & (at < self.pointers2.n - 1))
+        if len(rows):
+            out[rows] = self._child(self.pointers2, self.words2, at[rows], second[rows])
+        return out
 
-    def spread(self, values: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros(n, dtype=values.dtype)
-        out[self.rows] = values[self.which]
+    def third(self, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The positions of triples from those of their pairs, or -1."""
+        out, rows = np.full(len(pair), -1, dtype=np.int64), np.flatnonzero(pair >= 0)
+        if len(rows) and self.words3 is not None:
+            out[rows] = self._child(self.pointers3, self.words3, pair[rows], word[rows])
         return out
 
 
 @dataclass
 class Trie:
-    """All levels; ``words`` is the number of distinct training words, ``tokens`` that of training tokens."""
+    """The words and the chunks of longer n-grams; ``tokens`` is the number of training tokens, ``words`` of distinct ones."""
 
     words: int
     tokens: int
-    levels: list[Level]
+    level: Level
+    metas: list[dict] = field(default_factory=list)
 
-    def unigram(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts, and add-one log10 probabilities, of words by position (-1: unknown)."""
-        counts = self.levels[0].take("counts", at)
-        return counts, np.log10((counts + 1.0) / (self.tokens + self.words + 1.0))
+    def __post_init__(self):
+        self.pairs = np.array([m["pair"] for m in self.metas], dtype=np.int64)
+        self.thirds = np.array([m["third"] for m in self.metas], dtype=np.int64)
+        self._open: dict[int, Chunk] = {}
 
-    def follow(self, words: np.ndarray, frequent: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, list[Grams]]:
-        """The position of the longest k-gram of the last level that ends at each token, or -1; and all levels' grams.
+    def __getstate__(self):
+        return {"words": self.words, "tokens": self.tokens, "level": self.level, "metas": self.metas}
 
-        ``words`` are positions in the first level, ``same[i]`` says that token i - 1 is of the same text.
-        Equal k-grams are looked up once.
-        """
-        shorter, out = words, []
-        for level in self.levels[1:]:
-            rows = self.candidates(shorter, same, None if out else frequent)
-            keys, which = np.unique(shorter[rows - 1] * self.words + words[rows], return_inverse=True)
-            out.append(Grams(rows, which, level.find(keys, in_order=True)))
-            shorter = out[-1].spread(out[-1].found + 1, len(words)) - 1
-        return shorter, out
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.__post_init__()
 
-    @staticmethod
-    def candidates(shorter: np.ndarray, same: np.ndarray, frequent: np.ndarray | None) -> np.ndarray:
-        """Tokens where both the k-1 tokens before and the last k-1 tokens are in the level below."""
-        known = shorter >= 0 if frequent is None else frequent
-        return np.flatnonzero(same[1:] & known[:-1] & known[1:]) + 1
-
-    def score(self, hashes: np.ndarray, place: np.ndarray, same: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Word counts, and the model's log10 probability of each token. ``place`` is a token's word among ``hashes``."""
-        distinct = self.levels[0].find(hashes)
-        counts, p_word = self.unigram(distinct)
-        p = p_word[place]
-        _, levels = self.follow(distinct[place], (counts >= least)[place], same)
-        weight = self.levels[1].backoff(distinct)[place] if len(self.levels) > 1 else p
-        for k, grams in enumerate(levels, 1):
-            p[1:] += np.where(same[1:], weight[:-1], 0.0)
-            codes = self.levels[k].take("codes", grams.found)
-            hit = grams.found[grams.which] >= 0
-            p[grams.rows[hit]] = restore(codes)[grams.which[hit]]
-            if k + 1 < len(self.levels):
-                weight = grams.spread(self.levels[k + 1].backoff(grams.found), len(p))
-        return counts[place], p
+    def chunk(self, i: int) -> Chunk:
+        if i not in self._open:
+            self._open[i] = Chunk(self.metas[i])
+        return self._open[i]
+
+    def _runs(self, of: np.ndarray):
+        """(chunk, rows) of sorted chunk numbers; none for those before the first."""
+        if not len(of):
+            return
+        cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist()
+        for low, high in zip(cuts, [*cuts[1:], len(of)], strict=True):
+            if of[low] >= 0:
+                yield self.chunk(int(of[low])), slice(low, high)
+
+    def weights(self, words: np.ndarray) -> np.ndarray:
+        """Back-off weights of sorted words."""
+        out = np.ones(len(words))
+        for chunk, rows in self._runs(np.searchsorted(self.pairs // (self.words + 1), words, side="right") - 1):
+            out[rows] = chunk.weight(words[rows])
+        return out
+
+    def pair_codes(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Discounted probabilities (0 if unknown) and back-off weights (1 if unknown) of sorted pairs.
+
+        The last chunk that starts at or before a pair holds it, if any does.
+        """
+        p, weight = np.zeros(len(pairs)), np.ones(len(pairs))
+        for chunk, rows in self._runs(np.searchsorted(self.pairs, pairs, side="right") - 1):
+            at = chunk.pair(*np.divmod(pairs[rows], self.words + 1))
+            p[rows] = np.where(at >= 0, restore(chunk.codes["d2"][np.maximum(at, 0)]), 0.0)
+            weight[rows] = np.where(at >= 0, restore(chunk.codes["g2"][np.maximum(at, 0)]), 1.0)
+        return p, weight
+
+    def third_codes(self, pairs: np.ndarray, which: np.ndarray, thirds: np.ndarray) -> np.ndarray:
+        """Discounted probabilities of the triples (pairs[which], thirds), which are sorted; 0 if unknown."""
+        out = np.zeros(len(which))
+        # A pair may go on over several chunks: the third tells which.
+        of = np.searchsorted(self.pairs, pairs, side="right") - 1
+        lowest = np.searchsorted(self.pairs, pairs, side="left")
+        of = of[which]
+        for k in np.flatnonzero(lowest <= np.searchsorted(self.pairs, pairs, side="right") - 1).tolist():
+            rows = slice(*np.searchsorted(which, [k, k + 1]).tolist())
+            starts = self.thirds[lowest[k] : np.searchsorted(self.pairs, pairs[k], side="right")]
+            of[rows] = lowest[k] - 1 + np.searchsorted(starts, thirds[rows], side="right")
+        for chunk, rows in self._runs(of):
+            asked, back = np.unique(which[rows], return_inverse=True)
+            at = chunk.third(chunk.pair(*np.divmod(pairs[asked], self.words + 1))[back], thirds[rows])
+            out[rows] = np.where(at >= 0, restore(chunk.codes["d3"][np.maximum(at, 0)]), 0.0) if chunk.words3 else 0.0
+        return out

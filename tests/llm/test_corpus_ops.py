@@ -14,6 +14,7 @@ from gapwise.llm import language_id, lm_scoring, mixing, ngram_join, packing, sh
 from gapwise.llm.common import look_up
 from gapwise.llm.components import connected
 from gapwise.llm.ngram_trie import EliasFano, elias_fano, quantise, restore
+from gapwise.llm.words import in_groups, word_hashes
 from gapwise.llm.signature_tree import Groups, forest, similar
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, rate double, row string, `place` int, label int"
@@ -223,7 +224,13 @@ def test_elias_fano():
         probe = np.unique(np.concatenate([values - 1, values + 1, rng.integers(0, 1 << 62, 500)]))
         probe = probe[probe >= 0]
         assert ((e.find(probe) >= 0) == np.isin(probe, values)).all()
-    assert abs(restore(quantise(np.array([-3.21])))[0] + 3.21) <= 1 / 60
+        low, high = np.zeros(len(probe), dtype=np.int64), np.full(len(probe), len(values) // 2)
+        assert (e.access(np.arange(len(values))) == values).all()
+        assert (e.successor(probe, low, high) == np.where(e.find(probe) < high, e.find(probe), -1)).all()
+    many = np.sort(rng.integers(0, 900, 5000))
+    assert (EliasFano(**elias_fano(many)).access(np.arange(5000)) == many).all()
+    p = np.array([1.0, 0.3, 3e-5])
+    assert np.abs(np.log10(restore(quantise(p)) / p)).max() <= 0.5 / 28 + 1e-9
 
 
 def tokens(text):
@@ -231,48 +238,56 @@ def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", lower), None]
 
 
-def brute_model(texts, order=3, prune=3, discount=0.75):
-    """The same back-off model with dictionaries; probabilities rounded alike."""
-    grams = [Counter() for _ in range(order)]
+def brute_model(texts, discount=0.75):
+    """The same interpolated trigram model with dictionaries; discounted probabilities and weights rounded alike."""
+    grams = [Counter() for _ in range(3)]
     for t in texts:
         w = tokens(t)
-        for k in range(order):
+        for k in range(3):
             grams[k].update(tuple(w[i : i + k + 1]) for i in range(len(w) - k))
     n, v = sum(grams[0].values()), len(grams[0])
-    kept = [grams[0]] + [Counter({g: c for g, c in level.items() if c >= prune}) for level in grams[1:]]
-    codes, weights = [{}] + [{} for _ in range(order - 1)], [{} for _ in range(order)]
+    kinds = Counter(g[:-1] for level in grams[1:] for g in level)
     rounded = lambda x: float(restore(quantise(np.array([x])))[0])
 
-    def known(g):
-        return math.log10((grams[0][g] + 1) / (n + v + 1)) if len(g) == 1 else codes[len(g) - 1][g]
-
-    for k in range(1, order):
-        spent, spared = Counter(), Counter()
-        for g, c in kept[k].items():
-            codes[k][g] = rounded(math.log10((c - discount) / kept[k - 1][g[:-1]]))
-            spent[g[:-1]] += 10 ** codes[k][g]
-            spared[g[:-1]] += 10 ** known(g[1:])
-        for g in spent:
-            weights[k][g] = rounded(min(0.49, math.log10(max(1 - spent[g], 1e-6) / max(1 - spared[g], 1e-6))))
-
     def score(text):
         w, total = tokens(text), 0.0
         for i in range(len(w)):
-            p = math.log10((grams[0][(w[i],)] + 1) / (n + v + 1))
-            for k in range(1, order):
-                if i - k < 0:
-                    break
+            p = (grams[0][(w[i],)] + 1) / (n + v + 1)
+            for k in range(1, min(i, 2) + 1):
                 context, g = tuple(w[i - k : i]), tuple(w[i - k : i + 1])
-                if kept[k - 1][context] < (prune if k == 1 else 1):
-                    break
-                p = codes[k][g] if g in codes[k] else p + weights[k].get(context, 0.0)
-            total += p
+                if kinds[context]:
+                    held = grams[k - 1][context]
+                    p = p * rounded(discount * kinds[context] / held) + (rounded((grams[k][g] - discount) / held) if grams[k][g] else 0.0)
+            total += math.log10(p)
         return total
 
     return n, v, grams[0], score
 
 
-def test_lm(docs, nothing):
+def test_words_are_those_of_the_pattern():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = ["", " ", "a", "É Ab\tab\x0b\x00x\n", "x" * 500, "Q" * 70 + " " + "q" * 70, *("".join(rng.choice("aB \n\té\U0001f600") for _ in range(rng.randrange(40))) for _ in range(400))]
+    for given, want in ((pa.array(texts), texts), (pa.array(["drop me", *texts]).slice(1, 90), texts[:90]), (pa.array([], pa.string()), []), (pa.array(["", ""]), ["", ""])):
+        hashes, sizes = word_hashes(given)
+        words = [tokens(t)[:-1] for t in want]
+        assert sizes.tolist() == list(map(len, words))
+        names = dict(zip((w for t in words for w in t), hashes.tolist(), strict=True))
+        assert [names[w] for t in words for w in t] == hashes.tolist() and len(set(names.values())) == len(names)
+        assert (hashes >= 0).all()
+    batches = pa.Table.from_arrays([pa.array(texts), pa.array(range(len(texts)))], ["text", "k"]).to_batches(max_chunksize=7)
+    for limit in (1, 60, 10**9):
+        tables = list(in_groups(iter(batches), limit))
+        assert [k for t in tables for k in t.column("k").to_pylist()] == list(range(len(texts)))
+        assert all(t.column("text").nbytes for t in tables) and (len(tables) == 1) == (limit == 10**9)
+
+
+@pytest.mark.parametrize("chunk", [None, 40])
+def test_lm(docs, nothing, monkeypatch, chunk):
+    if chunk:  # so small that chunks end inside of pairs
+        monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", chunk)
+        monkeypatch.setattr(lm_scoring, "GROUP_BYTES", 3000)
     rows = {r.doc_id: r for r in lm_scoring.lm_score(docs).collect()}
     n, v, count, score = brute_model([t for i, t, *_ in corpus() if key(i, 7) != 2])
     for i, t, *_ in corpus():
@@ -286,6 +301,20 @@ def test_lm(docs, nothing):
     assert untrained.where("train_tokens <> 0 or n_known <> 0 or score <> 0").count() == 0
 
 
+def test_lm_probabilities_add_up(spark):
+    """Over all known words and one unknown, but for the rounding of codes."""
+    docs = spark.createDataFrame([(i, f"a b {'c' if i % 3 else 'd'} a b {'e' * (i % 4 + 1)}") for i in range(60)], "doc_id bigint, text string")
+    trie = lm_scoring.train(docs.select("text"))
+    import pyarrow as pa
+
+    vocabulary = ["a", "b", "c", "d", "e", "ee", "eee", "eeee", "unknown"]
+    for context in ("a b", "b c", "x a", "q q", "b"):
+        _, p, sizes = lm_scoring.scored(trie, pa.chunked_array([pa.array([f"{context} {w}" for w in vocabulary])]))
+        ends = np.cumsum(sizes) - 1
+        total = (10 ** p[ends - 1]).sum() + 10 ** lm_scoring.scored(trie, pa.chunked_array([pa.array([context])]))[1][-1]
+        assert abs(total - 1) < 0.05, (context, total)
+
+
 def packed_well(rows, texts, encode, sequence=1024):
     by_seq, by_doc = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -303,14 +332,6 @@ def packed_well(rows, texts, encode, sequence=1024):
             assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
 
 
-def test_lm_query_holds_all_ngrams(docs, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "load", lambda *_: docs)
-    rows = {r.doc_id: r for r in lm_scoring.op6_elias_fano_lm(None, "").collect()}
-    *_, score = brute_model([t for i, t, *_ in corpus() if key(i, 7) != 2], prune=1)
-    for i, t, *_ in corpus():
-        assert rows[i].score == pytest.approx(score(t), abs=1e-6 * len(tokens(t)) + 1e-6), i
-
-
 @pytest.mark.parametrize("weights", [None, {"a0": 2.0, "b1": 1.0}])
 def test_packing(docs, nothing, weights):
     import public_tokenizers
