@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import ascii_lower, find_spans, let, load, text_or_empty
+from gapwise.llm.common import LOWER, UPPER, find_spans, let, load, text_or_empty
+from gapwise.llm.license_rules import Signature, signatures
 
 #: Fixed phrases and their labels: found where their words stand consecutively.
 PHRASES = (
@@ -16,137 +15,35 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: label: (keyword, name pattern over words joined by single spaces, SPDX identifiers as words). Each alternative of
-#: the name and of the identifiers holds an alternative of the keyword at the start of a word.
-LICENSES = {
-    "mit": ("mit|expat", r"mit|expat", r"mit"),
-    "mit-0": ("mit", r"mit (?:no attribution|0)", r"mit 0"),
-    "isc": ("isc|internet systems", r"isc|internet systems consortium", r"isc"),
-    "bsd-2-clause": ("bsd|freebsd", r"bsd 2 clause|2 clause bsd|simplified bsd|freebsd|two clause bsd", r"bsd 2 clause"),
-    "bsd-3-clause": ("bsd", r"bsd 3 clause|3 clause bsd|new bsd|modified bsd|three clause bsd|revised bsd", r"bsd 3 clause"),
-    "bsd-4-clause": ("bsd", r"bsd 4 clause|4 clause bsd|original bsd|old bsd", r"bsd 4 clause"),
-    "0bsd": ("bsd|0bsd", r"0bsd|zero clause bsd|bsd zero clause", r"0bsd"),
-    "bsd": ("bsd|berkeley software", r"bsd(?: style)?|berkeley software distribution", r"bsd"),
-    "apache-1.1": ("apache", r"apache (?:software )?(?:license )?(?:version )?1 1", r"apache 1 1"),
-    "apache-2": ("apache", r"apache (?:software )?(?:license )?(?:version |v)?2(?: 0)?|apache license 2(?: 0)?|apache2", r"apache 2 0"),
-    "apache": ("apache", r"apache(?: software)?", r"apache"),
-    "gpl-2": ("gnu|gpl|general public", r"(?:gnu )?(?:general public license|gpl) (?:version |v)?2(?: 0)?|gplv2", r"gpl 2 0(?: only| or later)?"),
-    "gpl-3": ("gnu|gpl|general public", r"(?:gnu )?(?:general public license|gpl) (?:version |v)?3(?: 0)?|gplv3", r"gpl 3 0(?: only| or later)?"),
-    "gpl": ("gnu|gpl", r"gnu general public license|gnu gpl|gpl", r"gpl"),
-    "lgpl-2.1": ("lesser|lgpl|library", r"(?:gnu )?(?:lesser general public license|lgpl) (?:version |v)?2 1|lgplv2 1", r"lgpl 2 1(?: only| or later)?"),
-    "lgpl-3": ("lesser|lgpl", r"(?:gnu )?(?:lesser general public license|lgpl) (?:version |v)?3(?: 0)?|lgplv3", r"lgpl 3 0(?: only| or later)?"),
-    "lgpl": ("lesser|lgpl|library", r"gnu lesser general public license|gnu library general public license|gnu lgpl|lgpl", r"lgpl"),
-    "agpl-3": ("affero|agpl", r"(?:gnu )?(?:affero general public license|agpl) (?:version |v)?3(?: 0)?|agplv3", r"agpl 3 0(?: only| or later)?"),
-    "agpl": ("affero|agpl", r"gnu affero general public license|affero gpl|agpl", r"agpl"),
-    "gfdl": ("gnu|gfdl", r"gnu free documentation license|gfdl", r"gfdl 1 [123](?: only| or later)?"),
-    "mpl-1.1": ("mozilla|mpl", r"(?:mozilla public license|mpl) (?:version |v)?1 1", r"mpl 1 1"),
-    "mpl-2": ("mozilla|mpl", r"(?:mozilla public license|mpl) (?:version |v)?2(?: 0)?", r"mpl 2 0"),
-    "mpl": ("mozilla|mpl", r"mozilla public license|mpl", r"mpl"),
-    "epl-1": ("eclipse|epl", r"(?:eclipse public license|epl) (?:version |v)?1(?: 0)?", r"epl 1 0"),
-    "epl-2": ("eclipse|epl", r"(?:eclipse public license|epl) (?:version |v)?2(?: 0)?", r"epl 2 0"),
-    "epl": ("eclipse|epl", r"eclipse public license|epl", r"epl"),
-    "cddl": ("common development|cddl", r"common development and distribution license|cddl", r"cddl 1 [01]"),
-    "cpl": ("common public|cpl", r"common public license|cpl", r"cpl 1 0"),
-    "ipl": ("ibm|ipl", r"ibm public license", r"ipl 1 0"),
-    "eupl": ("european|eupl", r"european union public licen[cs]e|eupl", r"eupl 1 [012]"),
-    "osl-3": ("open software|osl", r"open software license(?: version)?(?: 3(?: 0)?)?|osl 3(?: 0)?", r"osl 3 0"),
-    "afl-3": ("academic free|afl", r"academic free license(?: version)?(?: 3(?: 0)?)?|afl 3(?: 0)?", r"afl 3 0"),
-    "artistic-1": ("artistic", r"artistic(?: license)? (?:version )?1(?: 0)?", r"artistic 1 0"),
-    "artistic-2": ("artistic", r"artistic(?: license)? (?:version )?2(?: 0)?", r"artistic 2 0"),
-    "artistic": ("artistic", r"artistic|perl artistic", r"artistic"),
-    "zlib": ("zlib", r"zlib(?: libpng)?", r"zlib"),
-    "libpng": ("libpng", r"libpng", r"libpng(?: 2 0)?"),
-    "bsl-1": ("boost|bsl", r"boost software(?: license)?(?: version)?(?: 1(?: 0)?)?|boost", r"bsl 1 0"),
-    "busl-1.1": ("business source|busl", r"business source(?: license)?(?: 1 1)?|busl", r"busl 1 1"),
-    "sspl-1": ("server side|sspl", r"server side public license(?: version)?(?: 1)?|sspl", r"sspl 1 0"),
-    "elastic-2": ("elastic", r"elastic(?: license)?(?: 2(?: 0)?)?", r"elastic 2 0"),
-    "unlicense": ("unlicense", r"unlicense", r"unlicense"),
-    "wtfpl": ("wtfpl|do what the", r"wtfpl|do what the fuck you want to public license", r"wtfpl"),
-    "psf-2": ("python|psf", r"python software foundation(?: license)?(?: 2(?: 0)?)?|psf", r"(?:python|psf) 2 0"),
-    "php-3": ("php", r"php(?: license)?(?: version)?(?: 3(?: 0[01]?)?)?", r"php 3 01?"),
-    "ruby": ("ruby", r"ruby", r"ruby"),
-    "postgresql": ("postgres", r"postgresql", r"postgresql"),
-    "openssl": ("openssl", r"openssl", r"openssl"),
-    "ncsa": ("ncsa|illinois", r"ncsa|university of illinois(?: ncsa)?(?: open source)?", r"ncsa"),
-    "x11": ("x11|x consortium", r"x11|x consortium", r"x11"),
-    "curl": ("curl", r"curl", r"curl"),
-    "w3c": ("w3c", r"w3c(?: software)?", r"w3c"),
-    "upl-1": ("universal permissive|upl", r"universal permissive(?: license)?(?: 1 0)?|upl", r"upl 1 0"),
-    "ms-pl": ("microsoft|ms pl", r"microsoft public|ms pl", r"ms pl"),
-    "ms-rl": ("microsoft|ms rl", r"microsoft reciprocal|ms rl", r"ms rl"),
-    "ofl-1.1": ("open font|ofl", r"(?:sil )?open font(?: license)?(?: 1 1)?|ofl", r"ofl 1 [01]"),
-    "odbl": ("odbl|open database", r"open database(?: license)?(?: odbl)?|odbl", r"odbl 1 0"),
-    "odc-by": ("odc|open data", r"open data commons attribution|odc by", r"odc by 1 0"),
-    "pddl": ("pddl|public domain dedication", r"open data commons public domain dedication|pddl", r"pddl 1 0"),
-    "cc0": ("cc0|cc zero|creative commons", r"cc0|cc zero|creative commons zero", r"cc0 1 0"),
-    "cc-by": ("cc|creative commons", r"cc by|creative commons attribution", r"cc by(?: [1-4] [05])?"),
-    "cc-by-sa": ("cc|creative commons", r"cc by sa|creative commons attribution share ?alike", r"cc by sa(?: [1-4] [05])?"),
-    "cc-by-nd": ("cc|creative commons", r"cc by nd|creative commons attribution no ?deriv(?:s|atives)", r"cc by nd(?: [1-4] [05])?"),
-    "cc-by-nc": ("cc|creative commons", r"cc by nc|creative commons attribution non ?commercial", r"cc by nc(?: [1-4] [05])?"),
-    "cc-by-nc-sa": ("cc|creative commons", r"cc by nc sa|creative commons attribution non ?commercial share ?alike", r"cc by nc sa(?: [1-4] [05])?"),
-    "cc-by-nc-nd": ("cc|creative commons", r"cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:s|atives)", r"cc by nc nd(?: [1-4] [05])?"),
-    "openrail": ("rail|openrail|creativeml|bigscience", r"(?:creativeml |bigscience )?open ?rail(?: m)?", r"openrail"),
-    "llama": ("llama", r"llama(?: [23])? community", r"llama [23]"),
-    "vim": ("vim", r"vim", r"vim"),
-    "beerware": ("beer", r"beer ?ware", r"beerware"),
-    "jslint": ("good not evil|json", r"json", r"json"),
-    "public-domain": ("public domain", r"public domain", r"public domain"),
-    "all-rights-reserved": ("all rights", r"all rights reserved", r"all rights reserved"),
-    "proprietary": ("proprietary|confidential", r"proprietary(?: and confidential)?", r"proprietary"),
-}
-
-#: (template over the name or the SPDX identifiers, priority, score): a smaller priority is stronger.
-TEMPLATES = (
-    (r"spdx license identifier (?:{spdx})", 0, 1.0),
-    (r"(?:licen[cs]ed|released|distributed|available|provided|published|shared|covered) under (?:the )?(?:terms of (?:the )?)?(?:an? )?(?:{name})(?: licen[cs]e)?", 1, 0.95),
-    (r"(?:the )?(?:{name}) licen[cs]ed?", 2, 0.85),
-    (r"(?:licen[cs]es?|licen[cs]e is|licen[cs]e(?: file)? for this (?:work|file|project) is)(?: the)? (?:{name})", 3, 0.75),
-)
-#: These names say enough by themselves.
-STANDALONE = ("gpl", "gpl-2", "gpl-3", "lgpl", "lgpl-2.1", "lgpl-3", "agpl", "agpl-3", "gfdl", "cc0", "cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd", "public-domain", "all-rights-reserved", "apache-2", "mpl-2", "bsd-2-clause", "bsd-3-clause", "eupl", "cddl", "unlicense", "wtfpl")
-#: A document without any of these holds no detection; the rules run only on the others. Templates 1, 3 and 4 need a
-#: form of license, template 2 that or another verb before "under", and the names that stand alone need themselves.
-GATE = (
-    r"licen[cs]e|(?:released|distributed|available|provided|published|shared|covered) under |(?<= )(?:"
-    + "|".join(f"(?:{LICENSES[label][1]})" for label in STANDALONE)
-    + r")(?= )"
-)
-LEVELS = 5
-
 
-@dataclass(frozen=True)
-class Signature:
-    label: str
-    keyword: str
-    pattern: str
-    priority: int
-    score: float
+#: Letters and digits stay, in lower case; any other ASCII character separates words.
+OTHERS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+#: Keywords that end within a word, by all words they may end with; of any other the longest word counts.
+OPEN_ENDS = {
+    " gpl": ["gpl", "gplv2", "gplv3"],
+    " lgpl": ["lgpl", "lgplv2", "lgplv3"],
+    " agpl": ["agpl", "agplv3"],
+    " beer": ["beer", "beerware"],
+}
 
 
-def signatures() -> list[Signature]:
-    """All rules in order: each license by each template, then the names that stand alone."""
-    rules = []
-    for template, priority, score in TEMPLATES:
-        for label, (keyword, name, spdx) in LICENSES.items():
-            rules.append(Signature(label, keyword, rf"(?<= ){template.format(name=name, spdx=spdx)}(?= )", priority, score))
-    for label in STANDALONE:
-        keyword, name, _ = LICENSES[label]
-        rules.append(Signature(label, keyword, rf"(?<= )(?:{name})(?= )", 4, 0.6))
-    return rules
+def trigger_words(rule: Signature) -> list[str]:
+    """Words of which every text that the rule matches holds one, as it contains the keyword."""
+    return OPEN_ENDS.get(rule.keyword) or [max(rule.keyword.split(), key=len)]
 
 
 def _rules() -> Column:
     fields = lambda k, r: F.struct(
-        F.lit(k).alias("rank"), F.lit(r.label).alias("label"), F.lit(rf"\b(?:{r.keyword})").alias("keyword"),
+        F.lit(k).alias("rank"), F.lit(r.label).alias("label"), F.array(*[F.lit(w) for w in trigger_words(r)]).alias("words"), F.lit(r.keyword).alias("keyword"),
         F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"),
     )
     return F.array(*[fields(k, r) for k, r in enumerate(signatures())])
 
 
-def _detections(joined: Column) -> Column:
-    """All matches of the rules whose keyword occurs, widest first at each start: what stands later can't contain what stands earlier."""
+def _detections(joined: Column, present: Column) -> Column:
+    """All matches of the rules whose keyword occurs, by start and then the widest and the strongest first; ``present`` are the trigger words found."""
     hits = F.transform(
-        F.filter(_rules(), lambda r: F.regexp(joined, r["keyword"])),
+        F.filter(F.filter(_rules(), lambda r: F.arrays_overlap(r["words"], present)), lambda r: F.contains(joined, r["keyword"])),
         lambda r: F.transform(
             find_spans(joined, r["pattern"]),
             lambda s: F.struct(
@@ -161,29 +58,23 @@ def _detections(joined: Column) -> Column:
 def _resolved(detections: Column) -> Column:
     """Labels and the best score of what is left.
 
-    One sweep in order of start: a detection falls if an earlier interval of at least its priority contains
-    it, or if one of a stronger priority overlaps it. State: per priority the furthest end so far.
+    One sweep in order of start. A detection falls if one that is still open is stronger, or as strong and
+    contains it; else it fells the weaker ones that are open. Detections that end before the next starts stay.
     """
-    start = F.struct(
-        F.array(*[F.lit(-1).cast("bigint")] * LEVELS).alias("ends"),
-        F.array().cast("array<string>").alias("labels"),
-        F.lit(0.0).alias("score"),
-    )
+    start = F.struct(F.slice(detections, F.lit(1), F.lit(0)).alias("open"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
+
+    def settled(acc: Column, closed: Column, live: Column) -> Column:
+        labels = F.array_union(acc["labels"], F.transform(closed, lambda x: x["label"]))
+        best = F.greatest(acc["score"], F.coalesce(F.array_max(F.transform(closed, lambda x: x["score"])), F.lit(0.0)))
+        return F.struct(live.alias("open"), labels.alias("labels"), best.alias("score"))
 
     def step(acc: Column, d: Column) -> Column:
-        end = -d["minus_end"]
-        furthest = lambda upto: F.array_max(F.slice(acc["ends"], F.lit(1), upto))
-        contained = furthest(d["priority"] + 1) >= end
-        overlapped = (d["priority"] > 0) & (F.coalesce(furthest(d["priority"]), F.lit(-1)) > d["start"])
-        ends = F.transform(acc["ends"], lambda e, p: F.when(p == d["priority"], F.greatest(e, end)).otherwise(e))
-        kept = F.struct(
-            ends.alias("ends"),
-            F.array_union(acc["labels"], F.array(d["label"])).alias("labels"),
-            F.greatest(acc["score"], d["score"]).alias("score"),
-        )
-        return F.when(contained | overlapped, acc).otherwise(kept)
+        live = F.filter(acc["open"], lambda x: -x["minus_end"] > d["start"])
+        beaten = F.exists(live, lambda x: (x["priority"] < d["priority"]) | ((x["priority"] == d["priority"]) & (x["minus_end"] <= d["minus_end"])))
+        stays = F.when(beaten, live).otherwise(F.concat(F.filter(live, lambda x: x["priority"] <= d["priority"]), F.array(d)))
+        return settled(acc, F.filter(acc["open"], lambda x: -x["minus_end"] <= d["start"]), stays)
 
-    return F.aggregate(detections, start, step, lambda acc: F.struct(acc["labels"], acc["score"]))
+    return F.aggregate(detections, start, step, lambda acc: let(settled(acc, acc["open"], acc["open"]), lambda x: F.struct(x["labels"], x["score"])))
 
 
 def _places(joined: Column, phrase: str) -> Column:
@@ -207,25 +98,28 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     The text's words (digits, letters, anything beyond ASCII) are joined by single spaces, so that rules
-    needn't know punctuation or line breaks. Everything happens within a row, without a shuffle; the rules
-    run only where the gate and their keyword match. score is the best of the surviving rules, at least 0.8
+    needn't know punctuation or line breaks. Everything happens within a row, without a shuffle; a rule
+    runs only where its keyword occurs, which every text that it matches contains. score is the best of the surviving rules, at least 0.8
     with a base phrase, 0 without any label. Defined results: a null text is empty; a repeated row is
     scanned as often as it occurs; an empty table gives an empty result; other columns are ignored.
     """
-    words = F.btrim(F.regexp_replace(ascii_lower(text_or_empty(text_col)), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.concat(F.lit(" "), words, F.lit(" ")).alias("joined"))
-
-    def scanned(joined: Column) -> Column:
+    text = F.btrim(F.translate(text_or_empty(text_col), UPPER + OTHERS, LOWER + " " * len(OTHERS)))
+    words = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " +"))
+    triggers = F.array(*[F.lit(w) for w in sorted({w for r in signatures() for w in trigger_words(r)})])
+    given = F.struct(F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("joined"), F.size("words").cast("bigint").alias("n_words"), F.array_intersect("words", triggers).alias("present"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("words")).select("doc_id", given.alias("g"))
+
+    def scanned(g: Column) -> Column:
+        joined = g["joined"]
         places = F.array(*[_places(joined, phrase) for phrase, _ in PHRASES])
         nothing = F.struct(F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
-        found = F.when(joined.rlike(GATE), _resolved(_detections(joined))).otherwise(nothing)
-        n_words = F.when(joined == "  ", 0).otherwise(F.length(joined) - F.length(F.translate(joined, " ", "")) - 1)
-        return F.struct(n_words.cast("bigint").alias("n_words"), places.alias("places"), found.alias("found"))
+        found = F.when(F.size(g["present"]) > 0, _resolved(_detections(joined, g["present"]))).otherwise(nothing)
+        return F.struct(g["n_words"].alias("n_words"), places.alias("places"), found.alias("found"))
 
     labels = F.array(*[F.lit(label) for _, label in PHRASES])
     base = F.filter(F.transform("m.places", lambda p, i: F.when(p["n"] > 0, F.get(labels, i))), lambda x: x.isNotNull())
     joined_sorted = lambda a: F.array_join(F.sort_array(F.array_distinct(a)), ",")
-    out = rows.select("doc_id", let(F.col("joined"), scanned).alias("m")).withColumn("base", base)
+    out = rows.select("doc_id", let(F.col("g"), scanned).alias("m")).withColumn("base", base)
     return out.select(
         "doc_id",
         "m.n_words",

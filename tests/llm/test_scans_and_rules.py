@@ -1,6 +1,5 @@
 """Quality rules, license and secret scans, exact dedup: against plain Python, and their edge cases."""
 
-import dataclasses
 import hashlib
 import math
 import random
@@ -202,6 +201,23 @@ def test_license_rules(spark):
         "Creative Commons Attribution-ShareAlike": "cc-by-sa",
         "The unlicensed cat in the mitten said nothing about a bsdx.": "",
         "All rights reserved. Distributed under the Boost Software License.": "all-rights-reserved,bsl-1",
+        "released under MIT.": "mit",
+        "Distributed under zlib": "zlib",
+        "SPDX-License-Identifier: 0BSD": "0bsd",
+        "SPDX-License-Identifier: IPL-1.0": "ipl",
+        "General Public License version 2": "gpl-2",
+        "CreativeML OpenRAIL-M license": "openrail",
+        "licensed under the Expat license": "mit",
+        "the FreeBSD license": "bsd-2-clause",
+        "Internet Systems Consortium": "isc",
+        "X Consortium": "x11",
+        "CC Zero": "cc0",
+        "released under the terms of OFL 1.1": "ofl-1.1",
+        "published under ODbL": "odbl",
+        "covered under EPL 2.0": "epl-2",
+        "the JSON license": "json",
+        "licensed under the Apache License, Version 2.0": "apache-2",
+        "Good money permits every commit; the apache flew by.": "",
     }
     rows = license_scan.license_scan(frame(spark, list(cases))).orderBy("doc_id").collect()
     assert [r.labels for r in rows] == list(cases.values())
@@ -234,20 +250,45 @@ def spelled(pattern):
     return of(_parser.parse(pattern))
 
 
-def test_license_prefilters_lose_nothing(spark, monkeypatch):
-    texts = []
-    for label, (_, name, spdx) in license_scan.LICENSES.items():
-        texts += [(label, f"spdx license identifier {t}") for t in spelled(spdx)]
-        for t in spelled(name):
-            texts += [(label, x) for x in (f"released under {t}", f"covered under the terms of a {t}", f"{t} licence", f"license is {t}")]
-            texts += [(label, t)] if label in license_scan.STANDALONE else []
-    docs = frame(spark, [t for _, t in texts]).repartition(8)
-    got = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
-    assert [t for k, t in enumerate(texts) if not got[k].labels] == []
-    rules = [dataclasses.replace(r, keyword="") for r in license_scan.signatures()]
-    monkeypatch.setattr(license_scan, "signatures", lambda: rules)
-    monkeypatch.setattr(license_scan, "GATE", "")
-    assert {r.doc_id: r for r in license_scan.license_scan(docs).collect()} == got
+def rule_texts(rule):
+    return spelled(rule.pattern.removeprefix("(?<= )(?:").removesuffix(")(?= )"))
+
+
+def test_license_prefilters_lose_nothing():
+    for rule in license_scan.signatures():
+        for t in rule_texts(rule):
+            assert rule.keyword in f" {t} " and set(license_scan.trigger_words(rule)) & set(t.split()) and re.search(rule.pattern, f" {t} "), (rule.label, t)
+
+
+def brute_labels(text):
+    """Rule by rule without keywords, and the same sweep over lists."""
+    found = sorted((m.start(), -m.end(), r.priority, k, r.label, r.score) for k, r in enumerate(license_scan.signatures()) for m in re.finditer(r.pattern, f" {text} "))
+    live, settled = [], []
+    for d in found:
+        settled += [x for x in live if -x[1] <= d[0]]
+        live = [x for x in live if -x[1] > d[0]]
+        if not any(x[2] < d[2] or (x[2] == d[2] and x[1] <= d[1]) for x in live):
+            live = [x for x in live if x[2] <= d[2]] + [d]
+    return {x[4] for x in settled + live}, max((x[5] for x in settled + live), default=0.0)
+
+
+def test_license_rules_one_by_one(spark):
+    rng = random.Random(4)
+    texts, wanted = [], []
+    for rule in license_scan.signatures():
+        options = rule_texts(rule)
+        for t in {min(options, key=len), *rng.sample(options, min(2, len(options)))}:
+            texts.append(t)
+            wanted.append(rule)
+    texts += [" ".join(rng.sample(texts, 4)) for _ in range(150)] + ["and " * rng.randrange(3) + t + " or later" for t in rng.sample(texts, 100)]
+    rows = {r.doc_id: r for r in license_scan.license_scan(frame(spark, texts).repartition(8)).collect()}
+    phrases = dict(license_scan.PHRASES)
+    for i, t in enumerate(texts):
+        labels, score = brute_labels(t)
+        base = {phrases[p] for p in phrases if f" {p} " in f" {t} "}
+        assert set(filter(None, rows[i].labels.split(","))) == labels | base, t
+        assert rows[i].score == max(score, 0.8 if base else 0.0), t
+        assert rows[i].labels, t
 
 
 def brute_spans(text):
