@@ -12,14 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapwise.llm.common import load, staged, text_or_empty
 
-#: Documents are dealt to so many queue segments per source; the driver sees one sum per source and segment.
-SEGMENTS = 256
 END_ID = 0
+#: The driver plans with one total per source, so there may be so many; a source is a corpus or a site, not a page.
+MAX_SOURCES = 100_000
+#: So many queue starts (one per source and partition) are broadcast; more are joined.
+MAX_BROADCAST = 200_000
 
 
 @dataclass(frozen=True)
@@ -131,74 +134,77 @@ def load_encoder(name: str):
 
 
 def tokenized(docs: DataFrame, *, id_col: str, source_col: str, text_col: str, vocabulary: str) -> DataFrame:
-    """doc_id, source, segment, doc_tokens and the ids as little-endian 32-bit numbers."""
+    """id, source, part, before, doc_tokens and the ids as little-endian 32-bit numbers.
+
+    ``before`` counts the tokens of the source's documents earlier in the partition ``part``.
+    """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = load_encoder(vocabulary)
+        encoder, part, upto = load_encoder(vocabulary), TaskContext.get().partitionId(), {}
         for batch in batches:
             ids = [np.array([*encoder.encode(t, allowed_special="all"), END_ID], dtype="<u4") for t in batch.pop("text")]
-            yield batch.assign(doc_tokens=[len(i) for i in ids], ids=[i.tobytes() for i in ids])
+            before = []
+            for source, one in zip(batch["source"], ids, strict=True):
+                before.append(upto.get(source, 0))
+                upto[source] = before[-1] + len(one)
+            yield batch.assign(part=part, before=before, doc_tokens=[len(i) for i in ids], ids=[i.tobytes() for i in ids])
 
     rows = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"),
+        F.coalesce(F.col(id_col).cast("string"), F.lit("\0null")).alias("id"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("\0null")).alias("source"),
-        F.pmod(F.xxhash64(F.lit("queue"), F.col(id_col), F.octet_length(text_or_empty(text_col))), F.lit(SEGMENTS)).cast("int").alias("segment"),
         text_or_empty(text_col).alias("text"),
     )
-    return rows.mapInPandas(encode, "doc_id bigint, source string, segment int, doc_tokens bigint, ids binary")
+    return rows.mapInPandas(encode, "id string, source string, part int, before bigint, doc_tokens bigint, ids binary")
 
 
-def pack(docs: DataFrame, weights: Mapping[str, float] | None = None, *, sequence: int = 1024, window: int = 32 * 1024, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def pack(docs: DataFrame, weights: Mapping[str, float] | None = None, *, temper: float = 1.0, sequence: int = 1024, window: int = 32 * 1024, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     Each source is a queue of its documents' tokens. Windows of ``window`` tokens take from each queue its
     target share; sequences are the consecutive ``sequence`` tokens of the windows, so all but the last
-    are full. Without ``weights`` the target is each source's share of all tokens, so that every window is
-    mixed alike to the end; with them, a source that runs out leaves its share to the others, and a source without a weight comes last.
-
-    The plan is arithmetic on queue positions, so no task has to wait for another's deficit: the driver
-    sees one token sum per source and segment, and a document's position is its segment's sum before it plus
-    a running total in its segment. Tokens are computed once and kept in the shared folder. Defined
+    are full. Without ``weights`` the target is each source's share of all tokens to the power of ``temper``: at 1 every window is
+    mixed alike to the end, at less small sources get more. A source that runs out leaves its share to the others, and
+    a source without a weight comes last.
+
+    The plan is arithmetic on queue positions, so no task has to wait for another's deficit and no token is shuffled: a
+    queue follows the partitions of ``docs``, and a document's position is its source's sum over earlier partitions
+    plus a running total in its own. Tokens are computed once and kept in the shared folder, which fixes that
+    order. The driver sees one total per source; more than MAX_SOURCES are refused. Defined
     results: a null text is the end id alone; a null source is a source of its own; a null id stays null;
-    repeated rows are packed as often as they occur; an empty table gives an empty result; other columns
-    are ignored.
+    repeated rows are packed as often as they occur; ids may be of any type that can be a string; an empty table gives an
+    empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
     ids = staged(tokenized(docs, id_col=id_col, source_col=source_col, text_col=text_col, vocabulary=vocabulary), "pack-ids")
-    sums = ids.groupBy("source", "segment").agg(F.sum("doc_tokens").alias("n")).orderBy("source", "segment").collect()
-    names = sorted({r.source for r in sums})
-    totals, bases = dict.fromkeys(names, 0), []
-    for r in sums:
-        bases.append((r.source, r.segment, names.index(r.source), totals[r.source]))
-        totals[r.source] += r.n
-    shares = [float(totals[n]) if weights is None else float(weights.get(n, 0.0)) for n in names]
-    scale = sum(shares) or 1.0
-    spans = plan_windows([totals[n] for n in names], [s / scale for s in shares], window)
-
-    # Text copies tie on every key but the row itself; equal rows may swap places without any change.
-    order = Window.partitionBy("source", "segment").orderBy("doc_id", "doc_tokens", "crc").rowsBetween(Window.unboundedPreceding, 0)
-    base = F.broadcast(spark.createDataFrame(bases, "b_source string, b_segment int, number int, base bigint"))
-    placed = (
-        ids.withColumn("crc", F.crc32("ids"))
-        .withColumn("upto", F.sum("doc_tokens").over(order))
-        .join(base, (F.col("source") == F.col("b_source")) & (F.col("segment") == F.col("b_segment")))
-        .select("doc_id", "source", "doc_tokens", "ids", "number", (F.col("base") + F.col("upto") - F.col("doc_tokens")).alias("first"))
-    )
+    sums = ids.groupBy(F.col("source").alias("of"), F.col("part").alias("at")).agg(F.sum("doc_tokens").alias("n"))
+    earlier = Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = staged(sums.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "pack-queues")
+    found = starts.groupBy("of").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("starts")).orderBy("of").limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
+    names, totals = [r.of for r in found], [r.n for r in found]
+    shares = [n**temper if weights is None else float(weights.get(name, 0.0)) for name, n in zip(names, totals, strict=True)]
+    scale, numbers = sum(shares) or 1.0, {name: k for k, name in enumerate(names)}
+    spans = plan_windows(totals, [s / scale for s in shares], window)
+    if sum(r.starts for r in found) <= MAX_BROADCAST:
+        starts = F.broadcast(starts)
+    placed = ids.join(starts, (F.col("source") == F.col("of")) & (F.col("part") == F.col("at")))
+    placed = placed.select("id", "source", "doc_tokens", "ids", (F.col("base") + F.col("before")).alias("first"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for d, s, n, ids_, number, first in batch.itertuples(index=False, name=None):
-                for start, length, position in pieces(spans, number, first, n, sequence):
+            for d, s, n, ids_, first in batch.itertuples(index=False, name=None):
+                for start, length, position in pieces(spans, numbers[s], first, n, sequence):
                     crc = zlib.crc32(memoryview(ids_)[4 * start : 4 * (start + length)])
                     rows.append((d, start, length, crc, n, position // sequence, position % sequence, s))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
-            yield out.assign(doc_id=pd.array([None if pd.isna(x) else int(x) for x in out["doc_id"]], dtype="Int64"))
+            yield pd.DataFrame(rows, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"
-    out = placed.mapInPandas(cut, schema)
-    return out.withColumn("source", F.when(F.col("source") != "\0null", F.col("source")))
+    schema = "id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"
+    real = lambda c: F.when(F.col(c) != "\0null", F.col(c))
+    out = placed.mapInPandas(cut, schema).withColumns({"doc_id": real("id").cast(docs.schema[id_col].dataType), "source": real("source")})
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
 
 
 def op8_mixture_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(load(spark, sf_dir, "documents"))
+    """Targets are the square roots of the sources' shares, so that small sources run out before the end."""
+    return pack(load(spark, sf_dir, "documents"), temper=0.5)
