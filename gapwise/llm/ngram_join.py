@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from gapwise.llm.components import connected
 from gapwise.llm.lm_scoring import write_level
 from gapwise.llm.ngram_trie import Level
 from gapwise.llm.signature_tree import SignatureTree, possible, bitmap, forest, traverse
+from gapwise.llm.words import word_hashes
 
 #: Texts are handled in groups of so many characters.
 GROUP_CHARS = 8_000_000
@@ -27,8 +29,8 @@ BLOCK_SETS, BLOCK_STEP = 8192, 2048
 #: A signature has so many bits for each token, rounded up to a power of two.
 BITS_PER_TOKEN, LEAST_BITS, MOST_BITS = 4, 512, 1 << 17
 MAX_BROADCAST = 50_000
-#: A token known in so many texts is dealt to PARTS parts, so that no task has to hold all its sets.
-HOT_TOKEN, PARTS = 2000, 32
+#: A token known in more texts is dealt to parts of so many, so that no task has to hold all its sets.
+HOT_TOKEN = 2000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,25 +44,23 @@ def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def shingle_sets(texts: pd.Series, width: int = 5) -> list[np.ndarray]:
     """The sorted distinct 63-bit shingle hashes of each text; of fewer words the whole sequence is one shingle."""
-    seen: dict[bytes, int] = {}
-    placed = []
-    for text in texts:
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        placed.append([seen.setdefault(w, len(seen)) for w in words])
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in seen), dtype=np.uint64, count=len(seen))
-    out = []
-    for place in placed:
-        h = hashes[place]
-        size = min(width, len(h))
-        if not size:
-            out.append(np.zeros(0, dtype=np.int64))
-            continue
-        n = len(h) - size + 1
-        code = np.full(n, np.uint64(size))
+    h, sizes = word_hashes(pa.array(texts, pa.large_string()))
+    h, starts = h.astype(np.uint64), np.cumsum(sizes) - sizes
+
+    def codes(at: np.ndarray, size: int) -> np.ndarray:
+        """The hashes of ``size`` words from each of these places on."""
+        code = np.full(len(at), np.uint64(size))
         for k in range(size):
-            code = (code ^ (code >> np.uint64(31))) * MIX + h[k : k + n]
+            code = (code ^ (code >> np.uint64(31))) * MIX + h[at + k]
         code = (code ^ (code >> np.uint64(29))) * MIX
-        out.append(np.unique(((code ^ (code >> np.uint64(32))) >> np.uint64(1)).astype(np.int64)))
+        return ((code ^ (code >> np.uint64(32))) >> np.uint64(1)).astype(np.int64)
+
+    every = codes(np.arange(max(0, len(h) - width + 1)), width)
+    out = [np.unique(every[s : s + n - width + 1]) if n >= width else np.zeros(0, dtype=np.int64) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    for size in range(1, width):
+        rows = np.flatnonzero(sizes == size)
+        for k, code in zip(rows.tolist(), codes(starts[rows], size).tolist(), strict=True):
+            out[k] = np.array([code], dtype=np.int64)
     return out
 
 
@@ -120,7 +120,8 @@ def _prefixes(rows: DataFrame, width: int, percent: int, common: Level) -> DataF
             rank = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             first = rank < np.repeat(sizes - (sizes * percent + 99) // 100 + 1, sizes)
             node = np.array(list(sets), dtype=np.int64)[owner[first]]
-            deal = np.where(count[order][first] >= HOT_TOKEN, node % PARTS, -1)
+            known = count[order][first]
+            deal = np.where(known >= HOT_TOKEN, node % (known // HOT_TOKEN + 1), -1)
             yield pd.DataFrame({"token": tokens[order][first], "part": deal, "node": node})
 
     return rows.select("text").mapInPandas(run, "token bigint, part bigint, node bigint")
@@ -140,8 +141,8 @@ def _leaders(prefixes: DataFrame) -> DataFrame:
     shared = staged(ends, "join-shared")
     hot = shared.where("part >= 0")
     least = hot.groupBy("label", "part").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    least = least.groupBy("label").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-    least = least.select(F.col("label").alias("of"), "low", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("at"))
+    least = least.groupBy("label").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("part").alias("parts")).where("low < high")
+    least = least.select(F.col("label").alias("of"), "low", F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("at"))
     led = hot.join(least, (F.col("label") == F.col("of")) & (F.col("part") == F.col("at"))).select(F.col("low").alias("label"), "node")
     return shared.where("part < 0").select("label", "node").unionByName(led).distinct()
 

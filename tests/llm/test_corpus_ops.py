@@ -348,6 +348,29 @@ def test_packing(docs, nothing, weights):
     assert packing.pack(nothing).count() == 0
 
 
+def test_final_pieces_hold_the_target(spark):
+    rng = random.Random(6)
+    rows = [(f"d{i}", text_of(rng, "en", rng.randrange(1, 300)), "big" if i % 5 else "small") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string").repartition(6)
+    pieces = packing.pack(docs, temper=0.5, window=2048).collect()
+    given = Counter()
+    for r in pieces:
+        given[r.source] += r.length
+    share = math.sqrt(given["small"]) / (math.sqrt(given["small"]) + math.sqrt(given["big"]))
+    windows = int(given["small"] / share) // 2048
+    assert windows > 5 and {r.doc_id for r in pieces} == {i for i, *_ in rows}
+    for k in range(windows):
+        got = sum(r.length for r in pieces if r.source == "small" and r.sequence_id // 2 <= k)
+        assert abs(got - (k + 1) * 2048 * share) < 2
+    assert not any(r.source == "small" for r in pieces if r.sequence_id // 2 > windows + 1)
+
+
+def test_packing_refuses_countless_sources(docs, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_SOURCES", 2)
+    with pytest.raises(ValueError):
+        packing.pack(docs)
+
+
 def test_packing_knows_added_tokens(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -411,7 +434,7 @@ def near_corpus(seed=6):
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard_join(spark, monkeypatch, small):
     if small:  # so that groups are cut into blocks and frequent tokens into parts
-        for name, value in {"BLOCK_TOKENS": 400, "BLOCK_SETS": 3, "HOT_TOKEN": 2, "PARTS": 3}.items():
+        for name, value in {"BLOCK_TOKENS": 400, "BLOCK_SETS": 3, "HOT_TOKEN": 2}.items():
             monkeypatch.setattr(ngram_join, name, value)
     texts = near_corpus()
     want, sizes = brute_components(texts)
