@@ -68,7 +68,9 @@ def training_rows(docs: DataFrame, per_language: int, *, id_col: str, text_col:
             rows = [(lang, g) for lang, g in zip(batch["lang"], map(grams, batch["text"]), strict=True) if g is not None]
             yield pd.DataFrame({"lang": [r[0] for r in rows], "x": [r[1].tobytes() for r in rows]})
 
-    return chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInPandas(featured, "lang string, x binary")
+    # Few texts are chosen; spread them, so that neither the scan nor the training depends on where they lay.
+    texts = chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).repartition(32)
+    return texts.mapInPandas(featured, "lang string, x binary")
 
 
 class Hierarchy:
@@ -172,7 +174,7 @@ def identify(docs: DataFrame, *, per_language: int = 1500, families: Mapping[str
     table gives an empty result; other columns are ignored.
     """
     learn_from = docs.select(id_col, text_col, lang_col).where(remainder(id_col, 3) != 1)
-    rows = staged(training_rows(learn_from, per_language, id_col=id_col, text_col=text_col, lang_col=lang_col).coalesce(32), "lang-train")
+    rows = staged(training_rows(learn_from, per_language, id_col=id_col, text_col=text_col, lang_col=lang_col), "lang-train")
     model = fit(rows, families)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
