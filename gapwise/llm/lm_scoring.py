@@ -21,7 +21,7 @@ from gapwise.llm.words import in_groups, word_hashes
 END = -1
 DISCOUNT = 0.75
 #: Texts are handled in groups of so many bytes, to bound a worker's memory.
-GROUP_BYTES = 12_000_000
+GROUP_BYTES = 8_000_000
 #: A chunk of the trie holds the triples of about so many tokens; so many triples are sampled to cut chunks of like size.
 CHUNK_TOKENS, SAMPLE = 2_000_000, 200_000
 
