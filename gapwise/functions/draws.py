@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def uniform(seed: int, label: str, *key: Column) -> Column:
-    """53 bits of a hash, in [0, 1)."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(int(seed)).cast("bigint"), F.lit(label), *key), 11)
-    return bits.cast("double") / float(1 << 53)
+    """52 bits of an MD5 of seed, label and key, in [0, 1); other engines can draw the same."""
+    digest = F.md5(F.concat_ws("/", F.lit(str(int(seed))), F.lit(label), *[F.coalesce(k.cast("string"), F.lit("null")) for k in key]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") / float(1 << 52)
 
 
 def normal(seed: int, label: str, *key: Column) -> Column:

@@ -14,19 +14,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapwise.errors import InsufficientDataError, MissingColumnError
+from gapwise.errors import ConfigurationError, InsufficientDataError, MissingColumnError
 from gapwise.functions import nullity
 from gapwise.functions.draws import uniform
-from gapwise.operators.summary import warn_if_pairs
+from gapwise.operators.summary import warn_if_categorical, warn_if_pairs
 from gapwise.operators.validate import validate_positive_int, validate_strategy
 from gapwise.plans.fused import missing_counts, scalars
 
 BLOCK = 4096
+#: A column of more distinct values is an identifier rather than a category.
+MAX_LEVELS = 10_000
 
 
 def categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
-    """The sorted distinct values of each categorical column."""
-    return {c: [r[0] for r in df.select(nullity.value(df, c).alias(c)).distinct().where(nullity.column(c).isNotNull()).orderBy(c).collect()] for c in columns}
+    """The sorted distinct values of each categorical column; they become part of the plan, so more than MAX_LEVELS are refused."""
+    out = {}
+    for c in columns:
+        rows = df.select(nullity.value(df, c).alias(c)).distinct().where(nullity.column(c).isNotNull()).orderBy(c).limit(MAX_LEVELS + 1).collect()
+        if len(rows) > MAX_LEVELS:
+            raise ConfigurationError("columns", c, f"has more than {MAX_LEVELS} distinct values: leave it out or group them")
+        out[c] = [r[0] for r in rows]
+    return out
 
 
 def encoded(df: DataFrame, columns: Sequence[str], levels: dict[str, list]) -> list:
@@ -160,6 +168,8 @@ def impute_knn(df: DataFrame, row_id: str, n_neighbors: int = 5, metric: str = "
     if row_id not in df.columns:
         raise MissingColumnError([row_id], df.columns)
     columns = [c for c in df.columns if c != row_id]
+    if metric == "euclidean":
+        warn_if_categorical(len([c for c in columns if not nullity.is_numeric(df, c)]), len(columns), n_neighbors)
     levels = categories(pool, [c for c in columns if not nullity.is_numeric(df, c)])
     _with_misses(pool, row_id)
     targets = [r.variable for r in missing_counts(df.drop(row_id)).collect() if r.n_miss]

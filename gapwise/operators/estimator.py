@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,7 +87,7 @@ class MissingImputerModel(Model, _Options):
         return self._by_model(df, row_id, strategy)
 
     def _by_model(self, df: DataFrame, row_id: str, strategy: str) -> DataFrame:
-        """Regressions fitted on the training rows alone: each column on the others, missing features at the training mean."""
+        """Models fitted on the training rows alone: each column on the others, missing features at the training mean; trees tell a category's levels apart as classes."""
         columns = [c for c in self.feature_names if c != row_id]
         levels = donors.categories(self.train, [c for c in columns if not nullity.is_numeric(df, c)])
         means = self.train.agg(*[F.avg(v).alias(f"a{i}") for i, v in enumerate(donors.encoded(self.train, columns, levels))]).first()
@@ -102,12 +103,12 @@ class MissingImputerModel(Model, _Options):
             used = [i for i in range(len(columns)) if i != t]
             rows = known.where(~F.col(f"m{t}"))
             if strategy in ("rf", "gb"):
-                from pyspark.ml.feature import VectorAssembler
-                from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
                 pack = VectorAssembler(inputCols=[f"v{i}" for i in used], outputCol="features")
-                tree = (RandomForestRegressor if strategy == "rf" else GBTRegressor)(featuresCol="features", labelCol=f"v{t}", predictionCol="__p", seed=self.getOrDefault("seed"))
-                scored = tree.fit(pack.transform(rows)).transform(pack.transform(asked)).select("__id", f"m{t}", "__p")
+                if len(levels.get(c, ())) == 1:
+                    scored = asked.select("__id", f"m{t}", F.lit(0.0).alias("__p"))
+                else:
+                    trees = models.tree(strategy, len(levels.get(c, ())), self.getOrDefault("seed"), f"v{t}", {})
+                    scored = trees.fit(pack.transform(rows)).transform(pack.transform(asked)).select("__id", f"m{t}", "__p")
             else:
                 n, m = models.gram(rows, [F.col(f"v{i}") for i in used], F.col(f"v{t}"))[()]
                 w, _, _ = models.bayesian_ridge(n, m)

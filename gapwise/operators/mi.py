@@ -193,20 +193,27 @@ class FCSKernel(Protocol):
     def impute(self, state: DataFrame, target: str, mask: Column, seed: int) -> Column: ...
 
 
-def completed_violations(original: DataFrame, completed: DataFrame, row_id: str) -> DataFrame:
-    """variable, n_observed_changed, n_still_missing of completed frames (one, or long with a chain column)."""
+def completed_violations(original: DataFrame, completed: DataFrame, row_id: str, chain: str = "chain") -> DataFrame:
+    """variable, n_observed_changed, n_still_missing, n_rows_lost of completed frames (one, or long with a chain column).
+
+    A row is lost if it is not in the completed frame once for each chain; so is one that the original doesn't hold.
+    """
     columns = [c for c in original.columns if c != row_id]
+    chains = completed.select(chain).distinct().count() if chain in completed.columns and chain not in columns else 1
     right = completed.select(nullity.column(row_id).alias("__id"), *[nullity.column(c).alias(f"__c_{c}") for c in columns])
-    joined = original.join(right, original[row_id] == right["__id"])
+    joined = original.withColumn("__given", F.lit(True)).join(right.withColumn("__made", F.lit(True)), original[row_id] == right["__id"], "full")
+    both = F.col("__given").isNotNull() & F.col("__made").isNotNull()
     aggs = []
     for i, c in enumerate(columns):
         gone, new = nullity.miss(original, c), nullity.column(f"__c_{c}")
         old = nullity.column(c)
         same = old.cast("double").eqNullSafe(new.cast("double")) if nullity.is_numeric(original, c) else old.eqNullSafe(new)
-        aggs += [F.count_if(~gone & ~same).alias(f"o{i}"), F.count_if(gone & new.isNull()).alias(f"m{i}")]
-    wide = joined.agg(*aggs)
+        aggs += [F.count_if(both & ~gone & ~same).alias(f"o{i}"), F.count_if(both & gone & new.isNull()).alias(f"m{i}")]
+    met = F.count_if(both)
+    per_row = joined.groupBy(F.coalesce(nullity.column(row_id), F.col("__id"))).agg(*aggs, (met != chains).alias("lost"))
+    wide = per_row.agg(*[F.coalesce(F.sum(f"{k}{i}"), F.lit(0)).alias(f"{k}{i}") for i in range(len(columns)) for k in "om"], F.count_if("lost").alias("lost"))
     rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"o{i}").alias("n_observed_changed"), F.col(f"m{i}").alias("n_still_missing")) for i, c in enumerate(columns)])
-    return wide.select(F.explode(rows).alias("r")).select("r.*")
+    return wide.select(F.explode(rows).alias("r"), "lost").select("r.*", F.col("lost").alias("n_rows_lost"))
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,7 @@ seed and the row's key, so that reruns and other partitionings give the same val
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Mapping, Sequence
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapwise.config import resolve_strict_mode
-from gapwise.errors import ImputationError, InsufficientDataError
+from gapwise.errors import ConfigurationError, ImputationError, InsufficientDataError
 from gapwise.functions import nullity
 from gapwise.functions.draws import normal, uniform
 from gapwise.operators.donors import categories, encoded
@@ -28,10 +29,13 @@ from gapwise.plans.ordered import with_position
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir; one of our own only where none is set."""
+    """Cut the lineage in the folder of spark.checkpoint.dir; on one machine a folder of our own will do."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gapwise-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ConfigurationError("spark.checkpoint.dir", None, "must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gapwise-"))
     return df.checkpoint()
 
 
@@ -367,6 +371,17 @@ def impute_polr(df: DataFrame, row_id: str, random_state: int = 0, strict_mode:
     return _categorical(df, row_id, [c for c, n in _distinct(df, gone).items() if n >= 3], label, random_state, strict_mode, "polr")
 
 
+def tree(kind: str, n_levels: int, seed: int, label: str, options: Mapping[str, object]):
+    """Trees for a number, or to tell the places of a category's levels; their prediction is __p."""
+    common = {"featuresCol": "features", "labelCol": label, "predictionCol": "__p"}
+    if kind == "rf":
+        return (RandomForestClassifier if n_levels else RandomForestRegressor)(seed=seed, **common, **options)
+    if n_levels > 2:
+        return OneVsRest(classifier=GBTClassifier(seed=seed, featuresCol="features", labelCol=label, **options), **common)
+    return (GBTClassifier if n_levels == 2 else GBTRegressor)(seed=seed, **common, **options)
+
+
+
 def _trees(df: DataFrame, row_id: str, kind: str, max_iter: int, random_state: int, strict_mode: bool | None, options: dict) -> DataFrame:
     """Round-robin over the incomplete columns: fit on rows where the column was observed, predict the others."""
     strict = resolve_strict_mode(strict_mode)
@@ -377,14 +392,7 @@ def _trees(df: DataFrame, row_id: str, kind: str, max_iter: int, random_state: i
             t, used = state.at[c], [i for i in range(len(state.columns)) if i != state.at[c]]
             made = VectorAssembler(inputCols=[f"v{i}" for i in used], outputCol="features").transform(now)
             n = len(state.levels.get(c, ()))
-            common = {"featuresCol": "features", "labelCol": f"v{t}", "predictionCol": "__p"}
-            if kind == "rf":
-                model = (RandomForestClassifier if n else RandomForestRegressor)(seed=random_state, **common, **options)
-            elif n > 2:
-                part = GBTClassifier(seed=random_state, featuresCol="features", labelCol=f"v{t}", **options)
-                model = OneVsRest(classifier=part, **common)
-            else:
-                model = (GBTClassifier if n == 2 else GBTRegressor)(seed=random_state, **common, **options)
+            model = tree(kind, n, random_state, f"v{t}", options)
             train = made.where(~F.col(f"m{t}"))
             try:
                 if n == 1:

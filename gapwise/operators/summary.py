@@ -121,3 +121,11 @@ def warn_if_pairs(n_left: int, n_right: int, what: str) -> None:
 
     if max(n_left, n_right) > config.large_df_threshold:
         warnings.warn(f"{what} compares {n_left} x {n_right} rows", stacklevel=3)
+
+
+def warn_if_categorical(n_categorical: int, n_columns: int, n_neighbors: int) -> None:
+    """Places of categories are no distances: say so where most columns are categories and many neighbours are averaged."""
+    from gapwise.config import config
+
+    if 2 * n_categorical > n_columns and n_neighbors > config.knn_cat_neighbors_threshold:
+        warnings.warn(f"{n_categorical} of {n_columns} columns are categories, and the mean of {n_neighbors} neighbours' places says little of them", stacklevel=3)

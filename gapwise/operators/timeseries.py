@@ -21,6 +21,8 @@ from gapwise.plans.ordered import sort_number, with_neighbours, with_position
 
 Values = Iterable[object] | None
 METHODS = ("ffill", "bfill", "linear", "time", "spline")
+#: A spline is solved in blocks of so many observed values, with so many more on either side.
+BLOCK, HALO = 50_000, 64
 
 
 def _columns(df: DataFrame, columns: Sequence[str] | None, order_by: Sequence[str], partition_by: Sequence[str]) -> list[str]:
@@ -56,7 +58,7 @@ def gap_table(df: DataFrame, order_by: Sequence[str], *, partition_by: Sequence[
     gaps = rows.groupBy(*partition_by, "c.column", "c.i", "c.after").agg(
         F.min("__at").alias("start"), F.coalesce(F.max("c.next"), F.max("__at")).alias("end"), F.count(F.lit(1)).alias("length")
     )
-    # Numbering needs an order within each column; the gaps of all columns share it, range by range.
+    # Numbering needs an order within each column, range by range.
     numbered = with_position(gaps, ["after"], [*partition_by, "column"]).withColumnRenamed("__pos", "gap_id")
     return numbered.select(*partition_by, "column", "gap_id", "start", "end", "length")
 
@@ -176,29 +178,44 @@ def impute_ts(df: DataFrame, order_by: Sequence[str], method: str | None = None,
 
 
 def _spline(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str], columns: list[str], limit: int | None, order: int, missing_values: Values) -> DataFrame:
-    """Natural cubic splines (or polygons for order 1) through each series' observed values.
+    """Natural cubic splines (or polygons for order 1) through each series' observed values, over row numbers.
 
-    A series is a group of ``partition_by``: a spline has no local form, so each series is solved in one task.
+    A series is a group of ``partition_by``, or the table. It is solved in blocks of BLOCK observed values with HALO
+    more on either side: the system is diagonally dominant, so that a value's weight halves with every knot at least and
+    what lies further away changes nothing within the precision of doubles.
     """
     schema = df.withColumns({c: nullity.column(c).cast("double") for c in columns}).schema
-    clean = df.withColumns({c: nullity.value(df, c, missing_values).cast("double") for c in columns})
+    names = list(df.columns)
+    out = df.withColumns({c: nullity.value(df, c, missing_values).cast("double") for c in columns})
+    for c in columns:
+        seen = nullity.column(c).isNotNull().cast("bigint")
+        placed = with_position(out, order_by, partition_by, {"__seen": seen})
+        # A missing row belongs to the block of the value before it.
+        block, at = F.floor((F.col("__seen") - 1) / BLOCK), F.pmod(F.col("__seen") - 1, F.lit(BLOCK))
+        near = F.array(block, F.when((at < HALO) & nullity.column(c).isNotNull(), block - 1), F.when((at >= BLOCK - HALO) & nullity.column(c).isNotNull(), block + 1))
+        dealt = placed.select("*", block.alias("__own"), F.explode(F.filter(near, lambda b: b.isNotNull())).alias("__block"))
+
+        out = dealt.groupBy(*partition_by, "__block").applyInPandas(_solver(c, names, limit, order), schema)
+    return out
+
+
+def _solver(c: str, names: list[str], limit: int | None, order: int):
+    """Fills column ``c`` of one block and returns its own rows."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order_by), kind="stable")
-        x = np.arange(len(pdf), dtype=float)
-        for c in columns:
-            y = pdf[c].to_numpy(dtype=float, copy=True)
-            ok = ~np.isnan(y)
-            if ok.sum() >= 2:
-                new = natural_spline(x[ok], y[ok], x) if order > 1 and ok.sum() > 2 else np.interp(x, x[ok], y[ok])
-                first, last = np.flatnonzero(ok)[[0, -1]]
-                gap = x - np.maximum.accumulate(np.where(ok, x, -1))
-                fill = ~ok & (x > first) & (x < last) & ((gap <= limit) if limit else True)
-                y[fill] = new[fill]
-                pdf[c] = y
-        return pdf
-
-    return clean.groupBy(*partition_by).applyInPandas(solve, schema)
+        pdf = pdf.sort_values("__pos", kind="stable")
+        x, y = pdf["__pos"].to_numpy(dtype=float), pdf[c].to_numpy(dtype=float, copy=True)
+        ok = ~np.isnan(y)
+        if ok.sum() >= 2:
+            new = natural_spline(x[ok], y[ok], x) if order > 1 and ok.sum() > 2 else np.interp(x, x[ok], y[ok])
+            first, last = x[ok][[0, -1]]
+            gap = x - np.maximum.accumulate(np.where(ok, x, -np.inf))
+            fill = ~ok & (x > first) & (x < last) & ((gap <= limit) if limit else True)
+            y[fill] = new[fill]
+            pdf[c] = y
+        return pdf[pdf["__own"] == pdf["__block"]][names]
+
+    return solve
 
 
 def natural_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:

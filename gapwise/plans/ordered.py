@@ -1,7 +1,8 @@
 """Ordered operators without a single-task window over the whole table.
 
-A series without partitions is cut into ranges of its order key at quantiles. Windows run within ranges;
-what a range must know of those before and after it is one row per range.
+Every series is cut into ranges of its order key, at quantiles over all rows, so that one long series among many
+is cut up too. Windows run within the ranges of a series; what a range must know of those before and after it is one
+row per range.
 """
 
 from __future__ import annotations
@@ -23,10 +24,8 @@ def sort_number(df: DataFrame, name: str) -> Column:
     return column(name).cast("double")
 
 
-def with_range(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
-    """Add __range: rows in a lower range come first. Partitioned series need no ranges."""
-    if partition_by:
-        return df.withColumn("__range", F.lit(0))
+def with_range(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Add __range: of one series, rows in a lower range come first."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = sort_number(df, order_by[0])
     cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 2000).alias("q")).first()["q"] if n > 1 else None
@@ -45,15 +44,17 @@ def _windows(order_by: Sequence[str], partition_by: Sequence[str]):
 
 
 def _with_carry(ranged: DataFrame, carry: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    """Join one row per range; without partitions there are no more than the shuffle partitions, so it is broadcast."""
-    on = [*partition_by, "__range"]
-    return ranged.join(carry if partition_by else F.broadcast(carry), on)
+    """Join one row per range of a series; of a single one there are no more than the shuffle partitions, so it is broadcast."""
+    keys = [*partition_by, "__range"]
+    carry = carry.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = [column(k).eqNullSafe(column(f"__k_{k}")) for k in keys]
+    return ranged.join(carry if partition_by else F.broadcast(carry), same).drop(*[f"__k_{k}" for k in keys])
 
 
 def with_position(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), sums: Mapping[str, Column] | None = None) -> DataFrame:
     """Add __pos, the row's place from 1, and inclusive running sums of the given columns."""
     sums = dict(sums or {})
-    ranged = with_range(df, order_by, partition_by).withColumns({f"__v_{k}": c for k, c in sums.items()})
+    ranged = with_range(df, order_by).withColumns({f"__v_{k}": c for k, c in sums.items()})
     parts, local, ranges = _windows(order_by, partition_by)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
     before = ranges.rowsBetween(Window.unboundedPreceding, -1)
@@ -73,11 +74,13 @@ def with_neighbours(df: DataFrame, observed: Mapping[str, Column], order_by: Seq
     first order key and the value.
     """
     placed = with_position(df, order_by, partition_by)
-    placed = with_range(placed, order_by, partition_by)
+    placed = with_range(placed, order_by)
     mark = {f"__o_{k}": F.when(c.isNotNull(), F.struct(F.col("__pos").alias("pos"), column(order_by[0]).alias("at"), c.alias("value"))) for k, c in observed.items()}
     placed = placed.withColumns(mark)
     parts, local, ranges = _windows(order_by, partition_by)
-    back, ahead = local.rowsBetween(Window.unboundedPreceding, 0), local.rowsBetween(0, Window.unboundedFollowing)
+    # What comes next is the last in the reverse order: a frame up to the end would be gone through again for each row.
+    falling = Window.partitionBy(*parts).orderBy(*[column(c).desc() for c in order_by])
+    back, ahead = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (local, falling))
     earlier, later = ranges.rowsBetween(Window.unboundedPreceding, -1), ranges.rowsBetween(1, Window.unboundedFollowing)
     ends = placed.groupBy(*parts).agg(
         *[F.max_by(m, F.when(F.col(m).isNotNull(), F.col("__pos"))).alias(f"__l{m}") for m in mark],
@@ -93,6 +96,6 @@ def with_neighbours(df: DataFrame, observed: Mapping[str, Column], order_by: Seq
     for k in observed:
         m = f"__o_{k}"
         added[f"__prev_{k}"] = F.coalesce(F.last(m, ignorenulls=True).over(back), F.col(f"__e{m}"))
-        added[f"__next_{k}"] = F.coalesce(F.first(m, ignorenulls=True).over(ahead), F.col(f"__n{m}"))
+        added[f"__next_{k}"] = F.coalesce(F.last(m, ignorenulls=True).over(ahead), F.col(f"__n{m}"))
     out = _with_carry(placed, carry, partition_by).withColumns(added)
     return out.drop("__range", *mark, *[f"__e{m}" for m in mark], *[f"__n{m}" for m in mark])

@@ -87,27 +87,26 @@ query(
 )
 
 # Donors
-few = lambda d: d.where("c_custkey <= 600")
-SMALL = "WITH s AS (SELECT * FROM customer_m WHERE c_custkey <= 600), lv AS (SELECT c_mktsegment, (row_number() OVER (ORDER BY c_mktsegment) - 1)::DOUBLE AS code FROM (SELECT DISTINCT c_mktsegment FROM s WHERE c_mktsegment IS NOT NULL)), x AS (SELECT s.c_custkey AS id, s.c_nationkey::DOUBLE AS n, s.c_acctbal AS a, s.c_mktsegment AS g, lv.code AS c FROM s LEFT JOIN lv USING (c_mktsegment))"
+WHOLE = "WITH s AS (SELECT * FROM customer_m), lv AS (SELECT c_mktsegment, (row_number() OVER (ORDER BY c_mktsegment) - 1)::DOUBLE AS code FROM (SELECT DISTINCT c_mktsegment FROM s WHERE c_mktsegment IS NOT NULL)), x AS (SELECT s.c_custkey AS id, s.c_nationkey::DOUBLE AS n, s.c_acctbal AS a, s.c_mktsegment AS g, lv.code AS c FROM s LEFT JOIN lv USING (c_mktsegment))"
 EUCLID = """, d AS (SELECT r.id AS rid, o.id AS did, o.a, o.c, sqrt(3 * (coalesce(pow(r.n - o.n, 2), 0) + coalesce(pow(r.a - o.a, 2), 0) + coalesce(pow(r.c - o.c, 2), 0))
     / ((r.n IS NOT NULL AND o.n IS NOT NULL)::INT + (r.a IS NOT NULL AND o.a IS NOT NULL)::INT + (r.c IS NOT NULL AND o.c IS NOT NULL)::INT)) AS dist FROM x r, x o WHERE r.id <> o.id),
 ka AS (SELECT rid, avg(a) AS a FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY dist, did) AS k FROM d WHERE a IS NOT NULL) WHERE k <= 5 GROUP BY 1),
 kc AS (SELECT rid, round_even(avg(c), 0) AS c FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY dist, did) AS k FROM d WHERE c IS NOT NULL) WHERE k <= 5 GROUP BY 1)
 SELECT x.id AS c_custkey, round(coalesce(x.a, ka.a), 4) AS c_acctbal, coalesce(x.g, lv.c_mktsegment) AS c_mktsegment FROM x JOIN ka ON ka.rid = x.id JOIN kc ON kc.rid = x.id LEFT JOIN lv ON lv.code = kc.c"""
 balance = lambda d: d.select("c_custkey", F.round("c_acctbal", 4).alias("c_acctbal"), "c_mktsegment")
-query("impute_knn_euclidean", "customer_m", lambda d: balance(donors.impute_knn(few(d), "c_custkey")), SMALL + EUCLID)
+query("impute_knn_euclidean", "customer_m", lambda d: balance(donors.impute_knn(d, "c_custkey")), WHOLE + EUCLID)
 GOWER = """, rg AS (SELECT max(n) - min(n) AS rn, max(a) - min(a) AS ra FROM x), d AS (SELECT r.id AS rid, o.id AS did, o.a, o.g, coalesce((coalesce(abs(r.n - o.n) / rn, 0) + coalesce(abs(r.a - o.a) / ra, 0) + coalesce((r.g <> o.g)::INT::DOUBLE, 0))
     / nullif(1 + (r.a IS NOT NULL AND o.a IS NOT NULL)::INT + (r.g IS NOT NULL AND o.g IS NOT NULL)::INT, 0), 1) AS dist FROM x r, x o, rg{})"""
 MIXED = GOWER.format(" WHERE r.id <> o.id") + """,
 ka AS (SELECT rid, avg(a) AS a FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY dist, did) AS k FROM d WHERE a IS NOT NULL) WHERE k <= 5 GROUP BY 1),
 kg AS (SELECT rid, g FROM (SELECT rid, g, row_number() OVER (PARTITION BY rid ORDER BY count(*) DESC, g) AS o FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY dist, did) AS k FROM d WHERE g IS NOT NULL) WHERE k <= 5 GROUP BY rid, g) WHERE o = 1)
 SELECT x.id AS c_custkey, round(coalesce(x.a, ka.a), 4) AS c_acctbal, coalesce(x.g, kg.g) AS c_mktsegment FROM x JOIN ka ON ka.rid = x.id JOIN kg ON kg.rid = x.id"""
-query("impute_knn_gower", "customer_m", lambda d: balance(donors.impute_knn(few(d), "c_custkey", metric="mixed")), SMALL + MIXED)
+query("impute_knn_gower", "customer_m", lambda d: balance(donors.impute_knn(d, "c_custkey", metric="mixed")), WHOLE + MIXED)
 query(
     "gower_pairs",
     "customer_m",
-    lambda d: donors.gower_distance(few(d), "c_custkey", queries=few(d).where("c_custkey % 100 = 0")).withColumn("distance", F.round("distance", 9)),
-    SMALL + GOWER.format("") + " SELECT rid AS id_a, did AS id_b, round(dist, 9) AS distance FROM d WHERE rid % 100 = 0",
+    lambda d: donors.gower_distance(d, "c_custkey", queries=d.where("c_custkey % 100 = 0")).withColumn("distance", F.round("distance", 9)),
+    WHOLE + GOWER.format("") + " SELECT rid AS id_a, did AS id_b, round(dist, 9) AS distance FROM d WHERE rid % 100 = 0",
 )
 HOT = "SELECT event_id, {} AS event_type, {} AS value FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS i FROM events_m)"
 BACK = "last_value({0} IGNORE NULLS) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -118,8 +117,8 @@ for direction, sql in (("forward", BACK), ("backward", AHEAD), ("nearest", f"coa
 query(
     "hotdeck_weighted_k1",
     "customer_m",
-    lambda d: donors.impute_hotdeck_weighted(few(d).drop("c_mktsegment"), "c_custkey", n_donors=1),
-    """WITH s AS (SELECT * FROM customer_m WHERE c_custkey <= 600), d AS (SELECT r.c_custkey AS rid, o.c_acctbal AS a, row_number() OVER (PARTITION BY r.c_custkey ORDER BY abs(r.c_nationkey - o.c_nationkey), o.c_custkey) AS k
+    lambda d: donors.impute_hotdeck_weighted(d.drop("c_mktsegment"), "c_custkey", n_donors=1),
+    """WITH s AS (SELECT * FROM customer_m), d AS (SELECT r.c_custkey AS rid, o.c_acctbal AS a, row_number() OVER (PARTITION BY r.c_custkey ORDER BY abs(r.c_nationkey - o.c_nationkey), o.c_custkey) AS k
     FROM s r, s o WHERE r.c_acctbal IS NULL AND o.c_acctbal IS NOT NULL) SELECT c_custkey, c_nationkey, coalesce(c_acctbal, d.a) AS c_acctbal FROM s LEFT JOIN d ON d.rid = s.c_custkey AND d.k = 1""",
 )
 
@@ -132,11 +131,26 @@ def invariant_query(name, source, impute, row_id, columns, still=()):
     """Register the frame of violations of an imputer; its SQL is all zeros (or ``still`` columns left as they were)."""
     query(name, source, lambda d: invariants(impute(d), d, row_id))
     ORACLES[name] = " UNION ALL ".join(
-        f"SELECT '{c}' AS variable, 0::BIGINT AS n_observed_changed, {f'(SELECT count(*) FROM ({VIEWS[source]}) WHERE {c} IS NULL)' if c in still else '0'}::BIGINT AS n_still_missing" for c in columns
+        f"SELECT '{c}' AS variable, 0::BIGINT AS n_observed_changed, {f'(SELECT count(*) FROM ({VIEWS[source]}) WHERE {c} IS NULL)' if c in still else '0'}::BIGINT AS n_still_missing, 0::BIGINT AS n_rows_lost" for c in columns
     )
 
 
-invariant_query("hotdeck_random", "customer_m", lambda d: donors.impute_hotdeck_random(d, "c_custkey"), "c_custkey", ["c_nationkey", "c_acctbal", "c_mktsegment"])
+CUSTOMER = ("c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+def drawn(label, key, seed=0):
+    """The uniform draw of a row, as gapwise.functions.draws says."""
+    return f"('0x' || substr(md5('{seed}/{label}/' || {key}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0"
+
+
+def _hotdeck_sql():
+    """The donor of each recipient by its number among the observed rows."""
+    parts = [f"d_{c} AS (SELECT {c} AS v, row_number() OVER (ORDER BY c_custkey) AS k FROM customer_m WHERE {c} IS NOT NULL)" for c in CUSTOMER]
+    joins = [f"LEFT JOIN d_{c} ON m.{c} IS NULL AND d_{c}.k = floor({drawn(f'hotdeck/{c}', 'm.c_custkey')} * (SELECT count({c}) FROM customer_m))::BIGINT + 1" for c in CUSTOMER]
+    return f"WITH {', '.join(parts)} SELECT c_custkey, {', '.join(f'coalesce(m.{c}, d_{c}.v) AS {c}' for c in CUSTOMER)} FROM customer_m m {' '.join(joins)}"
+
+
+query("hotdeck_random", "customer_m", lambda d: donors.impute_hotdeck_random(d, "c_custkey"), _hotdeck_sql())
 invariant_query("hotdeck_weighted", "customer_m", lambda d: donors.impute_hotdeck_weighted(d, "c_custkey"), "c_custkey", ["c_nationkey", "c_acctbal", "c_mktsegment"])
 
 # Simulation
@@ -150,23 +164,18 @@ QUERIES["simulate_mcar_counts"] = lambda spark, sf_dir: simulate.simulate_mcar(_
 ORACLES["simulate_mcar_counts"] = "SELECT round_even(count(*) * 0.15, 0)::BIGINT AS custkey, round_even(count(*) * 0.15, 0)::BIGINT AS totalprice FROM orders"
 
 
-def _bias(done, given, by):
-    """Whether the missing rate lies near what the mechanism says, in the tail and elsewhere."""
-    cut = given.agg(F.median(by)).first()[0]
-    joined = given.select("o_orderkey", (F.col(by) > cut).alias("tail")).join(done.select("o_orderkey", F.col("o_totalprice").isNull().alias("gone")), "o_orderkey")
-    return joined.groupBy("tail").agg(F.avg(F.col("gone").cast("double")).alias("rate"))
-
+def _prices(done):
+    return done.select("o_orderkey", "o_totalprice")
 
-def _within(rates, upper, lower):
-    ok = F.abs(F.col("rate") - F.when(F.col("tail"), upper).otherwise(lower)) < 0.03
-    return rates.select("tail", ok.alias("as_expected"))
 
-
-QUERIES["simulate_mar_bias"] = lambda spark, sf_dir: _within(_bias(simulate.simulate_mar(d := _line(spark, sf_dir), "o_orderkey", 0.2, target_col="o_totalprice", predictor_col="o_custkey"), d, "o_custkey"), 0.4, 0.1)
-QUERIES["simulate_mnar_bias"] = lambda spark, sf_dir: _within(_bias(simulate.simulate_mnar(d := _line(spark, sf_dir), "o_orderkey", 0.2, target_col="o_totalprice"), d, "o_totalprice"), 0.4, 0.05)
-ORACLES["simulate_mar_bias"] = ORACLES["simulate_mnar_bias"] = "SELECT unnest([true, false]) AS tail, true AS as_expected"
-QUERIES["simulate_mixed"] = lambda spark, sf_dir: simulate.simulate_mixed(
-    _line(spark, sf_dir), "o_orderkey", [{"mechanism": "mcar", "frac": 0.1, "columns": ["o_totalprice"]}, {"mechanism": "mnar", "frac": 0.2, "target_col": "o_totalprice"}]
-).agg((F.abs(F.avg(F.col("o_totalprice").isNull().cast("double")) - 0.3025) < 0.03).alias("as_expected"), F.count_if(F.col("o_custkey").isNull()).alias("custkey"))
-ORACLES["simulate_mixed"] = "SELECT true AS as_expected, 0::BIGINT AS custkey"
+QUERIES["simulate_mar_bias"] = lambda spark, sf_dir: _prices(simulate.simulate_mar(_line(spark, sf_dir), "o_orderkey", 0.2, target_col="o_totalprice", predictor_col="o_custkey"))
+ORACLES["simulate_mar_bias"] = f"""SELECT o_orderkey, CASE WHEN {drawn("mar/o_totalprice", "o_orderkey")} < CASE WHEN o_custkey > (SELECT median(o_custkey) FROM orders) THEN 0.4 ELSE 0.1 END THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders"""
+QUERIES["simulate_mnar_bias"] = lambda spark, sf_dir: _prices(simulate.simulate_mnar(_line(spark, sf_dir), "o_orderkey", 0.2, target_col="o_totalprice"))
+ORACLES["simulate_mnar_bias"] = f"""SELECT o_orderkey, CASE WHEN {drawn("mnar/o_totalprice", "o_orderkey")} < CASE WHEN o_totalprice > (SELECT median(o_totalprice) FROM orders) THEN 0.4 ELSE 0.05 END THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders"""
+QUERIES["simulate_mixed"] = lambda spark, sf_dir: _prices(
+    simulate.simulate_mixed(_line(spark, sf_dir), "o_orderkey", [{"mechanism": "mcar", "frac": 0.1, "columns": ["o_totalprice"]}, {"mechanism": "mnar", "frac": 0.2, "target_col": "o_totalprice"}])
+)
+ORACLES["simulate_mixed"] = f"""WITH a AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY {drawn("mcar/o_totalprice", "o_orderkey")}, o_orderkey) AS k FROM orders),
+b AS (SELECT o_orderkey, CASE WHEN k <= (SELECT round_even(count(*) * 0.1, 0) FROM orders) THEN NULL ELSE o_totalprice END AS v FROM a)
+SELECT o_orderkey, CASE WHEN {drawn("mnar/o_totalprice", "o_orderkey", 1)} < CASE WHEN v > (SELECT median(v) FROM b) THEN 0.4 ELSE 0.05 END THEN NULL ELSE v END AS o_totalprice FROM b"""
 

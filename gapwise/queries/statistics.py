@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gapwise.operators import compare, mcar, mi, models
 from gapwise.operators.estimator import MissingImputer
 from gapwise.queries.registry import ORACLES, QUERIES, query
-from gapwise.queries.series import invariant_query, invariants
+from gapwise.queries.series import MODE, invariant_query, invariants
 from gapwise.sources.tables import table, view
 
 PART, CUST = ["p_size", "p_retailprice", "p_brand"], ["c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -66,13 +66,13 @@ ORACLES["pool_linear_models"] = """WITH c AS (SELECT l_partkey % 5 AS chain, cou
 
 
 def _trace(spark, sf_dir):
-    """Four chains of fifty 'iterations' from the lines of the first orders."""
-    d = table(spark, sf_dir, "orders").where("o_orderkey < 200")
+    """Four chains, an 'iteration' per order."""
+    d = table(spark, sf_dir, "orders")
     return d.select((F.col("o_orderkey") % 4).alias("chain"), F.floor(F.col("o_orderkey") / 4).alias("iter"), F.lit("price").alias("variable"), F.col("o_totalprice").alias("value"))
 
 
 QUERIES["gelman_rubin_rhat"] = lambda spark, sf_dir: mi.gelman_rubin_rhat(_trace(spark, sf_dir)).withColumn("rhat", F.round("rhat", 8))
-RHAT = """WITH t AS (SELECT o_orderkey % 4 AS chain, o_orderkey // 4 AS iter, o_totalprice AS v FROM orders WHERE o_orderkey < 200),
+RHAT = """WITH t AS (SELECT o_orderkey % 4 AS chain, o_orderkey // 4 AS iter, o_totalprice AS v FROM orders),
     k AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM t GROUP BY chain)), c AS (SELECT chain, avg(v) AS m, var_samp(v) AS s FROM t, k WHERE iter < k.n GROUP BY 1)
     SELECT 'price' AS variable, count(*) AS n_chains, max(k.n) AS n_iter, round(sqrt(((max(k.n) - 1)::DOUBLE / max(k.n) * avg(s) + var_samp(m)) / avg(s)), 8) AS rhat FROM c, k"""
 ORACLES["gelman_rubin_rhat"] = RHAT
@@ -94,7 +94,7 @@ def _binary(d):
 
 
 QUERIES["impute_logreg"] = lambda spark, sf_dir: (lambda d: invariants(models.impute_logreg(d, "c_custkey"), d, "c_custkey"))(_binary(view(spark, sf_dir, "customer_m")))
-ORACLES["impute_logreg"] = "SELECT unnest(['c_nationkey', 'half']) AS variable, 0::BIGINT AS n_observed_changed, 0::BIGINT AS n_still_missing"
+ORACLES["impute_logreg"] = "SELECT unnest(['c_nationkey', 'half']) AS variable, 0::BIGINT AS n_observed_changed, 0::BIGINT AS n_still_missing, 0::BIGINT AS n_rows_lost"
 
 
 def _donor_pool(d):
@@ -113,10 +113,28 @@ def _model_invariants(strategy, row_id, columns):
         done = MissingImputer(strategy=strategy, rowId=row_id, neighbors=3, maxIter=1).fit(train).transform(test)
         return invariants(done, test, row_id)
 
-    return build, " UNION ALL ".join(f"SELECT '{c}' AS variable, 0::BIGINT AS n_observed_changed, 0::BIGINT AS n_still_missing" for c in columns)
+    return build, " UNION ALL ".join(f"SELECT '{c}' AS variable, 0::BIGINT AS n_observed_changed, 0::BIGINT AS n_still_missing, 0::BIGINT AS n_rows_lost" for c in columns)
 
 
-for _strategy in ("mean", "median", "mode", "knn", "mice", "pmm", "rf", "hotdeck"):
+def _fitted_fill(strategy):
+    """What the training half says, in the gaps of the other half; numbers as doubles."""
+
+    def build(d):
+        train, test = d.where("c_custkey % 2 = 0"), d.where("c_custkey % 2 = 1")
+        done = MissingImputer(strategy=strategy, rowId="c_custkey").fit(train).transform(test)
+        return done.select("c_custkey", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in CUST[:2]], "c_mktsegment")
+
+    value = {"mean": "avg({0})", "median": "quantile_cont({0}, 0.5)"}.get(strategy)
+    fills = [f"(SELECT {value.format(c)} FROM t)" if value and c != "c_mktsegment" else MODE.format(c, "t") for c in CUST]
+    columns = [f"coalesce({c}, {fill})" for c, fill in zip(CUST, fills, strict=True)]
+    columns[:2] = [f"round({x}::DOUBLE, 4)" for x in columns[:2]]
+    return build, "WITH t AS (SELECT * FROM customer_m WHERE c_custkey % 2 = 0) SELECT c_custkey, " + ", ".join(f"{x} AS {c}" for x, c in zip(columns, CUST, strict=True)) + " FROM customer_m WHERE c_custkey % 2 = 1"
+
+
+for _strategy in ("mean", "median", "mode"):
+    _build, _sql = _fitted_fill(_strategy)
+    query(f"estimator_{_strategy}", "customer_m", _build, _sql)
+for _strategy in ("knn", "mice", "pmm", "rf", "hotdeck"):
     _build, _sql = _model_invariants(_strategy, "c_custkey", CUST)
     query(f"estimator_{_strategy}", "customer_m", _build, _sql)
 
