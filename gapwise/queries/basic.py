@@ -30,6 +30,7 @@ query(
 )
 VAR = "SELECT '{c}' AS variable, count(*) FILTER (WHERE {c} IS NULL) AS n_miss, count(*) FILTER (WHERE {c} IS NULL)::DOUBLE / count(*)::DOUBLE * 100 AS pct_miss FROM "
 query("miss_var_summary", "events_m", summary.miss_var_summary, per_column("events_m", VAR + "events_m"))
+query("accessor_miss_var_summary", "events_m", lambda d: d.miss.miss_var_summary(), per_column("events_m", VAR + "events_m"))
 query("miss_var_summary_labels", "labelled_m", summary.miss_var_summary, per_column("labelled_m", VAR + "labelled_m"))
 query("n_miss_var", "orders_m", summary.n_miss_var, per_column("orders_m", "SELECT '{c}' AS variable, count(*) FILTER (WHERE {c} IS NULL) AS n_miss FROM orders_m"))
 query("pct_miss_var", "orders_m", summary.pct_miss_var, per_column("orders_m", "SELECT '{c}' AS variable, count(*) FILTER (WHERE {c} IS NULL)::DOUBLE / count(*)::DOUBLE * 100 AS pct_miss FROM orders_m"))
@@ -128,7 +129,13 @@ query(
 )
 query("vis_miss", "orders_m", lambda d: patterns.vis_miss(d, sort=True), "SELECT " + ", ".join(f"{c} IS NULL AS {c}" for c in OR) + ", count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM orders_m) * 100 AS pct FROM orders_m GROUP BY ALL")
 query("miss_cluster", "orders_m", lambda d: patterns.miss_cluster(d).drop("place"), "SELECT " + ", ".join(f"{c} IS NULL AS {c}" for c in OR) + ", count(*) AS n FROM orders_m GROUP BY ALL")
-query("dendrogram", "orders_m", patterns.dendrogram)
+#: Of three columns the closest two are merged first; the third is as far away as their mean.
+MERGES = """WITH m AS (SELECT (o_orderstatus IS NULL)::INT AS a, (o_totalprice IS NULL)::INT AS b, (o_orderpriority IS NULL)::INT AS c FROM orders_m),
+d AS (SELECT 1 - abs(corr(a, b)) AS ab, 1 - abs(corr(a, c)) AS ac, 1 - abs(corr(b, c)) AS bc FROM m),
+f AS (SELECT *, CASE WHEN ab <= ac AND ab <= bc THEN 0 WHEN ac <= bc THEN 1 ELSE 2 END AS k FROM d)
+SELECT 0::INT AS step, CASE WHEN k < 2 THEN 'o_orderstatus' ELSE 'o_totalprice' END AS "left", CASE k WHEN 0 THEN 'o_totalprice' ELSE 'o_orderpriority' END AS "right", round(least(ab, ac, bc), 9) AS height, 2::INT AS size FROM f
+UNION ALL SELECT 1, CASE k WHEN 2 THEN 'o_orderstatus' ELSE '#0' END, CASE k WHEN 0 THEN 'o_orderpriority' WHEN 1 THEN 'o_totalprice' ELSE '#0' END, round((ab + ac + bc - least(ab, ac, bc)) / 2, 9), 3 FROM f"""
+query("dendrogram", "orders_m", lambda d: patterns.dendrogram(d).withColumn("height", F.round("height", 9)), MERGES)
 query("vis_miss_cumsum_var", "orders_m", patterns.miss_var_cumsum, "WITH v AS (" + per_column("orders_m", "SELECT '{c}' AS variable, count(*) FILTER (WHERE {c} IS NULL) AS n_miss, list_position(['" + "','".join(OR) + "'], '{c}') AS o FROM orders_m") + ") SELECT variable, n_miss, (sum(n_miss) OVER (ORDER BY n_miss DESC, o))::DOUBLE / (sum(n_miss) OVER ())::DOUBLE * 100 AS cum_pct FROM v")
 query("vis_miss_cumsum_case", "orders_m", patterns.miss_case_cumsum, f"WITH v AS ({PROFILE}) SELECT n_miss, n_rows, (sum(n_rows) OVER (ORDER BY n_miss DESC))::BIGINT AS cum_rows, (sum(n_miss * n_rows) OVER (ORDER BY n_miss DESC))::DOUBLE / (sum(n_miss * n_rows) OVER ())::DOUBLE * 100 AS cum_pct FROM v")
 
