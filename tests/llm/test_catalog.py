@@ -49,3 +49,25 @@ def test_pipeline(spark):
             assert out.columns == docs.columns
         now = out
     assert corpus_pipeline.run(spark, SF).count() == now.count()
+
+
+ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, m int, row int, rate double, size int, part int, before bigint, label string"
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, stage):
+    prose = " ".join(f"word{i}" for i in range(80))
+    rows = [(None, None), (None, prose), (1, None), (2, ""), (3, prose), (3, prose), (4, prose + " more"), (5, " \n"), (6, "x" * 100_000), (7, prose * 300)]
+    docs = spark.createDataFrame([(i, t, None, None if k % 3 else "s", None, 1, 2, 0.5, 3, 4, 5, "y") for k, (i, t) in enumerate(rows)], ODD)
+    out = stage(spark, docs, SF)
+    if stage is not corpus_pipeline.packing:
+        assert out.columns == docs.columns
+    ids = {r.doc_id for r in out.select("doc_id").collect()}
+    assert ids <= {None, *range(1, 8)}
+    if stage is corpus_pipeline.quality_rules:
+        assert ids == {None, 3, 4} or ids == {None, 3, 4, 7}
+    if stage in (corpus_pipeline.exact_dedup, corpus_pipeline.packing):
+        assert {1, 3, 4, 6, 7} <= ids
+    if stage is corpus_pipeline.ngram_jaccard_join:
+        assert {1, 2, 5, 6, 3} <= ids and 4 not in ids
+    assert stage(spark, docs.limit(0), SF).count() == 0
