@@ -303,7 +303,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     apart by 63 bits. Rows with equal sets become one node. Nodes that share a prefix token meet as signatures, with
     the leader of that token; what a dual traversal of signature trees can't part stays connected. Each of the groups so connected meets
     again, now with token sets, and the same traversal compares exactly. Blocks are bounded in size, and no step
-    emits all pairs of a group. Defined results: a null or empty
+    emits all pairs of a group. Defined results: ids must be integers; a null or empty
     text has no shingle and is linked with nothing; null ids are reported but don't name a component unless all
     its ids are null; repeated rows are reported as often as they occur; an empty table gives an empty result;
     other columns are ignored.
