@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gapwise.llm import exact_dedup, fill_middle, language_id, license_scan, lm_scoring, mixing, ngram_join, packing, quality_rules, secret_scan, sharding
+from gapwise.llm import exact_dedup, fill_middle, language_id, license_scan, lm_scoring, mixing, ngram_join, packing, quality_pu, quality_rules, secret_scan, sharding
 
 QUERIES = {
     "op1_language_hierarchy": language_id.op1_language_hierarchy,
     "op10_signature_tree_join": ngram_join.op10_signature_tree_join,
     "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_quality_pu": quality_pu.op13_quality_pu,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_bounded_ring": sharding.op3_bounded_ring,
     "op4_poisson_mix": mixing.op4_poisson_mix,
