@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gapwise.llm import exact_dedup, fill_middle, language_id, license_scan, lm_scoring, mixing, ngram_join, packing, quality_pu, quality_rules, secret_scan, sharding
+from gapwise.llm import collocations, exact_dedup, fill_middle, language_id, license_scan, lm_scoring, mixing, ngram_join, packing, quality_pu, quality_rules, secret_scan, sharding
 
 QUERIES = {
     "op1_language_hierarchy": language_id.op1_language_hierarchy,
     "op10_signature_tree_join": ngram_join.op10_signature_tree_join,
+    "op11_collocations": collocations.op11_collocations,
     "op12_fill_middle": fill_middle.op12_fill_middle,
     "op13_quality_pu": quality_pu.op13_quality_pu,
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -21,6 +22,7 @@ QUERIES = {
 ORACLES = {
     "op7_secret_owners": secret_scan.SQL,
     "op10_signature_tree_join": ngram_join.SQL,
+    "op11_collocations": collocations.SQL,
     "op12_fill_middle": fill_middle.SQL,
     "op4_poisson_mix": mixing.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
