@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import json
-import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping
@@ -125,18 +124,17 @@ def load_encoder(name: str):
 
     with open(public_tokenizers.path(name), "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    added = {}
-    full = public_tokenizers.path(name).removesuffix(".tiktoken") + ".json"
-    if os.path.exists(full):
-        with open(full, encoding="utf-8") as file:
-            added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+    with open(public_tokenizers.path(name).removesuffix(".tiktoken") + ".json", encoding="utf-8") as file:
+        added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
     return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def tokenized(docs: DataFrame, *, id_col: str, source_col: str, text_col: str, vocabulary: str) -> DataFrame:
-    """id, source, part, before, doc_tokens and the ids as little-endian 32-bit numbers.
+    """id, source, a, b, c, part, before, doc_tokens and the ids as little-endian 32-bit numbers.
 
-    ``before`` counts the tokens of the source's documents earlier in the partition ``part``.
+    Documents are ordered by hashes of the id (a) and the text (b); c only tells rows apart that are alike in both, so that
+    many repeats of one row still spread. ``before`` counts the tokens of the source's documents earlier in ``part``, a
+    range of that order.
     """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,9 +150,13 @@ def tokenized(docs: DataFrame, *, id_col: str, source_col: str, text_col: str, v
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("\0null")).alias("id"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("\0null")).alias("source"),
+        F.xxhash64(F.lit("queue"), F.col(id_col).cast("string")).alias("a"),
+        F.xxhash64(text_or_empty(text_col)).alias("b"),
+        F.monotonically_increasing_id().alias("c"),
         text_or_empty(text_col).alias("text"),
     )
-    return rows.mapInPandas(encode, "id string, source string, part int, before bigint, doc_tokens bigint, ids binary")
+    ordered = rows.repartitionByRange("a", "b", "c").sortWithinPartitions("a", "b", "c")
+    return ordered.mapInPandas(encode, "id string, source string, a bigint, b bigint, c bigint, part int, before bigint, doc_tokens bigint, ids binary")
 
 
 def pack(docs: DataFrame, weights: Mapping[str, float] | None = None, *, temper: float = 1.0, sequence: int = 1024, window: int = 32 * 1024, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -167,17 +169,17 @@ def pack(docs: DataFrame, weights: Mapping[str, float] | None = None, *, temper:
     a source without a weight comes last.
 
     The plan is arithmetic on queue positions, so no task has to wait for another's deficit and no token is shuffled: a
-    queue follows the partitions of ``docs``, and a document's position is its source's sum over earlier partitions
-    plus a running total in its own. Tokens are computed once and kept in the shared folder, which fixes that
-    order. The driver sees one total per source; more than MAX_SOURCES are refused. Defined
+    queue follows a hash of the id, texts are dealt to ranges of that hash, and a document's position is its source's sum
+    over earlier ranges plus a running total in its own. So the pieces are the same however the rows lay and
+    wherever ranges begin. Tokens are computed once and kept in the shared folder. The driver sees one total per source; more than MAX_SOURCES are refused. Defined
     results: a null text is the end id alone; a null source is a source of its own; a null id stays null;
     repeated rows are packed as often as they occur; ids may be of any type that can be a string; an empty table gives an
     empty result; other columns are ignored.
     """
     ids = staged(tokenized(docs, id_col=id_col, source_col=source_col, text_col=text_col, vocabulary=vocabulary), "pack-ids")
-    sums = ids.groupBy(F.col("source").alias("of"), F.col("part").alias("at")).agg(F.sum("doc_tokens").alias("n"))
-    earlier = Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    starts = staged(sums.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "pack-queues")
+    sums = ids.groupBy(F.col("source").alias("of"), F.col("part").alias("at")).agg(F.sum("doc_tokens").alias("n"), F.min(F.struct("a", "b", "c")).alias("begins"))
+    earlier = Window.partitionBy("of").orderBy("begins").rowsBetween(Window.unboundedPreceding, -1)
+    starts = staged(sums.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("begins"), "pack-queues")
     found = starts.groupBy("of").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("starts")).orderBy("of").limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them first")

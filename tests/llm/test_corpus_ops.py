@@ -365,6 +365,21 @@ def test_final_pieces_hold_the_target(spark):
     assert not any(r.source == "small" for r in pieces if r.sequence_id // 2 > windows + 1)
 
 
+def test_pieces_follow_from_the_rows_alone(spark, docs):
+    rows = docs.unionAll(docs.where("doc_id < 20"))
+    laid = [rows.coalesce(1), rows.repartition(3), rows.repartition(7, "lang"), rows.orderBy(F.desc("doc_id"))]
+    found = [sorted(map(str, packing.pack(d, temper=0.5, window=2048).collect())) for d in laid]
+    assert len(found[0]) > 160 and all(f == found[0] for f in found)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "11")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert sorted(map(str, packing.pack(rows, temper=0.5, window=2048).collect())) == found[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_packing_refuses_countless_sources(docs, monkeypatch):
     monkeypatch.setattr(packing, "MAX_SOURCES", 2)
     with pytest.raises(ValueError):
