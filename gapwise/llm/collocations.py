@@ -21,9 +21,9 @@ from gapwise.llm.words import LOWER, U, _offsets, in_groups, mixed
 UNKNOWN_LANG = "und"
 #: Bytes between words, and those of them that also end a piece.
 BREAKS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
-GROUP_BYTES = 8 << 20
-#: Ids in a row of the encoded texts, about; ids looked at at once.
-ROW, WINDOW = 4096, 1 << 20
+GROUP_BYTES = 4 << 20
+#: Ids in a row of the encoded texts, about, as Spark hands over 10,000 rows at once; ids looked at at once.
+ROW, WINDOW = 512, 1 << 18
 #: So many words, or phrases of one length, at most are broadcast (16 bytes each and a word's own bytes); beyond, all is counted by shuffles.
 MAX_KEYS = 1 << 21
 #: Bins of one round, one to four bytes each in either of two arrays; more are needed in several rounds.
@@ -52,7 +52,7 @@ def cut_words(texts: pa.Array) -> tuple[pa.LargeStringArray, np.ndarray, np.ndar
     before, after = np.r_[False, solid[:-1]], np.r_[solid[1:], False]
     start = np.flatnonzero(solid & (~before | edge[:-1])) if n else np.zeros(0, dtype=np.int64)
     stop = np.flatnonzero(solid & (~after | edge[1:])) + 1 if n else start
-    marks = np.cumsum(IS_BREAK[raw])
+    marks = np.cumsum(IS_BREAK[raw], dtype=np.int32 if n < 1 << 31 else np.int64)
     of = np.searchsorted(ends, start, side="right") - 1
     first = np.ones(len(start), dtype=bool)
     first[1:] = (of[1:] != of[:-1]) | (marks[start[1:]] != marks[start[:-1]])
@@ -168,9 +168,9 @@ def windows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[np.ndarra
     for batch in batches:
         column = batch.column(0)
         ends = _offsets(column)
-        ids = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]].view("<i4").astype(np.int64)
+        ids = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]].view("<i4")
         for low in range(0, len(ids), WINDOW):
-            yield ids[low : low + WINDOW + words - 1]
+            yield ids[low : low + WINDOW + words - 1].astype(np.int64)
 
 
 def _bins(keys: np.ndarray, row: int, size: int) -> np.ndarray:
