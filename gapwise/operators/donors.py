@@ -1,17 +1,17 @@
 """Imputation from donor rows: nearest neighbours, Gower distances, hot-deck.
 
-Distances are exact: each block of recipients meets each block of donors in one task, which keeps the best k per
-recipient; so memory is bounded by two blocks and the work is recipients times donors, as the method has it.
+Neighbours are exact: donors lie in boxes around pivots, and a recipient meets only the boxes that may hold one of its k
+nearest (see gapwise.plans.neighbours). Keys may be of any type with an order, columns may have any name that doesn't
+begin with two underscores.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.errors import ConfigurationError, InsufficientDataError, MissingColumnError
@@ -20,6 +20,7 @@ from gapwise.functions.draws import uniform
 from gapwise.operators.summary import warn_if_categorical, warn_if_pairs
 from gapwise.operators.validate import validate_positive_int, validate_strategy
 from gapwise.plans.fused import missing_counts, scalars
+from gapwise.plans.neighbours import Euclidean, Gower, nearest, vector
 
 BLOCK = 4096
 #: A column of more distinct values is an identifier rather than a category.
@@ -49,69 +50,33 @@ def encoded(df: DataFrame, columns: Sequence[str], levels: dict[str, list]) -> l
 
 
 def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """sqrt(p / p_observed * sum of squared differences) over the features that both rows have; NaN without any."""
-    ia, ib = ~np.isnan(a), ~np.isnan(b)
-    both = ia.astype(float) @ ib.T.astype(float)
-    x, y = np.where(ia, a, 0.0), np.where(ib, b, 0.0)
-    total = np.zeros_like(both)
-    for j in range(a.shape[1]):
-        d = x[:, j, None] - y[None, :, j]
-        total += d * d * (ia[:, j, None] & ib[None, :, j])
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.sqrt(np.where(both > 0, a.shape[1] * total / both, np.nan))
+    return Euclidean().between(a, b)
 
 
 def gower(a: np.ndarray, b: np.ndarray, ranges: np.ndarray) -> np.ndarray:
-    """Mean of |difference| / range (or inequality where the range is 0) over the features that both rows have; 1 without any."""
-    total, both = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
-    for j, r in enumerate(ranges):
-        x, y = a[:, j, None], b[None, :, j]
-        ok = ~np.isnan(x) & ~np.isnan(y)
-        part = np.abs(x - y) / r if r > 0 else (x != y).astype(float)
-        total += np.where(ok, part, 0.0)
-        both += ok
-    return np.where(both > 0, total / np.maximum(both, 1), 1.0)
+    return Gower(tuple(map(float, ranges))).between(a, b)
 
 
-def nearest(recipients: DataFrame, donors: DataFrame, k: int, distance, *, exclude_self: bool = True) -> DataFrame:
-    """rid, did, dist, rank of the k nearest donors of each recipient; ties by donor id.
+def _matrix(df: DataFrame, row_id: str, columns: Sequence[str], levels: dict[str, list], carry: Sequence[str] = ()) -> DataFrame:
+    """__id, __x, and of each column of ``carry`` its value __v and whether it is missing, __m; no name of ``df`` goes along."""
+    more = [x for c in carry for x in (nullity.value(df, c).alias(f"__v_{c}"), nullity.miss(df, c).alias(f"__m_{c}"))]
+    return df.select(nullity.column(row_id).alias("__id"), vector(encoded(df, columns, levels)).alias("__x"), *more)
 
-    Both frames hold id (bigint) and x (array<double>, NaN where missing). ``distance`` takes two matrices.
-    """
-    n_r, n_d = recipients.count(), donors.count()
-    warn_if_pairs(n_r, n_d, "the donor search")
-    b_r, b_d = max(1, -(-n_r // BLOCK)), max(1, -(-n_d // BLOCK))
-
-    def dealt(df: DataFrame, own: int, other: int, flip: bool) -> DataFrame:
-        mine, theirs = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
-        return df.select("id", "x", (theirs if flip else mine).alias("r"), (mine if flip else theirs).alias("d")) if not flip else df.select("id", "x", mine.alias("d"), theirs.alias("r"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"rid": [], "did": [], "dist": []}).astype({"rid": "int64", "did": "int64", "dist": "float64"})
-        right = right.sort_values("id", kind="stable")
-        ids = right["id"].to_numpy()
-        b = np.array(right["x"].tolist(), dtype=float).reshape(len(right), -1)
-        out = []
-        for at in range(0, len(left), 256):
-            part = left.iloc[at : at + 256]
-            a = np.array(part["x"].tolist(), dtype=float).reshape(len(part), -1)
-            d = distance(a, b)
-            if exclude_self:
-                d[part["id"].to_numpy()[:, None] == ids[None, :]] = np.nan
-            order = np.argsort(np.where(np.isnan(d), np.inf, d), axis=1, kind="stable")[:, :k]
-            found = np.take_along_axis(d, order, axis=1)
-            out.append(pd.DataFrame({"rid": np.repeat(part["id"].to_numpy(), order.shape[1]), "did": ids[order].ravel(), "dist": found.ravel()}))
-        return pd.concat(out).dropna()
-
-    pairs = dealt(recipients, b_r, b_d, False).groupBy("r", "d").cogroup(dealt(donors, b_d, b_r, True).groupBy("r", "d")).applyInPandas(best, "rid bigint, did bigint, dist double")
-    rank = F.row_number().over(Window.partitionBy("rid").orderBy("dist", "did"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _matrix(df: DataFrame, row_id: str, columns: Sequence[str], levels: dict[str, list]) -> DataFrame:
-    nan = F.lit(float("nan"))
-    return df.select(nullity.column(row_id).cast("bigint").alias("id"), F.array(*[F.coalesce(v, nan) for v in encoded(df, columns, levels)]).alias("x"), "*")
+
+def _found(recipients: DataFrame, donors: DataFrame, k: int, metric, exclude_self: bool) -> DataFrame:
+    """The neighbours, from reliable copies of what the search reads twice."""
+    from gapwise.operators.models import reliable
+
+    return nearest(recipients.select("__id", "__x"), donors.select("__id", "__x"), k, metric, exclude_self=exclude_self, keep=reliable)
+
+
+def _put(df: DataFrame, fills: dict[str, DataFrame], row_id: str, kept: dict[str, Column]) -> DataFrame:
+    """``df`` with the columns of ``fills`` (__rid, __fill) where ``kept`` has nothing."""
+    out = df.withColumns({f"__k_{c}": v for c, v in kept.items()})
+    for c, filled in fills.items():
+        out = out.join(filled.select(F.col("__rid"), F.col("__fill").alias(f"__f_{c}")), nullity.column(row_id) == F.col("__rid"), "left").drop("__rid")
+    made = {c: F.coalesce(nullity.column(f"__k_{c}"), nullity.column(f"__f_{c}")).alias(c) for c in fills}
+    return out.select(*[made.get(c, nullity.column(c)) for c in df.columns])
 
 
 def gower_ranges(df: DataFrame, columns: Sequence[str], levels: dict[str, list]) -> np.ndarray:
@@ -125,25 +90,26 @@ def gower_ranges(df: DataFrame, columns: Sequence[str], levels: dict[str, list])
 
 
 def gower_distance(df: DataFrame, row_id: str, cat_cols: Sequence[str] | None = None, *, queries: DataFrame | None = None) -> DataFrame:
-    """id_a, id_b, distance between the rows of ``queries`` (default: all) and all rows, in blocks."""
+    """id_a, id_b, distance between the rows of ``queries`` (default: all) and all rows, in blocks: every pair is a row of the result."""
     columns = [c for c in df.columns if c != row_id]
     cats = [c for c in columns if c in (cat_cols or ()) or not nullity.is_numeric(df, c)]
     levels = categories(df, cats)
     ranges = gower_ranges(df, columns, levels)
-    rows = _matrix(df, row_id, columns, levels).select("id", "x")
-    asked = rows if queries is None else _matrix(queries, row_id, columns, levels).select("id", "x")
-    blocks = max(1, -(-rows.count() // BLOCK))
-    mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    rows = _matrix(df, row_id, columns, levels)
+    asked = rows if queries is None else _matrix(queries, row_id, columns, levels)
+    n = rows.count()
+    warn_if_pairs(asked.count(), n, "gower_distance")
+    blocks = max(1, -(-n // BLOCK))
+    kind = df.schema[row_id].dataType.simpleString()
+    mine = F.pmod(F.xxhash64("__id"), F.lit(blocks)).cast("int")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"id_a": [], "id_b": [], "distance": []}).astype({"id_a": "int64", "id_b": "int64", "distance": "float64"})
-        d = gower(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float), ranges)
-        return pd.DataFrame({"id_a": np.repeat(left["id"].to_numpy(), len(right)), "id_b": np.tile(right["id"].to_numpy(), len(left)), "distance": d.ravel()})
+        d = np.zeros((0, 0)) if left.empty or right.empty else gower(np.array(left["__x"].tolist(), dtype=float), np.array(right["__x"].tolist(), dtype=float), ranges)
+        return pd.DataFrame({"id_a": np.repeat(left["__id"].to_numpy()[: len(d)], len(right)), "id_b": np.tile(right["__id"].to_numpy(), len(d)), "distance": d.ravel()})
 
-    one = asked.select("id", "x", mine.alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    two = rows.select("id", "x", mine.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("a"))
-    return one.groupBy("a", "b").cogroup(two.groupBy("a", "b")).applyInPandas(compare, "id_a bigint, id_b bigint, distance double")
+    one = asked.withColumns({"__a": mine, "__b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    two = rows.withColumns({"__b": mine, "__a": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    return one.groupBy("__a", "__b").cogroup(two.groupBy("__a", "__b")).applyInPandas(compare, f"id_a {kind}, id_b {kind}, distance double")
 
 
 def _with_misses(df: DataFrame, row_id: str) -> list[str]:
@@ -173,23 +139,23 @@ def impute_knn(df: DataFrame, row_id: str, n_neighbors: int = 5, metric: str = "
     levels = categories(pool, [c for c in columns if not nullity.is_numeric(df, c)])
     _with_misses(pool, row_id)
     targets = [r.variable for r in missing_counts(df.drop(row_id)).collect() if r.n_miss]
-    distance = euclidean if metric == "euclidean" else functools.partial(gower, ranges=gower_ranges(pool, columns, levels))
-    left, right = _matrix(df, row_id, columns, levels), _matrix(pool, row_id, columns, levels)
-    out = df
+    measure = Euclidean() if metric == "euclidean" else Gower(tuple(map(float, gower_ranges(pool, columns, levels))))
+    left, right = _matrix(df, row_id, columns, levels, targets), _matrix(pool, row_id, columns, levels, targets)
+    fills, kept = {}, {}
     for c in targets:
-        found = nearest(left.where(nullity.miss(df, c)).select("id", "x"), right.where(~nullity.miss(pool, c)).select("id", "x"), n_neighbors, distance, exclude_self=donors is None)
-        given = right.select(F.col("id").alias("did"), nullity.column(c).alias("v"), F.get("x", F.lit(columns.index(c))).alias("code"))
-        joined = found.join(given, "did").groupBy(F.col("rid"))
+        gone = nullity.column(f"__m_{c}")
+        found = _found(left.where(gone), right.where(~gone), n_neighbors, measure, donors is None)
+        given = right.select(F.col("__id").alias("__did"), nullity.column(f"__v_{c}").alias("__v"), F.get("__x", F.lit(columns.index(c))).alias("__code"))
+        joined = found.join(given, "__did").groupBy("__rid")
         if c in levels and metric == "euclidean":
-            place = F.greatest(F.lit(0), F.least(F.bround(F.avg("code")), F.lit(len(levels[c]) - 1))).cast("int")
-            filled = joined.agg(F.get(F.array(*[F.lit(x) for x in levels[c]]), place).alias("__fill"))
+            place = F.greatest(F.lit(0), F.least(F.bround(F.avg("__code")), F.lit(len(levels[c]) - 1))).cast("int")
+            fills[c] = joined.agg(F.get(F.array(*[F.lit(x) for x in levels[c]]), place).alias("__fill"))
         elif c in levels:
-            filled = joined.agg(F.mode("v", True).alias("__fill"))
+            fills[c] = joined.agg(F.mode("__v", True).alias("__fill"))
         else:
-            filled = joined.agg(F.avg("v").alias("__fill"))
-        kept = nullity.value(df, c) if c in levels else nullity.value(df, c).cast("double")
-        out = out.join(filled, out[row_id].cast("bigint") == filled["rid"], "left").withColumn(c, F.coalesce(kept, "__fill")).drop("rid", "__fill")
-    return out.select(*[nullity.column(c) for c in df.columns])
+            fills[c] = joined.agg(F.avg("__v").alias("__fill"))
+        kept[c] = nullity.value(df, c) if c in levels else nullity.value(df, c).cast("double")
+    return _put(df, fills, row_id, kept)
 
 
 def impute_hotdeck_random(df: DataFrame, row_id: str, random_state: int = 0, *, donors: DataFrame | None = None) -> DataFrame:
@@ -203,15 +169,14 @@ def impute_hotdeck_random(df: DataFrame, row_id: str, random_state: int = 0, *,
     pool = df if donors is None else donors
     _with_misses(pool, row_id)
     targets = [r.variable for r in missing_counts(df.drop(row_id)).collect() if r.n_miss]
-    out = df
+    fills = {}
     for c in targets:
         observed = pool.where(~nullity.miss(pool, c)).select(nullity.column(row_id).alias("__id"), nullity.column(c).alias("__fill"))
         n = observed.count()
         numbered = with_position(observed, ["__id"]).select(F.col("__pos").alias("__k"), "__fill")
         asked = df.where(nullity.miss(df, c)).select(nullity.column(row_id).alias("__rid"), (F.floor(uniform(random_state, f"hotdeck/{c}", nullity.column(row_id)) * n) + 1).alias("__k"))
-        filled = asked.join(numbered, "__k").select("__rid", "__fill")
-        out = out.join(filled, out[row_id] == filled["__rid"], "left").withColumn(c, F.coalesce(nullity.value(df, c), "__fill")).drop("__rid", "__fill")
-    return out.select(*[nullity.column(c) for c in df.columns])
+        fills[c] = asked.join(numbered, "__k").select("__rid", "__fill")
+    return _put(df, fills, row_id, {c: nullity.value(df, c) for c in targets})
 
 
 def impute_hotdeck_sequential(df: DataFrame, order_by: Sequence[str], direction: str = "nearest", *, partition_by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
@@ -241,17 +206,15 @@ def impute_hotdeck_weighted(df: DataFrame, row_id: str, n_donors: int = 5, rando
     targets = _with_misses(df, row_id)
     columns = [c for c in df.columns if c != row_id]
     levels = categories(df, [c for c in columns if not nullity.is_numeric(df, c)])
-    out = df
+    fills = {}
     for c in targets:
         others = [x for x in columns if x != c]
-        ranges = gower_ranges(df, others, levels)
-        rows = _matrix(df, row_id, others, levels)
-        found = nearest(rows.where(nullity.miss(df, c)).select("id", "x"), rows.where(~nullity.miss(df, c)).select("id", "x"), n_donors, functools.partial(gower, ranges=ranges))
-        race = -F.log(1 - uniform(random_state, f"weighted/{c}", F.col("rid"), F.col("did"))) * (F.col("dist") + 1e-10)
-        won = found.groupBy("rid").agg(F.min_by("did", F.struct(race, F.col("did"))).alias("did"))
-        filled = won.join(rows.select(F.col("id").alias("did"), nullity.column(c).alias("__fill")), "did").select("rid", "__fill")
-        out = out.join(filled, out[row_id].cast("bigint") == filled["rid"], "left").withColumn(c, F.coalesce(nullity.value(df, c), "__fill")).drop("rid", "__fill")
-    return out.select(*[nullity.column(c) for c in df.columns])
+        rows, gone = _matrix(df, row_id, others, levels, [c]), nullity.column(f"__m_{c}")
+        found = _found(rows.where(gone), rows.where(~gone), n_donors, Gower(tuple(map(float, gower_ranges(df, others, levels)))), True)
+        race = -F.log(1 - uniform(random_state, f"weighted/{c}", F.col("__rid"), F.col("__did"))) * (F.col("__dist") + 1e-10)
+        won = found.groupBy("__rid").agg(F.min_by("__did", F.struct(race, F.col("__did"))).alias("__did"))
+        fills[c] = won.join(rows.select(F.col("__id").alias("__did"), nullity.column(f"__v_{c}").alias("__fill")), "__did").select("__rid", "__fill")
+    return _put(df, fills, row_id, {c: nullity.value(df, c) for c in targets})
 
 
 __all__ = ["gower_distance", "impute_hotdeck_random", "impute_hotdeck_sequential", "impute_hotdeck_weighted", "impute_knn", "nearest"]
