@@ -1,4 +1,4 @@
-"""Mean, median and mode imputation, as functions and as a fitted imputer: one aggregate, then a projection."""
+"""Mean, median and mode imputation, as functions and as a fitted imputer: a few aggregates, then a projection."""
 
 from __future__ import annotations
 
@@ -11,25 +11,27 @@ from gapwise.errors import ConfigurationError, InsufficientDataError, MissingCol
 from gapwise.functions import nullity
 from gapwise.operators.validate import validate_strategy
 from gapwise.plans.fused import scalars
+from gapwise.plans.selection import medians, modes
 
 STRATEGIES = ("mean", "median", "mode")
 
 
 def fill_values(df: DataFrame, strategy: str, columns: list[str]) -> dict[str, object]:
-    """The fill value of each column by one job: the mode for what isn't numeric, the smallest of tied modes."""
-    made = {}
-    for i, c in enumerate(columns):
-        v = nullity.value(df, c)
-        if strategy == "mode" or not nullity.is_numeric(df, c):
-            made[f"v{i}"] = F.mode(v, True)
-        else:
-            made[f"v{i}"] = F.avg(v) if strategy == "mean" else F.median(v)
-        made[f"n{i}"] = F.count(v)
-    row = scalars(df, **made) if made else {}
+    """The fill value of each column: the mode for what isn't numeric, the smallest of tied modes.
+
+    Counts and means are one aggregate; medians and modes share their scans and hold no column's values in a task.
+    """
+    if not columns:
+        return {}
+    counts = scalars(df, **{f"n{i}": F.count(nullity.value(df, c)) for i, c in enumerate(columns)} | {f"v{i}": F.avg(nullity.value(df, c)) for i, c in enumerate(columns) if strategy == "mean" and nullity.is_numeric(df, c)})
     for i, c in enumerate(columns):
-        if not row[f"n{i}"]:
+        if not counts[f"n{i}"]:
             raise InsufficientDataError(c, 0)
-    return {c: row[f"v{i}"] for i, c in enumerate(columns)}
+    found = {c: counts[f"v{i}"] for i, c in enumerate(columns) if f"v{i}" in counts}
+    middle = [c for c in columns if strategy == "median" and nullity.is_numeric(df, c)]
+    found |= medians(df, {c: (nullity.value(df, c).cast("double"), counts[f"n{columns.index(c)}"]) for c in middle})
+    found |= modes(df, {c: (nullity.value(df, c), df.schema[c].dataType.simpleString()) for c in columns if c not in found})
+    return {c: found[c] for c in columns}
 
 
 def apply_fill(df: DataFrame, values: dict[str, object], *, widen: bool = True) -> DataFrame:

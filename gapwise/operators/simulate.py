@@ -13,6 +13,7 @@ from gapwise.functions.draws import uniform
 from gapwise.operators.validate import validate_columns, validate_strategy
 from gapwise.plans.fused import missing_counts, scalars
 from gapwise.plans.ordered import with_position
+from gapwise.plans.selection import medians, order_statistics
 
 
 def _check(df: DataFrame, frac: float, complete: Sequence[str]) -> None:
@@ -23,30 +24,38 @@ def _check(df: DataFrame, frac: float, complete: Sequence[str]) -> None:
 
 
 def _exactly(df: DataFrame, c: str, k: int, row_id: str, seed: int, label: str) -> DataFrame:
-    """NULL in the k observed rows of the smallest draws."""
-    draw = uniform(seed, f"{label}/{c}", nullity.column(row_id))
-    drawn = df.where(~nullity.miss(df, c)).select(nullity.column(row_id).alias("__id"), draw.alias("__u"))
-    hit = with_position(drawn, ["__u", "__id"]).where(F.col("__pos") <= k).select("__id", F.lit(True).alias("__hit"))
-    joined = df.join(hit, df[row_id] == hit["__id"], "left")
-    return joined.select(*[(F.when(F.col("__hit").isNull(), nullity.column(x)).alias(x) if x == c else nullity.column(x)) for x in df.columns])
+    """NULL in the k observed rows of the smallest draws, by their place in that order."""
+    draw = F.when(~nullity.miss(df, c), uniform(seed, f"{label}/{c}", nullity.column(row_id))).otherwise(2.0)
+    placed = with_position(df.withColumn("__u", draw), ["__u", row_id])
+    return placed.select(*[(F.when(F.col("__pos") > k, nullity.column(x)).alias(x) if x == c else nullity.column(x)) for x in df.columns])
 
 
 def simulate_mcar(df: DataFrame, row_id: str, frac: float = 0.1, *, columns: Sequence[str] | None = None, random_state: int = 0, require_complete: bool = True) -> DataFrame:
-    """Exactly max(1, round(n * frac)) cells of each column, without replacement; by default of the numeric ones."""
+    """Exactly max(1, round(n * frac)) cells of each column, without replacement; by default of the numeric ones.
+
+    The k-th smallest draw of each column is a threshold, found for all columns by shared scans; the cells then go by a projection.
+    Only where rows share the draw at the threshold, as rows that repeat a key do, are they put in order.
+    """
     columns = validate_columns(df, columns) if columns is not None else [c for c in nullity.numeric_columns(df) if c != row_id]
     _check(df, frac, columns if require_complete else ())
     counts = {r.variable: r.n_rows - r.n_miss for r in missing_counts(df, columns=columns).collect()}
-    out = df
-    for c in columns:
-        if counts[c]:
-            out = _exactly(out, c, max(1, round(counts[c] * frac)), row_id, random_state, "mcar")
+    wanted = {c: max(1, round(counts[c] * frac)) for c in columns if counts[c]}
+    draws = {c: uniform(random_state, f"mcar/{c}", nullity.column(row_id)) for c in wanted}
+    found = order_statistics(df, {c: (F.when(~nullity.miss(df, c), draws[c]), [k - 1]) for c, k in wanted.items()})
+    cuts = {c: found[c][k - 1] for c, k in wanted.items()}
+    alone = {c: cut for c, (cut, below, equal) in cuts.items() if below + equal == wanted[c]}
+    gone = {c: F.when(draws[c] > F.lit(cut), nullity.column(c)).alias(c) for c, cut in alone.items()}
+    out = df.select(*[gone.get(c, nullity.column(c)) for c in df.columns])
+    for c in wanted:
+        if c not in alone:
+            out = _exactly(out, c, wanted[c], row_id, random_state, "mcar")
     return out
 
 
 def _tail(df: DataFrame, by: str, tail: str, threshold: float | None) -> Column:
     validate_strategy(tail, ("upper", "lower"), param="tail")
-    cut = scalars(df, m=F.median(nullity.value(df, by)))["m"] if threshold is None else threshold
     v = nullity.value(df, by).cast("double")
+    cut = medians(df, {by: (v, scalars(df, n=F.count(v))["n"])}).get(by) if threshold is None else threshold
     return F.coalesce(v > F.lit(cut) if tail == "upper" else v < F.lit(cut), F.lit(False))
 
 

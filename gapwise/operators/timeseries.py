@@ -64,7 +64,10 @@ def gap_table(df: DataFrame, order_by: Sequence[str], *, partition_by: Sequence[
 
 
 def miss_ts_summary(df: DataFrame, order_by: Sequence[str], *, columns: Sequence[str] | None = None, missing_values: Values = None) -> DataFrame:
-    """variable, n_miss, pct_miss, n_gaps, mean_gap, max_gap, max_gap_len, median_gap; zeros without gaps."""
+    """variable, n_miss, pct_miss, n_gaps, mean_gap, max_gap, max_gap_len, median_gap; zeros without gaps.
+
+    Lengths are counted by value first: of n rows no column has more than sqrt(2 n) different ones, which is all that a median holds.
+    """
     columns = _columns(df, columns, order_by, ())
     gaps = gap_table(df, order_by, columns=columns, missing_values=missing_values)
     total = df.count()
