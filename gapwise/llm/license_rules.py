@@ -319,6 +319,12 @@ NAMES = (
     ("json", " json ", r"(?:the )?json " + L),
     ("elastic", " elastic ", r"(?:the )?elastic " + L),
     ("fair-source", " fair source ", r"fair source " + L),
+    ("mit", " mit or ", r"mit or"),
+    ("mit", " mit licensed ", r"mit licensed"),
+    ("mit", " mit licenced ", r"mit licenced"),
+    ("apache-2", " apache licensed ", r"apache licensed"),
+    ("bsd", " bsd licensed ", r"bsd licensed"),
+    ("gpl", " gpl licensed ", r"gpl licensed"),
 )
 
 #: Sentences of license texts and notices.
@@ -330,7 +336,7 @@ NOTICES = (
     ("json", "for good not evil", r"the software shall be used for good not evil"),
     ("zlib", "this software is provided as is", r"this software is provided as is without any express or implied warranty"),
     ("unlicense", "free and unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("gpl", "free software you can redistribute", r"this (?:program|library|file) is free software you can redistribute it and or modify it"),
+    ("gpl", "free software you can redistribute", r"(?:this (?:program|library|file) is )?free software you can redistribute it(?: and or modify it)?"),
     ("cc0", "waived all copyright", r"has waived all copyright and related(?: or neighboring)? rights"),
     ("public-domain", "public domain", r"(?:released|placed|dedicated|is) (?:into|in|to) the public domain"),
     ("public-domain", "public domain", r"public domain(?: mark)?(?: 1 0)?"),

@@ -55,26 +55,42 @@ def _detections(joined: Column, present: Column) -> Column:
     return F.sort_array(F.flatten(hits))
 
 
+def _kept(cluster: Column) -> Column:
+    """Of detections that hang together: from the strongest on, each stays unless it overlaps a stronger one that stays or lies in an equal one that stays."""
+    ranked = F.sort_array(F.transform(cluster, lambda d: F.struct(*[d[c].alias(c) for c in ("priority", "start", "minus_end", "rank", "label", "score")])))
+
+    def step(kept: Column, d: Column) -> Column:
+        felled = F.exists(
+            kept,
+            lambda k: ((k["priority"] < d["priority"]) & (k["start"] < -d["minus_end"]) & (d["start"] < -k["minus_end"]))
+            | ((k["priority"] == d["priority"]) & (k["start"] <= d["start"]) & (k["minus_end"] <= d["minus_end"])),
+        )
+        return F.when(felled, kept).otherwise(F.concat(kept, F.array(d)))
+
+    return F.when(F.size(cluster) < 2, ranked).otherwise(let(ranked, lambda r: F.aggregate(r, F.slice(r, F.lit(1), F.lit(0)), step)))
+
+
 def _resolved(detections: Column) -> Column:
     """Labels and the best score of what is left.
 
-    One sweep in order of start. A detection falls if one that is still open is stronger, or as strong and
-    contains it; else it fells the weaker ones that are open. Detections that end before the next starts stay.
+    One sweep in order of start cuts the detections where none is open any more; only those between two cuts can overlap, so
+    each such cluster is resolved by itself.
     """
-    start = F.struct(F.slice(detections, F.lit(1), F.lit(0)).alias("open"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
+    none = F.slice(detections, F.lit(1), F.lit(0))
+    start = F.struct(none.alias("open"), F.lit(0).cast("bigint").alias("end"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
 
-    def settled(acc: Column, closed: Column, live: Column) -> Column:
-        labels = F.array_union(acc["labels"], F.transform(closed, lambda x: x["label"]))
-        best = F.greatest(acc["score"], F.coalesce(F.array_max(F.transform(closed, lambda x: x["score"])), F.lit(0.0)))
-        return F.struct(live.alias("open"), labels.alias("labels"), best.alias("score"))
+    def settled(acc: Column, closed: Column, open_: Column, end: Column) -> Column:
+        of = lambda kept: F.struct(
+            open_.alias("open"), end.alias("end"), F.array_union(acc["labels"], F.transform(kept, lambda x: x["label"])).alias("labels"),
+            F.greatest(acc["score"], F.coalesce(F.array_max(F.transform(kept, lambda x: x["score"])), F.lit(0.0))).alias("score"),
+        )
+        return let(_kept(closed), of)
 
     def step(acc: Column, d: Column) -> Column:
-        live = F.filter(acc["open"], lambda x: -x["minus_end"] > d["start"])
-        beaten = F.exists(live, lambda x: (x["priority"] < d["priority"]) | ((x["priority"] == d["priority"]) & (x["minus_end"] <= d["minus_end"])))
-        stays = F.when(beaten, live).otherwise(F.concat(F.filter(live, lambda x: x["priority"] <= d["priority"]), F.array(d)))
-        return settled(acc, F.filter(acc["open"], lambda x: -x["minus_end"] <= d["start"]), stays)
+        grown = F.struct(F.concat(acc["open"], F.array(d)).alias("open"), F.greatest(acc["end"], -d["minus_end"]).alias("end"), acc["labels"].alias("labels"), acc["score"].alias("score"))
+        return F.when(d["start"] < acc["end"], grown).otherwise(settled(acc, acc["open"], F.array(d), -d["minus_end"]))
 
-    return F.aggregate(detections, start, step, lambda acc: let(settled(acc, acc["open"], acc["open"]), lambda x: F.struct(x["labels"], x["score"])))
+    return F.aggregate(detections, start, step, lambda acc: let(settled(acc, acc["open"], none, F.lit(0).cast("bigint")), lambda x: F.struct(x["labels"], x["score"])))
 
 
 def _places(joined: Column, phrase: str) -> Column:

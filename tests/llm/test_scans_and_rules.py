@@ -261,15 +261,31 @@ def test_license_prefilters_lose_nothing():
 
 
 def brute_labels(text):
-    """Rule by rule without keywords, and the same sweep over lists."""
-    found = sorted((m.start(), -m.end(), r.priority, k, r.label, r.score) for k, r in enumerate(license_scan.signatures()) for m in re.finditer(r.pattern, f" {text} "))
-    live, settled = [], []
-    for d in found:
-        settled += [x for x in live if -x[1] <= d[0]]
-        live = [x for x in live if -x[1] > d[0]]
-        if not any(x[2] < d[2] or (x[2] == d[2] and x[1] <= d[1]) for x in live):
-            live = [x for x in live if x[2] <= d[2]] + [d]
-    return {x[4] for x in settled + live}, max((x[5] for x in settled + live), default=0.0)
+    """Rule by rule without keywords; from the strongest on, each match stays unless it overlaps a stronger one that stays or lies in an equal one."""
+    found = [(r.priority, m.start(), -m.end(), k, r.label, r.score) for k, r in enumerate(license_scan.signatures()) for m in re.finditer(r.pattern, f" {text} ")]
+    kept = []
+    for p, s, e, *rest in sorted(found):
+        stronger = any(q < p and t < -e and s < -f for q, t, f, *_ in kept)
+        if not stronger and not any(q == p and t <= s and f <= e for q, t, f, *_ in kept):
+            kept.append((p, s, e, *rest))
+    return {x[4] for x in kept}, max((x[5] for x in kept), default=0.0)
+
+
+def test_what_has_fallen_fells_nothing(spark):
+    cases = {
+        "Proprietary License, Apache License 2.0": "apache-2,proprietary",
+        "MIT OR Apache-2.0": "apache-2,mit",
+        "an MIT-licensed tool": "mit",
+        "free software; you can redistribute it": "gpl",
+    }
+    rows = license_scan.license_scan(frame(spark, list(cases))).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == list(cases.values())
+
+
+def test_license_scan_of_clashing_names(spark):
+    names = ("g", "m", "words", "base", "found", "labels", "open", "end", "start")
+    d = frame(spark, ["the mit license"]).withColumns({n: F.lit(1) for n in names})
+    assert license_scan.license_scan(d).first().labels == "mit"
 
 
 def test_license_rules_one_by_one(spark):
