@@ -167,8 +167,8 @@ class _Coded:
                 place = F.greatest(F.lit(0), F.least(F.bround(v), F.lit(len(self.levels[c]) - 1))).cast("int")
                 v = F.get(F.array(*[F.lit(x) for x in self.levels[c]]), place)
             made[c] = v.alias(f"__f_{c}")
-        fills = coded.select("__id", "chain", *made.values())
-        joined = self.df.join(fills, self.df[self.row_id] == fills["__id"])
+        fills = coded.select("__id", F.col("chain").alias("__chain"), *made.values())
+        joined = self.df.join(fills, nullity.column(self.row_id) == F.col("__id"))
         out = []
         for c in self.df.columns:
             if c not in made:
@@ -179,7 +179,7 @@ class _Coded:
                 fill = F.when(only[c], fill)
             old = nullity.value(self.df, c)
             out.append(F.coalesce(old if c in self.levels else old.cast("double"), fill).alias(c))
-        return joined.select(*(["chain"] if chain else []), *out)
+        return joined.select(*([F.col("__chain").alias("chain")] if chain else []), *out)
 
 
 def impute_mice(df: DataFrame, row_id: str, max_iter: int = 10, random_state: int = 0, *, n_imputations: int = 1, sample_posterior: bool = True, visit_sequence: Sequence[str] | None = None, predictor_matrix: Mapping[str, Sequence[str]] | None = None, where: Mapping[str, Column] | None = None, bounds: Mapping[str, tuple[float, float]] | None = None, return_history: bool = False):

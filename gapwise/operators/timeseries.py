@@ -34,7 +34,7 @@ def _columns(df: DataFrame, columns: Sequence[str] | None, order_by: Sequence[st
 def is_sorted(df: DataFrame, file_order: str, order_by: str) -> bool:
     """Whether ``order_by`` never falls along ``file_order``; equal values are fine."""
     placed = with_neighbours(df, {"x": nullity.column(order_by)}, [file_order])
-    before = placed.select(F.col("__pos").alias("p"), sort_number(df, order_by).alias("v"))
+    before = placed.select(F.col("__pos").alias("p"), nullity.column(order_by).alias("v"))
     after = before.select((F.col("p") - 1).alias("p"), F.col("v").alias("w"))
     return before.join(after, "p").where("v > w").isEmpty()
 

@@ -1,6 +1,6 @@
 """Ordered operators without a single-task window over the whole table.
 
-Every series is cut into ranges of its order key, at quantiles over all rows, so that one long series among many
+Every series is cut into ranges of its order keys, at quantiles over all rows, so that one long series among many
 is cut up too. Windows run within the ranges of a series; what a range must know of those before and after it is one
 row per range.
 """
@@ -24,16 +24,46 @@ def sort_number(df: DataFrame, name: str) -> Column:
     return column(name).cast("double")
 
 
+#: Rows of the sample from which the ranges are cut, per range.
+SAMPLED = 32
+
+
+def _cuts(df: DataFrame, keys: Sequence[str], n: int) -> list:
+    """Up to n - 1 distinct tuples of the keys, ascending, that cut the rows into parts of about one size.
+
+    The sample are the rows of the smallest hashes over the keys and the row's place, so a key that many rows share is there as
+    often as its share; what it says decides how even the ranges are and nothing else.
+    """
+    draw = F.xxhash64(*[column(c) for c in keys], F.monotonically_increasing_id())
+    sample = df.select(*[column(c).alias(f"k{i}") for i, c in enumerate(keys)], draw.alias("draw")).orderBy("draw").limit(SAMPLED * n)
+    rows = [tuple(r)[:-1] for r in sample.orderBy(*[f"k{i}" for i in range(len(keys))]).collect()]
+    return list(dict.fromkeys(rows[len(rows) * i // n] for i in range(1, n) if rows))
+
+
 def with_range(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Add __range: of one series, rows in a lower range come first."""
+    """Add __range: of one series, rows in a lower range come first.
+
+    Ranges are cut between tuples of all order keys, of any type that has an order, so that many rows of one first key are cut
+    up too. A row finds its range by bisection in one constant array.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = sort_number(df, order_by[0])
-    cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 2000).alias("q")).first()["q"] if n > 1 else None
-    bounds = sorted(set(cuts or []))
-    if not bounds:
+    cuts = _cuts(df, order_by, n) if n > 1 else []
+    if not cuts:
         return df.withColumn("__range", F.lit(0))
-    at = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < F.coalesce(key, F.lit(float("-inf")))))
-    return df.withColumn("__range", at)
+    kinds = [df.schema[c].dataType for c in order_by]
+    tuple_of = lambda values: F.struct(*[v.alias(f"k{i}") for i, v in enumerate(values)])
+    table = F.array(*[tuple_of([F.lit(v).cast(kind) for v, kind in zip(cut, kinds, strict=True)]) for cut in cuts])
+    key = tuple_of([column(c) for c in order_by])
+    # low: cuts known to be at or below the key; high: the first known to be above it.
+    begin = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = ((at["low"] + at["high"]) / 2).cast("int")
+        above = F.get(table, middle) > key
+        return F.when(at["low"] == at["high"], at).when(above, F.struct(at["low"].alias("low"), middle.alias("high"))).otherwise(F.struct((middle + 1).alias("low"), at["high"].alias("high")))
+
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+    return df.withColumn("__range", F.aggregate(steps, begin, halve, lambda at: at["low"]))
 
 
 def _windows(order_by: Sequence[str], partition_by: Sequence[str]):
@@ -51,7 +81,7 @@ def _with_carry(ranged: DataFrame, carry: DataFrame, partition_by: Sequence[str]
     return ranged.join(carry if partition_by else F.broadcast(carry), same).drop(*[f"__k_{k}" for k in keys])
 
 
-def with_position(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), sums: Mapping[str, Column] | None = None) -> DataFrame:
+def with_position(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), sums: Mapping[str, Column] | None = None, *, keep_range: bool = False) -> DataFrame:
     """Add __pos, the row's place from 1, and inclusive running sums of the given columns."""
     sums = dict(sums or {})
     ranged = with_range(df, order_by).withColumns({f"__v_{k}": c for k, c in sums.items()})
@@ -64,7 +94,7 @@ def with_position(df: DataFrame, order_by: Sequence[str], partition_by: Sequence
     added = {"__pos": (F.row_number().over(local) + F.col("__b_n")).cast("bigint")}
     added |= {k: F.sum(f"__v_{k}").over(upto) + F.col(f"__b_s_{k}") for k in sums}
     out = _with_carry(ranged, carry, partition_by).withColumns(added)
-    return out.drop("__range", *[f"__v_{k}" for k in sums], *[f"__b_{n}" for n in names])
+    return out.drop(*([] if keep_range else ["__range"]), *[f"__v_{k}" for k in sums], *[f"__b_{n}" for n in names])
 
 
 def with_neighbours(df: DataFrame, observed: Mapping[str, Column], order_by: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
@@ -73,8 +103,7 @@ def with_neighbours(df: DataFrame, observed: Mapping[str, Column], order_by: Seq
     ``observed[k]`` is the value, null where missing. A neighbour is a struct (pos, at, value): the place, the
     first order key and the value.
     """
-    placed = with_position(df, order_by, partition_by)
-    placed = with_range(placed, order_by)
+    placed = with_position(df, order_by, partition_by, keep_range=True)
     mark = {f"__o_{k}": F.when(c.isNotNull(), F.struct(F.col("__pos").alias("pos"), column(order_by[0]).alias("at"), c.alias("value"))) for k, c in observed.items()}
     placed = placed.withColumns(mark)
     parts, local, ranges = _windows(order_by, partition_by)
