@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 import tempfile
+import warnings
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -330,43 +332,125 @@ def impute_logreg(df: DataFrame, row_id: str, random_state: int = 0, strict_mode
     return _categorical(df, row_id, [c for c, n in levels.items() if n == 2], label, random_state, strict_mode, "logreg")
 
 
+def _most_probable(values: list, scores: list[Column]) -> Column:
+    best = F.array_max(F.array(*[F.struct(e.alias("eta"), F.lit(-i).alias("i")) for i, e in enumerate(scores)]))
+    return F.get(F.array(*[F.lit(v) for v in values]), -best["i"])
+
+
+def _place(values: list, c: str) -> Column:
+    return F.array_position(F.array(*[F.lit(v) for v in values]), nullity.column(c)) - 1
+
+
+def _multinomial(rows: DataFrame, c: str, features: list[Column], values: list) -> Column:
+    model = _softmax_fit(rows, _place(values, c), features, len(values))
+    weight, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    return _most_probable(values, [sum((F.lit(float(b)) * x for b, x in zip(row, features, strict=True)), F.lit(float(bias[i]))) for i, row in enumerate(weight)])
+
+
 def impute_polyreg(df: DataFrame, row_id: str, random_state: int = 0, strict_mode: bool | None = None) -> DataFrame:
     """Text columns with three levels or more: the most probable level of a multinomial regression."""
     resolve_strict_mode(strict_mode)
     gone = [c for c in _incomplete(df, row_id) if not nullity.is_numeric(df, c)]
+    return _categorical(df, row_id, [c for c, n in _distinct(df, gone).items() if n >= 3], _multinomial, random_state, strict_mode, "polyreg")
 
-    def label(rows: DataFrame, c: str, features: list[Column], values: list) -> Column:
-        place = F.array_position(F.array(*[F.lit(v) for v in values]), nullity.column(c)) - 1
-        model = _softmax_fit(rows, place, features, len(values))
-        weight, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-        etas = [sum((F.lit(float(b)) * x for b, x in zip(row, features, strict=True)), F.lit(float(bias[i]))) for i, row in enumerate(weight)]
-        best = F.array_max(F.array(*[F.struct(e.alias("eta"), F.lit(-i).alias("i")) for i, e in enumerate(etas)]))
-        return F.get(F.array(*[F.lit(v) for v in values]), -best["i"])
 
-    return _categorical(df, row_id, [c for c, n in _distinct(df, gone).items() if n >= 3], label, random_state, strict_mode, "polyreg")
+def fit_ordinal(df: DataFrame, place: Column, x: Sequence[Column], levels: int, *, max_iter: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Thresholds and slopes of a proportional-odds model, P(place <= j) = sigmoid(threshold_j - x . slopes), by maximum likelihood.
+
+    Newton's method: each step is one job in which tasks add up the log-likelihood, its gradient and its curvature as matrices
+    over their rows. A step is halved until the thresholds stay in order and the likelihood doesn't fall. Features that
+    don't vary get a slope of 0. Raises ValueError where a level is empty or no finite maximum is found.
+    """
+    x = list(x)
+    stats = scalars(df, n=F.count(F.lit(1)), **{f"m{i}": F.avg(c) for i, c in enumerate(x)}, **{f"s{i}": F.stddev_pop(c) for i, c in enumerate(x)})
+    use = [i for i in range(len(x)) if (stats[f"s{i}"] or 0.0) > 1e-12]
+    mean, scale = (np.array([stats[f"{k}{i}"] for i in use], dtype=float) for k in "ms")
+    rows = df.select(place.cast("int").alias("y"), F.array(*[x[i].cast("double") for i in use], F.lit(0.0)).alias("x")).where("y >= 0")
+    counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(counts) < levels or levels < 3:
+        raise ValueError("every level needs an observed row, and there must be three at least")
+    cuts, p = levels - 1, len(use)
+    size = cuts + p
+
+    def sums(t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        theta, beta = np.r_[-np.inf, t[:cuts], np.inf], t[cuts:]
+
+        def run(batches):
+            total = np.zeros(1 + size + size * size)
+            for batch in batches:
+                y = batch["y"].to_numpy(dtype=np.int64)
+                z = (np.array(batch["x"].tolist(), dtype=float).reshape(len(y), p + 1)[:, :p] - mean) / scale
+                eta = z @ beta
+                parts = []
+                for k in (y + 1, y):
+                    f = 1 / (1 + np.exp(-np.clip(theta[k] - eta, -700, 700)))
+                    near = np.zeros((len(y), size))
+                    inner = np.flatnonzero((k > 0) & (k < levels))
+                    near[inner, k[inner] - 1] = 1.0
+                    near[inner, cuts:] = -z[inner]
+                    parts.append((np.where(k == 0, 0.0, np.where(k == levels, 1.0, f)), np.where((k > 0) & (k < levels), f * (1 - f), 0.0), near))
+                (fa, da, za), (fb, db, zb) = parts
+                prob = np.maximum(fa - fb, 1e-300)
+                ga, gb = da / prob, -db / prob
+                haa, hbb, hab = da * (1 - 2 * fa) / prob - ga**2, -db * (1 - 2 * fb) / prob - gb**2, -ga * gb
+                cross = (za * hab[:, None]).T @ zb
+                h = (za * haa[:, None]).T @ za + (zb * hbb[:, None]).T @ zb + cross + cross.T
+                total += np.concatenate([[np.log(prob).sum()], za.T @ ga + zb.T @ gb, h.ravel()])
+            yield pd.DataFrame({"part": [total.tobytes()]})
+
+        got = sum(np.frombuffer(r.part) for r in rows.mapInPandas(run, "part binary").collect())
+        return float(got[0]), got[1 : 1 + size], got[1 + size :].reshape(size, size)
+
+    share = np.cumsum([counts[j] for j in range(cuts)]) / sum(counts.values())
+    t = np.r_[np.log(share / (1 - share)), np.zeros(p)]
+    value, gradient, h = sums(t)
+    for _ in range(max_iter):
+        step = np.linalg.solve(-h + 1e-10 * np.trace(-h) / size * np.eye(size), gradient)
+        if not np.isfinite(step).all():
+            raise ValueError("the likelihood has no finite maximum")
+        rate = 1.0
+        while True:
+            new = t + rate * step
+            if (np.diff(new[:cuts]) > 0).all():
+                found = sums(new)
+                if found[0] >= value - 1e-10 * abs(value):
+                    break
+            rate /= 2
+            if rate < 1e-8:
+                raise ValueError("no step raises the likelihood")
+        gain, t, (value, gradient, h) = found[0] - value, new, found
+        if abs(rate * step).max() < 1e-9 or (gain < 1e-11 * abs(value) and np.abs(gradient).max() < 1e-6 * stats["n"]):
+            break
+        if np.abs(t).max() > 1e6:
+            raise ValueError("the likelihood has no finite maximum")
+    else:
+        raise ValueError("no convergence")
+    slopes = np.zeros(len(x))
+    slopes[use] = t[cuts:] / scale
+    return t[:cuts] + float(slopes[use] @ mean), slopes
 
 
 def impute_polr(df: DataFrame, row_id: str, random_state: int = 0, strict_mode: bool | None = None, *, orders: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Ordered levels by cumulative logits that share one slope vector.
+    """Ordered levels by a proportional-odds model of maximum likelihood: the most probable level.
 
-    Each row counts once per threshold with the outcome "above it"; one logistic regression over the thresholds
-    and the features estimates the model from all of them. ``orders`` gives level orders, by default sorted.
+    ``orders`` gives level orders, by default sorted. Where the model can't be fitted, strict mode raises; else a warning is
+    given and a multinomial regression fills, and the mode where that fails too.
     """
-    resolve_strict_mode(strict_mode)
+    strict = resolve_strict_mode(strict_mode)
     gone = [c for c in _incomplete(df, row_id) if not nullity.is_numeric(df, c)]
 
     def label(rows: DataFrame, c: str, features: list[Column], values: list) -> Column:
         values = list((orders or {}).get(c, values))
-        place = F.array_position(F.array(*[F.lit(v) for v in values]), nullity.column(c)) - 1
-        steps = range(1, len(values))
-        long = rows.select(place.alias("place"), *[x.alias(f"x{i}") for i, x in enumerate(features)], F.explode(F.array(*[F.lit(s) for s in steps])).alias("step"))
-        dummies = [(F.col("step") == s).cast("double") for s in list(steps)[1:]]
-        coef, _, _ = fit_logistic(long, (F.col("place") >= F.col("step")).cast("double"), [*dummies, *[F.col(f"x{i}") for i in range(len(features))]])
-        shifts = [0.0, *coef[1 : len(dummies) + 1]]
-        line = sum((F.lit(float(b)) * x for b, x in zip(coef[len(dummies) + 1 :], features, strict=True)), F.lit(float(coef[0])))
-        above = [F.lit(1.0), *[1 / (1 + F.exp(-(line + F.lit(float(s))))) for s in shifts], F.lit(0.0)]
-        best = F.array_max(F.array(*[F.struct((above[i] - above[i + 1]).alias("p"), F.lit(-i).alias("i")) for i in range(len(values))]))
-        return F.get(F.array(*[F.lit(v) for v in values]), -best["i"])
+        try:
+            thresholds, slopes = fit_ordinal(rows, _place(values, c), features, len(values))
+        except (ValueError, np.linalg.LinAlgError) as exc:
+            if strict:
+                raise
+            warnings.warn(f"impute_polr: the ordinal model failed for column {c!r} ({exc}); a multinomial regression fills it", UserWarning, stacklevel=4)
+            return _multinomial(rows, c, features, values)
+        line = sum((F.lit(float(b)) * x for b, x in zip(slopes, features, strict=True)), F.lit(0.0))
+        upto = [F.lit(0.0), *[1 / (1 + F.exp(line - F.lit(float(s)))) for s in thresholds], F.lit(1.0)]
+        return _most_probable(values, [upto[i + 1] - upto[i] for i in range(len(values))])
 
     return _categorical(df, row_id, [c for c, n in _distinct(df, gone).items() if n >= 3], label, random_state, strict_mode, "polr")
 
