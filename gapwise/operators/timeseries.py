@@ -6,23 +6,20 @@ series, handled in ranges (see gapwise.plans.ordered).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapwise.errors import ConfigurationError
 from gapwise.functions import nullity
+from gapwise.operators.splines import ORDERS, fill_spline
 from gapwise.operators.validate import validate_columns, validate_strategy
 from gapwise.plans.fused import scalars
 from gapwise.plans.ordered import sort_number, with_neighbours, with_position
 
 Values = Iterable[object] | None
 METHODS = ("ffill", "bfill", "linear", "time", "spline")
-#: A spline is solved in blocks of so many observed values, with so many more on either side.
-BLOCK, HALO = 50_000, 64
 
 
 def _columns(df: DataFrame, columns: Sequence[str] | None, order_by: Sequence[str], partition_by: Sequence[str]) -> list[str]:
@@ -160,17 +157,20 @@ def impute_ts(df: DataFrame, order_by: Sequence[str], method: str | None = None,
 
     Columns that aren't numeric are always filled forward. linear and time fill between observed values and
     carry the last one to the end; values before the first observed one stay missing. ``limit`` counts from the
-    start of a gap (from its end for bfill).
+    start of a gap (from its end for bfill). spline goes through all observed values with polynomials of ``spline_order``,
+    1 to 5, over row places (see ``fill_spline``).
     """
     chosen = validate_strategy(method or strategy or "linear", METHODS, param="method", example="linear")
     if limit is not None and limit < 1:
         raise ConfigurationError("limit", limit, "must be positive")
+    if spline_order not in ORDERS:
+        raise ConfigurationError("spline_order", spline_order, "must be 1 to 5")
     columns = _columns(df, columns, order_by, partition_by)
     if chosen == "spline":
         spline = [c for c in columns if nullity.is_numeric(df, c)]
         rest = [c for c in columns if c not in spline]
         out = impute_ts(df, order_by, "ffill", partition_by=partition_by, columns=rest, limit=limit, missing_values=missing_values) if rest else df
-        return _spline(out, order_by, partition_by, spline, limit, spline_order, missing_values)
+        return fill_spline(out, order_by, partition_by, spline, limit, spline_order, missing_values) if spline else out
     placed = with_neighbours(df, {c: nullity.value(df, c, missing_values) for c in columns}, order_by, partition_by)
     placed = placed.withColumn("__at", nullity.column(order_by[0]))
     out = [
@@ -178,61 +178,3 @@ def impute_ts(df: DataFrame, order_by: Sequence[str], method: str | None = None,
         for c in df.columns
     ]
     return placed.select(*out)
-
-
-def _spline(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str], columns: list[str], limit: int | None, order: int, missing_values: Values) -> DataFrame:
-    """Natural cubic splines (or polygons for order 1) through each series' observed values, over row numbers.
-
-    A series is a group of ``partition_by``, or the table. It is solved in blocks of BLOCK observed values with HALO
-    more on either side: the system is diagonally dominant, so that a value's weight halves with every knot at least and
-    what lies further away changes nothing within the precision of doubles.
-    """
-    schema = df.withColumns({c: nullity.column(c).cast("double") for c in columns}).schema
-    names = list(df.columns)
-    out = df.withColumns({c: nullity.value(df, c, missing_values).cast("double") for c in columns})
-    for c in columns:
-        seen = nullity.column(c).isNotNull().cast("bigint")
-        placed = with_position(out, order_by, partition_by, {"__seen": seen})
-        # A missing row belongs to the block of the value before it.
-        block, at = F.floor((F.col("__seen") - 1) / BLOCK), F.pmod(F.col("__seen") - 1, F.lit(BLOCK))
-        near = F.array(block, F.when((at < HALO) & nullity.column(c).isNotNull(), block - 1), F.when((at >= BLOCK - HALO) & nullity.column(c).isNotNull(), block + 1))
-        dealt = placed.select("*", block.alias("__own"), F.explode(F.filter(near, lambda b: b.isNotNull())).alias("__block"))
-
-        out = dealt.groupBy(*partition_by, "__block").applyInPandas(_solver(c, names, limit, order), schema)
-    return out
-
-
-def _solver(c: str, names: list[str], limit: int | None, order: int):
-    """Fills column ``c`` of one block and returns its own rows."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__pos", kind="stable")
-        x, y = pdf["__pos"].to_numpy(dtype=float), pdf[c].to_numpy(dtype=float, copy=True)
-        ok = ~np.isnan(y)
-        if ok.sum() >= 2:
-            new = natural_spline(x[ok], y[ok], x) if order > 1 and ok.sum() > 2 else np.interp(x, x[ok], y[ok])
-            first, last = x[ok][[0, -1]]
-            gap = x - np.maximum.accumulate(np.where(ok, x, -np.inf))
-            fill = ~ok & (x > first) & (x < last) & ((gap <= limit) if limit else True)
-            y[fill] = new[fill]
-            pdf[c] = y
-        return pdf[pdf["__own"] == pdf["__block"]][names]
-
-    return solve
-
-
-def natural_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The natural cubic spline through (x, y), by the tridiagonal system of its second derivatives."""
-    n, h = len(x), np.diff(x)
-    slope = np.diff(y) / h
-    a, b, d = h[:-1].copy(), 2 * (h[:-1] + h[1:]), 6 * np.diff(slope)
-    for i in range(1, n - 2):
-        w = a[i] / b[i - 1]
-        b[i] -= w * h[i]
-        d[i] -= w * d[i - 1]
-    m = np.zeros(n)
-    for i in range(n - 3, -1, -1):
-        m[i + 1] = (d[i] - h[i + 1] * m[i + 2]) / b[i]
-    k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
-    t, u = at - x[k], x[k + 1] - at
-    return (m[k] * u**3 + m[k + 1] * t**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * u + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * t

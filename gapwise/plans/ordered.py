@@ -103,7 +103,11 @@ def with_neighbours(df: DataFrame, observed: Mapping[str, Column], order_by: Seq
     ``observed[k]`` is the value, null where missing. A neighbour is a struct (pos, at, value): the place, the
     first order key and the value.
     """
-    placed = with_position(df, order_by, partition_by, keep_range=True)
+    return neighbours_of(with_position(df, order_by, partition_by, keep_range=True), observed, order_by, partition_by)
+
+
+def neighbours_of(placed: DataFrame, observed: Mapping[str, Column], order_by: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
+    """As ``with_neighbours``, of rows that have their __pos and __range already; ``order_by`` may be __pos itself."""
     mark = {f"__o_{k}": F.when(c.isNotNull(), F.struct(F.col("__pos").alias("pos"), column(order_by[0]).alias("at"), c.alias("value"))) for k, c in observed.items()}
     placed = placed.withColumns(mark)
     parts, local, ranges = _windows(order_by, partition_by)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gapwise.operators import donors, fill, simulate, timeseries
 from gapwise.operators.mi import completed_violations
+from gapwise.plans.ordered import with_position
 from gapwise.queries.registry import ORACLES, QUERIES, query
 from gapwise.sources.tables import VIEWS, table
 from gapwise.streaming.summary import windowed_missing
@@ -61,6 +62,23 @@ query(
     TS + f" SELECT n.event_id, round({LINE.format('(' + TIME + ')')}, 6) AS value FROM n LEFT JOIN e a ON a.i = n.p LEFT JOIN e b ON b.i = n.q",
 )
 query("impute_ts_spline", "events_m", lambda d: timeseries.impute_ts(d.select("user_id", "event_id", "value"), ORDER, "spline", partition_by=["user_id"]))
+query(
+    "impute_ts_spline_line",
+    "events_m",
+    lambda d: rounded(timeseries.impute_ts(value_only(d), ORDER, "spline", spline_order=1)),
+    """WITH e AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS i FROM events_m), k AS (SELECT i, value, lead(i) OVER (ORDER BY i) AS j, lead(value) OVER (ORDER BY i) AS w FROM e WHERE value IS NOT NULL),
+    line AS (SELECT i, value, coalesce((w - value) / (j - i), lag((w - value) / (j - i)) OVER (ORDER BY i)) AS slope FROM k)
+    SELECT e.event_id, round(coalesce(e.value, line.value + (e.i - line.i) * slope), 6) AS value FROM e ASOF LEFT JOIN line ON e.i >= line.i""",
+)
+
+
+def _roots(df):
+    """Cubes of the place where a value is observed, filled by a cubic spline: the cube root tells the place everywhere."""
+    cubes = with_position(value_only(df), ORDER).select("event_id", F.col("__pos").alias("place"), F.when(F.col("value").isNotNull(), F.pow(F.col("__pos").cast("double"), 3)).alias("cube"))
+    return timeseries.impute_ts(cubes, ORDER, "spline", columns=["cube"]).select("event_id", F.round(F.cbrt("cube"), 3).alias("root"))
+
+
+query("impute_ts_spline_cubes", "events_m", _roots, SPOT + " SELECT event_id, CASE WHEN p IS NOT NULL THEN i::DOUBLE END AS root FROM n")
 query("impute_ts_text", "events_m", lambda d: timeseries.impute_ts(d.select("event_id", "event_type"), ORDER), """WITH e AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) AS i FROM events_m) SELECT event_id, last_value(event_type IGNORE NULLS) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS event_type FROM e""")
 query(
     "windowed_missing",

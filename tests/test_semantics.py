@@ -81,18 +81,6 @@ def test_fill_along_order(spark, series):
         gapwise.impute_ts(series, ["i"], "cubic")
 
 
-def test_spline_in_blocks_is_that_of_the_whole(spark, monkeypatch):
-    rng = np.random.default_rng(3)
-    y = np.cumsum(rng.normal(size=900))
-    y[rng.random(900) < 0.3] = np.nan
-    df = spark.createDataFrame([(s, i, None if np.isnan(v) else float(v), "x") for s in ("a", "b") for i, v in enumerate(y)], "s string, i bigint, v double, t string")
-    monkeypatch.setattr(timeseries, "BLOCK", 100)
-    got = [r.v for r in gapwise.impute_ts(df, ["i"], "spline", partition_by=["s"]).where("s = 'b'").orderBy("i").collect()]
-    x, ok = np.arange(900.0), ~np.isnan(y)
-    want = np.where((x > x[ok][0]) & (x < x[ok][-1]) | ok, timeseries.natural_spline(x[ok], y[ok], x), np.nan)
-    assert np.allclose(np.array(got, dtype=float), want, rtol=0, atol=1e-9, equal_nan=True)
-
-
 def test_series_with_null_and_hot_keys(spark):
     rows = [("hot", i, float(i) if i % 3 else None) for i in range(300)] + [(None, i, None if i % 2 else 1.0) for i in range(9)] + [("b", 7, None)]
     df = spark.createDataFrame(rows, "s string, i bigint, v double")
@@ -102,11 +90,6 @@ def test_series_with_null_and_hot_keys(spark):
     assert sorted(r.gap_id for r in gaps if r.s == "hot") == list(range(1, 101)) and sum(r.s is None for r in gaps) == 4
 
 
-def test_natural_spline_is_exact_on_lines():
-    x = np.array([0.0, 1, 3, 4, 7])
-    assert np.allclose(timeseries.natural_spline(x, 2 * x + 1, np.arange(8.0)), 2 * np.arange(8.0) + 1)
-
-
 def test_rubin_closed_form(spark):
     want = {"q_bar": 2, "u_bar": 0.5, "b": 1, "t": 11 / 6, "r": 8 / 3, "df": 121 / 32, "lambda_": 8 / 11, "fmi": (8 / 3 + 64 / 217) / (11 / 3)}
     got = gapwise.pool_scalar_estimates([1, 2, 3], [0.25, 0.5, 0.75])
