@@ -24,7 +24,7 @@ _EXPORTS = {
     "operators.mi": (
         "FCSKernel ImputationPlan ImputationResult MIData MissingnessSchema gelman_rubin_rhat "
         "mi_fit mi_with mice_convergence pool_estimates pool_linear_models pool_linear_regression_results "
-        "pool_scalar_estimates "
+        "pool_regressions pool_scalar_estimates "
     ),
     "operators.models": "impute_gb impute_logreg impute_mice impute_pmm impute_polr impute_polyreg impute_rf",
     "operators.patterns": (

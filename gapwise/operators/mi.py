@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 from typing import Protocol
 
 import numpy as np
@@ -13,10 +15,11 @@ from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapwise.errors import ConfigurationError
+from gapwise.errors import ConfigurationError, InsufficientDataError
 from gapwise.functions import nullity
 from gapwise.operators.models import impute_mice
 from gapwise.operators.validate import validate_columns
+from gapwise.plans.products import cross_products
 
 
 def pool_estimates(df: DataFrame, estimate: str = "estimate", variance: str = "variance", by: Sequence[str] = ()) -> DataFrame:
@@ -82,6 +85,40 @@ def pool_linear_regression_results(coefs: np.ndarray, covs: np.ndarray) -> dict[
     return {"coef_": q.mean(axis=0), "cov_": total, "se_": se, "t_": t, "df_": df}
 
 
+def pool_regressions(df: DataFrame, features: Sequence[str], target: str, chain: str = "chain") -> DataFrame:
+    """term, coef, se, t, df: least squares of ``target`` on ``features`` per chain of one long frame, pooled by Rubin's rules.
+
+    One pass gives the means and one the cross products around them of all chains, as matrices; what the driver solves is of
+    the size of the columns. Rows that miss a value aren't used. A chain needs more rows than coefficients; of features that
+    depend on each other the shortest solution counts.
+    """
+    names = validate_columns(df, [*features, target])
+    x = [nullity.value(df, c).cast("double") for c in names]
+    full = df.where(reduce(and_, [c.isNotNull() for c in x]))
+    means = full.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]).first()
+    centre = np.array([0.0 if m is None else m for m in means])
+    sums = cross_products(full, [F.lit(1.0), *[c - F.lit(float(m)) for c, m in zip(x, centre, strict=True)]], by=nullity.column(chain))
+    p = len(names)
+    coefs, covs = [], []
+    for g in sorted(sums, key=str):
+        n, m = sums[g]
+        if n <= p:
+            raise InsufficientDataError(target, n, p + 1)
+        inverse = np.linalg.pinv(m[:p, :p], hermitian=True)
+        b = inverse @ m[:p, p]
+        cov = max(0.0, m[p, p] - b @ m[:p, p]) / (n - p) * inverse
+        # Back from centred columns: the intercept takes the means along.
+        back = np.eye(p)
+        back[0, 1:] = -centre[:-1]
+        b = back @ b
+        b[0] += centre[-1]
+        coefs.append(b)
+        covs.append(back @ cov @ back.T)
+    pooled = pool_linear_regression_results(np.array(coefs).reshape(-1, p), np.array(covs).reshape(-1, p, p))
+    rows = [(term, *[float(pooled[k][i]) for k in ("coef_", "se_", "t_", "df_")]) for i, term in enumerate(["intercept", *features])]
+    return df.sparkSession.createDataFrame(rows, "term string, coef double, se double, t double, df double")
+
+
 def pool_linear_models(df: DataFrame, feature: str, target: str, chain: str = "chain") -> DataFrame:
     """The pooled slope of target on feature over the chains of one long frame: two aggregates."""
     x, y = nullity.column(feature).cast("double"), nullity.column(target).cast("double")

@@ -28,6 +28,7 @@ from gapwise.operators.fill import apply_fill, fill_values
 from gapwise.operators.validate import validate_columns, validate_positive_int
 from gapwise.plans.fused import missing_counts, scalars
 from gapwise.plans.ordered import with_position
+from gapwise.plans.products import cross_products
 
 
 def reliable(df: DataFrame) -> DataFrame:
@@ -54,9 +55,18 @@ def one_hot(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     return out
 
 
+#: Of more columns than these, cross products and draws are matrix products in tasks, as expressions of their squares stop the planner.
+WIDE = 32
+#: Targets of a wide frame that are imputed before the lineage is cut.
+WIDE_STEPS = 16
+
+
 def gram(df: DataFrame, x: Sequence[Column], y: Column | None = None, weight: Column | None = None, by: Sequence[str] = ()) -> dict:
-    """n and the cross products of [1, x, y] for each group: one partial aggregate."""
+    """n and the cross products of [1, x, y] for each group: one partial aggregate, or matrices where columns are many."""
     cols = [F.lit(1.0), *x, *([y] if y is not None else [])]
+    if len(cols) > WIDE and len(by) < 2:
+        found = cross_products(df, cols, weight, nullity.column(by[0]) if by else None)
+        return {(g,) if by else (): sums for g, sums in found.items()}
     named = df.select(*by, *[c.cast("double").alias(f"g{i}") for i, c in enumerate(cols)], (weight if weight is not None else F.lit(1.0)).alias("w"))
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     rows = named.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("w") * F.col(f"g{i}") * F.col(f"g{j}")).alias(f"s{i}_{j}") for i, j in pairs]).collect()
@@ -184,6 +194,22 @@ class _Coded:
         return joined.select(*([F.col("__chain").alias("chain")] if chain else []), *out)
 
 
+def _posterior(fits: Mapping[int, tuple], chain: Column, x: Sequence[Column]) -> Column:
+    """struct(line, spread): the mean of each row's prediction and its variance, by one matrix product per batch and chain."""
+
+    def predict(chains: pd.Series, rows: pd.Series) -> pd.DataFrame:
+        values, of = np.array(rows.tolist(), dtype=float), chains.to_numpy()
+        out = np.full((len(of), 2), np.nan)
+        for c, (w, cov, mean, noise) in fits.items():
+            mine = of == c
+            z, off = values[mine], values[mine] - mean
+            out[mine, 0] = w[0] + z @ w[1:]
+            out[mine, 1] = noise + ((off @ cov) * off).sum(axis=1)
+        return pd.DataFrame(out, columns=["line", "spread"])
+
+    return F.pandas_udf(predict, "line double, spread double")(chain, F.array(*x))
+
+
 def impute_mice(df: DataFrame, row_id: str, max_iter: int = 10, random_state: int = 0, *, n_imputations: int = 1, sample_posterior: bool = True, visit_sequence: Sequence[str] | None = None, predictor_matrix: Mapping[str, Sequence[str]] | None = None, where: Mapping[str, Column] | None = None, bounds: Mapping[str, tuple[float, float]] | None = None, return_history: bool = False):
     """Chained equations by Bayesian ridge regression with posterior draws.
 
@@ -203,22 +229,33 @@ def impute_mice(df: DataFrame, row_id: str, max_iter: int = 10, random_state: in
             t = state.at[c]
             used = [state.at[x] for x in (predictor_matrix or {}).get(c, [x for x in state.columns if x != c])]
             sums = gram(now.where(~F.col(f"m{t}")), [F.col(f"v{i}") for i in used], F.col(f"v{t}"), by=["chain"])
-            made = F.lit(None).cast("double")
+            made, fits = F.lit(None).cast("double"), {}
             for (chain,), (n, m) in sums.items():
                 w, cov, noise = bayesian_ridge(n, m)
                 mean = m[0, 1:-1] / n
-                line = sum((F.lit(float(b)) * F.col(f"v{i}") for b, i in zip(w[1:], used, strict=True)), F.lit(float(w[0])))
+                fits[chain] = (w, cov, mean, float(noise))
+            predictors, label = [F.col(f"v{i}") for i in used], f"mice/{it}/{c}"
+            if len(used) > WIDE:
+                now = now.withColumn("__p", _posterior(fits, F.col("chain"), predictors))
+            for chain, (w, cov, mean, noise) in fits.items():
+                if len(used) > WIDE:
+                    line, spread = F.col("__p.line"), F.col("__p.spread")
+                else:
+                    line = sum((F.lit(float(b)) * v for b, v in zip(w[1:], predictors, strict=True)), F.lit(float(w[0])))
+                    off = [v - F.lit(float(mu)) for v, mu in zip(predictors, mean, strict=True)]
+                    spread = F.lit(noise)
+                    if sample_posterior:
+                        for a in range(len(used)):
+                            for b in range(len(used)):
+                                spread = spread + F.lit(float(cov[a, b])) * off[a] * off[b]
                 if sample_posterior:
-                    off = [F.col(f"v{i}") - F.lit(float(mu)) for i, mu in zip(used, mean, strict=True)]
-                    spread = F.lit(float(noise))
-                    for a in range(len(used)):
-                        for b in range(len(used)):
-                            spread = spread + F.lit(float(cov[a, b])) * off[a] * off[b]
-                    line = line + normal(random_state + chain, f"mice/{it}/{c}", F.col("__id")) * F.sqrt(F.greatest(spread, F.lit(0.0)))
+                    line = line + normal(random_state + chain, label, F.col("__id")) * F.sqrt(F.greatest(spread, F.lit(0.0)))
                 made = F.when(F.col("chain") == chain, line).otherwise(made)
             if bounds and c in bounds:
                 made = F.greatest(F.lit(float(bounds[c][0])), F.least(F.lit(float(bounds[c][1])), made))
-            now = now.withColumn(f"v{t}", F.when(F.col(f"m{t}"), made).otherwise(F.col(f"v{t}")))
+            now = now.withColumn(f"v{t}", F.when(F.col(f"m{t}"), made).otherwise(F.col(f"v{t}"))).drop("__p")
+            if len(used) > WIDE and (order.index(c) + 1) % WIDE_STEPS == 0:
+                now = reliable(now)
         now = reliable(now)
         if return_history:
             means = now.groupBy("chain").agg(*[F.avg(F.when(F.col(f"m{state.at[c]}"), F.col(f"v{state.at[c]}"))).alias(f"h{state.at[c]}") for c in order]).collect()

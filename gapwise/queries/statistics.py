@@ -55,10 +55,23 @@ POOL = CHAINS + """, p AS (SELECT o_orderstatus, count(*) AS m, avg(q) AS q_bar,
 DIGITS = {"q_bar": 4, "u_bar": 2, "b": 2, "t": 2, "df": 4, "r": 6, "lambda_": 6, "fmi": 6}
 QUERIES["rubin_scalar_pool"] = lambda spark, sf_dir: mi.pool_estimates(_chains(spark, sf_dir), by=["o_orderstatus"]).withColumns({c: F.round(c, d) for c, d in DIGITS.items()})
 ORACLES["rubin_scalar_pool"] = POOL
-QUERIES["rubin_matrix_pool"] = lambda spark, sf_dir: spark.createDataFrame(
-    [(lambda r: (bool(abs(r["coef_"][0] - 2) < 1e-12), bool(abs(r["cov_"][0, 0] - 11 / 6) < 1e-12)))(mi.pool_linear_regression_results([[1.0], [2.0], [3.0]], [[[0.25]], [[0.5]], [[0.75]]]))], "coef_ok boolean, cov_ok boolean"
-)
-ORACLES["rubin_matrix_pool"] = "SELECT true AS coef_ok, true AS cov_ok"
+
+
+def _regressions(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("chain", F.col("l_partkey") % 5)
+    pooled = mi.pool_regressions(lines, ["l_quantity", "l_tax"], "l_extendedprice")
+    return pooled.select("term", F.round("coef", 3).alias("coef"), F.round("se", 3).alias("se"), F.round("t", 3).alias("t"))
+
+
+QUERIES["rubin_matrix_pool"] = _regressions
+ORACLES["rubin_matrix_pool"] = """WITH r AS (SELECT l_partkey % 5 AS chain, l_quantity::DOUBLE AS a, l_tax::DOUBLE AS b, l_extendedprice::DOUBLE AS y FROM lineitem),
+    c AS (SELECT chain, count(*)::DOUBLE AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, regr_sxx(a, a) AS aa, regr_sxx(b, b) AS bb, regr_sxx(y, y) AS yy, regr_sxy(a, b) AS ab, regr_sxy(a, y) AS ay, regr_sxy(b, y) AS bb_y FROM r GROUP BY 1),
+    s AS (SELECT *, (bb * ay - ab * bb_y) / (aa * bb - ab * ab) AS qa, (aa * bb_y - ab * ay) / (aa * bb - ab * ab) AS qb, aa * bb - ab * ab AS d FROM c),
+    v AS (SELECT *, (yy - qa * ay - qb * bb_y) / (n - 3) AS s2 FROM s),
+    each AS (SELECT 'intercept' AS term, my - qa * ma - qb * mb AS q, s2 * (1 / n + (ma * ma * bb - 2 * ma * mb * ab + mb * mb * aa) / d) AS u FROM v
+        UNION ALL SELECT 'l_quantity', qa, s2 * bb / d FROM v UNION ALL SELECT 'l_tax', qb, s2 * aa / d FROM v),
+    p AS (SELECT term, avg(q) AS coef, sqrt(avg(u) + (1 + 1.0::DOUBLE / count(*)) * var_samp(q)) AS se FROM each GROUP BY 1)
+    SELECT term, round(coef, 3) AS coef, round(se, 3) AS se, round(coef / se, 3) AS t FROM p"""
 QUERIES["pool_linear_models"] = lambda spark, sf_dir: mi.pool_linear_models(table(spark, sf_dir, "lineitem").withColumn("chain", F.col("l_partkey") % 5), "l_quantity", "l_extendedprice").select("m", F.round("q_bar", 6).alias("q_bar"), F.round("u_bar", 6).alias("u_bar"), F.round("t", 6).alias("t"))
 ORACLES["pool_linear_models"] = """WITH c AS (SELECT l_partkey % 5 AS chain, count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS q, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy, regr_sxy(l_extendedprice, l_quantity) AS sxy FROM lineitem GROUP BY 1),
     v AS (SELECT q, greatest(greatest(syy - q * sxy, 0) / (n - 2) / sxx, 1e-10) AS u FROM c)
