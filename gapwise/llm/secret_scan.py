@@ -54,7 +54,7 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     copied examples. n_live and n_copied count all candidates of a document by that verdict. Owners are counted per value
     hash after (value, owner, repository) rows are made distinct, with partial aggregates before each
     shuffle, so a value in a third of all documents costs one row per task. Defined results: a null text is
-    empty; a null owner or repository counts as one of its own; each row is reported separately, repeated
+    empty; a null owner or repository, or a null in either's parts, counts as a value of its own; each row is reported separately, repeated
     or not; an empty table gives an empty result; other columns are ignored.
     """
     repository = F.col("source") if repository is None else repository
@@ -64,8 +64,8 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         docs.select(
             F.monotonically_increasing_id().alias("row"),
             F.col(id_col).alias("doc_id"),
-            F.coalesce(owner.cast("string"), F.lit("\0null")).alias("owner"),
-            F.coalesce(repository.cast("string"), F.lit("\0null")).alias("repository"),
+            F.struct(owner.alias("name")).alias("owner"),
+            F.struct(repository.alias("name")).alias("repository"),
             _candidates(text, BASE).alias("base"),
             _candidates(text, MORE).alias("more"),
         ),
@@ -102,7 +102,7 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def op7_secret_owners(spark, sf_dir: str) -> DataFrame:
     """Repositories of ``documents`` are (source, lang), owners are sources."""
     docs = load(spark, sf_dir, "documents")
-    return secret_scan(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+    return secret_scan(docs, repository=F.struct("source", "lang"), owner=F.col("source"))
 
 
 def _sql() -> str:
@@ -122,7 +122,7 @@ hits AS (
          list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
   FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM hits) WHERE length(v[i]) >= least
 ), verdicts AS (
-  SELECT value, count(DISTINCT source) <= 1 AND count(DISTINCT source || '/' || lang) <= 3 AS live FROM spans GROUP BY 1
+  SELECT value, count(DISTINCT {{'s': source}}) <= 1 AND count(DISTINCT {{'s': source, 'l': lang}}) <= 3 AS live FROM spans GROUP BY 1
 ), judged AS (
   SELECT spans.*, live, kind || ':' || s || ':' || (s + length(hit)) AS name FROM spans JOIN verdicts USING (value)
 ), per AS (

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,3 +340,25 @@ def test_secret_rows_of_hot_values_stay_where_they_are(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "use ghp_" + "a1B2" * 6, f"s{i % 2}") for i in range(600)], "doc_id bigint, text string, source string")
     assert secret_scan.secret_scan(docs).where("n_copied = 1 and n_live = 0").count() == 600
     assert seen == [("value", {600})]
+
+
+def test_secret_query_and_sql_agree_on_nulls_and_long_texts(spark, tmp_path):
+    key = lambda n: "ghp_" + f"{n:04d}" * 6
+    places = [("a", None), (None, "a"), (None, None), ("a", "b"), ("a/b", None), ("", "x"), ("", None), ("a", "c"), ("a", "d")]
+    # Each key in two places: of one owner or of two, and in (a, *) in four repositories.
+    pairs = [(key(10 * i + j), [places[i], places[j]]) for i in range(7) for j in range(i, 7)] + [(key(900), [p for p in places if p[0] == "a"]), (key(901), places[7:])]
+    rows = [(f"use {k} now", *p) for k, where in pairs for p in where] + [(None, None, None), ("", "a", "b"), (f"{LONG} {key(900)} {LONG} password: hunter222", None, "z")]
+    docs = spark.createDataFrame([(i, *r, "clash", 1, "x") for i, r in enumerate(rows)], "doc_id bigint, text string, source string, lang string, owner string, row int, value string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, secret_scan.op7_secret_owners(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(secret_scan.SQL).fetchall())
+    live = {r[0] for r in got if r[6] > 0}
+    owners = {k: {p[0] for p in where} for k, where in pairs}
+    owners[key(900)].add(None)
+    repositories = {k: set(where) for k, where in pairs}
+    for i, (text, *_) in enumerate(rows):
+        k = next((k for k in owners if k in (text or "")), None)
+        if k is not None and "password" not in text:
+            assert (i in live) == (len(owners[k]) <= 1 and len(repositories[k]) <= 3), (i, text)
