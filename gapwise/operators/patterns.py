@@ -7,14 +7,18 @@ from collections.abc import Iterable
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gapwise.errors import InvalidStrategyError
 from gapwise.functions import nullity
 from gapwise.functions.distributions import t_sf2
 from gapwise.plans.fused import columns_with_missing, melted, missing_counts, pattern_table, scalars
+from gapwise.plans.linkage import leaf_order, ward
 from gapwise.plans.ordered import with_position
+from gapwise.plans.products import cross_products
 
 Values = Iterable[object] | None
 
@@ -182,41 +186,57 @@ def dendrogram(df: DataFrame, missing_values: Values = None, method: str = "aver
     return df.sparkSession.createDataFrame(rows, "step int, left string, right string, height double, size int")
 
 
-def miss_cluster(df: DataFrame, *, missing_values: Values = None, method: str = "ward", max_patterns: int = 2000) -> DataFrame:
-    """Patterns in the order of a clustering of rows: a boolean per column, n, place.
+def _column_order(table: DataFrame, columns: list[str]) -> list[str]:
+    """The columns along a Ward tree of their indicators; two are apart by the root of the rows in which they differ."""
+    if len(columns) < 2:
+        return columns
+    indicators = [nullity.column(c).cast("double") for c in columns]
+    both = cross_products(table, indicators, F.col("__n"))
+    n = both[None][1] if both else np.zeros((len(columns), len(columns)))
+    apart = np.sqrt(np.maximum(np.diag(n)[:, None] + np.diag(n)[None, :] - 2 * n, 0.0))
+    return [columns[i] for i in leaves(len(columns), linkage(apart, np.ones(len(columns)), "ward"))]
 
-    Equal rows are merged at height 0, so distinct patterns weighted by their rows give the same tree; of
-    more than ``max_patterns`` patterns, the rarest stand after the clustered ones.
+
+def miss_cluster(df: DataFrame, *, missing_values: Values = None, method: str = "ward", max_patterns: int | None = None) -> DataFrame:
+    """Patterns in the order of Ward clusterings of rows and of columns: a boolean per column, n, place.
+
+    Equal rows are merged at height 0, so distinct patterns weighted by their rows give the same tree. All patterns are
+    clustered: the driver holds one centroid for each, tasks look for the nearest ones (``plans.linkage``). With
+    ``max_patterns`` only the commonest are, and the others stand after them by falling frequency. The columns of the result
+    stand in the order of their own tree.
     """
-    columns = df.columns
-    table = pattern_table(df, missing_values).orderBy(F.desc("__n"), *[nullity.column(c) for c in columns])
-    rows = table.limit(max_patterns + 1).collect()
-    more, rows = len(rows) > max_patterns, rows[:max_patterns]
-    x = np.array([[float(r[c]) for c in columns] for r in rows]).reshape(len(rows), len(columns))
-    w = np.array([r["__n"] for r in rows], dtype=float)
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
-    if method == "ward" and len(rows):
-        d = d * np.sqrt(2 * w[:, None] * w[None, :] / (w[:, None] + w[None, :]))
-    order = leaves(len(rows), linkage(d, w, method))
-    placed = [(*[bool(v) for v in x[i]], int(w[i]), k) for k, i in enumerate(order)]
-    schema = ", ".join(f"`{c}` boolean" for c in columns) + ", n bigint, place int"
+    if method != "ward":
+        raise InvalidStrategyError("method", method, ("ward",))
+    table = pattern_table(df, missing_values)
+    if max_patterns is not None:
+        table = table.orderBy(F.desc("__n"), *[nullity.column(c) for c in df.columns])
+    columns = _column_order(pattern_table(df, missing_values), df.columns)
+    wanted = table.select(*[nullity.column(c).alias(f"__h{i}") for i, c in enumerate(columns)], "__n")
+    rows = (wanted if max_patterns is None else wanted.limit(max_patterns + 1)).toArrow()
+    more = max_patterns is not None and rows.num_rows > max_patterns
+    if more:
+        rows = rows.slice(0, max_patterns)
+    # The smallest pattern, as a number read from the left, is the first point, so ties don't hang on the order of arrival.
+    rows = rows.sort_by([(name, "ascending") for name in rows.column_names])
+    x = np.column_stack([c.to_numpy() for c in rows.columns[:-1]]).astype(float) if columns else np.zeros((rows.num_rows, 0))
+    order = leaf_order(rows.num_rows, ward(df.sparkSession, x, rows.column("__n").to_numpy()))
+    placed = rows.take(pa.array(order, pa.int64())).rename_columns([*columns, "n"]).append_column("place", pa.array(range(len(order)), pa.int64()))
+    schema = T.StructType([*[T.StructField(c, T.BooleanType()) for c in columns], T.StructField("n", T.LongType()), T.StructField("place", T.LongType())])
     out = df.sparkSession.createDataFrame(placed, schema)
     if not more:
         return out
     head = out.select(*[nullity.column(c).alias(f"__h{i}") for i, c in enumerate(columns)])
     same = [nullity.column(c) == F.col(f"__h{i}") for i, c in enumerate(columns)]
     rest = pattern_table(df, missing_values).join(F.broadcast(head), same, "left_anti")
-    # A fraction of its own per pattern spreads those of one frequency over the ranges.
-    part = F.pmod(F.xxhash64(*[nullity.column(c) for c in columns]), F.lit(1 << 20)) / F.lit(1 << 20)
-    rest = with_position(rest.withColumn("__at", part - F.col("__n")), ["__at", *columns])
-    place = (F.col("__pos") + F.lit(len(rows) - 1)).cast("int")
+    rest = with_position(rest.withColumn("__at", -F.col("__n")), ["__at", *columns])
+    place = F.col("__pos") + F.lit(len(order) - 1)
     return out.unionAll(rest.select(*[nullity.column(c) for c in columns], F.col("__n").alias("n"), place.alias("place")))
 
 
 def vis_miss(df: DataFrame, *, sort: bool = False, cluster: bool = False, missing_values: Values = None) -> DataFrame:
     """The null tiles by pattern: n, pct of all rows, columns in order of their missing count if ``sort``."""
     if cluster:
-        return miss_cluster(df, missing_values=missing_values)
+        return miss_cluster(df, missing_values=missing_values).select(*[nullity.column(c) for c in df.columns], "n", "place")
     columns = df.columns
     if sort:
         columns = [r.variable for r in missing_counts(df, missing_values).orderBy(F.desc("n_miss"), "ordinal").collect()]
