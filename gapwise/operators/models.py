@@ -264,22 +264,77 @@ def impute_mice(df: DataFrame, row_id: str, max_iter: int = 10, random_state: in
     return (out, df.sparkSession.createDataFrame(history, "chain int, iter int, variable string, value double")) if return_history else out
 
 
-def nearest_scores(recipients: DataFrame, donors: DataFrame, k: int) -> DataFrame:
-    """id, donor, value: the k donors of nearest score of each recipient (id, score), from donors (donor, score, value).
+def _numbered(donors: DataFrame, by: list[str]) -> DataFrame:
+    """The donors with their place, from 1, in the order of (score, donor)."""
+    return with_position(donors.select(*by, "donor", "score", "value"), ["score", "donor"], by).withColumnRenamed("__pos", "place")
 
-    Donors are numbered by score; the k nearest in one dimension lie within k places of where the recipient's
-    score would stand. That place is found by sorting both together, range by range, and the candidates by
-    equi-joins on the place.
+
+def _near_scores(recipients: DataFrame, placed: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """A row per distinct score of the recipients: n of them, and near, up to 2k distinct scores of donors, the nearest first.
+
+    An entry (dist, of, first, count) says that donors of places first + 1 to first + count have the score ``of``; ties of
+    distance go to the lower score. Both kinds of scores are sorted together, range by range, so that the k donor scores on
+    either side are found by equi-joins on their number.
+    """
+    groups = placed.groupBy(*by, "score").agg((F.min("place") - 1).alias("first"), F.count(F.lit(1)).alias("count"))
+    scores = recipients.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    both = groups.withColumns({"n": none, "kind": none}).unionByName(scores.withColumns({"first": none, "count": none, "kind": one}))
+    ranked = with_position(both, ["score", "kind"], by, {"number": one - F.col("kind")})
+    ask = ranked.where("kind = 1").select(*by, F.col("score").alias("asked"), "n", F.explode(F.sequence(F.col("number") - k + 1, F.col("number") + k)).alias("number"))
+    met = ask.join(ranked.where("kind = 0").select(*by, "number", "score", "first", "count"), [*by, "number"])
+    entry = F.struct(F.abs(F.col("asked") - F.col("score")).alias("dist"), F.col("score").alias("of"), "first", "count")
+    return met.groupBy(*by, "asked").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(entry)).alias("near")).withColumnRenamed("asked", "score")
+
+
+def _given(recipients: DataFrame, lists: DataFrame, by: list[str]) -> DataFrame:
+    """The recipients with the list of their score; lists of scores that many share are broadcast, a few per shuffle partition and key."""
+    many = 4 * int(recipients.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(1.0, (lists.agg(F.sum("n")).first()[0] or 0) / many)
+    on, shared, rare = [*by, "score"], lists.where(F.col("n") > limit).drop("n"), lists.where(F.col("n") <= limit).drop("n")
+    met = recipients.join(F.broadcast(shared), on, "left")
+    return met.where(F.col("near").isNotNull()).unionByName(met.where(F.col("near").isNull()).drop("near").join(rare, on))
+
+
+def nearest_scores(recipients: DataFrame, donors: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """id, donor, value, rank: the k donors of nearest score of each recipient (id, score), from donors (donor, score, value).
+
+    Ties go to the lower score, then to the smallest donor. With ``by`` donors are sought among those of equal key, such as a
+    chain. Recipients of one score ask once.
     """
-    placed = with_position(donors.select("donor", "score", "value"), ["score", "donor"]).withColumnRenamed("__pos", "place")
-    both = recipients.select(F.col("id"), "score", F.lit(0).cast("bigint").alias("is_donor"), F.lit(1).alias("kind")).unionByName(
-        donors.select(F.col("donor").alias("id"), "score", F.lit(1).cast("bigint").alias("is_donor"), F.lit(0).alias("kind"))
-    )
-    ranked = with_position(both, ["score", "kind", "id"], (), {"before": F.col("is_donor")}).where("kind = 1").select("id", "score", "before")
-    near = ranked.select("id", F.col("score").alias("asked"), F.explode(F.sequence(F.col("before") - k + 1, F.col("before") + k)).alias("place"))
-    found = near.join(placed, "place").withColumn("dist", F.abs(F.col("asked") - F.col("score")))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("dist", "donor"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "donor", "value", "rank")
+    by = list(by)
+    placed = _numbered(donors, by)
+    lists = _near_scores(recipients, placed, k, by)
+    of = lambda g: F.transform(F.sequence(F.lit(1).cast("bigint"), F.least(g["count"], F.lit(k))), lambda i: g["first"] + i)
+    places = lists.select(*by, "score", "n", F.posexplode(F.slice(F.flatten(F.transform("near", of)), 1, k)).alias("at", "place"))
+    held = places.join(placed.select(*by, "place", "donor", "value"), [*by, "place"])
+    chosen = held.groupBy(*by, "score").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "donor", "value"))).alias("near"))
+    near = _given(recipients, reliable(chosen), by).select(*by, "id", F.explode("near").alias("near"))
+    return near.select(*by, "id", "near.donor", "near.value", (F.col("near.at") + 1).alias("rank"))
+
+
+def donor_values(recipients: DataFrame, donors: DataFrame, k: int, drawn: Column, within: Column, by: Sequence[str] = ()) -> DataFrame:
+    """id, value: one of the k nearest donors, pointed at by ``drawn`` in [0, 1).
+
+    Of a score that more donors share than are needed, any of them is taken, as ``within`` in [0, 1) says: recipients of
+    one score spread over all donors of the nearest scores, and so do their look-ups.
+    """
+    by = list(by)
+    placed = _numbered(donors, by)
+    given = _given(recipients, reliable(_near_scores(recipients, placed, k, by)), by)
+    zero, end = F.lit(0).cast("bigint"), F.lit(k).cast("bigint")
+    there = F.least(end, F.aggregate("near", zero, lambda s, g: s + g["count"]))
+    rank = F.least(F.floor(drawn * there), there - 1)
+    begin = F.struct(zero.alias("before"), F.lit(None).cast("bigint").alias("place"))
+
+    def step(at: Column, g: Column) -> Column:
+        upto = at["before"] + g["count"]
+        own = F.when(upto <= end, rank - at["before"]).otherwise(F.floor(F.col("__within") * g["count"]))
+        here = at["place"].isNull() & (rank < upto)
+        return F.struct(upto.alias("before"), F.when(here, g["first"] + own + 1).otherwise(at["place"]).alias("place"))
+
+    asks = given.withColumn("__within", within).select(*by, "id", F.aggregate("near", begin, step, lambda at: at["place"]).alias("place"))
+    return asks.join(placed.select(*by, "place", "value"), [*by, "place"]).select(*by, "id", "value")
 
 
 def impute_pmm(df: DataFrame, row_id: str, max_iter: int = 10, random_state: int = 0, n_nearest_donors: int = 5) -> DataFrame:
@@ -305,9 +360,7 @@ def impute_pmm(df: DataFrame, row_id: str, max_iter: int = 10, random_state: int
             donors = now.where(~F.col(f"m{t}")).select(F.col("__id").alias("donor"), line(w[1:]).alias("score"), F.col(f"v{t}").alias("value"))
             asked = now.where(F.col(f"m{t}")).select(F.col("__id").alias("id"), line(drawn).alias("score"))
             k = min(n_nearest_donors, n)
-            chosen = nearest_scores(asked, donors, k)
-            pick = F.floor(uniform(random_state, f"pmm/{it}/{c}", F.col("id")) * k) + 1
-            fills = chosen.where(F.col("rank") == pick).select(F.col("id").alias("f_id"), F.col("value").alias("f_value"))
+            fills = donor_values(asked, donors, k, uniform(random_state, f"pmm/{it}/{c}", F.col("id")), uniform(random_state, f"pmm/{it}/{c}/tied", F.col("id"))).select(F.col("id").alias("f_id"), F.col("value").alias("f_value"))
             now = now.join(fills, now["__id"] == fills["f_id"], "left").withColumn(f"v{t}", F.coalesce("f_value", f"v{t}")).drop("f_id", "f_value")
             now = reliable(now)
     done = state.decoded(now)
