@@ -17,6 +17,7 @@ _EXPORTS = {
     "errors": "ConfigurationError GapwiseError ImputationError InsufficientDataError InvalidStrategyError MissingColumnError",
     "operators.cleaning": "chunk_apply clean_names coalesce_columns memory_usage_mb optimize_dtypes remove_empty",
     "operators.compare": "compare_imputations cv_compare_imputations",
+    "operators.chained": "impute_plan",
     "operators.donors": "gower_distance impute_hotdeck_random impute_hotdeck_sequential impute_hotdeck_weighted impute_knn",
     "operators.estimator": "MissingImputer MissingImputerModel",
     "operators.fill": "FittedImputer impute_mean impute_median impute_mode make_imputer",

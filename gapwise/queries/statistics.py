@@ -7,10 +7,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from gapwise.operators import compare, mcar, mi, models
+from gapwise.functions.draws import uniform
+from gapwise.operators import chained, compare, mcar, mi, models
 from gapwise.operators.estimator import MissingImputer
 from gapwise.queries.registry import ORACLES, QUERIES, query
-from gapwise.queries.series import MODE, invariant_query, invariants
+from gapwise.queries.series import MODE, drawn, invariant_query, invariants
 from gapwise.sources.tables import table, view
 
 PART, CUST = ["p_size", "p_retailprice", "p_brand"], ["c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -120,6 +121,41 @@ def _donor_pool(d):
 query("impute_pmm_donor_pool", "part_m", _donor_pool, "SELECT 0::BIGINT AS outside_pool")
 
 
+class _Sizes:
+    """A kernel: sizes from 1 to 50, each as likely."""
+
+    def impute(self, state, target, mask, seed):
+        return 1 + F.floor(uniform(seed, target, F.col("p_partkey")) * 50)
+
+
+PLAN = mi.ImputationPlan(
+    {"p_size": "sizes", "p_retailprice": "passive", "p_brand": "mode"}, 3, 1, (11, 12, 13), {"p_size": (5, 40), "p_retailprice": "900 + p_size * 10 + length(p_brand)"}
+)
+query(
+    "impute_plan",
+    "part_m",
+    lambda d: chained.impute_plan(d, "p_partkey", PLAN, {"sizes": _Sizes()}).data.completed,
+    f"""WITH c AS (SELECT unnest([0, 1, 2])::INT AS chain), d AS (SELECT p_partkey, chain, p_size, p_retailprice, coalesce(p_brand, {MODE.format("p_brand", "part_m")}) AS p_brand,
+        CASE chain WHEN 0 THEN {drawn("p_size", "p_partkey", 11)} WHEN 1 THEN {drawn("p_size", "p_partkey", 12)} ELSE {drawn("p_size", "p_partkey", 13)} END AS u FROM part_m, c),
+    s AS (SELECT * REPLACE (coalesce(p_size, greatest(5, least(40, 1 + floor(u * 50)))) AS p_size) FROM d)
+    SELECT chain, p_partkey, p_size, coalesce(p_retailprice, 900 + p_size * 10 + length(p_brand)) AS p_retailprice, p_brand FROM s""",
+)
+MIXED = mi.ImputationPlan({"p_size": "norm", "p_retailprice": "pmm", "cheap": "logreg", "p_brand": "polyreg"}, 2, 1, (5, 6), {"p_size": (1, 50)})
+
+
+def _mixed(d):
+    """What a plan of four methods changes, and how many of its values lie outside the bounds or among no donor's."""
+    d = d.withColumn("cheap", F.when(F.col("p_partkey") % 9 > 0, F.when(F.col("p_partkey") % 4 > 1, "yes").otherwise("no")))
+    done = chained.impute_plan(d, "p_partkey", MIXED).data.completed
+    found = done.join(d.select("p_retailprice").distinct().withColumn("held", F.lit(1)), "p_retailprice", "left")
+    return found.groupBy("chain").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("p_size").between(1, 50)).alias("outside"), F.count_if(F.col("held").isNull()).alias("no_donor"), F.count_if("p_brand is null or cheap is null").alias("open")
+    )
+
+
+query("impute_plan_mixed", "part_m", _mixed, "SELECT unnest([0, 1])::INT AS chain, (SELECT count(*) FROM part_m) AS n, 0::BIGINT AS outside, 0::BIGINT AS no_donor, 0::BIGINT AS open")
+
+
 def _model_invariants(strategy, row_id, columns):
     def build(d):
         train, test = d.where(f"{row_id} % 2 = 0"), d.where(f"{row_id} % 2 = 1")
