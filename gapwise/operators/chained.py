@@ -108,25 +108,29 @@ class _Run:
             self.constant(c, "mode")
             return
 
-        def upto(chain: int) -> list[Column]:
-            """The probabilities of the levels up to each one but the last."""
-            rows = self.now.where(~F.col(f"m{t}") & (F.col("chain") == chain))
+        def drawn(chain: int, seed: int) -> Column:
+            """The place of a level; the model's terms stand in the plan once, however many levels there are."""
+            rows, u = self.now.where(~F.col(f"m{t}") & (F.col("chain") == chain)), uniform(seed, f"plan/{it}/{c}", F.col("__id"))
             dot = lambda w: sum((F.lit(float(b)) * v for b, v in zip(w, x, strict=True) if b), F.lit(0.0))
+            bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
             if method == "polr":
                 try:
                     cuts, slopes = models.fit_ordinal(rows, place, x, n)
-                    return [1 / (1 + F.exp(dot(slopes) - F.lit(float(cut)))) for cut in cuts]
+                    above = lambda eta: F.size(F.filter(F.array(*[F.lit(float(cut)) for cut in cuts]), lambda cut: u >= 1 / (1 + F.exp(eta - cut))))
+                    return bind(dot(slopes), above).cast("double")
                 except (ValueError, np.linalg.LinAlgError) as exc:
                     self.warned.append(f"{c}: the ordinal model failed ({exc}), a multinomial one fills")
             model = models._softmax_fit(rows, place, x, n)
-            eta = [dot(w) + F.lit(float(b)) for w, b in zip(model.coefficientMatrix.toArray(), model.interceptVector.toArray(), strict=True)]
-            top = F.greatest(*eta)
-            weight = [F.exp(e - top) for e in eta]
-            total = sum(weight[1:], weight[0])
-            return [sum(weight[1 : k + 1], weight[0]) / total for k in range(n - 1)]
-
-        made = {chain: upto(chain) for chain in self.seeds}
-        drawn = lambda k, seed: nullity.row_count([uniform(seed, f"plan/{it}/{c}", F.col("__id")) >= p for p in made[k]]).cast("double")
+            eta = F.array(*[dot(w) + F.lit(float(b)) for w, b in zip(model.coefficientMatrix.toArray(), model.interceptVector.toArray(), strict=True)])
+            begin = F.struct(F.lit(0.0).alias("upto"), F.lit(0.0).alias("level"))
+
+            def pick(weight: Column) -> Column:
+                aim = u * F.aggregate(weight, F.lit(0.0), lambda s, w: s + w)
+                step = lambda at, w: F.struct((at["upto"] + w).alias("upto"), (at["level"] + (aim >= at["upto"] + w).cast("double")).alias("level"))
+                return F.aggregate(weight, begin, step, lambda at: F.least(at["level"], F.lit(float(n - 1))))
+
+            return bind(bind(eta, lambda e: F.transform(e, lambda v: F.exp(v - F.array_max(e)))), pick)
+
         self.put(c, self.per_chain(drawn))
 
     def named(self, c: str, it: int) -> None:

@@ -149,7 +149,7 @@ def _mixed(d):
     done = chained.impute_plan(d, "p_partkey", MIXED).data.completed
     found = done.join(d.select("p_retailprice").distinct().withColumn("held", F.lit(1)), "p_retailprice", "left")
     return found.groupBy("chain").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("p_size").between(1, 50)).alias("outside"), F.count_if(F.col("held").isNull()).alias("no_donor"), F.count_if("p_brand is null or cheap is null").alias("open")
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("p_size").between(1, 50)).alias("outside"), F.count_if(F.col("held").isNull()).alias("no_donor"), F.count_if(F.col("p_brand").isNull() | F.col("cheap").isNull()).alias("open")
     )
 
 
