@@ -134,3 +134,20 @@ def test_gower_pairs_of_text_keys(spark):
     d = clashing(spark, "string")
     pairs = donors.gower_distance(d, "id", queries=d.where("id < 'k003'"))
     assert pairs.count() == 180 and pairs.where("id_a = id_b and distance > 0").isEmpty() and pairs.schema["id_a"].dataType.simpleString() == "string"
+
+
+@pytest.mark.parametrize("shared", [1 << 25, 0])
+def test_gower_pairs_shuffle_no_copies(spark, monkeypatch, shared):
+    monkeypatch.setattr(donors, "SHARED_BYTES", shared)
+    monkeypatch.setattr(donors, "ROWS", 20)
+    d = clashing(spark, "int")
+    pairs = donors.gower_distance(d, "id")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "CoGroup" not in plan
+    columns = [c for c in d.columns if c != "id"]
+    levels = donors.categories(d, ["r"])
+    ids, x = zip(*[(r[0], r[1:]) for r in d.select("id", *donors.encoded(d, columns, levels)).collect()], strict=True)
+    x = np.array(x, dtype=float)
+    want = donors.gower(x, x, donors.gower_ranges(d, columns, levels))
+    got = {(r.id_a, r.id_b): r.distance for r in pairs.collect()}
+    assert len(got) == 3600 and all(got[a, b] == pytest.approx(want[i, j]) for i, a in enumerate(ids) for j, b in enumerate(ids))
