@@ -82,6 +82,31 @@ def test_clustered_rows_meet_few_others(spark, monkeypatch):
     assert 0 < compared.value < len(asked) * 4000 / 10
 
 
+def test_a_feature_that_recipients_miss_and_copies_cost_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 50)
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.uniform(-1e4, 1e4, 3000), rng.integers(0, 25, 3000), rng.integers(0, 5, 3000)]).astype(float)
+    x[::7, 2] = np.nan
+    x[::11, 1] = np.nan
+    asked = np.arange(0, 3000, 6)
+    x[asked, 0] = np.nan
+    rest = np.setdiff1d(np.arange(3000), asked)
+    for metric in (Euclidean(), Gower((2e4, 24.0, 0.0))):
+        compared = spark.sparkContext.accumulator(0)
+        got = nearest(frame(spark, x[asked], asked.tolist()), frame(spark, x[rest], rest.tolist()), 5, metric, compared=compared, keep=lambda df: df.cache())
+        assert found(got) == plainly(x[asked], asked.tolist(), x[rest], rest.tolist(), 5, metric, True)
+        assert 0 < compared.value < len(asked) * len(rest) / 10
+
+
+def test_more_sets_of_missing_features_than_groups(spark, small, monkeypatch):
+    monkeypatch.setattr(neighbours, "GROUPS", 2)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(200, 4)), 1)
+    x[rng.random(x.shape) < 0.5] = np.nan
+    for metric in METRICS:
+        assert found(nearest(frame(spark, x), frame(spark, x), 3, metric)) == plainly(x, range(200), x, range(200), 3, metric, True)
+
+
 def test_many_recipients_of_one_box_are_dealt_out(spark, small):
     x = np.zeros((200, 2))
     assert found(nearest(frame(spark, x), frame(spark, x[:5]), 2, Euclidean())) == plainly(x, range(200), x[:5], range(5), 2, Euclidean(), True)
