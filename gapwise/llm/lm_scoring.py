@@ -22,6 +22,8 @@ END = -1
 DISCOUNT = 0.75
 #: Texts are handled in groups of so many bytes, to bound a worker's memory.
 GROUP_BYTES = 12_000_000
+#: Groups that are scored are smaller by this factor, as looking up takes more memory than counting.
+SCORED_PARTS = 3
 #: A chunk of the trie holds the triples of about so many tokens; so many triples are sampled to cut chunks of like size.
 CHUNK_TOKENS, SAMPLE = 2_000_000, 200_000
 
@@ -233,6 +235,7 @@ def scored(trie: Trie, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray,
     hashes, sizes = tokens(texts)
     starts = np.cumsum(sizes) - sizes
     distinct, place = np.unique(hashes, return_inverse=True)
+    del hashes
     at = trie.level.find(distinct, in_order=True)
     count = trie.level.take("counts", at)
     p = ((count + 1.0) / (trie.tokens + trie.words + 1.0))[place]
@@ -248,18 +251,23 @@ def scored(trie: Trie, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray,
     second = np.flatnonzero(mask)
     mask[starts[sizes > 1] + 1] = False
     after = np.flatnonzero(mask)
+    del mask
     pair = np.where((word[second - 1] > 0) & (word[second] > 0), word[second - 1] * (trie.words + 1) + word[second], 0)
     pairs, which = np.unique(pair, return_inverse=True)
+    del pair
     d2, g2 = trie.pair_codes(pairs)
     p[second] = d2[which] + weight[place[second - 1]] * p[second]
 
     of_pair = np.zeros(len(p), dtype=np.int64)
     of_pair[second] = which
     context = of_pair[after - 1]
+    del of_pair, which, second
     keys, back = np.unique(context * (trie.words + 1) + word[after], return_inverse=True)
+    del word
     context_of, third = np.divmod(keys, trie.words + 1)
+    del keys
     known = np.flatnonzero((third > 0) & (d2[context_of] > 0))
-    d3 = np.zeros(len(keys))
+    d3 = np.zeros(len(third))
     d3[known] = trie.third_codes(pairs, context_of[known], third[known])
     p[after] = d3[back] + g2[context] * p[after]
     return count[place], np.log10(p), sizes
@@ -270,7 +278,7 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     others = [f for f in docs.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in in_groups(batches, GROUP_BYTES // 2):
+        for table in in_groups(batches, GROUP_BYTES // SCORED_PARTS):
             counts, p, sizes = scored(trie, table.column("text"))
             starts = np.cumsum(sizes) - sizes
             base = np.log10((counts + 1.0) / (trie.tokens + trie.words + 1.0))
