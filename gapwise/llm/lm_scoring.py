@@ -14,16 +14,16 @@ from pyspark.sql import functions as F
 
 from gapwise.llm.common import load, shared_dir, staged, text_or_empty
 from gapwise.llm.language_id import remainder
-from gapwise.llm.ngram_trie import Chunk, Level, Trie, elias_fano, named, quantise, write_sections
+from gapwise.llm.ngram_trie import Chunk, Level, Trie, elias_fano, named, open_sections, quantise, write_sections
 from gapwise.llm.words import in_groups, word_hashes
 
 #: The end of a text, as a token that no word is: the hash of words has 63 bits and is not negative.
 END = -1
 DISCOUNT = 0.75
 #: Texts are handled in groups of so many bytes, to bound a worker's memory.
-GROUP_BYTES = 12_000_000
-#: Groups that are scored are smaller by this factor, as looking up takes more memory than counting.
-SCORED_PARTS = 3
+GROUP_BYTES = 6_000_000
+#: Groups that are scored are smaller, as looking up takes more memory than counting.
+SCORED_BYTES = 4_000_000
 #: A chunk of the trie holds the triples of about so many tokens; so many triples are sampled to cut chunks of like size.
 CHUNK_TOKENS, SAMPLE = 2_000_000, 200_000
 
@@ -34,8 +34,8 @@ def tokens(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, np.cumsum(sizes), END), sizes + 1
 
 
-def write_level(rows: DataFrame, folder: str, name: str) -> Level:
-    """Sort (key, n) by range, write a chunk per partition, and open the table."""
+def write_level(rows: DataFrame, size: int, folder: str, name: str) -> Level:
+    """Sort the ``size`` rows of (key, n) by range, write chunks of about CHUNK_TOKENS keys, and open the table."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
@@ -47,7 +47,7 @@ def write_level(rows: DataFrame, folder: str, name: str) -> Level:
         meta = {"first": int(keys[0]), "n": len(keys)} | write_sections(folder, f"{name}-{TaskContext.get().partitionId()}", sections)
         yield pd.DataFrame({"meta": [json.dumps(meta)]})
 
-    ranged = rows.select("key", "n").repartitionByRange("key").sortWithinPartitions("key")
+    ranged = rows.select("key", "n").repartitionByRange(max(1, -(-size // CHUNK_TOKENS)), "key").sortWithinPartitions("key")
     metas = sorted((json.loads(r.meta) for r in ranged.mapInPandas(write, "meta string").collect()), key=lambda m: m["first"])
     base = 0
     for meta in metas:
@@ -81,11 +81,21 @@ def packed(values: np.ndarray) -> bytes:
     return pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def unpacked(data: bytes, n: int) -> np.ndarray:
+def unpacked(data: bytes | np.ndarray, n: int) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(data, n * 8, codec="zstd"), dtype=np.uint8).reshape(8, n)
     return np.ascontiguousarray(planes.T).view("<i8").reshape(n)
 
 
+def write_packed(folder: str, name: str, columns: dict[str, np.ndarray]) -> dict:
+    """Write sorted columns of one length as their differences, packed, into a file of the shared folder."""
+    n = len(next(iter(columns.values())))
+    return {"rows": n} | write_sections(folder, name, {k: np.frombuffer(packed(np.diff(x, prepend=0)), dtype=np.uint8) for k, x in columns.items()})
+
+
+def read_packed(meta: dict) -> tuple[np.ndarray, ...]:
+    return tuple(np.cumsum(unpacked(data, meta["rows"])) for data in open_sections(meta).values())
+
+
 def _boundaries(docs: DataFrame, words: Level, base: int, n_tokens: int) -> list[tuple[int, int]]:
     """(pair, third) at which chunks begin, from a sample of about SAMPLE triples; they decide how even chunks are, nothing else."""
     parts = -(-n_tokens // CHUNK_TOKENS)
@@ -110,7 +120,8 @@ def train(docs: DataFrame) -> Trie:
     The words are counted first; their order by hash numbers them. A second pass counts triples: each group of
     texts sends every distinct one once, to the chunk whose range holds it, so that neither a frequent word nor a
     frequent pair meets in one task. A chunk tells pairs and single contexts as well; those cut by its ends are
-    put right by what the neighbours say of theirs.
+    put right by what the neighbours say of theirs. Counted chunks lie in the shared folder until then: rows of
+    their size would fill the executors' heaps.
     """
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/lm-{np.random.SeedSequence().entropy:x}"
@@ -123,7 +134,7 @@ def train(docs: DataFrame) -> Trie:
 
     counted = staged(docs.mapInArrow(unigrams, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
     n_words, n_tokens = counted.agg(F.count(F.lit(1)), F.sum("n")).first()
-    words, base = write_level(counted, folder, "words"), n_words + 1
+    words, base = write_level(counted, n_words, folder, "words"), n_words + 1
     if not n_tokens:
         return Trie(0, 0, words)
     bounds = _boundaries(docs, words, base, n_tokens)
@@ -141,14 +152,19 @@ def train(docs: DataFrame) -> Trie:
             yield pa.RecordBatch.from_arrays(arrays, ["chunk", "rows", "pair", "third", "n"])
 
     def summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        columns = [np.concatenate([np.cumsum(unpacked(data, rows)) for data, rows in zip(table.column(c).to_pylist(), table.column("rows").to_pylist(), strict=True)]) for c in ("pair", "third", "n")]
-        pair, third, n = columns
-        known, rank = np.unique(pair, return_inverse=True)
-        key = rank * base + third
+        def column(name: str) -> np.ndarray:
+            return np.concatenate([np.cumsum(unpacked(data.as_buffer(), rows)) for data, rows in zip(table.column(name), table.column("rows").to_pylist(), strict=True)])
+
+        known, rank = np.unique(column("pair"), return_inverse=True)
+        key = rank * base + column("third")
+        del rank
         order = np.argsort(key, kind="stable")
         key = key[order]
         begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        return known[key[begins] // base], key[begins] % base, np.add.reduceat(n[order], begins)
+        n = np.add.reduceat(column("n")[order], begins)
+        del order
+        rank, third = np.divmod(key[begins], base)
+        return known[rank], third, n
 
     def edges(pair: np.ndarray, third: np.ndarray, n: np.ndarray) -> dict[str, int]:
         """Of the first and the last pair and their first words: occurrences, and how many words follow."""
@@ -162,28 +178,29 @@ def train(docs: DataFrame) -> Trie:
     def reduced(table: pa.Table) -> pa.Table:
         pair, third, n = summed(table)
         row = {"chunk": table.column("chunk")[0].as_py()} | edges(pair, third, n)
-        row |= {name: packed(np.diff(x, prepend=0)) for name, x in (("pair", pair), ("third", third), ("n", n))}
+        row["meta"] = json.dumps(write_packed(folder, f"counts-{row['chunk']}", {"pair": pair, "third": third, "n": n}))
         return pa.Table.from_pylist([row], schema=chunk_schema)
 
     names = ["rows", "from_third", "to_third", *[f"{end}_{k}" for end in ("from", "to") for k in ("pair", "n", "kinds", "seconds")]]
-    chunk_schema = pa.schema([("chunk", pa.int32()), *[(k, pa.int64()) for k in names], *[(k, pa.binary()) for k in ("pair", "third", "n")]])
+    chunk_schema = pa.schema([("chunk", pa.int32()), *[(k, pa.int64()) for k in names], ("meta", pa.string())])
     parted = docs.mapInArrow(counts, "chunk int, rows bigint, pair binary, third binary, n binary")
-    ddl = "chunk int, " + ", ".join(f"{k} bigint" for k in names) + ", pair binary, third binary, n binary"
-    chunks = staged(parted.groupBy("chunk").applyInArrow(reduced, ddl), "lm-chunks")
-
-    ends = sorted(chunks.select("chunk", *names).collect(), key=lambda r: r.chunk)
-    fixed = spark.createDataFrame(list(zip([r.chunk for r in ends], *corrected(ends, base), strict=True)), "at int, pairs array<array<bigint>>, firsts array<array<bigint>>")
+    ddl = "chunk int, " + ", ".join(f"{k} bigint" for k in names) + ", meta string"
+    ends = sorted(parted.groupBy("chunk").applyInArrow(reduced, ddl).collect(), key=lambda r: r.chunk)
+    given = [(r.chunk, r.meta, *fixed) for r, *fixed in zip(ends, *corrected(ends, base), strict=True)]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                pair, third, n = (np.cumsum(unpacked(row[c], row["rows"])) for c in ("pair", "third", "n"))
-                sections = Chunk.sections(pair, third, base, probabilities(words, base, pair, third, n, row["pairs"], row["firsts"]))
-                meta = {"pair": int(pair[0]), "third": int(third[0]), "word": int(pair[0] // base)} | write_sections(folder, f"grams-{row['chunk']}", sections)
+                pair, third, n = read_packed(json.loads(row["meta"]))
+                codes = probabilities(words, base, pair, third, n, row["pairs"], row["firsts"])
+                del n
+                meta = {"pair": int(pair[0]), "third": int(third[0]), "word": int(pair[0] // base)}
+                meta |= write_sections(folder, f"grams-{row['chunk']}", Chunk.sections(pair, third, base, codes))
                 yield pa.RecordBatch.from_arrays([pa.array([json.dumps(meta)])], ["meta"])
 
-    given = chunks.join(fixed, F.col("chunk") == F.col("at")).select("chunk", "rows", "pair", "third", "n", "pairs", "firsts")
-    metas = sorted((json.loads(r.meta) for r in given.mapInArrow(write, "meta string").collect()), key=lambda m: (m["pair"], m["third"]))
+    rows = spark.createDataFrame(given, "chunk int, meta string, pairs array<array<bigint>>, firsts array<array<bigint>>")
+    written = rows.repartition(len(given)).mapInArrow(write, "meta string").collect()
+    metas = sorted((json.loads(r.meta) for r in written), key=lambda m: (m["pair"], m["third"]))
     return Trie(n_words, n_tokens, words, metas)
 
 
@@ -278,7 +295,7 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     others = [f for f in docs.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in in_groups(batches, GROUP_BYTES // SCORED_PARTS):
+        for table in in_groups(batches, SCORED_BYTES):
             counts, p, sizes = scored(trie, table.column("text"))
             starts = np.cumsum(sizes) - sizes
             base = np.log10((counts + 1.0) / (trie.tokens + trie.words + 1.0))

@@ -315,6 +315,17 @@ def test_lm_probabilities_add_up(spark):
         assert abs(total - 1) < 0.05, (context, total)
 
 
+def test_lm_chunks_pass_by_files(spark, monkeypatch):
+    """Counted chunks aren't rows of a frame, and files of words hold no more keys than chunks do."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * k % 97}" for k in range(1, 20))) for i in range(200)], "doc_id bigint, text string")
+    kept, whole = [], lm_scoring.staged
+    monkeypatch.setattr(lm_scoring, "staged", lambda df, name: kept.append(df.schema) or whole(df, name))
+    monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", 40)
+    trie = lm_scoring.train(docs.select("text"))
+    assert len(trie.metas) > 10 and len(trie.level.metas) > 1
+    assert not [f for schema in kept for f in schema if f.dataType.typeName() == "binary"]
+
+
 def packed_well(rows, texts, encode, sequence=1024):
     by_seq, by_doc = defaultdict(list), defaultdict(list)
     for r in rows:
