@@ -67,6 +67,9 @@ class _Run:
     def numeric(self, c: str, it: int) -> None:
         """A Bayesian ridge regression per chain, all from one aggregate; values are drawn or those of matched donors."""
         t, method = self.state.at[c], self.plan.methods[c]
+        if method == "pmm":
+            # Its search reads the frame many times, so what the steps before it made is kept.
+            self.now = models.reliable(self.now)
         used = [i for i in range(len(self.state.columns)) if i != t]
         x, gone = [F.col(f"v{i}") for i in used], F.col(f"m{t}")
         fits = {chain: (*models.bayesian_ridge(n, m), m[0, 1:-1] / n) for (chain,), (n, m) in models.gram(self.now.where(~gone), x, F.col(f"v{t}"), by=["chain"]).items()}
@@ -112,12 +115,12 @@ class _Run:
             """The place of a level; the model's terms stand in the plan once, however many levels there are."""
             rows, u = self.now.where(~F.col(f"m{t}") & (F.col("chain") == chain)), uniform(seed, f"plan/{it}/{c}", F.col("__id"))
             dot = lambda w: sum((F.lit(float(b)) * v for b, v in zip(w, x, strict=True) if b), F.lit(0.0))
-            bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+            bind = models.bound
             if method == "polr":
                 try:
                     cuts, slopes = models.fit_ordinal(rows, place, x, n)
-                    above = lambda eta: F.size(F.filter(F.array(*[F.lit(float(cut)) for cut in cuts]), lambda cut: u >= 1 / (1 + F.exp(eta - cut))))
-                    return bind(dot(slopes), above).cast("double")
+                    above = lambda eta, u: F.size(F.filter(F.array(*[F.lit(float(cut)) for cut in cuts]), lambda cut: u >= 1 / (1 + F.exp(eta - cut))))
+                    return bind(dot(slopes), lambda eta: bind(u, lambda u: above(eta, u))).cast("double")
                 except (ValueError, np.linalg.LinAlgError) as exc:
                     self.warned.append(f"{c}: the ordinal model failed ({exc}), a multinomial one fills")
             model = models._softmax_fit(rows, place, x, n)
@@ -125,11 +128,12 @@ class _Run:
             begin = F.struct(F.lit(0.0).alias("upto"), F.lit(0.0).alias("level"))
 
             def pick(weight: Column) -> Column:
-                aim = u * F.aggregate(weight, F.lit(0.0), lambda s, w: s + w)
-                step = lambda at, w: F.struct((at["upto"] + w).alias("upto"), (at["level"] + (aim >= at["upto"] + w).cast("double")).alias("level"))
-                return F.aggregate(weight, begin, step, lambda at: F.least(at["level"], F.lit(float(n - 1))))
+                step = lambda aim: lambda at, w: F.struct((at["upto"] + w).alias("upto"), (at["level"] + (aim >= at["upto"] + w).cast("double")).alias("level"))
+                last = lambda at: F.least(at["level"], F.lit(float(n - 1)))
+                return bind(u * F.aggregate(weight, F.lit(0.0), lambda s, w: s + w), lambda aim: F.aggregate(weight, begin, step(aim), last))
 
-            return bind(bind(eta, lambda e: F.transform(e, lambda v: F.exp(v - F.array_max(e)))), pick)
+            weights = lambda e: bind(F.array_max(e), lambda top: F.transform(e, lambda v: F.exp(v - top)))
+            return bind(bind(eta, weights), pick)
 
         self.put(c, self.per_chain(drawn))
 

@@ -77,3 +77,18 @@ def test_one_score_for_all_rows_keeps_tasks_even(spark):
     assert out.select("value").distinct().count() > n / 2
     df = spark.range(4000).select("id", F.lit(1.0).alias("x"), F.when(F.col("id") % 3 > 0, F.col("id").cast("double")).alias("y"))
     assert gapwise.impute_pmm(df, "id", 1).where("y is null").count() == 0
+
+
+def test_donors_are_read_a_few_times(spark):
+    """However often the search comes back to the donors: their cuts, their ranges and their rows."""
+    seen, n = spark.sparkContext.accumulator(0), 200
+
+    def counted(v):
+        seen.add(1)
+        return float(v % 50)
+
+    donors = spark.range(n).select(F.col("id").alias("donor"), F.udf(counted, "double")("id").alias("score"), F.col("id").cast("double").alias("value"))
+    asked = spark.range(60).select("id", (F.col("id") + 0.3).cast("double").alias("score"))
+    got = {r.id: r.value for r in models.donor_values(asked, donors, 3, F.lit(0.0), F.lit(0.0)).collect()}
+    assert got == {i: float(min(i, 49)) for i in range(60)}
+    assert seen.value <= 4 * n
