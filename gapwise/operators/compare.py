@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import DataFrame
@@ -13,7 +15,7 @@ from gapwise.functions import nullity
 from gapwise.functions.draws import uniform
 from gapwise.operators import donors, fill, models
 from gapwise.operators.estimator import MissingImputer
-from gapwise.operators.simulate import _exactly
+from gapwise.operators.simulate import smallest_gone
 from gapwise.plans.fused import missing_counts
 
 METHODS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
@@ -45,17 +47,18 @@ def compare_imputations(df: DataFrame, row_id: str, methods: Sequence[str] | Map
         raise ConfigurationError("df", "missing values", "must be complete")
     chosen = methods if isinstance(methods, Mapping) else {m: METHODS[m] for m in methods}
     columns = [c for c in df.columns if c != row_id]
-    n, masked = df.count(), df
-    for c in columns:
-        masked = _exactly(masked, c, max(1, int(n * mask_frac)), row_id, random_state, "compare")
-    masked = models.reliable(masked)
-    truth = df.select(nullity.column(row_id).alias("__id"), *[nullity.column(c).alias(f"__t{i}") for i, c in enumerate(columns)])
-    marks = masked.select(nullity.column(row_id).alias("__mid"), *[nullity.miss(masked, c).alias(f"__m{i}") for i, c in enumerate(columns)])
+    n = df.count()
+    whole = models.spread(df.withColumns({f"__t{i}": nullity.column(c) for i, c in enumerate(columns)}), row_id)
+    both = models.reliable(smallest_gone(whole, {c: min(n, max(1, int(n * mask_frac))) for c in columns}, row_id, random_state, "compare") if n else whole)
+    masked = both.select(*[nullity.column(c) for c in df.columns])
+    marks = {f"__m{i}": nullity.miss(both, c) for i, c in enumerate(columns)}
+    truth = both.select(nullity.column(row_id).alias("__id"), *[f"__t{i}" for i in range(len(columns))], *[m.alias(k) for k, m in marks.items()])
+    truth = truth.where(reduce(or_, [F.col(k) for k in marks], F.lit(False)))
     rows = []
     for name, method in chosen.items():
         try:
             done = method(masked, row_id)
-            joined = done.join(truth, done[row_id] == truth["__id"]).join(marks, F.col("__id") == F.col("__mid"))
+            joined = done.join(truth, done[row_id] == truth["__id"])
             aggs = []
             for i, c in enumerate(columns):
                 if nullity.is_numeric(df, c):

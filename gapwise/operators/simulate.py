@@ -30,17 +30,13 @@ def _exactly(df: DataFrame, c: str, k: int, row_id: str, seed: int, label: str)
     return placed.select(*[(F.when(F.col("__pos") > k, nullity.column(x)).alias(x) if x == c else nullity.column(x)) for x in df.columns])
 
 
-def simulate_mcar(df: DataFrame, row_id: str, frac: float = 0.1, *, columns: Sequence[str] | None = None, random_state: int = 0, require_complete: bool = True) -> DataFrame:
-    """Exactly max(1, round(n * frac)) cells of each column, without replacement; by default of the numeric ones.
+def smallest_gone(df: DataFrame, wanted: Mapping[str, int], row_id: str, seed: int, label: str) -> DataFrame:
+    """NULL in so many observed rows of each column as ``wanted`` says, those of the smallest draws.
 
     The k-th smallest draw of each column is a threshold, found for all columns by shared scans; the cells then go by a projection.
     Only where rows share the draw at the threshold, as rows that repeat a key do, are they put in order.
     """
-    columns = validate_columns(df, columns) if columns is not None else [c for c in nullity.numeric_columns(df) if c != row_id]
-    _check(df, frac, columns if require_complete else ())
-    counts = {r.variable: r.n_rows - r.n_miss for r in missing_counts(df, columns=columns).collect()}
-    wanted = {c: max(1, round(counts[c] * frac)) for c in columns if counts[c]}
-    draws = {c: uniform(random_state, f"mcar/{c}", nullity.column(row_id)) for c in wanted}
+    draws = {c: uniform(seed, f"{label}/{c}", nullity.column(row_id)) for c in wanted}
     found = order_statistics(df, {c: (F.when(~nullity.miss(df, c), draws[c]), [k - 1]) for c, k in wanted.items()})
     cuts = {c: found[c][k - 1] for c, k in wanted.items()}
     alone = {c: cut for c, (cut, below, equal) in cuts.items() if below + equal == wanted[c]}
@@ -48,10 +44,19 @@ def simulate_mcar(df: DataFrame, row_id: str, frac: float = 0.1, *, columns: Seq
     out = df.select(*[gone.get(c, nullity.column(c)) for c in df.columns])
     for c in wanted:
         if c not in alone:
-            out = _exactly(out, c, wanted[c], row_id, random_state, "mcar")
+            out = _exactly(out, c, wanted[c], row_id, seed, label)
     return out
 
 
+def simulate_mcar(df: DataFrame, row_id: str, frac: float = 0.1, *, columns: Sequence[str] | None = None, random_state: int = 0, require_complete: bool = True) -> DataFrame:
+    """Exactly max(1, round(n * frac)) cells of each column, without replacement; by default of the numeric ones."""
+    columns = validate_columns(df, columns) if columns is not None else [c for c in nullity.numeric_columns(df) if c != row_id]
+    _check(df, frac, columns if require_complete else ())
+    counts = {r.variable: r.n_rows - r.n_miss for r in missing_counts(df, columns=columns).collect()}
+    wanted = {c: max(1, round(counts[c] * frac)) for c in columns if counts[c]}
+    return smallest_gone(df, wanted, row_id, random_state, "mcar")
+
+
 def _tail(df: DataFrame, by: str, tail: str, threshold: float | None) -> Column:
     validate_strategy(tail, ("upper", "lower"), param="tail")
     v = nullity.value(df, by).cast("double")
