@@ -315,8 +315,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
 
     census = staged(_census(rows, width), "join-census")
     placed = census.where("hashed is not null").select("doc", F.col("key").alias("node"), "n")
-    frequent = census.where("hashed is null").groupBy("key").agg(F.sum("n").alias("n"))
-    common = write_level(frequent, folder, "tokens")
+    frequent = staged(census.where("hashed is null").groupBy("key").agg(F.sum("n").alias("n")), "join-frequent")
+    common = write_level(frequent, frequent.count(), folder, "tokens")
     leaders = _leaders(_prefixes(rows, width, percent, common))
 
     first = F.min(F.struct("hashed", "n", "signature")).alias("s")
@@ -330,7 +330,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
 
     kept = staged(nodes.join(refined, nodes["node"] == refined["vertex"]).select("label", "node", "n", "hashed"), "join-kept")
     wanted = kept.groupBy(F.col("hashed").alias("key")).agg(F.max("label").alias("n"))
-    keys = write_level(wanted, folder, "wanted")
+    keys = write_level(wanted, kept.count(), folder, "wanted")
     linked = connected(_by_tokens(_tasks(_sets_of(rows, width, keys), kept, "n", BLOCK_TOKENS, percent), percent))
 
     return _components(placed, nodes, linked).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")

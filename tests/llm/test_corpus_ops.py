@@ -472,6 +472,18 @@ def test_jaccard_join(spark, monkeypatch, small):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(want)
 
 
+def test_jaccard_levels_are_files_of_a_bounded_size(spark, monkeypatch):
+    """Frequent tokens and wanted rows are cut into files by their number, which changes no component."""
+    levels, whole = [], ngram_join.write_level
+    monkeypatch.setattr(ngram_join, "write_level", lambda *given: levels.append(whole(*given)) or levels[-1])
+    monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", 20)
+    texts = near_corpus(7)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)[0]
+    assert len(levels) == 2 and all(len(level.metas) > 1 and max(m["n"] for m in level.metas) < 100 for level in levels)
+
+
 def test_jaccard_edges(spark, nothing):
     assert ngram_join.jaccard_components(nothing).count() == 0
     only = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, None), (9, "")], "doc_id bigint, text string")
