@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import corpus_pipeline
-from gapwise.llm import catalog, exact_dedup, ngram_join, quality_rules
+from gapwise.llm import catalog, exact_dedup, lm_scoring, ngram_join, quality_rules
+from gapwise.llm.common import staged
 from support import SF, duck, duck_rows, spark_rows
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -51,6 +52,18 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == now.count()
 
 
+def test_join_stage_after_dedup(spark, monkeypatch):
+    """One row of each family stays, also where frequent tokens fill several files."""
+    monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", 20)
+    words = [f"w{i}" for i in range(120)]
+    near = [" ".join(words[:k] + ["other"] + words[k + 1 :]) for k in (3, 60, 119)]
+    rows = [(1, near[0]), (2, near[0]), (3, near[1]), (4, near[2]), (5, " ".join(words[::-1])), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id bigint, text string, lang string, source string").repartition(2)
+    now = staged(corpus_pipeline.exact_dedup(spark, docs, SF), "stage-test")
+    out = corpus_pipeline.ngram_jaccard_join(spark, now, SF)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 5, 6]
+
+
 ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, m int, row int, rate double, size int, part int, before bigint, label string"
 
 
