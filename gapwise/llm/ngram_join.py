@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapwise.llm.common import load, look_up, shared_dir, staged, text_or_empty
-from gapwise.llm.components import connected
+from gapwise.llm.components import connected, stars
 from gapwise.llm.lm_scoring import write_level
 from gapwise.llm.ngram_trie import Level
 from gapwise.llm.signature_tree import SignatureTree, possible, bitmap, forest, traverse
@@ -192,7 +192,7 @@ def _whole_tasks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame
 
 
 def _by_signature(tasks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs that bitmaps and sizes leave possible, as few as connect them all.
+    """(a, b): edges that connect what the pairs do that bitmaps and sizes leave possible, as few as that takes in a task's batch.
 
     The few sets of a small task are compared at once with those of all other small tasks; larger ones by trees,
     one for each length of signature. Lengths of similar sets differ by less than 200 / percent times.
@@ -241,27 +241,28 @@ def _by_signature(tasks: DataFrame, percent: int) -> DataFrame:
                     alone = whole[k] and v == w
                     found = traverse(one, None if alone else tree(signatures, max(v, w), sizes, excess, y), percent)
                     pairs.append((x if alone else np.concatenate([x, y]))[np.array(found, dtype=np.int64).reshape(-1, 2)])
-            pairs = np.concatenate(pairs)
-            yield pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
+            pairs = node[np.concatenate(pairs)]
+            yield pd.DataFrame(dict(zip("ab", stars(pairs[:, 0], pairs[:, 1]), strict=True)))
 
     given = tasks.select("task", "side", "node", "n", "signature")
-    return given.repartition("task").sortWithinPartitions("task").mapInPandas(run, "a bigint, b bigint").distinct()
+    return given.repartition("task").sortWithinPartitions("task").mapInPandas(run, "a bigint, b bigint")
 
 
 def _by_tokens(tasks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): exact links that connect all that links connect within each task."""
+    """(a, b): edges that connect all that exact links connect within each task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts, ends in _whole_tasks(batches):
             side, node = rows["side"].to_numpy(), rows["node"].to_numpy()
             sets = [np.frombuffer(t, dtype=np.int64) for t in rows["tokens"]]
-            out = []
+            out = [np.zeros((0, 2), dtype=np.int64)]
             for low, high in zip(starts.tolist(), ends.tolist(), strict=True):
                 left, right = ([k for k in range(low, high) if side[k] == s] for s in (0, 1))
                 if left and len(left) + len(right) > 1 and (right or not side[low:high].any()):
-                    at = left + right
-                    out += [(node[at[i]], node[at[j]]) for i, j in forest([sets[k] for k in left], [sets[k] for k in right] or None, percent)]
-            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+                    found = forest([sets[k] for k in left], [sets[k] for k in right] or None, percent)
+                    out.append(node[np.array(left + right)[np.array(found, dtype=np.int64).reshape(-1, 2)]])
+            pairs = np.concatenate(out)
+            yield pd.DataFrame(dict(zip("ab", stars(pairs[:, 0], pairs[:, 1]), strict=True)))
 
     given = tasks.select("task", "side", "node", "tokens")
     return given.repartition("task").sortWithinPartitions("task").mapInPandas(run, "a bigint, b bigint")

@@ -10,9 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gapwise.llm import language_id, lm_scoring, mixing, ngram_join, packing, sharding
+from gapwise.llm import components, language_id, lm_scoring, mixing, ngram_join, packing, sharding
 from gapwise.llm.common import look_up
-from gapwise.llm.components import connected
+from gapwise.llm.components import connected, stars
 from gapwise.llm.ngram_trie import EliasFano, elias_fano, quantise, restore
 from gapwise.llm.words import in_groups, word_hashes
 from gapwise.llm.signature_tree import Groups, forest, similar
@@ -524,6 +524,37 @@ def test_components(spark):
     assert connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_take_few_shuffles(spark, monkeypatch):
+    """Five for a round, without one that only finds nothing to do (of plans: an aggregate is one, a join two); repeated edges and loops count for nothing."""
+    plans, whole = [], components.staged
+    monkeypatch.setattr(components, "staged", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or whole(df, name))
+    star = [(7, k) for k in range(20)] * 2
+    got = {r.vertex: r.label for r in connected(spark.createDataFrame(star, "a bigint, b bigint")).collect()}
+    assert got == {k: 0 for k in range(20)}
+    assert sum(p.count("Aggregate [") + 2 * p.count("Join Inner") for p in plans) <= 9
+    plans.clear()
+    settled = connected(spark.createDataFrame([(0, k) for k in range(1, 20)], "a bigint, b bigint"))
+    assert sorted((r.vertex, r.label) for r in settled.collect()) == [(k, 0) for k in range(20)]
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
+
+
+def test_stars_connect_what_edges_connect():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (30, 12), (400, 380), (50, 300)):
+        a, b = rng.integers(0, n, m) * 7, rng.integers(0, n, m) * 7
+        want, got = Groups(7 * n), Groups(7 * n)
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            want.union(i, j)
+        child, root = stars(a, b)
+        assert len(set(child.tolist())) == len(child) and not set(child.tolist()) & set(root.tolist())
+        for i, j in zip(child.tolist(), root.tolist(), strict=True):
+            got.union(i, j)
+        assert [got.find(i) for i in range(7 * n)] == [want.find(i) for i in range(7 * n)]
+    path = np.arange(5000)
+    child, root = stars(path[1:], path[:-1])
+    assert child.tolist() == path[1:].tolist() and not root.any()
+
+
 def test_look_up_with_hot_keys(spark):
     rows = [(1, i) for i in range(60)] + [(k, k) for k in range(2, 20)] + [(None, 7), (99, 8)]
     df = spark.createDataFrame(rows, "key bigint, id bigint").repartition(4)
