@@ -176,3 +176,23 @@ def test_gower_pairs_shuffle_no_copies(spark, monkeypatch, shared):
     want = donors.gower(x, x, donors.gower_ranges(d, columns, levels))
     got = {(r.id_a, r.id_b): r.distance for r in pairs.collect()}
     assert len(got) == 3600 and all(got[a, b] == pytest.approx(want[i, j]) for i, a in enumerate(ids) for j, b in enumerate(ids))
+
+
+def test_gower_pairs_take_little_disk(spark, tmp_path):
+    d = spark.range(2000).select("id", F.when(F.col("id") % 3 > 0, F.hash(F.col("id") % 50) % 1000).cast("double").alias("x"), F.concat(F.lit("c"), F.hash(F.col("id") % 50, F.lit(1)) % 4).alias("c"))
+    pairs = donors.gower_distance(d, "id")
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).distinct().count() == 2000 * 2000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 2000 * 2000 * 0.3
+
+
+def test_gower_pairs_of_more_queries_than_rows(spark, monkeypatch):
+    d = clashing(spark, "int")
+    few = d.where("id % 20 = 0")
+    want = {(r.id_b, r.id_a): r.distance for r in donors.gower_distance(d, "id", queries=few).collect()}
+    monkeypatch.setattr(donors, "ROWS", 2)
+    monkeypatch.setattr(donors, "gower_ranges", lambda _, columns, levels, of=donors.gower_ranges: of(d, columns, levels))
+    for shared in (1 << 13, 0):
+        monkeypatch.setattr(donors, "SHARED_BYTES", shared)
+        got = {(r.id_a, r.id_b): r.distance for r in donors.gower_distance(few, "id", queries=d).collect()}
+        assert len(got) == 180 and all(got[k] == pytest.approx(v) for k, v in want.items())
